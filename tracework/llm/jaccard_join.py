@@ -9,8 +9,10 @@ reaches a percentage. The join reports each document's component.
    This joins nearly all members of large groups while sets travel only twice.
 3. What is left is made exact: two linked documents share a token in their
    prefixes under any order of tokens. Only tokens under which two components
-   still meet are opened, again by signature trees, and each pair that the
-   bounds cannot exclude is compared with whole sets.
+   still meet are opened, again by signature trees. Counting the tokens under
+   which a pair meets bounds its overlap once more (beyond the shorter prefix it
+   can share what is left of that set); pairs that pass are compared with whole
+   sets.
 
 The order puts tokens that very many documents have last. That choice changes
 the work only: any order gives the same links. A hot token is split into
@@ -35,8 +37,9 @@ from tracework.plans.materialize import materialize
 
 #: Tokens in more documents than this count as hot; at most HOT_TOKENS of them, the hottest.
 HOT_COUNT, HOT_TOKENS = 256, 50_000
-#: Documents of a minimum-hash group that meet in one tree; entries of a token in one block.
-TREE_ROWS, BLOCK_ROWS = 400, 1024
+#: Documents of a minimum-hash group that meet in one tree; entries of a token in one block;
+#: documents of a component in a block of pairs.
+TREE_ROWS, BLOCK_ROWS, PAIR_BLOCK = 400, 1024, 256
 #: Bytes of rows in one Python group, and of a table that may be broadcast.
 GROUP_BYTES, BROADCAST_BYTES = 12 << 20, 32 << 20
 _TALLY = 1 << 21
@@ -87,7 +90,7 @@ def ngram_jaccard_join(
     )
 
 
-_LIGHT = "doc_id long, n long, h1 long, h2 long, k1 long, k2 long, sig binary, prefix array<long>"
+_LIGHT = "doc_id long, n long, h1 long, h2 long, k1 long, k2 long, last long, sig binary, prefix array<long>"
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -147,26 +150,28 @@ def _hot_tokens(docs: DataFrame, width: int, percent: int) -> np.ndarray:
 
 def _describe(hot: np.ndarray, width: int, percent: int):
     def run(rows: dict) -> list:
-        out = [[] for _ in range(8)]
+        out = [[] for _ in range(9)]
         for doc_id, text in zip(rows["doc_id"], rows["text"]):
             t = shingle_set(text, width)
             if not len(t):
-                values = (doc_id, 0, 0, 0, None, None, None, None)
+                values = (doc_id, 0, 0, 0, None, None, None, None, None)
             else:
-                ordered = t
+                ordered, cold, length = t, len(t), _prefix(len(t), percent)
                 if len(hot):
                     at = np.searchsorted(hot, t)
                     at[at == len(hot)] = 0
                     is_hot = hot[at] == t
-                    ordered = np.concatenate([t[~is_hot], t[is_hot]])
+                    ordered, cold = np.concatenate([t[~is_hot], t[is_hot]]), int((~is_hot).sum())
                 values = (
                     doc_id,
                     len(t),
                     *_set_hash(t),
                     int(_signed(t[:1])[0]),
                     int(_signed(mix(t ^ np.uint64(0x5851F42D4C957F2D)).min(keepdims=True))[0]),
+                    # Place of the prefix's last token in the order (but for one bit): hot ones are not negative.
+                    int(ordered[length - 1] >> np.uint64(1)) - (0 if length > cold else 1 << 63),
                     signature(t),
-                    _signed(ordered[: _prefix(len(t), percent)]),
+                    _signed(ordered[:length]),
                 )
             for column, value in zip(out, values):
                 column.append(value)
@@ -292,7 +297,7 @@ def _tree_links(docs: DataFrame, copies: DataFrame, named: DataFrame | None, wid
 def _prefix_links(docs: DataFrame, light: DataFrame, named: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``a, b`` between components, complete by prefix filtering."""
     rep = materialize(
-        light.select("doc_id", "n", "sig", "prefix").join(
+        light.select("doc_id", "n", "last", "sig", "prefix").join(
             named.select(F.col("rep").alias("doc_id"), "component"), "doc_id"
         )
     )
@@ -304,7 +309,7 @@ def _prefix_links(docs: DataFrame, light: DataFrame, named: DataFrame, width: in
         .select("token", "c")
     )
     rows = (
-        rep.select("doc_id", "component", "n", "sig", F.explode("prefix").alias("token"))
+        rep.select("doc_id", "component", "n", "last", "sig", F.explode("prefix").alias("token"))
         .join(_small(meets, 32), "token")
         .withColumn("of", F.when(F.col("c") > 2 * BLOCK_ROWS, F.ceil(F.col("c") / F.lit(BLOCK_ROWS))).otherwise(1))
         .withColumn("side", F.pmod(F.xxhash64("doc_id"), "of"))
@@ -313,9 +318,9 @@ def _prefix_links(docs: DataFrame, light: DataFrame, named: DataFrame, width: in
         .withColumn(
             "tree", F.xxhash64("token", F.least("side", "other"), F.greatest("side", "other"))
         )
-        .select("tree", "doc_id", "component", "n", "sig", "side", "cross")
+        .select("tree", "doc_id", "component", "n", "last", "sig", "side", "cross")
     )
-    buckets = max(1, int((meets.agg(F.sum(F.col("c") * 180)).first()[0] or 0) // GROUP_BYTES + 1))
+    buckets = max(1, int((meets.agg(F.sum(F.col("c") * 140)).first()[0] or 0) // GROUP_BYTES + 1))
     rows = rows.withColumn("bucket", F.pmod("tree", F.lit(buckets)))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -329,29 +334,55 @@ def _prefix_links(docs: DataFrame, light: DataFrame, named: DataFrame, width: in
             low = ids[i] < ids[j]
             i, j = np.where(low, i, j), np.where(low, j, i)
             found.append(np.stack([ids[i], ids[j], component[i], component[j]]))
-        x = np.concatenate(found, axis=1) if found else np.empty((4, 0), np.int64)
-        return pd.DataFrame(dict(zip(("x", "y", "a", "b"), x))).drop_duplicates()
+            last = pdf["last"].to_numpy()
+            after = size - _prefix(size, percent)
+            rest = np.where(last[i] < last[j], after[i], np.where(last[j] < last[i], after[j], np.maximum(after[i], after[j])))
+            found[-1] = np.concatenate([found[-1], np.stack([size[i] + size[j], rest])])
+        x = np.concatenate(found, axis=1) if found else np.empty((6, 0), np.int64)
+        made = pd.DataFrame(dict(zip(("x", "y", "a", "b", "sizes", "rest"), x)))
+        return made.groupby(["x", "y", "a", "b", "sizes", "rest"]).size().rename("common").reset_index()
 
     pairs = materialize(
-        rows.groupBy("bucket").applyInPandas(join, "x long, y long, a long, b long").distinct()
+        rows.groupBy("bucket")
+        .applyInPandas(join, "x long, y long, a long, b long, sizes long, rest long, common long")
+        .groupBy("x", "y", "a", "b", "sizes", "rest")
+        .agg(F.sum("common").alias("common"))
+        .where((100 + percent) * (F.col("common") + F.col("rest")) >= percent * F.col("sizes"))
+        .select("x", "y", "a", "b")
     )
     ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
     wanted = materialize(named.select(F.col("rep").alias("doc_id"), "n", "h1", "h2").join(ids, "doc_id", "left_semi"))
     sets = materialize(_sets(docs, wanted, width).dropDuplicates(["doc_id"]))
-    both = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("tokens").alias("s")), "x").join(
-        sets.select(F.col("doc_id").alias("y"), F.col("tokens").alias("t")), "y"
+    # Pairs meet by blocks of components, so that a set travels once for a pair of blocks, not for each pair.
+    split = named.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(PAIR_BLOCK)).alias("of")).where("of > 1")
+    many = _small(materialize(split), 24)
+    keyed = (
+        pairs.join(many.select(F.col("component").alias("a"), F.col("of").alias("oa")), "a", "left")
+        .join(many.select(F.col("component").alias("b"), F.col("of").alias("ob")), "b", "left")
+        .select(
+            *(c for c in ("x", "y", "a", "b")),
+            F.xxhash64(
+                "a", F.pmod(F.xxhash64("x"), F.coalesce("oa", F.lit(1))), "b", F.pmod(F.xxhash64("y"), F.coalesce("ob", F.lit(1)))
+            ).alias("key"),
+        )
     )
+    keyed = materialize(keyed)
+    used = (
+        keyed.select("key", F.col("x").alias("doc_id")).unionByName(keyed.select("key", F.col("y").alias("doc_id"))).distinct()
+    )
+    buckets = _buckets(used.join(wanted.select("doc_id", "n"), "doc_id"), "8 * n + 64")
+    bucket = F.pmod("key", F.lit(buckets)).alias("bucket")
+    left = keyed.select("x", "y", "a", "b", bucket)
+    right = used.select("doc_id", bucket).distinct().join(sets.select("doc_id", "tokens"), "doc_id")
+
+    def verify(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        of = {d: np.frombuffer(t, np.uint64) for d, t in zip(s["doc_id"], s["tokens"])}
+        done = set()
+        for x, y, a, b in zip(p["x"], p["y"], p["a"], p["b"]):
+            if (a, b) not in done and linked(overlap(of[x], of[y]), len(of[x]), len(of[y]), percent):
+                done.add((a, b))
+        return pd.DataFrame(sorted(done), columns=["a", "b"]).astype("int64")
 
-    def make():
-        def run(r: dict) -> list:
-            a, b = [], []
-            for k, (s, t) in enumerate(zip(r["s"], r["t"])):
-                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                if linked(overlap(s, t), len(s), len(t), percent):
-                    a.append(r["a"][k])
-                    b.append(r["b"][k])
-            return [a, b]
-
-        return run
-
-    return materialize(map_rows(both.select("a", "b", "s", "t"), "a long, b long", make).distinct())
+    return materialize(
+        left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(verify, "a long, b long").distinct()
+    )

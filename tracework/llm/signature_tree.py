@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BITS = 1024
+BITS = 512
 FAN = 8
 _CHUNK = 100_000
 
