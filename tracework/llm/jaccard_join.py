@@ -36,7 +36,7 @@ from tracework.operators.components import connected_components
 from tracework.plans.materialize import materialize
 
 #: Tokens in more documents than this count as hot; at most HOT_TOKENS of them, the hottest.
-HOT_COUNT, HOT_TOKENS = 256, 50_000
+HOT_COUNT, HOT_TOKENS = 64, 200_000
 #: Documents of a minimum-hash group that meet in one tree; entries of a token in one block;
 #: documents of a component in a block of pairs.
 TREE_ROWS, BLOCK_ROWS, PAIR_BLOCK = 400, 1024, 256
@@ -117,7 +117,7 @@ def _hot_tokens(docs: DataFrame, width: int, percent: int) -> np.ndarray:
 
         def flush() -> pa.RecordBatch:
             token, times = np.unique(np.concatenate(held), return_counts=True)
-            keep = times >= 4
+            keep = times >= 2
             return pa.RecordBatch.from_arrays(
                 [pa.array(_signed(token[keep])), pa.array(times[keep].astype(np.int64))], ["token", "times"]
             )
@@ -306,11 +306,11 @@ def _prefix_links(docs: DataFrame, light: DataFrame, named: DataFrame, width: in
         entry.groupBy("token")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"))
         .where("lo != hi")
-        .select("token", "c")
+        .select("token", "c", F.xxhash64("lo", "hi").alias("place"))
     )
     rows = (
         rep.select("doc_id", "component", "n", "last", "sig", F.explode("prefix").alias("token"))
-        .join(_small(meets, 32), "token")
+        .join(_small(meets, 40), "token")
         .withColumn("of", F.when(F.col("c") > 2 * BLOCK_ROWS, F.ceil(F.col("c") / F.lit(BLOCK_ROWS))).otherwise(1))
         .withColumn("side", F.pmod(F.xxhash64("doc_id"), "of"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
@@ -318,10 +318,12 @@ def _prefix_links(docs: DataFrame, light: DataFrame, named: DataFrame, width: in
         .withColumn(
             "tree", F.xxhash64("token", F.least("side", "other"), F.greatest("side", "other"))
         )
-        .select("tree", "doc_id", "component", "n", "last", "sig", "side", "cross")
+        # Tokens of one passage share their outer components: in one task, their pairs add up before they are shuffled.
+        .withColumn("place", F.when(F.col("of") > 1, F.col("tree")).otherwise(F.col("place")))
+        .select("tree", "doc_id", "component", "n", "last", "sig", "side", "cross", "place")
     )
     buckets = max(1, int((meets.agg(F.sum(F.col("c") * 140)).first()[0] or 0) // GROUP_BYTES + 1))
-    rows = rows.withColumn("bucket", F.pmod("tree", F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod("place", F.lit(buckets))).drop("place")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
