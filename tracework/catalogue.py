@@ -1,11 +1,406 @@
-"""Registered queries of the provenance operators."""
+"""Registered queries of the provenance operators, and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracework.functions import ids
+from tracework.operators import access, confidence, graph, ledger, lineage, quality, stats, timetravel
+from tracework.operators.match import Query
+from tracework.oracles import SQL
+from tracework.plans import model
+from tracework.plans.materialize import materialize
+from tracework.sources import rdf, recalls
+from tracework.streaming import streams
+
+_QUERIES: dict = {}
+
+
+def _query(f):
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return model.entities(spark, d).select("entity_id"), model.derivations(spark, d)
+
+
+def _stamp(c: str):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+@_query
+def src_entities(spark, d):
+    return model.entities(spark, d).drop("p_partkey")
+
+
+@_query
+def src_edges_by_relation(spark, d):
+    return model.edges(spark, d).groupBy("rel").agg(
+        F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets")
+    )
+
+
+@_query
+def flt_batch_products(spark, d):
+    return model.entities(spark, d).where("batch = 'Brand#17'").select("entity_id", "entity_type", "product_name")
+
+
+@_query
+def flt_activities_in_range(spark, d):
+    return model.activities(spark, d).where("started_at between timestamp'1995-01-01' and timestamp'1995-12-31'").select("activity_id", "activity_type", _stamp("started_at"))
+
+
+@_query
+def lin1_provenance(spark, d):
+    return lineage.provenance(model.entities(spark, d), model.activities(spark, d), model.agents(spark, d), model.edges(spark, d)).select("entity_id", "activity_id", "agent_id", _stamp("started_at"))
+
+
+@_query
+def lin2_derivations(spark, d):
+    return lineage.derivations(model.edges(spark, d))
+
+
+@_query
+def lin4_agent_activities(spark, d):
+    return lineage.agent_activities(model.activities(spark, d), model.edges(spark, d)).select("agent_id", "activity_id", _stamp("started_at"))
+
+
+@_query
+def lin5_usage_chain(spark, d):
+    return lineage.usage_chain(model.activities(spark, d), model.edges(spark, d)).select("entity_id", "activity_id", "agent_id", _stamp("started_at"))
+
+
+@_query
+def lin6_product_history(spark, d):
+    return lineage.product_history(model.activities(spark, d), model.edges(spark, d)).select("entity_id", "step", "activity_id", "activity_type", "location")
+
+
+@_query
+def lin10_traceability_edges(spark, d):
+    return lineage.traceability_edges(model.edges(spark, d)).groupBy("entity_id").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@_query
+def lin13_recall_counts(spark, d):
+    return lineage.recall_counts(model.agents(spark, d), model.edges(spark, d))
+
+
+@_query
+def jn1_pattern(spark, d):
+    e = model.edges(spark, d)
+    triples = e.select(F.col("src").alias("s"), F.col("rel").alias("p"), F.col("dst").alias("o"))
+    q = Query().find("?part", "?agent").where(("?part", "wasGeneratedBy", "?order"), ("?order", "wasAssociatedWith", "?agent"))
+    return q.distinct().order_by("?part", "?agent").offset(5).limit(500).execute(triples)
+
+
+@_query
+def agg1_node_counts(spark, d):
+    out = None
+    for kind, df in (("entity", model.entities(spark, d)), ("activity", model.activities(spark, d)), ("agent", model.agents(spark, d))):
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@_query
+def agg2_edge_counts(spark, d):
+    return model.derivations(spark, d).agg(F.count(F.lit(1)).alias("edge_count"), F.countDistinct("src").alias("derived_entity_count"))
+
+
+@_query
+def agg3_entity_types(spark, d):
+    return model.entities(spark, d).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def agg5_graph_statistics(spark, d):
+    r = graph.statistics(*_graph(spark, d))
+    return r.select("nodes", "edges", "max_degree", F.round("average_degree", 6).alias("average_degree"), F.round("density", 9).alias("density"))
+
+
+@_query
+def agg6_degrees(spark, d):
+    return graph.degrees(*_graph(spark, d))
+
+
+@_query
+def agg7_critical_nodes(spark, d):
+    return graph.critical_nodes(*_graph(spark, d))
+
+
+@_query
+def agg9_latency_summary(spark, d):
+    return stats.latency_summary(model.measurements(spark, d), "system", "query")
+
+
+@_query
+def agg14_confidence_interval(spark, d):
+    return stats.confidence_interval(model.measurements(spark, d), "system", "latency_ms")
+
+
+@_query
+def agg16_throughput(spark, d):
+    return stats.throughput(model.measurements(spark, d), "query")
+
+
+@_query
+def agg19_histogram(spark, d):
+    return stats.histogram(model.measurements(spark, d), "system", "latency_ms", [1.0, 5.0, 10.0, 50.0])
+
+
+@_query
+def agg20_gauge(spark, d):
+    return stats.gauge(model.table(spark, d, "events"), "user_id", "value", "event_id")
+
+
+@_query
+def agg21_vote_tally(spark, d):
+    return ledger.tally(model.votes(spark, d))
+
+
+@_query
+def win1_autocorrelation(spark, d):
+    return stats.autocorrelation(model.table(spark, d, "events"), "event_type", "event_id", "value")
+
+
+@_query
+def win2_local_optima(spark, d):
+    return stats.local_optima(model.table(spark, d, "events"), "event_type", "event_id", "value")
+
+
+@_query
+def win3_chain_links(spark, d):
+    return ledger.chain_links(model.blocks(spark, d)).select("chain", "height", "hash", "link_ok")
+
+
+@_query
+def gr1_neighbours(spark, d):
+    e = model.edges(spark, d).where("rel in ('wasDerivedFrom', 'wasGeneratedBy')")
+    return graph.neighbours(e).select("node", "rel", F.size("neighbours").cast("long").alias("n"), F.element_at("neighbours", 1).alias("first"))
+
+
+@_query
+def gr3_ancestors(spark, d):
+    return graph.ancestors(model.derivations(spark, d), _graph(spark, d)[0])
+
+
+@_query
+def gr4_descendants(spark, d):
+    return graph.descendants(model.derivations(spark, d), _graph(spark, d)[0], 3)
+
+
+@_query
+def gr5_shortest_paths(spark, d):
+    ent, e = _graph(spark, d)
+    root = ids.uuid3(F.lit("part/0"))
+    found = graph.shortest_paths(e, ent.select(root.alias("start"), F.col("entity_id").alias("end")))
+    return found.select("end", F.array_join("path", ">").alias("path"), F.col("hops").cast("long").alias("hops"))
+
+
+@_query
+def gr6_simple_paths(spark, d):
+    ent, e = _graph(spark, d)
+    return graph.simple_paths(e, ent, 3).select("start", F.array_join("path", ">").alias("path"))
+
+
+@_query
+def gr8_components(spark, d):
+    e = model.edges(spark, d).where("rel = 'wasGeneratedBy'")
+    return graph.components(_graph(spark, d)[0], e)
+
+
+@_query
+def gr17_cycles(spark, d):
+    extra = spark.range(1).select(F.explode(F.array(F.struct(F.lit("1").alias("s"), F.lit("3").alias("t")), F.struct(F.lit("2").alias("s"), F.lit("2").alias("t")))).alias("x"))
+    node = lambda c: ids.uuid3(F.concat(F.lit("part/"), c))
+    e = model.derivations(spark, d).unionByName(extra.select(node(F.col("x.s")).alias("src"), node(F.col("x.t")).alias("dst")))
+    return graph.cycles(e).select(F.array_join("cycle", ">").alias("cycle"))
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return confidence.score(confidence.evidence(model.entities(spark, d), model.activities(spark, d), model.edges(spark, d)))
+
+
+@_query
+def cf2_entity_confidence(spark, d):
+    return _scores(spark, d).select(
+        "entity_id", F.round("confidence", 6).alias("confidence"), F.array_join("missing", ",").alias("missing"), F.array_join("unknown", ",").alias("unknown")
+    )
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Best provenance path of every part, its confidence, and how many paths there are."""
+    paths = confidence.derive_paths(model.derivations(spark, d), _graph(spark, d)[0])
+    ranked = confidence.best_paths(paths, materialize(_scores(spark, d)))
+    count = ranked.groupBy("start").agg(F.count(F.lit(1)).alias("paths"))
+    return ranked.where("rank = 1").join(count, "start").select("start", F.array_join("path", ">").alias("path"), F.round("confidence", 6).alias("confidence"), "paths")
+
+
+_QUERIES["cf4_best_paths"] = flagship
+
+
+@_query
+def val12_summary(spark, d):
+    return quality.summary(quality.validate_all(model.entities(spark, d), model.activities(spark, d), model.agents(spark, d)))
+
+
+@_query
+def val1_entities(spark, d):
+    return quality.validate(model.entities(spark, d), "entity")
+
+
+@_query
+def val2_activities(spark, d):
+    return quality.validate(model.activities(spark, d), "activity")
+
+
+@_query
+def val6_derivations(spark, d):
+    return quality.check_derivations(model.edges(spark, d), model.entities(spark, d)).where("fault is null").select("src", "dst")
+
+
+@_query
+def val13_orphans(spark, d):
+    key = ids.uuid3(F.concat(F.lit("part/"), (F.col("l_partkey") + 1000000).cast("string")))
+    lost = model.table(spark, d, "lineitem").where("l_orderkey % 997 = 0").select(
+        ids.uuid3(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string"))).alias("src"), F.lit("used").alias("rel"), key.alias("dst")
+    ).distinct()
+    return quality.orphans(model.entities(spark, d), model.activities(spark, d), model.agents(spark, d), model.edges(spark, d).unionByName(lost))
+
+
+@_query
+def val14_gaps(spark, d):
+    return quality.gaps(model.entities(spark, d), model.activities(spark, d), model.agents(spark, d))
+
+
+@_query
+def val16_complete_chains(spark, d):
+    return quality.complete_chains(model.edges(spark, d), model.entities(spark, d))
+
+
+def _decisions(spark: SparkSession, d: str) -> DataFrame:
+    return access.decide(model.requests(spark, d), model.policies(spark, d))
+
+
+@_query
+def acl2_decisions(spark, d):
+    return _decisions(spark, d).select("request_id", "requestor_id", "resource_id", "requested_action", "success", "reason", "reason_strict")
+
+
+@_query
+def acl5_row_filter(spark, d):
+    return access.with_permissions(model.table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", _decisions(spark, d), 8)
+
+
+@_query
+def acl6_batches(spark, d):
+    return access.authorise_batches(_decisions(spark, d).withColumn("batch", F.expr("request_id div 10")), "batch")
+
+
+@_query
+def acl12_audit(spark, d):
+    return access.audit(_decisions(spark, d)).drop("request_time")
+
+
+@_query
+def acl13_proofs(spark, d):
+    return access.proof(_decisions(spark, d))
+
+
+@_query
+def agg17_access_statistics(spark, d):
+    return access.access_statistics(_decisions(spark, d))
+
+
+@_query
+def tm1_as_of(spark, d):
+    return timetravel.as_of(model.datoms(spark, d), 5000)
+
+
+@_query
+def tm2_since(spark, d):
+    return timetravel.since(model.datoms(spark, d), 5000)
+
+
+@_query
+def tm5_current_many(spark, d):
+    return timetravel.as_of(model.datoms(spark, d), None, ("click", "view"))
+
+
+@_query
+def src2_wide(spark, d):
+    return timetravel.wide(timetravel.as_of(model.datoms(spark, d)), ["click", "error", "purchase", "signup", "view"])
+
+
+@_query
+def tm6_apply_changes(spark, d):
+    log = model.datoms(spark, d)
+    now = timetravel.as_of(log)
+    kind = F.col("e").cast("int") % 3
+    changes = now.select("e", "a", F.when(kind == 0, F.col("v")).when(kind == 1, F.lit("new")).alias("v"), F.when(kind == 2, "retract").otherwise("add").alias("op"))
+    return timetravel.apply_changes(log, changes, 1_000_000_000)
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    leaves = model.table(spark, d, "events").select("user_id", "event_id", F.concat_ws("|", F.col("event_id").cast("string"), "event_type").alias("text"))
+    return ledger.merkle_levels(leaves, "user_id", "event_id", "text")
+
+
+@_query
+def mk1_merkle_roots(spark, d):
+    return ledger.merkle_roots(_levels(spark, d))
+
+
+@_query
+def mk3_verified_proofs(spark, d):
+    levels = _levels(spark, d)
+    proofs = ledger.merkle_proofs(levels).join(ledger.merkle_roots(levels).select("tree_id", "root"), "tree_id")
+    return proofs.select("tree_id", "idx", "leaf", (32 * F.size("path")).cast("long").alias("proof_bytes"), ledger.verify(F.col("leaf"), F.col("path"), F.col("root")).alias("ok"))
+
+
+def _recall_rows(spark: SparkSession, d: str) -> DataFrame:
+    t = lambda n: model.table(spark, d, n)
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = rows.join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(
+        F.concat(F.lit("F-"), F.col("p_partkey").cast("string")).alias("recall_number"), F.col("o_orderkey").cast("string").alias("event_id"),
+        F.col("s_name").alias("recalling_firm"), F.col("p_name").alias("product_description"), F.lit(" ").alias("city"), F.lit(None).cast("string").alias("state"),
+        F.col("n_name").alias("country"), day.alias("recall_initiation_date"), day.alias("report_date"), F.lit("20240230").alias("termination_date"),
+    )
+
+
+@_query
+def fd2_recalls(spark, d):
+    return recalls.normalise(_recall_rows(spark, d)).select(
+        "recall_number", "recalling_firm", "entity_id", "activity_id", "agent_id", "location", _stamp("started_at"), F.col("ended_at").isNull().alias("open")
+    )
+
+
+@_query
+def fd3_recall_counts(spark, d):
+    return recalls.recall_counts(recalls.normalise(_recall_rows(spark, d)))
+
+
+@_query
+def snk2_ntriples_round_trip(spark, d):
+    null = F.lit(None).cast("string")
+    e = model.entities(spark, d)
+    triples = e.select(F.concat(F.lit("urn:"), "entity_id").alias("s"), F.lit("urn:name").alias("p"), F.col("product_name").alias("o"), F.lit("literal").alias("o_kind"), null.alias("datatype"), F.lit("en").alias("lang"))
+    return rdf.parse_ntriples(rdf.to_ntriples(triples)).select("s", "p", "o", "o_kind", "lang")
+
+
+@_query
+def str2_limiter(spark, d):
+    log = model.table(spark, d, "events").select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), "ts", F.col("event_id").alias("id"))
+    return streams.limit_requests(log, 2, 86400.0).select("key", "id", "allowed", "remaining")
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for k, v in SQL.items() if k in _QUERIES}
