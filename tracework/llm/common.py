@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows of whole texts that one call of a Python function gets.
-TEXT_ROWS = 1000
+TEXT_ROWS = 500
 
 
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], list]]) -> DataFrame:

@@ -19,7 +19,8 @@ import re
 import numpy as np
 
 SPACE = "▁"
-_CACHE = 300_000
+#: Words and pairs of pieces that a process remembers.
+_CACHE, _PAIRS = 200_000, 500_000
 
 
 class Vocabulary:
@@ -64,7 +65,10 @@ class Vocabulary:
         self.marks = "".join(m for m in ".,;:!?" if not any(x[1] == m and x[0].isalpha() for x in inside))
         ends = "".join(map(re.escape, self.hard + self.marks)) + SPACE
         self.words = re.compile(rf"{SPACE}*[^\W\d_]+(?=[{ends}]|$)|\n+|{SPACE}*[^{SPACE}{self.hard}]+|{SPACE}+" if self.hard else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self._pair: dict[tuple[str, str], bool] = {}
+        if not {c for p in self.id for c in p} <= self.id.keys() or len(self.raw) > 1 << 20:
+            raise ValueError("a character occurs in pieces only, or there are too many pieces")
+        self._piece = [r.decode("utf-8", "replace") for r in self.raw]
+        self._pair: dict[int, bool] = {}  # by the two ids; 0 stands for a start or a character that is no piece
         self._word: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -78,12 +82,21 @@ class Vocabulary:
         return parts
 
     def compatible(self, a: str, b: str) -> bool:
-        """Whether a then b is the encoding of the two together; a may be empty for a start."""
-        found = self._pair.get((a, b))
+        """Whether a then b is the encoding of the two together; a may be empty for a start.
+
+        No piece goes over a character that is none itself, so such a one fits with any.
+        """
+        return b not in self.id or self.fits(self.id.get(a, 0), self.id[b])
+
+    def fits(self, a: int, b: int) -> bool:
+        """The same for ids of pieces; 0 for a start."""
+        key = a << 20 | b
+        found = self._pair.get(key)
         if found is None:
-            if len(self._pair) > 4 * _CACHE:
+            if len(self._pair) > _PAIRS:
                 self._pair.clear()
-            found = self._pair[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            one, two = (self._piece[a] if a else ""), self._piece[b]
+            found = self._pair[key] = self.merged(one + two) == ([one, two] if a else [two])
         return found
 
     def forward(self, text: str, start: int, stop: int, before: str) -> dict[int, int]:
@@ -117,29 +130,32 @@ class Vocabulary:
         known, tail, pair = self.id, self.tail, self._pair
         extra: dict[str, bytes] = {}
         cache = extra if len(self._word) > _CACHE else self._word
-        short, last_word, names = (3, 2, 1), "", [""]  # names[k]: last piece of the first k characters
+        # names[k] and sizes[k]: last piece of the first k characters, and its length; 0 for a character that is none
+        short, last_word, names, sizes = (3, 2, 1), "", [0], [0]
         for text in sorted(words):
             shared, most = 0, min(len(text), len(last_word))
             while shared < most and text[shared] == last_word[shared]:
                 shared += 1
-            del names[shared + 1 :]
+            del names[shared + 1 :], sizes[shared + 1 :]
             for end in range(shared + 1, len(text) + 1):
                 for size in tail.get(text[end - 4 : end], short) if end > 3 else short:
-                    piece = text[end - size : end] if size <= end else ""
-                    if piece in known or size == 1:
+                    piece = known.get(text[end - size : end]) if size <= end else None
+                    if piece is not None:
                         before = names[end - size]
-                        fits = pair.get((before, piece))
-                        if fits or (fits is None and self.compatible(before, piece)):
+                        ok = pair.get(before << 20 | piece)
+                        if ok or (ok is None and self.fits(before, piece)):
                             names.append(piece)
+                            sizes.append(size)
                             break
+                else:
+                    names.append(0)
+                    sizes.append(1)
             last_word = text
-            spans, end = [], len(text)
+            ids, end = [], len(text)
             while end:
-                spans.append(names[end])
-                end -= len(names[end])
-            ids = [known.get(p) for p in reversed(spans)]
-            if None in ids:
-                ids = [i for p in reversed(spans) for i in self.ids(p, [(0, len(p))])]
+                ids += [names[end]] if names[end] else [self.byte[b] for b in reversed(text[end - 1].encode())]
+                end -= sizes[end]
+            ids.reverse()
             cache[text] = np.array(ids, np.int32).tobytes()
         return extra
 
@@ -198,10 +214,9 @@ class Vocabulary:
         """
         entries = self.states(text, lo) if lo else [(0, 0)]
         exits = self.states(text, hi) if hi < len(text) else [x for x in self.states(text, hi) if x[1] == 0]
-        cuts = [k for k in self._cuts(text, lo, hi)]
+        first, final = self._first(text, max(lo, 1), hi), self._final(text, max(lo, 1), hi)
         out = []
-        if cuts:
-            first, final = cuts[0], cuts[-1]
+        if first is not None:
             heads = [e for e in entries if self._reaches(text, lo, e, first)]
             last = self.forward(text, final, hi, "")
             tails = [x for x in exits if self._ends(text, hi, x, last, final, "")]
@@ -225,20 +240,24 @@ class Vocabulary:
         if s < start:
             return []  # the entry piece is the exit piece
         out: list[int] = []
-        cuts = [k for k in self._cuts(text, lo, hi) if start <= k]
+        first, final = self._first(text, max(start, 1), hi), self._final(text, max(start, 1), hi)
         before = text[lo - e[0] : start]
-        if cuts:
-            if cuts[0] > start:
-                out += self.ids(text, back(self.forward(text, start, cuts[0], before), cuts[0], start))
-            for a, b in zip(cuts, cuts[1:]):
-                out += self.word(text[a:b])
-            start, before = cuts[-1], ""
+        if first is not None:
+            if first > start:
+                out += self.ids(text, back(self.forward(text, start, first, before), first, start))
+            out += self.encode(text[first:final]).tolist()
+            start, before = final, ""
         if s > start:
             out += self.ids(text, back(self.forward(text, start, s, before), s, start))
         return out + self.ids(text, [(s, end)])
 
-    def _cuts(self, text: str, lo: int, hi: int) -> list[int]:
-        return [k for k in range(max(lo, 1), hi) if self.safe(text, k)]
+    def _first(self, text: str, lo: int, hi: int) -> int | None:
+        """The first safe place of a chunk."""
+        return next((k for k in range(lo, hi) if self.safe(text, k)), None)
+
+    def _final(self, text: str, lo: int, hi: int) -> int | None:
+        """The last one."""
+        return next((k for k in range(hi - 1, lo - 1, -1) if self.safe(text, k)), None)
 
     def _reaches(self, text: str, lo: int, entry: tuple[int, int], to: int) -> bool:
         start = lo + entry[1]
