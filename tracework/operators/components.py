@@ -15,16 +15,15 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_r
     node of an edge that joins two different ids (others are alone, and absent).
     Null ends are ignored. Each round is two group-by minima and two joins; the
     minima are written first, so the joins are plain and a hub key can be split
-    by adaptive execution. Raises if ``max_rounds`` do not suffice.
+    by adaptive execution. Rounds end once only stars are left. Raises if ``max_rounds`` do not suffice.
     """
     e = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
         .distinct()
     )
-    state = _state(e)
     for _ in range(max_rounds):
-        if state[0] == 0:
+        if _settled(e):
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
@@ -39,10 +38,6 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_r
             .where("u != v")
             .distinct()
         )
-        now = _state(e)
-        if now == state:
-            break
-        state = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
@@ -50,6 +45,10 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_r
     )
 
 
-def _state(e: DataFrame) -> tuple:
-    row = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.hash("u", "v"))).first()
-    return row[0], row[1], row[2]
+def _settled(e: DataFrame) -> bool:
+    """Whether the edges are stars: each node has one smaller neighbour or larger ones, not both."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        e.select("v", F.lit(0).alias("up"), F.lit(1).alias("down")).toDF("node", "up", "down")
+    )
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up + down > 1").agg(F.count(F.lit(1))).first()[0] == 0
