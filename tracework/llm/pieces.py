@@ -69,17 +69,51 @@ class Vocabulary:
             raise ValueError("a character occurs in pieces only, or there are too many pieces")
         self._piece = [r.decode("utf-8", "replace") for r in self.raw]
         self._pair: dict[int, bool] = {}  # by the two ids; 0 stands for a start or a character that is no piece
+        self._merges: dict[int, tuple] = {}  # one entry a piece at most
         self._word: dict[str, bytes] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """Pieces by merging the best pair again and again; for the few characters of two pieces."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda k: (self.score.get(parts[k] + parts[k + 1], -np.inf), -k))
-            if parts[best] + parts[best + 1] not in self.score:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
+    def merges(self, i: int) -> tuple[list[tuple[float, str, str]], bool]:
+        """The steps that make a piece of its characters, best pair first, and whether they end in one piece.
+
+        Each step is the score of its merge and the first and the last part before it.
+        """
+        found = self._merges.get(i)
+        if found is None:
+            parts, steps = list(self._piece[i]), []
+            while len(parts) > 1:
+                scores = [self.score.get(a + b, -np.inf) for a, b in zip(parts, parts[1:])]
+                best = max(scores)
+                if best == -np.inf:
+                    break
+                steps.append((best, parts[0], parts[-1]))
+                k = scores.index(best)
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            one = len(parts) == 1
+            steps.append((-np.inf, parts[0], parts[-1]))
+            found = self._merges[i] = steps, one
+        return found
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether merging the characters of two pieces never joins a part of one to a part of the other.
+
+        Until that happens both go through their own steps, the better of the next two first.
+        """
+        (left, whole), (right, whole_too) = self.merges(a), self.merges(b)
+        if not (whole and whole_too):
+            return False
+        i = j = 0
+        score = self.score
+        while True:
+            (x, _, end), (y, start, _) = left[i], right[j]
+            cross = score.get(end + start)
+            if cross is not None and cross > x and cross >= y:  # of equal scores the leftmost pair goes first
+                return False
+            if x == y == -np.inf:
+                return True
+            if x >= y:
+                i += 1
+            else:
+                j += 1
 
     def compatible(self, a: str, b: str) -> bool:
         """Whether a then b is the encoding of the two together; a may be empty for a start.
@@ -95,8 +129,7 @@ class Vocabulary:
         if found is None:
             if len(self._pair) > _PAIRS:
                 self._pair.clear()
-            one, two = (self._piece[a] if a else ""), self._piece[b]
-            found = self._pair[key] = self.merged(one + two) == ([one, two] if a else [two])
+            found = self._pair[key] = self._apart(a, b) if a else self.merges(b)[1]
         return found
 
     def forward(self, text: str, start: int, stop: int, before: str) -> dict[int, int]:
