@@ -15,12 +15,21 @@ lies between two of them can be encoded by itself.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from tracework.llm.intmap import IntMap
 
 SPACE = "▁"
-#: Words and pairs of pieces that a process remembers.
-_CACHE, _PAIRS = 200_000, 500_000
+#: Words (of each of two generations) and pairs of pieces that a process remembers.
+_CACHE, _PAIRS = 120_000, 400_000
+#: Words up to ``_WIDE`` characters are encoded side by side, some ``_BLOCK`` characters at a time.
+_WIDE, _BLOCK = 64, 100_000
+#: Characters, or ids, of whole texts that are worked on at a time (one text may have more).
+_AT_ONCE = 1_000_000
 
 
 class Vocabulary:
@@ -70,7 +79,31 @@ class Vocabulary:
         self._piece = [r.decode("utf-8", "replace") for r in self.raw]
         self._pair: dict[int, bool] = {}  # by the two ids; 0 stands for a start or a character that is no piece
         self._merges: dict[int, tuple] = {}  # one entry a piece at most
-        self._word: dict[str, bytes] = {}
+        self._word: dict[str, bytes] = {}  # words met lately
+        self._older: dict[str, bytes] = {}  # those met before them
+        self._known: IntMap | None = None
+
+    def _tables(self) -> None:
+        """Arrays for encoding words side by side: classes of characters, a trie of the pieces, known pairs."""
+        chars = sorted({c for p in self.id for c in p})
+        self._class = np.zeros(0x110000, np.int32)  # 0: a character that is no piece
+        self._class[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self._size = np.ones(len(self.raw), np.int64)
+        number = {c: i for i, c in enumerate(chars, 1)}
+        steps: dict[int, int] = {}
+        piece_at = [0]
+        for p, i in self.id.items():
+            node = 0
+            for c in p:
+                key = node << 20 | number[c]
+                node = steps.get(key) or steps.setdefault(key, len(piece_at))
+                if node == len(piece_at):
+                    piece_at.append(0)
+            piece_at[node] = i
+            self._size[i] = len(p)
+        self._step, self._piece_at = IntMap(len(steps)), np.array(piece_at, np.int32)
+        self._step.put(np.array(list(steps), np.int64), np.array(list(steps.values()), np.int32))
+        self._known = IntMap(_PAIRS)  # pair of ids -> 1 if they do not fit, 2 if they do
 
     def merges(self, i: int) -> tuple[list[tuple[float, str, str]], bool]:
         """The steps that make a piece of its characters, best pair first, and whether they end in one piece.
@@ -129,9 +162,12 @@ class Vocabulary:
         if found is None:
             if len(self._pair) > _PAIRS:
                 self._pair.clear()
-            found = self._pair[key] = self._apart(a, b) if a else self.merges(b)[1]
+            found = self._pair[key] = self._judge(a, b)
         return found
 
+    def _judge(self, a: int, b: int) -> bool:
+        return self._apart(a, b) if a else self.merges(b)[1]
+
     def forward(self, text: str, start: int, stop: int, before: str) -> dict[int, int]:
         """Survivors ``end -> start`` of the last piece, for ends up to ``stop``, after the piece ``before``."""
         last: dict[int, int] = {}
@@ -149,58 +185,146 @@ class Vocabulary:
 
     def word(self, text: str) -> list[int]:
         """Ids of a text between safe places."""
-        found = self._word.get(text)
-        if found is None:
-            extra = self.learn([text])
-            found = extra[text] if extra else self._word[text]
-        return np.frombuffer(found, np.int32).tolist()
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Encode new words, in order, so that a word goes on from the prefix it shares with the last.
-
-        They go to the cache; if it is full, they are returned instead.
+        return self.encode_all([text])[0].tolist()
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new words and remember them."""
+        if self._known is None:
+            self._tables()
+        wide, narrow, size = [], [], 0
+        for text in words:
+            if len(text) > _WIDE:
+                narrow.append(text)
+                continue
+            wide.append(text)
+            size += len(text)
+            if size > _BLOCK:
+                narrow += self._side_by_side(wide)
+                wide, size = [], 0
+        narrow += self._side_by_side(wide)
+        for text in narrow:
+            self._word[text] = self._one(text)
+
+    def _side_by_side(self, words: list[str]) -> list[str]:
+        """Encode words together, one position of all of them after another.
+
+        Returns those with a character that is no piece, which are not encoded.
         """
+        if not words:
+            return []
+        words = sorted(words, key=len, reverse=True)  # those that reach a position come first
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        chars = self._class[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        starts = np.cumsum(lengths) - lengths
+        matches = self._matches(chars, np.repeat(starts + lengths, lengths))
+        last = np.zeros(len(chars), np.int64)  # last piece of a word's characters up to a position
+        reach = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")  # words longer than k
+        for k in range(lengths[0]):
+            open_ = starts[: reach[k]] + k
+            for size in range(min(k + 1, self.longest), 0, -1):
+                piece = matches[size - 1][open_]
+                some = np.flatnonzero(piece)
+                if not len(some):
+                    continue
+                ends, piece = open_[some], piece[some].astype(np.int64)
+                before = last[ends - size] if size <= k else np.zeros(len(ends), np.int64)
+                fit = self._fit(before << 20 | piece)
+                last[ends[fit]] = piece[fit]
+                if len(some) == len(open_) and fit.all():
+                    break
+                left = np.ones(len(open_), bool)
+                left[some[fit]] = False
+                open_ = open_[left]
+        final = np.zeros(len(chars), bool)  # where the pieces on the paths end
+        at, start = starts + lengths - 1, starts
+        while len(at):
+            final[at] = True
+            at = at - self._size[last[at]]
+            more = at >= start
+            at, start = at[more], start[more]
+        counts = np.add.reduceat(final.astype(np.int64), starts)
+        odd = np.add.reduceat((chars == 0).astype(np.int64), starts) > 0
+        data = last[final].astype(np.int32).tobytes()
+        stops = (4 * np.cumsum(counts)).tolist()
+        left, begin = [], 0
+        for text, stop, skip in zip(words, stops, odd.tolist()):
+            if skip:
+                left.append(text)
+            else:
+                self._word[text] = data[begin:stop]
+            begin = stop
+        return left
+
+    def _matches(self, chars: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """``[n - 1, k]``: the piece of the ``n`` characters up to and including ``k``, or 0."""
+        out = np.zeros((self.longest, len(chars)), np.int32)
+        at, node = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        for size in range(self.longest):
+            node = self._step.get(node << 20 | chars[at]).astype(np.int64)
+            more = np.flatnonzero(node)
+            at, node = at[more], node[more]
+            out[size, at] = self._piece_at[node]
+            more = np.flatnonzero(at + 1 < stops[at])
+            at, node = at[more] + 1, node[more]
+        return out
+
+    def _fit(self, keys: np.ndarray) -> np.ndarray:
+        """``fits`` for many pairs of ids."""
+        found = self._known.get(keys)
+        unknown = found == 0
+        if unknown.any():
+            new = np.unique(keys[unknown])
+            if len(self._known) + len(new) > _PAIRS:
+                self._known = IntMap(max(_PAIRS, len(new)))
+            self._known.put(new, np.array([1 + self._judge(k >> 20, k & 0xFFFFF) for k in new.tolist()], np.int32))
+            found[unknown] = self._known.get(keys[unknown])
+        return found == 2
+
+    def _one(self, text: str) -> bytes:
+        """Encode one word by itself."""
         known, tail, pair = self.id, self.tail, self._pair
-        extra: dict[str, bytes] = {}
-        cache = extra if len(self._word) > _CACHE else self._word
         # names[k] and sizes[k]: last piece of the first k characters, and its length; 0 for a character that is none
-        short, last_word, names, sizes = (3, 2, 1), "", [0], [0]
-        for text in sorted(words):
-            shared, most = 0, min(len(text), len(last_word))
-            while shared < most and text[shared] == last_word[shared]:
-                shared += 1
-            del names[shared + 1 :], sizes[shared + 1 :]
-            for end in range(shared + 1, len(text) + 1):
-                for size in tail.get(text[end - 4 : end], short) if end > 3 else short:
-                    piece = known.get(text[end - size : end]) if size <= end else None
-                    if piece is not None:
-                        before = names[end - size]
-                        ok = pair.get(before << 20 | piece)
-                        if ok or (ok is None and self.fits(before, piece)):
-                            names.append(piece)
-                            sizes.append(size)
-                            break
-                else:
-                    names.append(0)
-                    sizes.append(1)
-            last_word = text
-            ids, end = [], len(text)
-            while end:
-                ids += [names[end]] if names[end] else [self.byte[b] for b in reversed(text[end - 1].encode())]
-                end -= sizes[end]
-            ids.reverse()
-            cache[text] = np.array(ids, np.int32).tobytes()
-        return extra
-
-    def encode_all(self, normals: list[str]) -> list[np.ndarray]:
+        short, names, sizes = (3, 2, 1), [0], [0]
+        for end in range(1, len(text) + 1):
+            for size in tail.get(text[end - 4 : end], short) if end > 3 else short:
+                piece = known.get(text[end - size : end]) if size <= end else None
+                if piece is not None:
+                    before = names[end - size]
+                    ok = pair.get(before << 20 | piece)
+                    if ok or (ok is None and self.fits(before, piece)):
+                        names.append(piece)
+                        sizes.append(size)
+                        break
+            else:
+                names.append(0)
+                sizes.append(1)
+        ids, end = [], len(text)
+        while end:
+            ids += [names[end]] if names[end] else [self.byte[b] for b in reversed(text[end - 1].encode())]
+            end -= sizes[end]
+        ids.reverse()
+        return np.array(ids, np.int32).tobytes()
+
+    def encode_all(self, normals: Iterable[str]) -> list[np.ndarray]:
         """Ids of whole normalised texts."""
+        out, group, size = [], [], 0
+        for text in normals:
+            group.append(text)
+            size += len(text)
+            if size > _AT_ONCE:
+                out += self._encode_group(group)
+                group, size = [], 0
+        return out + self._encode_group(group)
+
+    def _encode_group(self, normals: list[str]) -> list[np.ndarray]:
         split = [self.words.findall(n) for n in normals]
-        cache = self._word
+        if len(self._word) > _CACHE:  # what is not met again soon goes with the older words
+            self._word, self._older = {}, self._word
+        cache, older = self._word, self._older
         new = set().union(*split).difference(cache)
-        extra = self.learn(list(new)) if new else {}
-        if extra:  # the cache is full: what came first, and so is common, stays
-            extra.update((w, cache[w]) for w in set().union(*split) if w in cache)
-            cache = extra
+        kept = new.intersection(older)
+        cache.update((w, older[w]) for w in kept)
+        self.learn(list(new - kept))
         return [np.frombuffer(b"".join(map(cache.__getitem__, words)), np.int32) for words in split]
 
     def ids(self, text: str, spans: list[tuple[int, int]]) -> list[int]:
@@ -221,6 +345,28 @@ class Vocabulary:
         text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
+    def decode_all(self, ids: pa.ListArray) -> pa.Array:
+        """``decode`` for many rows; a null list, or one with a null id, gives null."""
+        start, stop = ids.offsets[0].as_py(), ids.offsets[-1].as_py()
+        pieces = pa.array(self.raw, pa.large_binary()).take(ids.values.slice(start, stop - start))
+        rows = pa.ListArray.from_arrays(pc.subtract(ids.offsets, start), pieces, mask=ids.is_null())
+        joined = pc.binary_join(rows, pa.scalar(b"", pa.large_binary()))
+        try:
+            text = joined.cast(pa.large_string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8 in some row
+            text = pa.array([None if r is None else r.decode("utf-8", "replace") for r in joined.to_pylist()], pa.large_string())
+        text = pc.replace_substring(text, SPACE, " ")
+        return pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text).cast(pa.string())
+
+    def decode_parts(self, ids: pa.ListArray) -> Iterator[tuple[int, pa.Array]]:
+        """``decode_all`` of neighbouring rows with a bounded number of ids together: (rows, texts)."""
+        offsets, start = ids.offsets.to_numpy(), 0
+        while start < len(ids):
+            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + _AT_ONCE, "right")) - 1)
+            stop = min(stop, len(ids))
+            yield stop - start, self.decode_all(ids.slice(start, stop - start))
+            start = stop
+
     def safe(self, text: str, at: int) -> bool:
         """Whether no piece covers both sides of this place."""
         a, b = text[at - 1], text[at]

@@ -10,10 +10,12 @@ and each chunk is traced back by itself.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +61,7 @@ def encode(
         def run(r: dict) -> list:
             return [
                 r["doc_id"],
-                v.encode_all([normalise(t) for t in r["text"]]),
+                v.encode_all(map(normalise, r["text"])),
                 [len(t) for t in r["text"]],
                 r["text_sha256"],
             ]
@@ -181,12 +183,13 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: s
     columns = [c for c in encoded.columns if c != out_col]
     schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in columns)
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(model.value)
-
-        def run(r: dict) -> list:
-            return [*(r[c] for c in columns), [None if i is None else v.decode(i) for i in r[ids_col]]]
-
-        return run
-
-    return map_rows(encoded.select(columns), f"{schema}, `{out_col}` string", make)
+        for batch in batches:
+            start = 0
+            for rows, text in v.decode_parts(batch.column(batch.schema.get_field_index(ids_col))):
+                part = batch.slice(start, rows)
+                start += rows
+                yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*part.schema.names, out_col])
+
+    return encoded.select(columns).mapInArrow(run, f"{schema}, `{out_col}` string")
