@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracework import catalogue_views
 from tracework.functions import ids
 from tracework.operators import access, confidence, graph, ledger, lineage, quality, stats, timetravel
 from tracework.operators.match import Query
@@ -399,8 +400,8 @@ def str2_limiter(spark, d):
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return {**_QUERIES, **catalogue_views.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {k: v for k, v in SQL.items() if k in _QUERIES}
+    return {k: v for k, v in {**SQL, **catalogue_views.SQL}.items() if k in queries()}

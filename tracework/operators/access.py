@@ -95,3 +95,41 @@ def proof(decisions: DataFrame) -> DataFrame:
         "request_id", digest.alias("request_hash"),
         F.sha2(F.concat_ws("|", digest, F.when(F.col("success"), "allow").otherwise("deny"), "reason"), 256).alias("proof_hash"),
     )
+
+
+#: The domains of policies and requests.
+VISIBILITIES, ACTIONS = ("public", "restricted", "private"), ("read", "write", "update", "delete", "admin")
+
+
+def by_attributes(requests: DataFrame, rules: dict) -> DataFrame:
+    """Attribute decisions: action, department and location must be equal, level at least as given; other rules pass."""
+    ok = F.lit(True)
+    for key, value in rules.items():
+        if key in ("action", "department", "location"):
+            ok = ok & F.coalesce(F.col("requested_action" if key == "action" else key) == value, F.lit(False))
+        elif key == "level":
+            ok = ok & F.coalesce(F.col("level") >= value, F.lit(False))
+    return requests.withColumns({"success": ok, "reason": F.when(ok, "attribute-authorized").otherwise("attribute-not-authorized")})
+
+
+def current_policies(log: DataFrame, order: str) -> DataFrame:
+    """The last entry of each resource in a log of policies with ``op`` put or remove; removed ones go."""
+    last = log.groupBy("resource_id").agg(F.max_by(F.struct(*(c for c in log.columns if c != "resource_id")), order).alias("p"))
+    return last.select("resource_id", "p.*").where("op != 'remove'").drop("op")
+
+
+def verify_proof(proofs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``request_id, valid``: whether both digests are those of the decision."""
+    again = proof(decisions).toDF("request_id", "r", "p")
+    same = (F.col("r") == F.col("request_hash")) & (F.col("p") == F.col("proof_hash"))
+    return proofs.join(again, "request_id", "left").select("request_id", F.coalesce(same, F.lit(False)).alias("valid"))
+
+
+def request_faults(requests: DataFrame) -> DataFrame:
+    """``request_id, faults``: what keeps a request from being well formed, in order."""
+    need = ("requestor_id", "resource_id", "requested_action", "request_time")
+    bad = F.array_compact(F.array(
+        *(F.when(F.col(c).isNull(), f"missing {c}") for c in need),
+        F.when(~F.col("requested_action").isin(*ACTIONS), "unknown action"),
+    ))
+    return requests.select("request_id", F.array_join(bad, "; ").alias("faults"))

@@ -93,3 +93,52 @@ def complete_chains(edges: DataFrame, entities: DataFrame, least: int = 3) -> Da
 def duplicates(rows: DataFrame, key: str) -> DataFrame:
     """Identities that more than one row carries."""
     return rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+#: Types of entities that must name their product.
+PRODUCT_TYPES = ("product/batch", "product/item")
+
+
+def check_links(links: DataFrame, sources: DataFrame, targets: DataFrame, source: str = "entity", target: str = "activity") -> DataFrame:
+    """``src, dst, fault``: the first fault of each link; null if none.
+
+    ``sources`` and ``targets`` give ids and kinds (``id, kind``) of all nodes that may stand there.
+    """
+    of = lambda df, key: df.groupBy(F.col("id").alias(key)).agg(F.collect_set("kind").alias(f"{key}_kinds"))
+    joined = links.join(of(sources, "src"), "src", "left").join(of(targets, "dst"), "dst", "left")
+    return joined.select(
+        "src", "dst",
+        F.when(F.col("src_kinds").isNull(), f"{source} not found").when(F.col("dst_kinds").isNull(), f"{target} not found")
+        .when(~F.array_contains("src_kinds", source), f"not of kind {source}").when(~F.array_contains("dst_kinds", target), f"not of kind {target}").alias("fault"),
+    )
+
+
+def entity_results(entities: DataFrame, activities: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, valid, errors`` of each entity: its attributes, product, batch, generation and derivations together."""
+    acts = activities.select(F.col("activity_id").alias("was_generated_by"), F.lit(True).alias("made")).distinct()
+    faults = check_derivations(edges, entities).where("fault is not null").groupBy(F.col("src").alias("entity_id"))
+    rows = entities.join(acts, "was_generated_by", "left").join(faults.agg(F.array_sort(F.collect_list("fault")).alias("faults")), "entity_id", "left")
+    own = F.array_compact(F.array(
+        *(F.when(F.col(c).isNull(), f"missing {c}") for c in REQUIRED["entity"]),
+        F.when(F.col("entity_type").isin(*PRODUCT_TYPES) & F.col("product_name").isNull(), "missing product_name"),
+        F.when(F.col("batch") == "", "empty batch"),
+        F.when(F.col("was_generated_by").isNotNull() & F.col("made").isNull(), "activity not found"),
+    ))
+    errors = F.concat(own, F.coalesce("faults", F.array().cast("array<string>")))
+    return rows.select(F.col("entity_id").alias("id"), (F.size(errors) == 0).alias("valid"), F.array_join(errors, "; ").alias("errors"))
+
+
+def consistency(orphaned: DataFrame, cycles: DataFrame, missing: DataFrame) -> DataFrame:
+    """One row: valid unless there are orphans; cycles and gaps are warnings."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    g = missing.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("gaps"))
+    return n(orphaned, "orphans").crossJoin(n(cycles, "cycles")).crossJoin(g).withColumn("valid", F.col("orphans") == 0)  # one row each
+
+
+def location_fault(location, kind):
+    """Fault of a place given as text or as JSON text (``kind``: null, text, map, other); null if none."""
+    return (
+        F.when((kind == "text") & (location == ""), "empty location")
+        .when((kind == "map") & (F.get_json_object(location, "$.lat").isNull() | F.get_json_object(location, "$.lng").isNull()), "location without lat and lng")
+        .when(kind == "other", "location is neither text nor map")
+    )

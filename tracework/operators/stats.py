@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracework.functions.ids import label_key
+
 
 def latency_summary(runs: DataFrame, *by: str) -> DataFrame:
     """Counts, mean and nearest-rank percentiles of the runs that went well, by group."""
@@ -74,3 +76,31 @@ def page(rows: DataFrame, order: list[str], number: int = 0, size: int = 10) ->
     """One page in a total order; sizes above 1000 count as 1000."""
     size = min(size, 1000)
     return rows.orderBy(*order).offset(number * size).limit(size)
+
+
+def rerun_summary(runs: DataFrame, *by: str) -> DataFrame:
+    """Summaries of single runs (as ``latency_summary`` gives them) put together by group."""
+    return runs.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("runs"), F.sum("ok_count").alias("total_ok_count"), F.sum("error_count").alias("total_error_count"),
+        F.round(F.avg("mean_ms"), 6).alias("mean_of_mean_ms"), F.round(F.median("p50_ms"), 6).alias("median_p50_ms"),
+        F.round(F.avg("p95_ms"), 6).alias("mean_p95_ms"), F.min("p95_ms").alias("min_p95_ms"), F.max("p95_ms").alias("max_p95_ms"),
+        F.round(F.median("p95_ms"), 6).alias("median_p95_ms"), F.round(F.avg("p99_ms"), 6).alias("mean_p99_ms"),
+        F.min("min_ms").alias("min_observed_ms"), F.max("max_ms").alias("max_observed_ms"),
+    )
+
+
+def scale_table(summaries: DataFrame, row: str, column: str, values: list) -> DataFrame:
+    """One row for each ``row``, p95 and mean of each of the given columns side by side."""
+    wide = summaries.groupBy(row).pivot(column, values).agg(F.first("p95_ms").alias("p95"), F.first("mean_ms").alias("mean"))
+    return wide.toDF(row, *(f"{m}_{v}" for v in values for m in ("p95", "mean")))
+
+
+def moments(rows: DataFrame, by: str, x: str) -> DataFrame:
+    return rows.groupBy(by).agg(
+        F.round(F.avg(x), 6).alias("mean"), F.round(F.var_pop(x), 6).alias("variance"), F.round(F.stddev_pop(x), 6).alias("deviation")
+    )
+
+
+def counters(log: DataFrame, labels: str, up: str) -> DataFrame:
+    """Value of each labelled counter: steps up less steps down."""
+    return log.groupBy(label_key(F.col(labels)).alias("labels")).agg(F.sum(F.when(F.col(up), 1).otherwise(-1)).alias("value"))
