@@ -66,6 +66,30 @@ def test_mix_equals_sequential_schedule(spark):
     assert mixing.mix(docs(spark, rows[:1]).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("weights", [queries.WEIGHTS, {"src0": 9.5, "src1": 0.0001}, {"src0": Fraction(1, 3), "src1": 0.3141592653589793}])
+def test_schedule_keeps_to_the_given_weights(weights):
+    given = {f"src{k}": Fraction(str(weights.get(f"src{k}", 1))) for k in range(20)}
+    parts = mixing.whole_parts(given)
+    order = list(itertools.islice(mixing.replay(parts, dict.fromkeys(parts, 0)), 8000))
+    assert mixing.lag(given, order) < 1
+    for slot in [*range(0, 60), 1999, 5001, 7999]:
+        assert mixing.state(parts, slot) == {s: order[:slot].count(s) for s in parts}
+    assert sum(mixing.whole_parts({f"src{k}": queries.WEIGHTS.get(f"src{k}", 1) for k in range(20)}).values()) == 57
+
+
+def test_mix_of_a_long_period_in_tasks(spark, monkeypatch):
+    rows = [(i, "t", f"s{i % 5 if i % 2 else 0}") for i in range(6000)]
+    weights = {"s0": 5.123456789, "s1": 0.01, "s2": 1.7}
+    here = {(r.doc_id, r.mix_slot, r.mix_place) for r in mixing.mix(docs(spark, rows), weights).collect()}
+    monkeypatch.setattr(mixing, "DRIVER_SLOTS", 0)
+    monkeypatch.setattr(mixing, "STRETCH", 50)
+    assert {(r.doc_id, r.mix_slot, r.mix_place) for r in mixing.mix(docs(spark, rows), weights).collect()} == here
+    by_slot = {slot: f"s{i % 5 if i % 2 else 0}" for i, slot, _ in here}
+    order = [by_slot[k] for k in range(len(by_slot))]
+    first = mixing.phases(mixing.whole_parts({f"s{k}": weights.get(f"s{k}", 1) for k in range(5)}), {s: order.count(s) for s in set(order)})[0][3]
+    assert mixing.lag({f"s{k}": Fraction(str(weights.get(f"s{k}", 1))) for k in range(5)}, order[:first]) < 1
+
+
 # quality
 
 
