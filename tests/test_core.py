@@ -47,6 +47,14 @@ def test_cycles_end_and_are_listed_once(spark):
     assert {x.node for x in got} == {"a", "b", "c", "d"}
 
 
+def test_simple_paths_have_no_bound_but_the_depth(spark):
+    n = 101
+    layers = spark.range(2).crossJoin(spark.range(n).select(F.col("id").alias("a"))).crossJoin(spark.range(n).select(F.col("id").alias("b")))
+    e = layers.select(F.concat_ws("/", "id", "a").alias("src"), F.concat_ws("/", F.col("id") + 1, "b").alias("dst"))
+    found = graph.simple_paths(e, spark.range(n).select(F.concat(F.lit("0/"), "id").alias("n")), 2)
+    assert found.count() == n * n + n * n * n
+
+
 def test_components_with_isolated_hub_and_empty(spark):
     n = spark.createDataFrame([("e1",), ("e2",), ("e3",)], "n string")
     got = graph.components(n, edges(spark, ("e2", "e1"))).collect()
