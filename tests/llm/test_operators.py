@@ -232,6 +232,37 @@ def test_base_spans_and_additions(spark):
     assert pii.find_pii(odd.where("false")).count() == 0
 
 
+def test_loose_kinds_are_labelled_by_their_own_checks():
+    def labels(text):
+        return [y for _, y in pii.examples(text)]
+
+    for text in ("IBAN DE89370400440532013000 ok", "pay to GB82 WEST 1234 5698 7654 32 now", "write to jane.roe at example dot com today", "jane [at] example [dot] ORG", "call (774) 555-2163 now", "call 774-555-2163 now"):
+        assert set(labels(text)) == {1.0}, text
+    for text in ("IBAN DE88370400440532013000 ok", "look at the dot matrix", "on 2024-01-02 10:30 it", "about 1.234.567.890 of them", "whatever dot com"):
+        assert 1.0 not in labels(text) and labels(text), text
+    assert labels("mail a.b@example.com") == [1.0, 1.0] and labels("phone +1 (774) 555-2163") == [1.0, 1.0]
+    assert [k for _, k, _ in pii.proposals("jane at example Dot com")] == ["email_written"]
+
+
+def test_threshold_looks_past_a_dip():
+    p, y = np.array([0.99, 0.98, *np.linspace(0.9, 0.6, 98), 0.1]), np.array([1, 0, *[1] * 98, 0])
+    assert pii.lowest_threshold(p, y) == 0.1 and pii.lowest_threshold(p[1:3], np.zeros(2)) == 1.1
+
+
+def test_loose_kinds_are_found(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(600):
+        n = "".join(map(str, rng.integers(10, size=20)))
+        mail, phone = f"user{n[:3]} at host{n[3:5]} dot com", f"({n[:3]}) {n[3:6]}-{n[6:10]}"
+        account = "DE" + next(f"{k:02}" for k in range(100) if pii.iban(f"DE{k:02}{n[:18]}")) + n[:18]
+        words_ = words(rng, 20)
+        rows.append((i, f"{words_} {(mail, phone, account, 'look at the dot matrix', n[:6], 'XY12' + n[:16])[i % 6]} and {words_} +1 {n[:3]} 555-{n[3:7]}", None))
+    found = pii.find_pii(docs(spark, rows).select("doc_id", "text")).collect()
+    added = {k: sum(any(not s.base and s.kind == kind for s in r.spans) for r in found if r.doc_id % 6 == k) for k, kind in enumerate(("email_written", "number", "account", "email_written", "number", "account"))}
+    assert min(added[k] for k in (0, 1, 2)) >= 90 and max(added[k] for k in (3, 4, 5)) <= 10, added
+
+
 def test_boosted_trees_learn_an_interaction():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2000, 4))

@@ -7,9 +7,10 @@ their format and context; a threshold on the calibrated probability selects
 those added. Base spans always stay.
 
 The trees learn from a bounded, deterministic sample of the documents, without
-labels of persons: rule matches that pass their checks (and assignments of
-secrets) are the positive examples; rule matches that fail them, and ordinary
-words and numbers that the loose patterns propose, are the negative ones.
+labels of persons: matches of rules and of loose patterns that pass the checks of
+their kind are the positive examples, those that fail them the negative ones;
+what a check leaves open is not an example. The mail addresses and phone numbers
+of the base rules, written out and without their plus sign, are positive too.
 """
 
 from __future__ import annotations
@@ -39,10 +40,15 @@ BASE = {
 LOOSE = {
     "email_written": re.compile(r"\b[\w.+-]{2,40} ?[\[(]? ?at ?[\])]? ?[\w-]{2,40} ?[\[(]? ?dot ?[\])]? ?[a-z]{2,10}\b", re.I),
     "number": re.compile(r"(?<![\w.+])[0-9(](?:[ ().-]{0,2}[0-9]){5,24}(?![\w])"),
-    "account": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}\b"),
+    "account": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     "secret": re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\b)[\x20]*[=:][\x20]*[\"']?([^\s\"']{6,80})|\b([A-Za-z0-9_+/-]{16,80})\b"),
 }
 KINDS = (*BASE, *LOOSE)
+#: A written-out address by its marks, host and last label; last labels beside those of two letters; words that are neither; dates.
+_WRITTEN = re.compile(r"[\w.+-]{2,40}(?P<at> ?[\[(] ?at ?[\])] ?| at )(?P<host>[\w-]{2,40})(?P<dot> ?[\[(] ?dot ?[\])] ?| dot )(?P<last>[a-z]{2,10})", re.I)
+_LAST = frozenset("com org net edu gov mil int info biz name pro dev app online site cloud email mail museum".split())
+_WORDS = frozenset("am an as at be by do go he hi if in is it me my no of on or so the to up us we a all any each every his her its my our that their this your".split())
+_DATE = re.compile(r"(?<!\d)(?:(?:19|20)\d\d[-./ ]\d{1,2}[-./ ]\d{1,2}|\d{1,2}[-./ ]\d{1,2}[-./ ](?:19|20)\d\d)(?!\d)")
 _HINTS = ("call", "tel", "phone", "mail", "card", "account", "iban", "password", "pwd", "secret", "token", "key", "ssn", "id", "=", ":")
 
 
@@ -68,6 +74,35 @@ def _passes(kind: str, span: str) -> bool:
     return True
 
 
+def iban(span: str) -> bool:
+    """Whether the check digits of an account number are right (mod 97)."""
+    s = re.sub("[ ]", "", span)
+    return 15 <= len(s) <= 34 and s.isascii() and s.isalnum() and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def written_mail(span: str) -> bool:
+    """Whether words with 'at' and 'dot' are a mail address: marks set apart, a host, a domain-like end."""
+    m = _WRITTEN.fullmatch(span)
+    if m is None:
+        return False
+    last = m["last"].lower()
+    if "[" in m["at"] + m["dot"] or "(" in m["at"] + m["dot"]:
+        return last in _LAST or len(last) == 2
+    return m["host"].lower() not in _WORDS and (last in _LAST or len(last) == 2 and last not in _WORDS)
+
+
+def grouped_phone(span: str) -> bool | None:
+    """Whether a number without plus has the groups and the digit count of a phone; None for digits in one run."""
+    groups = re.findall("[0-9]+", span)
+    if not 9 <= sum(map(len, groups)) <= 15 or _DATE.search(span):
+        return False
+    if len(groups) == 1:
+        return None
+    if re.fullmatch(r"[0-9]{1,3}(\.[0-9]{3})+", span) or span.count("(") != span.count(")"):
+        return False
+    return len(groups) <= 6 and all(2 <= len(g) <= 5 for g in groups[1:]) and len(groups[0]) <= 5 and len(groups[-1]) >= 2
+
+
 def base_spans(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """Spans ``(start, kind, end)`` of the rules that pass and that fail their checks."""
     good, bad = [], []
@@ -85,13 +120,15 @@ def proposals(text: str) -> list[tuple[int, str, int]]:
     for kind, pattern in LOOSE.items():
         if kind == "number" and not re.search("[0-9]", text):
             continue
-        if kind == "email_written" and "dot" not in text and "DOT" not in text:
+        if kind == "email_written" and "dot" not in text.lower():
             continue
         if kind == "account" and not re.search("[A-Z]{2}[0-9]{2}", text):
             continue
         for m in pattern.finditer(text):
             group = next((g for g in range(1, (m.lastindex or 0) + 1) if m.group(g) is not None), 0)
             out.append((m.start(group), kind, m.end(group)))
+            if kind == "account":  # words after it may look like its last groups
+                out += [(m.start(), kind, m.start() + k.start()) for k in re.finditer(" ", m.group()) if k.start() >= 15]
     return out
 
 
@@ -130,23 +167,47 @@ def features(text: str, start: int, kind: str, end: int) -> list[float]:
         float(left[-1:].isspace() or not left),
         float(right[:1].isspace() or not right),
         float(bool(re.match(r"[.,;]?(\s|$)", right))),
+        float(s[0].isalpha() and s[2:4].isdigit() and iban(s)),
+        float(written_mail(s)),
     ]
 
 
 def examples(text: str) -> list[tuple[list[float], float]]:
     """Training examples of a text by the rules above."""
     good, bad = base_spans(text)
-    out = [(features(text, *x), 1.0) for x in good] + [(features(text, *x), 0.0) for x in bad if x[2] - x[0] > 2]
+    out = [(features(text, *x), 1.0) for x in good]
+    for a, kind, b in good:  # as the loose patterns would meet them
+        if kind == "phone":
+            bare = text[:a] + text[a + 1 :]
+            if LOOSE["number"].fullmatch(bare, a, b - 1):
+                out.append((features(bare, a, "number", b - 1), 1.0))
+        elif kind == "email":
+            written = re.sub("[.](?=[^.]*$)", " dot ", text[a:b].replace("@", " at "))
+            if written_mail(written):
+                out.append((features(text[:a] + written + text[b:], a, "email_written", a + len(written)), 1.0))
     covered = [(a, b) for a, _, b in good]
-    for a, kind, b in proposals(text):
-        if any(a < d and c < b for c, d in covered):
-            continue
-        f = features(text, a, kind, b)
-        positive = kind == "secret" and (f[16] or _mixed(text[a:b]))
-        out.append((f, float(bool(positive))))
+    loose = [x for x in proposals(text) if not any(x[0] < d and c < x[2] for c, d in covered)]
+    labels = [_label(text, *x) for x in loose]
+    out += [(features(text, *x), 1.0) for x, y in zip(loose, labels) if y]
+    covered += [(a, b) for (a, _, b), y in zip(loose, labels) if y is not False]
+    for a, kind, b in [*(x for x in bad if x[2] - x[0] > 2), *(x for x, y in zip(loose, labels) if y is False)]:
+        if not any(a < d and c < b for c, d in covered):  # what fails as one kind may be of another
+            out.append((features(text, a, kind, b), 0.0))
     return out
 
 
+def _label(text: str, a: int, kind: str, b: int) -> bool | None:
+    """Whether a proposal passes the check of its kind; None where that is open."""
+    s = text[a:b]
+    if kind == "email_written":
+        return written_mail(s)
+    if kind == "account":
+        return iban(s)
+    if kind == "number":
+        return grouped_phone(s)
+    return bool(re.search(r"[=:]\s*[\"']?$", text[max(0, a - 24) : a])) or _mixed(s)
+
+
 def _mixed(s: str) -> bool:
     """Whether a run looks drawn at random: digits spread among letters of one case or both."""
     return len(re.findall("[0-9]+", s)) >= 2 and any(c.isalpha() for c in s)
@@ -175,15 +236,18 @@ def learn(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tu
     score = trees.decision(x[test])
     calibration = Logistic().fit(score[:, None], y[test], l2=0.01)
     p = calibration.predict(score[:, None])
-    threshold = 1.1
-    for t in np.unique(p)[::-1]:  # the lowest threshold that keeps the precision
-        if y[test][p >= t].mean() >= PRECISION:
-            threshold = t
-        else:
-            break
+    threshold = lowest_threshold(p, y[test])
     return trees, calibration, max(float(threshold), 0.5)
 
 
+def lowest_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The lowest of all thresholds that keep the precision, also below ones that do not; 1.1 if none does."""
+    order = np.argsort(-p, kind="stable")
+    p, share = p[order], np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+    ends = np.append(p[1:] != p[:-1], True)
+    return float(p[ends & (share >= PRECISION)].min(initial=1.1))
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Spans of personal data in whole texts.
 
