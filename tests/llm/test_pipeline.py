@@ -4,7 +4,10 @@ import corpus_pipeline as cp
 
 from tracework.llm import pii
 from tracework.llm.jaccard_join import ngram_jaccard_join
+from tracework.llm.mixing import mix
 from tracework.llm.quality import score_quality
+from tracework.llm.queries import WEIGHTS
+from tracework.plans.materialize import materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +32,14 @@ def test_stages(spark):
     empty = docs.where("false")
     for stage in stages:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_result_carries_the_mixed_order(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*cp.COLUMNS)
+    giant = docs.limit(1).selectExpr("doc_id", "repeat('word ', 8000) as text", "lang", "source", "n_chars")
+    odd = docs.limit(1).selectExpr("cast(null as bigint) as doc_id", "text", "lang", "source", "n_chars")
+    docs = materialize(docs.limit(60).unionByName(giant).unionByName(odd).unionByName(odd))
+    want = sorted((r.mix_slot, r.mix_place, r.doc_id) for r in mix(docs, WEIGHTS).collect())
+    last = cp.pieces(spark, materialize(cp.mixture(spark, docs, SF)), SF)
+    assert sorted((r.mix_slot, r.mix_place, r.doc_id) for r in last.collect()) == want
+    assert len({w[:2] for w in want}) == len(want) == 63
