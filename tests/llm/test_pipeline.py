@@ -43,3 +43,11 @@ def test_result_carries_the_mixed_order(spark):
     last = cp.pieces(spark, materialize(cp.mixture(spark, docs, SF)), SF)
     assert sorted((r.mix_slot, r.mix_place, r.doc_id) for r in last.collect()) == want
     assert len({w[:2] for w in want}) == len(want) == 63
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    one, two, three, four = (" ".join(f"{w}{k}" for k in range(40)) for w in "abcd")
+    rows = [(1, one), (1, one), (2, two), (2, three), (3, three), (4, two), (None, one), (None, four), (None, four), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(1, one), (2, two), (2, three), (None, four), (5, None)], key=str)
