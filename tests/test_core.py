@@ -55,6 +55,15 @@ def test_simple_paths_have_no_bound_but_the_depth(spark):
     assert found.count() == n * n + n * n * n
 
 
+def test_long_rings_and_chains_are_whole(spark):
+    ring = edges(spark, *((f"{k:02}", f"{(k + 1) % 10:02}") for k in range(10)))
+    assert [tuple(x.cycle) for x in graph.cycles(ring).collect()] == [tuple(f"{k:02}" for k in range(10))]
+    assert graph.cycles(ring, 9).count() == 0
+    chain = edges(spark, *((f"{k + 1:03}", f"{k:03}") for k in range(66)))
+    found = graph.shortest_paths(chain, spark.createDataFrame([("000", "066"), ("066", "000")], "start string, end string")).collect()
+    assert [(x.end, x.hops) for x in found] == [("066", 66)]
+
+
 def test_components_with_isolated_hub_and_empty(spark):
     n = spark.createDataFrame([("e1",), ("e2",), ("e3",)], "n string")
     got = graph.components(n, edges(spark, ("e2", "e1"))).collect()

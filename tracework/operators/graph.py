@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,11 +55,11 @@ def descendants(edges: DataFrame, starts: DataFrame, max_depth: int | None = Non
     return reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts, max_depth)
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``start, end, path, nodes, hops``: the smallest of the shortest paths from start down to end.
 
     ``pairs`` has start and end. A pair of one node is its own path; pairs
-    without a path give no row. Only the smallest path to a node stays in each
+    without a path (of ``max_hops`` at most, if given) give no row. Only the smallest path to a node stays in each
     round, which keeps the smallest path to every later node too.
     """
     step = edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct()
@@ -66,7 +68,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 64) -> Da
         pairs.select("start").distinct().select("start", F.col("start").alias("node"), F.array("start").alias("path"))
     )
     done = frontier
-    for _ in range(max_hops):
+    for _ in count() if max_hops is None else range(max_hops):
         new = (
             frontier.join(step, "node")
             .select("start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
@@ -165,14 +167,14 @@ def cyclic_core(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
     raise RuntimeError(f"no end after {rounds} rounds")
 
 
-def cycles(edges: DataFrame, max_length: int = 8) -> DataFrame:
-    """``cycle``: simple cycles up to ``max_length`` nodes, from the smallest id on, each once."""
+def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """``cycle``: simple cycles (of ``max_length`` nodes at most, if given), from the smallest id on, each once."""
     core = materialize(cyclic_core(edges))
     step = core.select(F.col("src").alias("node"), "dst")
     loops = core.where("src = dst").select(F.array("src").alias("cycle"))
     frontier = core.select("src").distinct().select(F.col("src").alias("start"), F.col("src").alias("node"), F.array("src").alias("path"))
     out = loops
-    for _ in range(max_length - 1):  # a cycle starts at its smallest node, so paths stay above it
+    for _ in count() if max_length is None else range(max_length - 1):  # a cycle starts at its smallest node, so paths stay above it
         frontier = materialize(
             frontier.join(step, "node")
             .where((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst")))
