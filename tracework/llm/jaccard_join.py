@@ -26,14 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracework.llm.common import map_rows
+from tracework.llm.common import begin, clean, map_rows, small_batches, tidy
 from tracework.llm.shingles import WORDS, mix, shingle_set
-from tracework.llm.signature_tree import Forest, candidate_pairs, linked, overlap, signature
+from tracework.llm.signature_tree import WIDE_BITS, Forest, PairTally, as_words, candidate_pairs, folded, linked, may_link, overlap, signature
 from tracework.operators.components import connected_components
-from tracework.plans.materialize import materialize
+from tracework.plans.materialize import drop, materialize
 
 #: Tokens in more documents than this count as hot; at most HOT_TOKENS of them, the hottest.
 HOT_COUNT, HOT_TOKENS = 64, 200_000
@@ -43,6 +44,11 @@ TREE_ROWS, BLOCK_ROWS, PAIR_BLOCK = 400, 1024, 256
 #: Bytes of rows in one Python group, and of a table that may be broadcast.
 GROUP_BYTES, BROADCAST_BYTES = 12 << 20, 32 << 20
 _TALLY = 1 << 21
+#: Different pairs that a task adds up before it sends them on; rows of the tokens of one passage that meet in one group.
+_TALLY_PAIRS, PLACE_ROWS = 200_000, 50_000
+#: Bytes of a row under a token, with its share of the documents' own rows.
+_MEET_BYTES = 100
+_PAIR = ["x", "y", "a", "b", "sizes", "rest", "common"]
 
 
 def ngram_jaccard_join(
@@ -114,6 +120,7 @@ def _hot_tokens(docs: DataFrame, width: int, percent: int) -> np.ndarray:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
+        begin()
 
         def flush() -> pa.RecordBatch:
             token, times = np.unique(np.concatenate(held), return_counts=True)
@@ -133,7 +140,10 @@ def _hot_tokens(docs: DataFrame, width: int, percent: int) -> np.ndarray:
                     held, count = [], 0
         if held:
             yield flush()
+        held.clear()
+        tidy()
 
+    small_batches(docs.sparkSession)
     rows = (
         docs.select("text")
         .mapInArrow(tally, "token long, times long")
@@ -170,7 +180,7 @@ def _describe(hot: np.ndarray, width: int, percent: int):
                     int(_signed(mix(t ^ np.uint64(0x5851F42D4C957F2D)).min(keepdims=True))[0]),
                     # Place of the prefix's last token in the order (but for one bit): hot ones are not negative.
                     int(ordered[length - 1] >> np.uint64(1)) - (0 if length > cold else 1 << 63),
-                    signature(t),
+                    signature(t, WIDE_BITS),
                     _signed(ordered[:length]),
                 )
             for column, value in zip(out, values):
@@ -277,19 +287,20 @@ def _tree_links(docs: DataFrame, copies: DataFrame, named: DataFrame | None, wid
     rows = rows.withColumn("bucket", F.pmod("tree", F.lit(buckets)))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["doc_id"].to_numpy()
-        sets = [np.frombuffer(t, np.uint64) for t in pdf["tokens"]]
-        forest = Forest(len(ids))
-        trees = pdf["tree"].to_numpy()
-        for i, j in candidate_pairs(pdf["n"].to_numpy(), [signature(t) for t in sets], percent, tree=trees):
-            for x, y in zip(i.tolist(), j.tolist()):
-                if forest.find(x) != forest.find(y) and linked(
-                    overlap(sets[x], sets[y]), len(sets[x]), len(sets[y]), percent
-                ):
-                    forest.union(x, y)
-        root = np.array([forest.find(x) for x in range(len(ids))], np.int64)
-        moved = np.flatnonzero(root != np.arange(len(ids)))
-        return pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
+        with clean():
+            ids = pdf["doc_id"].to_numpy()
+            sets = [np.frombuffer(t, np.uint64) for t in pdf["tokens"]]
+            forest = Forest(len(ids))
+            trees = pdf["tree"].to_numpy()
+            for i, j in candidate_pairs(pdf["n"].to_numpy(), as_words([signature(t) for t in sets]), percent, tree=trees):
+                for x, y in zip(i.tolist(), j.tolist()):
+                    if forest.find(x) != forest.find(y) and linked(
+                        overlap(sets[x], sets[y]), len(sets[x]), len(sets[y]), percent
+                    ):
+                        forest.union(x, y)
+            root = np.array([forest.find(x) for x in range(len(ids))], np.int64)
+            moved = np.flatnonzero(root != np.arange(len(ids)))
+            return pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
 
     return materialize(rows.groupBy("bucket").applyInPandas(join, "a long, b long"))
 
@@ -301,57 +312,83 @@ def _prefix_links(docs: DataFrame, light: DataFrame, named: DataFrame, width: in
             named.select(F.col("rep").alias("doc_id"), "component"), "doc_id"
         )
     )
-    entry = rep.select("doc_id", "component", F.explode("prefix").alias("token"))
-    meets = materialize(
+    # One exchange of the tokens serves both their counts and the rows under those that are left.
+    entry = rep.select("doc_id", "component", F.explode("prefix").alias("token")).repartition("token")
+    meets = (
         entry.groupBy("token")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"))
         .where("lo != hi")
         .select("token", "c", F.xxhash64("lo", "hi").alias("place"))
     )
+    met = materialize(entry.join(meets, "token").select("token", "doc_id", "c", "place"))
+    long = met.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / F.lit(PLACE_ROWS)).alias("parts")).where("parts > 1")
+    split = F.when(F.col("c") > 2 * BLOCK_ROWS, F.ceil(F.col("c") / F.lit(BLOCK_ROWS))).otherwise(1)
+    total = met.agg(F.count(F.lit(1))).first()[0]
+    buckets = max(1, int(total * _MEET_BYTES // GROUP_BYTES + 1))
     rows = (
-        rep.select("doc_id", "component", "n", "last", "sig", F.explode("prefix").alias("token"))
-        .join(_small(meets, 40), "token")
-        .withColumn("of", F.when(F.col("c") > 2 * BLOCK_ROWS, F.ceil(F.col("c") / F.lit(BLOCK_ROWS))).otherwise(1))
-        .withColumn("side", F.pmod(F.xxhash64("doc_id"), "of"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
-        .withColumn("cross", F.col("side") != F.col("other"))
-        .withColumn(
-            "tree", F.xxhash64("token", F.least("side", "other"), F.greatest("side", "other"))
+        met.join(_small(materialize(long), 24), "place", "left")
+        .withColumns(
+            {
+                "place": F.xxhash64("place", F.pmod("token", F.coalesce("parts", F.lit(1)))),
+                "of": split,
+                "side": F.pmod(F.xxhash64("doc_id"), "of"),
+            }
         )
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+        .withColumn("tree", F.xxhash64("token", F.least("side", "other"), F.greatest("side", "other")))
         # Tokens of one passage share their outer components: in one task, their pairs add up before they are shuffled.
-        .withColumn("place", F.when(F.col("of") > 1, F.col("tree")).otherwise(F.col("place")))
-        .select("tree", "doc_id", "component", "n", "last", "sig", "side", "cross", "place")
+        .withColumn("bucket", F.pmod(F.when(F.col("of") > 1, F.col("tree")).otherwise(F.col("place")), F.lit(buckets)))
+        .select("bucket", "doc_id", "tree", "side", (F.col("side") != F.col("other")).alias("cross"))
     )
-    buckets = max(1, int((meets.agg(F.sum(F.col("c") * 140)).first()[0] or 0) // GROUP_BYTES + 1))
-    rows = rows.withColumn("bucket", F.pmod("place", F.lit(buckets))).drop("place")
+    # A document goes to a bucket once, however many of its tokens meet there.
+    null = F.lit(None)
+    about = rows.select("bucket", "doc_id").distinct().join(rep.select("doc_id", "component", "n", "last", "sig"), "doc_id")
+    both = rows.select("bucket", "doc_id", "tree", "side", "cross", *(null.cast("long").alias(c) for c in ("component", "n", "last")), null.cast("binary").alias("sig"))
+    both = both.unionByName(about.select("bucket", "doc_id", *(null.cast(t).alias(c) for c, t in (("tree", "long"), ("side", "long"), ("cross", "boolean"))), "component", "n", "last", "sig"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
+        table = pa.Table.from_batches(list(batches))
+        known = pc.is_valid(table.column("n"))
+        docs, rows = table.filter(known), table.filter(pc.invert(known))
+        del table
+        ids = docs.column("doc_id").to_numpy()
+        order = np.argsort(ids)
+        ids, of, size, last = (docs.column(c).to_numpy()[order] for c in ("doc_id", "component", "n", "last"))
+        wide = as_words(docs.column("sig").to_pylist())[order] if len(ids) else np.empty((0, WIDE_BITS // 64), np.uint64)
+        narrow, after = folded(wide), size - _prefix(size, percent)
+        at = np.searchsorted(ids, rows.column("doc_id").to_numpy())
+        tree, side, cross = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "side", "cross"))
+        del rows, docs
+
+        def made(key: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
+            i, j = key // len(ids), key % len(ids)
+            rest = np.where(last[i] < last[j], after[i], np.where(last[j] < last[i], after[j], np.maximum(after[i], after[j])))
+            columns = ids[i], ids[j], of[i], of[j], size[i] + size[j], rest, common
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=_PAIR)
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        side, component = pdf["side"].to_numpy(), pdf["component"].to_numpy()
-        ids, cross = pdf["doc_id"].to_numpy(), pdf["cross"].to_numpy()
-        size, tree = pdf["n"].to_numpy(), pdf["tree"].to_numpy()
-        for i, j in candidate_pairs(size, list(pdf["sig"]), percent, component, tree):
+        tally = PairTally(_TALLY_PAIRS)
+        for i, j in candidate_pairs(size[at], narrow[at], percent, of[at], tree):
             keep = ~cross[i] | (side[i] != side[j])
+            i, j = at[i[keep]], at[j[keep]]
+            keep = may_link(wide, size, i, j, percent)
             i, j = i[keep], j[keep]
-            low = ids[i] < ids[j]
-            i, j = np.where(low, i, j), np.where(low, j, i)
-            found.append(np.stack([ids[i], ids[j], component[i], component[j]]))
-            last = pdf["last"].to_numpy()
-            after = size - _prefix(size, percent)
-            rest = np.where(last[i] < last[j], after[i], np.where(last[j] < last[i], after[j], np.maximum(after[i], after[j])))
-            found[-1] = np.concatenate([found[-1], np.stack([size[i] + size[j], rest])])
-        x = np.concatenate(found, axis=1) if found else np.empty((6, 0), np.int64)
-        made = pd.DataFrame(dict(zip(("x", "y", "a", "b", "sizes", "rest"), x)))
-        return made.groupby(["x", "y", "a", "b", "sizes", "rest"]).size().rename("common").reset_index()
+            for full in tally.add(np.minimum(i, j) * len(ids) + np.maximum(i, j)):
+                yield made(*full)
+        for full in tally.rest():
+            yield made(*full)
+        del wide, narrow
+        tidy()
 
     pairs = materialize(
-        rows.groupBy("bucket")
-        .applyInPandas(join, "x long, y long, a long, b long, sizes long, rest long, common long")
+        both.groupBy("bucket")
+        .applyInArrow(join, ", ".join(f"{c} long" for c in _PAIR))
         .groupBy("x", "y", "a", "b", "sizes", "rest")
         .agg(F.sum("common").alias("common"))
         .where((100 + percent) * (F.col("common") + F.col("rest")) >= percent * F.col("sizes"))
         .select("x", "y", "a", "b")
     )
+    drop(rep, met)
     ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
     wanted = materialize(named.select(F.col("rep").alias("doc_id"), "n", "h1", "h2").join(ids, "doc_id", "left_semi"))
     sets = materialize(_sets(docs, wanted, width).dropDuplicates(["doc_id"]))
@@ -378,12 +415,13 @@ def _prefix_links(docs: DataFrame, light: DataFrame, named: DataFrame, width: in
     right = used.select("doc_id", bucket).distinct().join(sets.select("doc_id", "tokens"), "doc_id")
 
     def verify(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        of = {d: np.frombuffer(t, np.uint64) for d, t in zip(s["doc_id"], s["tokens"])}
-        done = set()
-        for x, y, a, b in zip(p["x"], p["y"], p["a"], p["b"]):
-            if (a, b) not in done and linked(overlap(of[x], of[y]), len(of[x]), len(of[y]), percent):
-                done.add((a, b))
-        return pd.DataFrame(sorted(done), columns=["a", "b"]).astype("int64")
+        with clean():
+            of = {d: np.frombuffer(t, np.uint64) for d, t in zip(s["doc_id"], s["tokens"])}
+            done = set()
+            for x, y, a, b in zip(p["x"], p["y"], p["a"], p["b"]):
+                if (a, b) not in done and linked(overlap(of[x], of[y]), len(of[x]), len(of[y]), percent):
+                    done.add((a, b))
+            return pd.DataFrame(sorted(done), columns=["a", "b"]).astype("int64")
 
     return materialize(
         left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(verify, "a long, b long").distinct()

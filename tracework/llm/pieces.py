@@ -32,22 +32,19 @@ _WIDE, _BLOCK = 64, 100_000
 _AT_ONCE = 1_000_000
 
 
-class Vocabulary:
-    """Pieces, scores and ids of a model, read from the bytes of its file.
-
-    Asks for what the encoder relies on and raises ValueError otherwise: the
-    identity normaliser with a leading space mark, byte fallback, and no piece
-    that goes on after a space mark following another character.
-    """
+class Pieces:
+    """The pieces of a model by id, read from the bytes of its file: what decoding needs."""
 
     def __init__(self, model: bytes):
+        self._read(model)
+
+    def _read(self, model: bytes):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        ids = range(sp.get_piece_size())
-        self.byte = {}
-        self.id, self.score, self.raw = {}, {}, []
-        for i in ids:
+        self.byte, self.id, self.score, self.raw = {}, {}, {}, []
+        self._raw: pa.Array | None = None
+        for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte[int(piece[3:5], 16)] = i
@@ -58,6 +55,49 @@ class Vocabulary:
                 self.raw.append(piece.encode())
                 self.id[piece] = i
                 self.score[piece] = sp.get_score(i)
+        return sp
+
+    def decode(self, ids: list[int]) -> str:
+        """Text of ids: pieces and bytes joined, space marks as spaces, without the leading one."""
+        raw = self.raw
+        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
+        return text[1:] if text.startswith(" ") else text
+
+    def decode_all(self, ids: pa.ListArray) -> pa.Array:
+        """``decode`` for many rows; a null list, or one with a null id, gives null."""
+        start, stop = ids.offsets[0].as_py(), ids.offsets[-1].as_py()
+        if self._raw is None:
+            self._raw = pa.array(self.raw, pa.large_binary())
+        pieces = self._raw.take(ids.values.slice(start, stop - start))
+        rows = pa.ListArray.from_arrays(pc.subtract(ids.offsets, start), pieces, mask=ids.is_null())
+        joined = pc.binary_join(rows, pa.scalar(b"", pa.large_binary()))
+        try:
+            text = joined.cast(pa.large_string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8 in some row
+            text = pa.array([None if r is None else r.decode("utf-8", "replace") for r in joined.to_pylist()], pa.large_string())
+        text = pc.replace_substring(text, SPACE, " ")
+        return pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text).cast(pa.string())
+
+    def decode_parts(self, ids: pa.ListArray) -> Iterator[tuple[int, pa.Array]]:
+        """``decode_all`` of neighbouring rows with a bounded number of ids together: (rows, texts)."""
+        offsets, start = ids.offsets.to_numpy(), 0
+        while start < len(ids):
+            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + _AT_ONCE, "right")) - 1)
+            stop = min(stop, len(ids))
+            yield stop - start, self.decode_all(ids.slice(start, stop - start))
+            start = stop
+
+
+class Vocabulary(Pieces):
+    """Pieces, scores and ids of a model, with all that encoding needs.
+
+    Asks for what the encoder relies on and raises ValueError otherwise: the
+    identity normaliser with a leading space mark, byte fallback, and no piece
+    that goes on after a space mark following another character.
+    """
+
+    def __init__(self, model: bytes):
+        sp = self._read(model)
         probe = "  a B\n\tﬁ  "
         if len(self.byte) != 256 or sp.normalize(probe) != normalise(probe):
             raise ValueError("a model with byte fallback and the identity normaliser is needed")
@@ -339,34 +379,6 @@ class Vocabulary:
         """Ids of one whole normalised text."""
         return self.encode_all([normal])[0]
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids: pieces and bytes joined, space marks as spaces, without the leading one."""
-        raw = self.raw
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
-
-    def decode_all(self, ids: pa.ListArray) -> pa.Array:
-        """``decode`` for many rows; a null list, or one with a null id, gives null."""
-        start, stop = ids.offsets[0].as_py(), ids.offsets[-1].as_py()
-        pieces = pa.array(self.raw, pa.large_binary()).take(ids.values.slice(start, stop - start))
-        rows = pa.ListArray.from_arrays(pc.subtract(ids.offsets, start), pieces, mask=ids.is_null())
-        joined = pc.binary_join(rows, pa.scalar(b"", pa.large_binary()))
-        try:
-            text = joined.cast(pa.large_string())
-        except pa.ArrowInvalid:  # bytes that are no UTF-8 in some row
-            text = pa.array([None if r is None else r.decode("utf-8", "replace") for r in joined.to_pylist()], pa.large_string())
-        text = pc.replace_substring(text, SPACE, " ")
-        return pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text).cast(pa.string())
-
-    def decode_parts(self, ids: pa.ListArray) -> Iterator[tuple[int, pa.Array]]:
-        """``decode_all`` of neighbouring rows with a bounded number of ids together: (rows, texts)."""
-        offsets, start = ids.offsets.to_numpy(), 0
-        while start < len(ids):
-            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + _AT_ONCE, "right")) - 1)
-            stop = min(stop, len(ids))
-            yield stop - start, self.decode_all(ids.slice(start, stop - start))
-            start = stop
-
     def safe(self, text: str, at: int) -> bool:
         """Whether no piece covers both sides of this place."""
         a, b = text[at - 1], text[at]

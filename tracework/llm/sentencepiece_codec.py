@@ -11,7 +11,6 @@ and each chunk is traced back by itself.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,18 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracework.llm.common import map_rows
-from tracework.llm.pieces import Vocabulary, compose, normalise, resolve
+from tracework.llm.common import clean, held, map_rows, small_batches
+from tracework.llm.pieces import Pieces, Vocabulary, compose, normalise, resolve
 from tracework.plans.materialize import materialize
 
 FAN = 64
 _STATE = "array<struct<a:int,b:int>>"
 
 
-@lru_cache(maxsize=2)
 def _vocabulary(model: bytes) -> Vocabulary:
-    """One vocabulary a worker process, so that words it has learnt serve its later tasks."""
-    return Vocabulary(model)
+    """One vocabulary a worker process and stage, so that words it has learnt serve its later tasks."""
+    return held("vocabulary", lambda: Vocabulary(model))
 
 
 def read_model(spark: SparkSession, path: str) -> bytes:
@@ -184,12 +182,15 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: s
     schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _vocabulary(model.value)
-        for batch in batches:
-            start = 0
-            for rows, text in v.decode_parts(batch.column(batch.schema.get_field_index(ids_col))):
-                part = batch.slice(start, rows)
-                start += rows
-                yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*part.schema.names, out_col])
+        with clean():
+            v = held("pieces", lambda: Pieces(model.value))
+            for batch in batches:
+                start = 0
+                for rows, text in v.decode_parts(batch.column(batch.schema.get_field_index(ids_col))):
+                    part = batch.slice(start, rows)
+                    start += rows
+                    yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*part.schema.names, out_col])
+
+    small_batches(spark)
 
     return encoded.select(columns).mapInArrow(run, f"{schema}, `{out_col}` string")

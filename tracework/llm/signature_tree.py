@@ -12,18 +12,36 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BITS = 512
+#: Bits of the bitmaps in the trees, and of the wider ones by which the pairs that are left are looked at again.
+BITS, WIDE_BITS = 512, 2048
 FAN = 8
 _CHUNK = 100_000
 
 
-def signature(tokens: np.ndarray) -> bytes:
-    """Bitmap (``BITS`` bits) of a set of 64-bit tokens."""
-    on = np.zeros(BITS, np.uint8)
-    on[tokens % np.uint64(BITS)] = 1
+def signature(tokens: np.ndarray, bits: int = BITS) -> bytes:
+    """Bitmap of a set of 64-bit tokens."""
+    on = np.zeros(bits, np.uint8)
+    on[tokens % np.uint64(bits)] = 1
     return np.packbits(on).tobytes()
 
 
+def folded(wide: np.ndarray) -> np.ndarray:
+    """Rows of ``WIDE_BITS`` bits (as uint64 words) as those of ``BITS`` bits: the same as signatures of that many."""
+    return np.bitwise_or.reduce(wide.reshape(len(wide), WIDE_BITS // BITS, -1), axis=1)
+
+
+def may_link(wide: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the wide bitmaps leave it open that pairs of rows link."""
+    lost = n - np.bitwise_count(wide).sum(axis=1, dtype=np.int64)
+    bound = np.bitwise_count(wide[i] & wide[j]).sum(axis=1, dtype=np.int64) + np.minimum(lost[i], lost[j])
+    return linked(bound, n[i], n[j], percent)
+
+
+def as_words(sigs: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of uint64 words."""
+    return np.frombuffer(b"".join(sigs), np.uint64).reshape(len(sigs), -1)
+
+
 def linked(inter, a, b, percent: int):
     """Whether two sets of sizes a and b with ``inter`` common tokens link."""
     return 100 * inter >= percent * (a + b - inter)
@@ -31,14 +49,14 @@ def linked(inter, a, b, percent: int):
 
 def candidate_pairs(
     size: np.ndarray,
-    sigs: list[bytes],
+    sigs: np.ndarray,
     percent: int,
     group: np.ndarray | None = None,
     tree: np.ndarray | None = None,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) that the bounds cannot exclude, in chunks.
 
-    Every pair of one tree whose Jaccard similarity reaches ``percent`` comes
+    ``sigs`` has a row of ``BITS`` bits (as uint64 words) for each set. Every pair of one tree whose Jaccard similarity reaches ``percent`` comes
     out; with ``group``, only pairs of different groups do. All trees are
     traversed together, level by level; without ``tree`` there is one.
     """
@@ -47,7 +65,7 @@ def candidate_pairs(
     tree = np.zeros(len(size), np.int64) if tree is None else tree
     group = np.arange(len(size)) if group is None else group
     order = np.lexsort((size, tree))
-    bits = np.frombuffer(b"".join(sigs), np.uint64).reshape(len(size), -1)[order]
+    bits = sigs[order]
     n, g, t = size[order].astype(np.int64), group[order], tree[order]
     lost = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     levels = [(bits, n, n, lost, g, g)]
@@ -88,6 +106,33 @@ def candidate_pairs(
             stack += [(level - 1, i[k : k + step], j[k : k + step]) for k in range(0, len(i), step)]
 
 
+class PairTally:
+    """Counts of keys in bounded memory: what has come together is given out whenever ``most`` keys differ."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.size = most, [], 0
+
+    def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.held.append((keys, np.ones(len(keys), np.int64)))
+        self.size += len(keys)
+        if self.size >= 4 * self.most:
+            self._sum()
+            if self.size >= self.most:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self._sum()
+        if self.size:
+            yield self.held[0]
+        self.held, self.size = [], 0
+
+    def _sum(self) -> None:
+        if self.held:
+            keys, at = np.unique(np.concatenate([k for k, _ in self.held]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([c for _, c in self.held]), len(keys)).astype(np.int64)
+            self.held, self.size = [(keys, counts)], len(keys)
+
+
 class Forest:
     """Union-find over a few indices."""
 
