@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tracework.llm.common import map_rows
 
-#: Documents a language's dictionary draws on, characters from each, and bytes of a dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 128, 4_000, 192 << 10
+#: Documents a language's dictionary draws on, characters of a stretch from each, and bytes of a dictionary.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 128, 1_536, 192 << 10
 #: Languages that one run may tell apart; more is an error, not a cut.
 LANGUAGES = 400
 #: Characters of a text that are compressed at a time, and the relative margin below which it is rejected.
@@ -29,10 +29,23 @@ def _plain(text: str) -> str:
     return _OTHER.sub(" ", text.lower())
 
 
+def _has_letter(plain: str) -> bool:
+    """Whether a character is a letter; marks like ½ are words' characters to a regex, but no letters."""
+    return any(map(str.isalpha, plain))
+
+
 def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
-    """Dictionary content by language, from at most ``SAMPLE_DOCS`` documents each."""
+    """Dictionary content by language, from at most ``SAMPLE_DOCS`` documents each.
+
+    A document gives one stretch of ``SAMPLE_CHARS`` characters, from a place that
+    the hash of its id picks anywhere in the text. Of rows that repeat an id, the
+    least stretch counts. Rows without a language or a text are not learnt from.
+    """
+    h, spare = F.xxhash64(id_col), F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(0)) + 1
     rows = train.where(F.col(lang_col).isNotNull() & (F.trim(text_col) != "")).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h")
+        F.col(lang_col).alias("lang"),
+        F.col(text_col).substr((F.pmod(h, spare) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("text"),
+        h.alias("h"),
     )
     picked = (
         rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_DOCS)).alias("slot")).agg(F.min("h").alias("h")).select("lang", "h")
@@ -41,16 +54,20 @@ def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_c
         raise ValueError(f"more than {LANGUAGES} languages")
     sample = (
         rows.join(F.broadcast(picked), ["lang", "h"])  # at most LANGUAGES * SAMPLE_DOCS rows
-        .select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        .groupBy("lang", "h")
+        .agg(F.min("text").alias("text"))
         .toPandas()
-        .sort_values(["lang", "h", "text"])
+        .sort_values(["lang", "h"])
     )
     out = {}
     for lang, part in sample.groupby("lang"):
-        share = DICTIONARY_BYTES // max(1, len(part))
-        texts = [_plain(t).encode()[: max(share, 1024)] for t in part["text"]]
-        if any(t.strip() for t in texts):
-            out[str(lang)] = b" ".join(texts)[-DICTIONARY_BYTES:]
+        texts, size = [], 0
+        for plain in map(_plain, part["text"]):
+            size += len(plain.encode()) + 1
+            if _has_letter(plain) and size <= DICTIONARY_BYTES:
+                texts.append(plain.encode())
+        if texts:
+            out[str(lang)] = b" ".join(texts)
     return out
 
 
@@ -81,7 +98,7 @@ def identify(
 
         def one(text: str | None) -> tuple:
             plain = _plain(text) if text else ""
-            if not langs or not plain.strip():
+            if not langs or not _has_letter(plain):
                 return "und", 0.0, 0.0, True
             raw = plain.encode()
             parts = [raw[k : k + PIECE] for k in range(0, len(raw), PIECE)]

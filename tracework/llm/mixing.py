@@ -31,7 +31,7 @@ from tracework.llm.common import map_rows
 from tracework.plans.materialize import materialize
 
 #: Documents in a block, sources at most, rows of a numbering bucket.
-BLOCK, SOURCES, BUCKET_ROWS = 16, 1_000, 20_000
+BLOCK, SOURCES, BUCKET_ROWS = 16, 1_000, 4_000
 #: Slots that the driver lays out itself, and slots of a stretch where tasks do.
 DRIVER_SLOTS, STRETCH = 100_000, 50_000
 
@@ -191,17 +191,19 @@ def mix(
     error. A null source is a source of its own, named as the empty text.
     Within a source, rows go by a hash of the id, then by id and the hash of the
     whole row, so repeated rows and null ids have places too. An empty table
-    gives an empty result; columns of the added names are replaced.
+    gives an empty result; columns of the added names are replaced, others keep
+    their values, whatever their names.
     """
     added = ("mix_block", "mix_slot", "mix_place")
     docs = docs.drop(*added)
     if weights is not None and any(w <= 0 for w in weights.values()):
         raise ValueError("weights must be positive")
-    rows = docs.withColumns(
-        {
-            "_s": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
-            "_h": F.xxhash64(F.lit(seed), F.col(id_col)),
-        }
+    # The rows travel as one column, so no name of theirs meets one of this plan.
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_s"),
+        F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"),
+        F.col(id_col).alias("_id"),
     )
     total = rows.count()
     buckets = max(1, -(-total // BUCKET_ROWS))
@@ -230,7 +232,7 @@ def mix(
         "before", F.sum("n").over(W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
     ).select("_s", "_b", F.coalesce("before", F.lit(0)).alias("before"))
     numbered = (
-        rows.withColumn("_r", F.row_number().over(W.partitionBy("_s", "_b").orderBy("_h", id_col, F.xxhash64(*docs.columns))))
+        rows.withColumn("_r", F.row_number().over(W.partitionBy("_s", "_b").orderBy("_h", "_id", F.xxhash64("_row"))))
         .join(F.broadcast(offset) if buckets * max(1, len(sizes)) < 200_000 else offset, ["_s", "_b"])
         .withColumn("_n", F.col("before") + F.col("_r") - 1)
         .withColumns({"mix_block": F.expr(f"_n div {BLOCK}"), "mix_place": F.pmod("_n", F.lit(BLOCK)).cast("int")})
@@ -244,7 +246,7 @@ def mix(
     placed = numbered.join(F.broadcast(plan) if slots <= DRIVER_SLOTS else plan, ["_s", "phase", "place"]).withColumn(
         "mix_slot", F.col("_p.first") + F.expr("_k div _p.per") * F.col("_p.period") + F.col("at")
     )
-    return placed.select(*docs.columns, *added)
+    return placed.select("_row.*", *added)
 
 
 def lag(parts: dict, order: list[str]) -> Fraction:

@@ -15,7 +15,13 @@ def logit(p: np.ndarray) -> np.ndarray:
 
 
 class Logistic:
-    """L2-regularised logistic regression on standardised columns (held to five deviations), by Newton steps."""
+    """L2-regularised logistic regression on standardised columns (held to five deviations), by Newton steps.
+
+    ``scale`` multiplies the standardised columns: below 1, a column costs more to rely on.
+    """
+
+    def __init__(self, scale: np.ndarray | float = 1.0):
+        self.scale = scale
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1.0) -> Logistic:
         self.mean, self.std = x.mean(axis=0), x.std(axis=0)
@@ -36,7 +42,7 @@ class Logistic:
         return self
 
     def _wide(self, x: np.ndarray) -> np.ndarray:
-        return np.hstack([np.clip((x - self.mean) / self.std, -5, 5), np.ones((len(x), 1))])
+        return np.hstack([self.scale * np.clip((x - self.mean) / self.std, -5, 5), np.ones((len(x), 1))])
 
     def decision(self, x: np.ndarray) -> np.ndarray:
         return self._wide(x) @ self.coef

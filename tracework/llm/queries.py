@@ -25,8 +25,18 @@ RULES = [
 ]
 #: Schemas of the tools that conversations stand for.
 SCHEMAS = {
-    "answer": {"text": ("string", True), "turn": ("integer", True)},
-    "search": {"query": ("string", True), "limit": ("integer", True)},
+    "answer": {
+        "type": "object",
+        "properties": {"text": {"type": "string"}, "turn": {"type": "integer"}},
+        "required": ["text", "turn"],
+        "additionalProperties": False,
+    },
+    "search": {
+        "type": "object",
+        "properties": {"limit": {"type": "integer"}, "query": {"type": "string"}},
+        "required": ["limit", "query"],
+        "additionalProperties": False,
+    },
 }
 
 
@@ -47,7 +57,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracework.llm.language_id import identify, learn
 
     docs = _table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
     dictionaries = learn(docs.where(~held_out))
     return identify(docs, dictionaries).withColumn("held_out", held_out).select(
         "doc_id", "held_out", "lang_pred", "score", "margin", "rejected"
@@ -90,6 +100,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(c.alias(n) for n, c in counts.items()),
         F.sha2(line(base), 256).alias("base_sha256"),
         line(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+        (F.size("spans") > 0).alias("has_personal_data"),
     )
 
 

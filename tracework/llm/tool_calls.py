@@ -2,24 +2,26 @@
 
 DataFrame operations only. Calls and results join by identifier with a hash
 join. The order is topological: a call's level is one more than that of the call
-whose result it needs, found level by level over all conversations at once, so
+whose result it needs, found by pointer doubling over all conversations at once, so
 no conversation is gathered anywhere. Arguments are checked against schemas as
 VARIANT values.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracework.plans.materialize import materialize
 
-#: Schemas: tool name to ``{argument: (type, required)}``; types string, integer, number, boolean, object, array.
-Schemas = dict[str, dict[str, tuple[str, bool]]]
+#: Schemas: tool name to a JSON schema of its arguments, with the keywords type, properties, required,
+#: additionalProperties (false), items and enum; or, in short, ``{argument: (type, required)}``.
+Schemas = dict[str, dict]
 
 _TYPES = {
     "string": "^STRING$",
-    "integer": "^BIGINT$",
     "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$",
     "boolean": "^BOOLEAN$",
     "object": "^OBJECT.*$",
@@ -27,23 +29,64 @@ _TYPES = {
 }
 
 
+def _whole_schema(schema: dict) -> dict:
+    """A schema from its short form."""
+    if all(isinstance(x, tuple) for x in schema.values()):
+        return {
+            "properties": {k: {"type": t} for k, (t, _) in schema.items()},
+            "required": [k for k, (_, r) in schema.items() if r],
+        }
+    return schema
+
+
+def _has_type(v: Column, kind: str) -> Column:
+    if kind == "integer":  # a number without a fraction, also 1.0
+        return _has_type(v, "number") & F.coalesce(F.try_variant_get(v, "$", "double") % 1 == 0, F.lit(False))
+    return F.schema_of_variant(v).rlike(_TYPES[kind])
+
+
+def _check(schema: dict, v: Column, name: Column | None) -> Column:
+    """Errors of a present value ``v`` (VARIANT) as array<string>: its own, then those of its parts by name."""
+    none = F.array().cast("array<string>")
+    label = lambda k: k if name is None else F.concat(name, F.lit("."), k)
+    here = F.lit("arguments") if name is None else name
+    parts = []
+    if "enum" in schema:
+        allowed = [json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in schema["enum"]]
+        parts.append(F.when(F.to_json(v).isin(allowed), none).otherwise(F.array(F.concat(here, F.lit(": not one of the values")))))
+    for field, inner in sorted(schema.get("properties", {}).items()):
+        given = F.try_variant_get(v, f'$["{field}"]' if "'" in field else f"$['{field}']", "variant")
+        missing = F.coalesce(F.schema_of_variant(given) == "VOID", F.lit(True))
+        absent = F.array(F.concat(label(F.lit(field)), F.lit(": missing"))) if field in schema.get("required", ()) else none
+        parts.append(F.when(missing, absent).otherwise(_check(inner, given, label(F.lit(field)))))
+    if schema.get("additionalProperties", True) is False:
+        keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+        known = F.array(*(F.lit(k) for k in schema.get("properties", {}))).cast("array<string>")
+        unknown = F.array_sort(F.array_except(F.coalesce(keys, none), known))
+        parts.append(F.transform(unknown, lambda k: F.concat(label(k), F.lit(": unknown argument"))))
+    if "items" in schema:
+        items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+        inner = lambda x, i: _check(schema["items"], x, F.concat(here, F.lit("["), i.cast("string"), F.lit("]")))
+        parts.append(F.flatten(F.transform(items, inner)))
+    found = F.concat(*parts) if parts else none
+    if "type" not in schema:
+        return found
+    wrong = F.array(F.concat(here, F.lit(f": not {schema['type']}")))
+    return F.when(_has_type(v, schema["type"]), found).otherwise(wrong)
+
+
 def _errors(schemas: Schemas) -> Column:
     """Errors of the arguments ``v`` (VARIANT) of tool ``name``, in the order of argument names."""
-    out = F.when(F.col("v").isNull(), F.array(F.lit("arguments: not JSON"))).when(
-        ~F.schema_of_variant("v").startswith("OBJECT"), F.array(F.lit("arguments: not an object"))
+    v = F.col("v")
+    out = F.when(v.isNull(), F.array(F.lit("arguments: not JSON"))).when(
+        ~_has_type(v, "object"), F.array(F.lit("arguments: not an object"))
     )
-    for tool, fields in sorted(schemas.items()):
-        checks = []
-        for field, (kind, required) in sorted(fields.items()):
-            given = F.schema_of_variant(F.try_variant_get("v", f"$['{field}']", "variant"))
-            missing = given.isNull() | (given == "VOID")
-            wrong = F.when(~missing & ~given.rlike(_TYPES[kind]), F.lit(f"{field}: not {kind}"))
-            checks.append(F.when(missing, F.lit(f"{field}: missing")).otherwise(wrong) if required else wrong)
-        out = out.when(F.col("name") == tool, F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>"))
+    for tool, schema in sorted(schemas.items()):
+        out = out.when(F.col("name") == tool, _check(_whole_schema(schema), v, None))
     return out.otherwise(F.array(F.lit("name: unknown tool")))
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas, max_levels: int = 10_000) -> DataFrame:
+def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     """One row for each call and each result without a call.
 
     ``calls``: conv_id, call_id, turn, name, arguments (JSON text), needs (the
@@ -58,7 +101,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas, max_
     level null and the error ``needs: cycle``. Rows with a null identifier are
     left out of linking: such calls are pending, such results orphans. Repeated
     identifiers count once: the call least by turn, name, arguments; the result
-    least by content. The JSON has sorted keys, no blanks and no nulls.
+    least by content. Ties of ``turn`` go by call_id. A null argument counts as
+    missing; a number without a fraction is an integer, also 1.0, and is written
+    as 1. The JSON has sorted keys and no blanks; a field of the row that is null
+    is left out, a null that the arguments hold stays. Texts of any length pass
+    through whole; empty tables give an empty result.
     """
     raw = calls.select("conv_id", "call_id", F.col("turn").cast("long"), "name", "arguments", "needs")
     known = raw.where("conv_id is not null and call_id is not null")
@@ -68,7 +115,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas, max_
     given = answers.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(
         F.min("content").alias("content"), F.lit(True).alias("has")
     )
-    level = _levels(known.select("conv_id", "call_id", "needs"), max_levels)
+    level = _levels(known.select("conv_id", "call_id", "needs"))
     linked = (
         known.join(level, ["conv_id", "call_id"], "left")
         .join(given.hint("shuffle_hash"), ["conv_id", "call_id"], "full")
@@ -112,32 +159,35 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas, max_
     )
 
 
-def _levels(calls: DataFrame, max_levels: int) -> DataFrame:
-    """``conv_id, call_id, level, unknown, known`` of all calls; level null on and behind cycles."""
+def _levels(calls: DataFrame) -> DataFrame:
+    """``conv_id, call_id, level, unknown, known`` of all calls; level null on and behind cycles.
+
+    By pointer doubling: each round, a call's pointer goes twice as far, so the
+    rounds follow the logarithm of the longest chain. What still points somewhere
+    after more steps than a conversation has calls is on a cycle or behind one.
+    """
     ids = calls.select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("there"))
-    base = materialize(calls.join(ids, ["conv_id", "needs"], "left"))
-    done = base.where("there is null").select(
-        "conv_id", "call_id", F.lit(0).alias("level"), F.col("needs").isNotNull().alias("unknown")
+    at = materialize(
+        calls.join(ids, ["conv_id", "needs"], "left").select(
+            "conv_id",
+            "call_id",
+            F.when(F.col("there"), F.col("needs")).alias("to"),
+            F.when(F.col("there"), 1).otherwise(0).alias("level"),
+            (F.col("needs").isNotNull() & F.col("there").isNull()).alias("unknown"),
+        )
     )
-    waiting = base.where("there is not null").select("conv_id", "call_id", "needs")
-    edge, parts = done, [done]
-    for step in range(1, max_levels + 1):
-        ready = materialize(
-            waiting.join(edge.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi").select(
-                "conv_id", "call_id", F.lit(step).alias("level"), F.lit(False).alias("unknown")
+    size = calls.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(size.bit_length()):
+        if at.where("to is not null").isEmpty():
+            break
+        there = at.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("level").alias("more"))
+        at = materialize(
+            at.join(there, ["conv_id", "to"], "left").select(
+                "conv_id", "call_id", F.col("next").alias("to"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"), "unknown"
             )
         )
-        if ready.isEmpty():
-            break
-        parts.append(ready)
-        edge = ready
-    else:
-        raise RuntimeError(f"calls go deeper than {max_levels} levels")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    cyc = base.select("conv_id", "call_id").join(every, ["conv_id", "call_id"], "left")
-    return cyc.withColumns({"known": F.lit(True), "unknown": F.coalesce("unknown", F.lit(False))})
+    level = F.when(F.col("to").isNull(), F.col("level"))
+    return at.select("conv_id", "call_id", level.alias("level"), F.lit(True).alias("known"), "unknown")
 
 
 def calls_of_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -27,7 +27,8 @@ from tracework.plans.materialize import materialize
 BLOCK, SHARD, QUERIES = 256, 64, 2048
 #: Scale of the components.
 UNITS = 256
-_EXACT = 1 << 53
+#: Doubles are exact below the first; sums of bounds fit a long below the second. The lowest threshold has a negative that fits.
+_EXACT, _LONG, _LOWEST = 1 << 53, 1 << 62, -(1 << 63) + 1
 
 
 def exact_top_k(
@@ -59,8 +60,8 @@ def exact_top_k(
     planes = np.random.default_rng((seed, dims)).choice([-1, 1], (16, dims))
     sign = [
         F.aggregate(
-            F.zip_with("v", F.array(*(F.lit(int(x)) for x in p)), lambda a, b: F.coalesce(a * b, F.lit(0))),
-            F.lit(0).cast("long"),
+            F.zip_with("v", F.array(*(F.lit(float(x)) for x in p)), lambda a, b: F.coalesce(a * b, F.lit(0.0))),
+            F.lit(0.0),
             lambda a, b: a + b,
         )
         > 0
@@ -72,11 +73,14 @@ def exact_top_k(
     asked = materialize(asked.withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")))
 
     # A first threshold from a bounded number of shards: any kth score is a lower bound of the true one.
-    floor = _meet(asked.withColumn("floor", F.lit(None).cast("long")), docs.where("shard = 0"), 1, groups, dims, k)
+    floor = _meet(asked.withColumn("floor", F.lit(_LOWEST)), docs.where("shard = 0"), 1, groups, dims, k)
     floor = floor.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor")
     )
-    asked = materialize(asked.join(floor.withColumnRenamed("query_id", "vec_id"), "vec_id", "left"))
+    floor = floor.select(F.col("query_id").alias("vec_id"), "floor")
+    asked = materialize(
+        asked.join(floor, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(_LOWEST)))
+    )
     best = _meet(asked, docs, shards, groups, dims, k)
     # Each query has at most k rows from each shard.
     top = best.groupBy("query_id").agg(
@@ -104,7 +108,7 @@ def _meet(asked: DataFrame, docs: DataFrame, shards: int, groups: int, dims: int
     right = docs.select(
         "vec_id",
         "v",
-        F.lit(None).cast("long").alias("floor"),
+        F.lit(_LOWEST).alias("floor"),
         "code",
         F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"),
         "shard",
@@ -115,7 +119,7 @@ def _meet(asked: DataFrame, docs: DataFrame, shards: int, groups: int, dims: int
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         d = d.sort_values(["code", "vec_id"], kind="stable")
         return _search(
-            q["vec_id"].to_numpy(), _matrix(q["v"], dims), q["floor"].to_numpy(float), d["vec_id"].to_numpy(), _matrix(d["v"], dims), k
+            q["vec_id"].to_numpy(), _matrix(q["v"], dims), q["floor"].to_numpy(np.int64), d["vec_id"].to_numpy(), _matrix(d["v"], dims), k
         )
 
     return (
@@ -133,17 +137,22 @@ def _matrix(column: pd.Series, dims: int) -> np.ndarray:
 
 
 def _search(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, did: np.ndarray, d: np.ndarray, k: int) -> pd.DataFrame:
-    most = float(np.abs(q).max()) * float(np.abs(d).max()) * d.shape[1]
-    kind = np.float64 if most < _EXACT else np.int64  # products and sums are exact in doubles below 2**53
+    size = lambda x: np.maximum(x.max(axis=0, initial=0).astype(object), -x.min(axis=0, initial=0).astype(object))
+    most = int((size(q) * size(d)).sum())
+    kind = np.float64 if most < _EXACT else np.int64
     q, d = q.astype(kind), d.astype(kind)
     cut = np.arange(0, len(d), BLOCK)
     high, low = np.maximum.reduceat(d, cut, axis=0), np.minimum.reduceat(d, cut, axis=0)
-    bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    if most < _LONG:
+        bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    else:  # bounds may be larger than longs although scores are not: in doubles, rounded up
+        q_, high, low = q.astype(float), high.astype(float), low.astype(float)
+        bound = np.maximum(q_, 0) @ high.T + np.minimum(q_, 0) @ low.T
+        bound += (np.abs(q_) @ np.maximum(np.abs(high), np.abs(low)).T) * 1e-12
     turn = np.argsort(-bound, axis=1, kind="stable")
-    lowest = np.iinfo(np.int64).min + 1  # its negative is a long too
-    best = np.full((len(q), k), lowest, np.int64)
+    best = np.full((len(q), k), _LOWEST, np.int64)
     who = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
-    least = np.where(np.isnan(floor), lowest, floor).astype(np.int64)
+    least = floor
     alive = np.arange(len(q))
     for step in range(len(cut)):
         block = turn[alive, step]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +11,7 @@ from tracework.llm.models import Logistic
 
 #: Labelled URLs that the fit may use, lengths of n-grams, and buckets they hash to for host and path each.
 LABELLED, GRAMS, BUCKETS = 4_000, (2, 3, 4), 512
-#: Rules that one table may hold.
-RULES = 2_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def host(url: Column) -> Column:
@@ -39,35 +36,59 @@ def with_rules(urls: DataFrame, rules: list[tuple[str, str]], url_col: str = "ur
 
     A rule ``(verdict, "host/path")`` fits its host and all subdomains if the path
     starts with the rule's; the longest wins, of equal ones the first by text.
-    Columns of these names are replaced.
+    Rules meet the distinct hosts by host suffix, so each URL looks only at the
+    rules of its own host. Columns of these names are replaced.
     """
-    if len(rules) > RULES:
-        raise ValueError(f"more than {RULES} rules")
-    parts = [(*split_rule(r), r, v) for v, r in sorted(rules, key=lambda x: (-len(x[1]), x[1]))]
-    df = urls.withColumns({"host": host(F.col(url_col)), "path": path(F.col(url_col))})
-    rule = verdict = None
-    for h, p, text, v in parts:
-        fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p)
-        rule = F.when(fits, text) if rule is None else rule.when(fits, text)
-        verdict = F.when(fits, v) if verdict is None else verdict.when(fits, v)
+    df = urls.drop("host", "path", "rule", "rule_verdict").withColumns({"host": host(F.col(url_col)), "path": path(F.col(url_col))})
     none = F.lit(None).cast("string")
-    return df.withColumns({"rule": none if rule is None else rule, "rule_verdict": none if verdict is None else verdict})
+    if not rules:
+        return df.withColumns({"rule": none, "rule_verdict": none})
+    given = urls.sparkSession.createDataFrame(
+        [(*split_rule(r), -len(r), r, v) for v, r in rules], "_host string, path string, size int, rule string, verdict string"
+    )
+    each = given.groupBy("_host").agg(F.collect_set(F.struct("size", "rule", "path", "verdict")).alias("_rules"))
+    labels, most = F.split("host", "[.]"), max(split_rule(r)[0].count(".") + 1 for _, r in rules)
+    first = F.greatest(F.size(labels) - (most - 1), F.lit(1))
+    suffixes = F.transform(F.sequence(first, F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    fits = (
+        df.select("host")
+        .distinct()
+        .select("host", F.explode(suffixes).alias("_host"))
+        .join(each, "_host")
+        .groupBy("host")
+        .agg(F.flatten(F.collect_list("_rules")).alias("_rules"))
+    )
+    best = F.array_min(F.filter("_rules", lambda r: F.startswith(F.col("path"), r["path"])))
+    return (
+        df.join(fits, "host", "left")
+        .withColumn("_best", best)
+        .select(*df.columns, F.col("_best.rule").alias("rule"), F.col("_best.verdict").alias("rule_verdict"))
+    )
 
 
 def features(host_text: str, path_text: str) -> np.ndarray:
-    """Counts of hashed n-grams, log-damped: host buckets, then path buckets."""
+    """Counts of hashed n-grams of bytes, log-damped: host buckets, then path buckets."""
     out = np.zeros(2 * BUCKETS)
     for base, text in ((0, f"^{host_text}$"), (BUCKETS, f"^{path_text}$")):
+        code = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
         for n in GRAMS:
-            for k in range(len(text) - n + 1):
-                out[base + zlib.crc32(text[k : k + n].encode()) % BUCKETS] += 1.0
+            if len(code) >= n:
+                gram = np.full(len(code) - n + 1, n, np.uint64)
+                for k in range(n):
+                    gram = (gram ^ code[k : len(code) - n + 1 + k]) * _ODD
+                at = (gram >> np.uint64(40)) % np.uint64(BUCKETS)
+                out[base : base + BUCKETS] += np.bincount(at.astype(np.int64), minlength=BUCKETS)
     return np.log1p(out)
 
 
 def learn(labelled: DataFrame) -> Logistic | None:
-    """Fit from ``host, path, label`` (1 block, 0 allow), a bounded sample; None without both labels."""
-    rows = labelled.where("label in (0, 1)").select("host", "path", "label").withColumn("h", F.xxhash64("host", "path"))
-    pdf = bounded_sample(rows, "h", LABELLED, seed=8).toPandas().sort_values(["h", "host", "path", "label"])
+    """Fit from ``host, path, label`` (1 block, 0 allow), a bounded sample of distinct URLs; None without both labels.
+
+    Of labels that disagree on one URL, block counts.
+    """
+    rows = labelled.where("label in (0, 1)").groupBy("host", "path").agg(F.max("label").alias("label"))
+    rows = rows.withColumn("h", F.xxhash64("host", "path"))
+    pdf = bounded_sample(rows, "h", LABELLED, seed=8).toPandas().sort_values(["h", "host", "path"])
     if pdf.empty or pdf["label"].nunique() < 2:
         return None
     x = np.stack([features(h, p) for h, p in zip(pdf["host"], pdf["path"])])
@@ -80,9 +101,11 @@ def judge(
     """Verdict on every row: ``page_id, host, path, rule, verdict, p_block``.
 
     Where a rule fits, it decides. Else the classifier does (``block`` from
-    probability 0.5); without labels of both kinds, or without a host, the
-    verdict is ``allow`` and the probability null. Rows are independent; null
-    URLs have an empty host and path.
+    probability 0.5), also for URLs without a host; without labels of both kinds
+    the verdict is ``allow`` and the probability null. Rows are independent, so
+    repeated ones and ties get equal verdicts; null URLs have an empty host and
+    path, URLs of any length are read whole, and an empty table gives an empty
+    result. Other columns are ignored.
     """
     shared = urls.sparkSession.sparkContext.broadcast(learn(labelled))
     kind = urls.schema[id_col].dataType.simpleString()
@@ -92,7 +115,7 @@ def judge(
 
         def run(r: dict) -> list:
             p = [None] * len(r["host"])
-            at = [k for k, h in enumerate(r["host"]) if model is not None and h]
+            at = [k for k in range(len(p)) if model is not None]
             if at:
                 scored = model.predict(np.stack([features(r["host"][k], r["path"][k]) for k in at]))
                 for k, q in zip(at, scored):
