@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracework.plans.materialize import materialize
+from tracework.plans.materialize import drop, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -23,21 +23,25 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_r
         .distinct()
     )
     for _ in range(max_rounds):
-        if _settled(e):
+        settled, n = _settled(e)
+        if settled:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), n)
         large = materialize(
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n
         )
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
-        joined = large.join(low, "u")
-        e = materialize(
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), n)
+        joined = large.join(least, "u")
+        new = materialize(
             joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
+            .unionByName(least.select("u", F.col("m").alias("v")))
             .where("u != v")
-            .distinct()
+            .distinct(),
+            n,
         )
+        drop(e, low, large, least)
+        e = new
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
@@ -45,10 +49,11 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_r
     )
 
 
-def _settled(e: DataFrame) -> bool:
-    """Whether the edges are stars: each node has one smaller neighbour or larger ones, not both."""
+def _settled(e: DataFrame) -> tuple[bool, int]:
+    """Whether the edges are stars (each node has one smaller neighbour or larger ones, not both), and how many edges there are."""
     ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
         e.select("v", F.lit(0).alias("up"), F.lit(1).alias("down")).toDF("node", "up", "down")
     )
     seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return seen.where("up + down > 1").agg(F.count(F.lit(1))).first()[0] == 0
+    found = seen.agg(F.count_if(F.col("up") + F.col("down") > 1), F.sum("up")).first()
+    return found[0] == 0, int(found[1] or 0)
