@@ -1,6 +1,10 @@
 """Small tables with known answers for the provenance operators."""
 
 import datetime as dt
+import hashlib
+import json
+import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +12,7 @@ from pyspark.sql import functions as F
 from tracework.functions import ids
 from tracework.operators import access, confidence, graph, ledger, quality, timetravel
 from tracework.operators.match import Query
-from tracework.sources import rdf, recalls
+from tracework.sources import files, rdf, recalls, turtle
 from tracework.streaming import streams
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracework import catalogue_views
+from tracework import catalogue_more, catalogue_views
 from tracework.functions import ids
 from tracework.operators import access, confidence, graph, ledger, lineage, quality, stats, timetravel
 from tracework.operators.match import Query
@@ -27,6 +27,10 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return model.entities(spark, d).select("entity_id"), model.derivations(spark, d)
 
 
+#: What the key columns of the model are.
+_KINDS = {"entity_id": "part", "activity_id": "order", "agent_id": "agent"}
+
+
 def _stamp(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
@@ -55,7 +59,9 @@ def flt_activities_in_range(spark, d):
 
 @_query
 def lin1_provenance(spark, d):
-    return lineage.provenance(model.entities(spark, d), model.activities(spark, d), model.agents(spark, d), model.edges(spark, d)).select("entity_id", "activity_id", "agent_id", _stamp("started_at"))
+    m = model.keyed(spark, d)
+    rows = lineage.provenance(m["entities"], m["activities"], m["agents"], m["edges"])
+    return model.named(rows, _KINDS).select("entity_id", "activity_id", "agent_id", _stamp("started_at"))
 
 
 @_query
@@ -70,7 +76,9 @@ def lin4_agent_activities(spark, d):
 
 @_query
 def lin5_usage_chain(spark, d):
-    return lineage.usage_chain(model.activities(spark, d), model.edges(spark, d)).select("entity_id", "activity_id", "agent_id", _stamp("started_at"))
+    m = model.keyed(spark, d)
+    rows = lineage.usage_chain(m["activities"], m["edges"])
+    return model.named(rows, _KINDS).select("entity_id", "activity_id", "agent_id", _stamp("started_at"))
 
 
 @_query
@@ -90,6 +98,25 @@ def lin13_recall_counts(spark, d):
 
 @_query
 def jn1_pattern(spark, d):
+    e = model.edges(spark, d)
+    triples = e.select(F.col("src").alias("s"), F.col("rel").alias("p"), F.col("dst").alias("o"))
+    q = Query().find("?part", "?agent").where(("?part", "wasGeneratedBy", "?order"), ("?order", "wasAssociatedWith", "?agent"))
+    return q.distinct().execute(triples)
+
+
+@_query
+def jn1_optional_pattern(spark, d):
+    """Every entity with its name, and its activity where it has one."""
+    ent = model.entities(spark, d)
+    name = ent.select(F.col("entity_id").alias("s"), F.lit("name").alias("p"), F.col("product_name").alias("o"))
+    made = model.edges(spark, d).where("rel = 'wasGeneratedBy'").select(F.col("src").alias("s"), F.col("rel").alias("p"), F.col("dst").alias("o"))
+    q = Query().find("?e", "?name", "?order").where(("?e", "name", "?name")).optional(("?e", "wasGeneratedBy", "?order"))
+    return q.execute(name.unionByName(made))
+
+
+@_query
+def jn1_pattern_page(spark, d):
+    """The same pattern in its paged form: rows 6 to 505 of the ordered answer."""
     e = model.edges(spark, d)
     triples = e.select(F.col("src").alias("s"), F.col("rel").alias("p"), F.col("dst").alias("o"))
     q = Query().find("?part", "?agent").where(("?part", "wasGeneratedBy", "?order"), ("?order", "wasAssociatedWith", "?agent"))
@@ -111,8 +138,12 @@ def agg2_edge_counts(spark, d):
 
 
 @_query
-def agg3_entity_types(spark, d):
-    return model.entities(spark, d).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+def agg3_types(spark, d):
+    out = None
+    for kind, df in (("entity", model.entities(spark, d)), ("activity", model.activities(spark, d)), ("agent", model.agents(spark, d))):
+        row = df.groupBy(F.col(f"{kind}_type").alias("type")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "type", "n")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @_query
@@ -178,18 +209,19 @@ def win3_chain_links(spark, d):
 
 @_query
 def gr1_neighbours(spark, d):
-    e = model.edges(spark, d).where("rel in ('wasDerivedFrom', 'wasGeneratedBy')")
-    return graph.neighbours(e).select("node", "rel", F.size("neighbours").cast("long").alias("n"), F.element_at("neighbours", 1).alias("first"))
+    return graph.neighbour_counts(model.edges(spark, d))
 
 
 @_query
 def gr3_ancestors(spark, d):
-    return graph.ancestors(model.derivations(spark, d), _graph(spark, d)[0])
+    m = model.keyed(spark, d)
+    return model.named(graph.ancestors(model.key_derivations(spark, d), m["entities"]), {"start": "part", "node": "part"})
 
 
 @_query
 def gr4_descendants(spark, d):
-    return graph.descendants(model.derivations(spark, d), _graph(spark, d)[0], 3)
+    m = model.keyed(spark, d)
+    return model.named(graph.descendants(model.key_derivations(spark, d), m["entities"], 3), {"start": "part", "node": "part"})
 
 
 @_query
@@ -208,16 +240,7 @@ def gr6_simple_paths(spark, d):
 
 @_query
 def gr8_components(spark, d):
-    e = model.edges(spark, d).where("rel = 'wasGeneratedBy'")
-    return graph.components(_graph(spark, d)[0], e)
-
-
-@_query
-def gr17_cycles(spark, d):
-    extra = spark.range(1).select(F.explode(F.array(F.struct(F.lit("1").alias("s"), F.lit("3").alias("t")), F.struct(F.lit("2").alias("s"), F.lit("2").alias("t")))).alias("x"))
-    node = lambda c: ids.uuid3(F.concat(F.lit("part/"), c))
-    e = model.derivations(spark, d).unionByName(extra.select(node(F.col("x.s")).alias("src"), node(F.col("x.t")).alias("dst")))
-    return graph.cycles(e).select(F.array_join("cycle", ">").alias("cycle"))
+    return graph.components(catalogue_views._typed(spark, d).select("id"), model.edges(spark, d))
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
@@ -259,7 +282,12 @@ def val2_activities(spark, d):
 
 @_query
 def val6_derivations(spark, d):
-    return quality.check_derivations(model.edges(spark, d), model.entities(spark, d)).where("fault is null").select("src", "dst")
+    key = F.col("src")
+    odd = model.key_derivations(spark, d).select(
+        F.when(key % 83 == 0, key + 5_000_000).otherwise(key).alias("src"), F.when(key % 97 == 0, key).when(key % 89 == 0, F.col("dst") + 7_000_000).otherwise(F.col("dst")).alias("dst")
+    )
+    edges = model.named(odd, {"src": "part", "dst": "part"}).select("src", F.lit("wasDerivedFrom").alias("rel"), "dst")
+    return quality.check_derivations(edges, model.entities(spark, d))
 
 
 @_query
@@ -380,6 +408,13 @@ def fd2_recalls(spark, d):
     )
 
 
+@_query
+def fd3_lookups(spark, d):
+    parts = recalls.tables(recalls.normalise(_recall_rows(spark, d)))
+    batches = model.table(spark, d, "part").select(F.concat(F.lit("F-"), (F.col("p_partkey") * 2).cast("string")).alias("b"))
+    return recalls.lookups(parts, batches, model.table(spark, d, "supplier").select("s_name"))
+
+
 @_query
 def fd3_recall_counts(spark, d):
     return recalls.recall_counts(recalls.normalise(_recall_rows(spark, d)))
@@ -400,8 +435,8 @@ def str2_limiter(spark, d):
 
 
 def queries() -> dict:
-    return {**_QUERIES, **catalogue_views.QUERIES}
+    return {**_QUERIES, **catalogue_views.QUERIES, **catalogue_more.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {k: v for k, v in {**SQL, **catalogue_views.SQL}.items() if k in queries()}
+    return {k: v for k, v in {**SQL, **catalogue_views.SQL, **catalogue_more.SQL}.items() if k in queries()}

@@ -97,11 +97,19 @@ def agg4_kg_statistics(spark, d):
     return views.kg_statistics(_typed(spark, d), model.edges(spark, d))
 
 
-@_query(_with("gen entity", f"""select (select count(*) from n) as nodes, (select count(distinct o) from gen) + (select count(*) from entity where was_generated_by is null) as components,
-  (select count(*) from gen) as edges, (select count(distinct o) from gen) + (select count(*) from entity where was_generated_by is null) <= 1 as connected""",
-  more=f"n as (select entity_id from entity union select {_id('order', 'o')} from gen)"))
+#: Components by least labels, in DuckDB's keyed recursion.
+_COMPONENTS = """both_ways as (select src as a, dst as b from edge union select dst, src from edge),
+  cc(node, label) using key (node) as (select id, id from node union select w.b, min(cc.label) from cc join both_ways w on w.a = cc.node join recurring.cc old on old.node = w.b where cc.label < old.label group by w.b)"""
+
+
+@_query(_with("entity activity agent edge", """select (select count(*) from node) as nodes, (select count(distinct label) from cc) as components, (select count(*) from edge) as edges, (select count(distinct label) from cc) <= 1 as connected""", True, _TYPED + ", " + _COMPONENTS))
 def agg8_analysis(spark, d):
-    return views.analysis(model.entities(spark, d).select("entity_id"), model.edges(spark, d).where("rel = 'wasGeneratedBy'"))
+    return views.analysis(_typed(spark, d).select("id"), model.edges(spark, d))
+
+
+@_query(_with("entity activity agent edge", """select label as component, count(*) as size from cc group by 1""", True, _TYPED + ", " + _COMPONENTS))
+def gr8_component_sizes(spark, d):
+    return graph.components(_typed(spark, d).select("id"), model.edges(spark, d)).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
 @_query(_with("entity activity agent edge", """select '{"id":"'||id||'","label":"'||label||'","type":"'||type||'"}' as value from node
@@ -158,12 +166,30 @@ def val11_entity_results(spark, d):
     return quality.entity_results(e, model.activities(spark, d), model.edges(spark, d))
 
 
-@_query(_with("derived entity activity", """select o as orphans, c as cycles, g::bigint as gaps, o = 0 as valid from (select count(*) as o from derived where dst not in (select entity_id from entity)), (select 0::bigint as c),
-  (select (select count(*) from entity where entity_type is null) + (select count(*) from activity where ended_at is null) as g)"""))
+#: Simple cycles of a table ``d`` (src, dst), each from its smallest node on.
+_CYCLES = """cyc(start, node, path) as (select src, dst, [src] from d where dst >= src
+    union all select c.start, d.dst, list_append(c.path, c.node) from cyc c join d on d.src = c.node where c.node <> c.start and d.dst >= c.start and not list_contains(c.path[2:], d.dst) and d.dst <> c.node)"""
+_TANGLED = f"d as (select src, dst from derived union select {_id('part', '1')}, {_id('part', '3')} union select {_id('part', '2')}, {_id('part', '2')})"
+
+
+def _tangled(spark, d):
+    """The derivations with two more that close cycles."""
+    extra = spark.createDataFrame([(1, 3), (2, 2)], "s long, t long")
+    return model.derivations(spark, d).unionByName(extra.select(_node("part", F.col("s")).alias("src"), _node("part", F.col("t")).alias("dst")))
+
+
+@_query(_with("derived", "select array_to_string(path, '>') as cycle from cyc where node = start", True, f"{_TANGLED}, {_CYCLES}"))
+def gr17_cycles(spark, d):
+    return graph.cycles(_tangled(spark, d)).select(F.array_join("cycle", ">").alias("cycle"))
+
+
+@_query(_with("derived entity activity", """select o as orphans, c as cycles, g::bigint as gaps, o = 0 as valid from (select count(*) as o from d where dst not in (select entity_id from entity)), (select count(*) as c from cyc where node = start),
+  (select (select count(*) from entity where entity_type is null) + (select count(*) from activity where ended_at is null) as g)""", True, f"{_TANGLED}, {_CYCLES}"))
 def val15_consistency(spark, d):
     e, a, g = model.entities(spark, d), model.activities(spark, d), model.agents(spark, d)
-    edges = model.edges(spark, d)
-    return quality.consistency(quality.orphans(e, a, g, edges), graph.cycles(model.derivations(spark, d)), quality.gaps(e, a, g))
+    tangled = _tangled(spark, d)
+    edges = model.edges(spark, d).where("rel != 'wasDerivedFrom'").unionByName(tangled.select("src", F.lit("wasDerivedFrom").alias("rel"), "dst"))
+    return quality.consistency(quality.orphans(e, a, g, edges), graph.cycles(tangled), quality.gaps(e, a, g))
 
 
 @_query(_with("request", """select request_id, concat_ws('; ', case when request_id % 19 = 0 then 'missing requestor_id' end, case when request_id % 23 = 0 then 'unknown action' end) as faults from request"""))
@@ -197,7 +223,8 @@ def acl11_current_policies(spark, d):
     return access.current_policies(log, "event_id").select("resource_id", "owner_id", "visibility")
 
 
-@_query(_with("request", "select request_id, request_id % 17 <> 0 as valid from request"))
+@_query(_with("decision", """select request_id, case when request_id % 17 = 0 then repeat('0', 64) else p end = p as valid from (select request_id, sha256(h||'|'||case when success then 'allow' else 'deny' end||'|'||reason) as p from
+  (select *, sha256('{"requested_action":"'||requested_action||'","requestor_id":'||requestor_id||',"resource_id":'||resource_id||'}') as h from decision))"""))
 def acl14_verified_proofs(spark, d):
     decisions = materialize(access.decide(model.requests(spark, d), model.policies(spark, d)))
     changed = F.when(F.col("request_id") % 17 == 0, F.lit("0" * 64)).otherwise(F.col("proof_hash"))
@@ -242,7 +269,18 @@ def br4_summary(spark, d):
     return bridge.summary(bridge.decide(_transfers(spark, d), 2))
 
 
-@_query("select user_id as tree_id, count(*) as proofs, true as ok from events group by 1")
+#: Levels of the trees of users' events, and each leaf folded with its siblings up to the root.
+_FOLDED = """leaf as (select user_id as tree_id, row_number() over (partition by user_id order by event_id) - 1 as idx, sha256(event_id||'|'||event_type) as h from events),
+  up as (select tree_id, 0 as level, list(h order by idx) as hs from leaf group by 1
+    union all select tree_id, level + 1, list_transform(range(0, len(hs), 2), lambda i: case when i + 1 < len(hs) then sha256(hs[i + 1]||hs[i + 2]) else hs[i + 1] end) from up where len(hs) > 1),
+  fold(tree_id, idx, leaf, level, h, steps) as (select tree_id, idx, h, 0, h, 0 from leaf
+    union all select f.tree_id, f.idx, f.leaf, f.level + 1, case when xor(f.idx >> f.level, 1) >= len(u.hs) then f.h when (f.idx >> f.level) % 2 = 0 then sha256(f.h||u.hs[xor(f.idx >> f.level, 1) + 1]) else sha256(u.hs[xor(f.idx >> f.level, 1) + 1]||f.h) end,
+      f.steps + case when xor(f.idx >> f.level, 1) >= len(u.hs) then 0 else 1 end from fold f join up u on u.tree_id = f.tree_id and u.level = f.level where len(u.hs) > 1),
+  done as (select f.*, f.h = u.hs[1] as ok from fold f join up u on u.tree_id = f.tree_id and u.level = f.level where len(u.hs) = 1)"""
+_MK3 = f"with recursive {_FOLDED} select tree_id, idx, leaf, (32 * steps)::bigint as proof_bytes, ok from done"
+
+
+@_query(f"with recursive {_FOLDED} select tree_id, count(*) as proofs, bool_and(ok) as ok from done group by 1")
 def mk4_batches(spark, d):
     leaves = model.table(spark, d, "events").select("user_id", "event_id", F.concat_ws("|", F.col("event_id").cast("string"), "event_type").alias("text"))
     levels = ledger.merkle_levels(leaves, "user_id", "event_id", "text")
@@ -262,9 +300,12 @@ def agg10_reruns(spark, d):
     return stats.rerun_summary(_runs(spark, d), "system", "query")
 
 
-@_query(f"with {_RUNS} select run, " + ", ".join(f"max(p95_ms) filter (query = {q}) as p95_{q}, round(max(mean_ms) filter (query = {q}), 6) as mean_{q}" for q in range(4)) + " from s where system = 'view' group by 1")
+@_query(f"with {_RUNS} select system, run, " + ", ".join(f"max(p95_ms) filter (query = {q}) as p95_{q}, round(max(mean_ms) filter (query = {q}), 6) as mean_{q}" for q in range(4)) + " from s group by 1, 2")
 def agg13_scale_table(spark, d):
-    return stats.scale_table(_runs(spark, d).where("system = 'view'"), "run", "query", [0, 1, 2, 3])
+    runs = _runs(spark, d).withColumn("row", F.concat_ws("/", "system", F.col("run").cast("string")))
+    table = stats.scale_table(runs, "row", "query", [0, 1, 2, 3])
+    part = lambda i: F.split_part("row", F.lit("/"), F.lit(i))
+    return table.select(part(1).alias("system"), part(2).cast("long").alias("run"), *[c for c in table.columns if c != "row"])
 
 
 @_query("select event_type, round(avg(value), 6) as mean, round(var_pop(value), 6) as variance, round(stddev_pop(value), 6) as deviation from events group by 1")
@@ -276,3 +317,6 @@ def agg15_moments(spark, d):
 def agg18_counters(spark, d):
     labels = F.create_map(F.lit("type"), F.col("event_type"), F.lit("shard"), (F.col("user_id") % 8).cast("string"))
     return stats.counters(model.table(spark, d, "events").select(labels.alias("l"), (F.col("event_id") % 3 != 0).alias("up")), "l", "up")
+
+
+SQL["mk3_verified_proofs"] = _MK3

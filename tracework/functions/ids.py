@@ -93,3 +93,21 @@ def normalise_linear(x: Column, low: Column, high: Column, inverse: bool = False
 
 def sigmoid(x: Column, steepness: float, centre: float) -> Column:
     return 1 / (1 + F.exp(-steepness * (x - centre)))
+
+
+def combined_score(parts: list[tuple[Column, float]], penalty: Column) -> Column:
+    """Mean of scores by their weights, less a penalty, not below 0."""
+    total = sum(w for _, w in parts)
+    return F.greatest(F.lit(0.0), sum((c * w for c, w in parts), F.lit(0.0)) / total - penalty)
+
+
+def suspicious(text: Column, longest: int) -> Column:
+    """Why a text parameter is turned away: too long, or script-like; null if it is not."""
+    # Marks of scripts.
+    marks = text.contains("<script") | F.lower(text).contains("javascript:") | text.contains("onerror=") | text.contains("onload=")
+    return F.when(F.length(text) > longest, "too long").when(marks, "suspicious")
+
+
+def instant(text: Column) -> Column:
+    """Timestamp of an ISO-8601 text, null for anything else."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), F.try_to_timestamp(text))

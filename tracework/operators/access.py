@@ -77,14 +77,57 @@ def by_roles(requests: DataFrame, roles: DataFrame, allowed: DataFrame) -> DataF
     )
 
 
+def change_policies(policies: DataFrame, changes: DataFrame) -> DataFrame:
+    """Policies after changes ``resource_id, seq, op`` with ``party``, ``visibility``, ``valid_from`` and ``valid_until``.
+
+    ``op`` is grant, revoke, visibility or time. For each party of a resource the
+    last grant or revocation by ``seq`` counts; so does the last change of
+    visibility and of times. Changes of unknown resources are left out. Parties
+    come out sorted, each once.
+    """
+    last = changes.where("op in ('grant', 'revoke')").groupBy("resource_id", "party").agg(F.max_by("op", "seq").alias("op"))
+    named = lambda op: F.collect_set(F.when(F.col("op") == op, F.col("party")))
+    parties = last.groupBy("resource_id").agg(named("grant").alias("more"), named("revoke").alias("less"))
+    at = lambda op, value: F.max(F.when(F.col("op") == op, F.struct("seq", value)))
+    other = changes.groupBy("resource_id").agg(
+        at("visibility", F.col("visibility").alias("x")).alias("v"), at("time", F.struct("valid_from", "valid_until").alias("x")).alias("t")
+    )
+    out = policies.join(parties, "resource_id", "left").join(other, "resource_id", "left")
+    none = F.expr("slice(authorized_parties, 1, 0)")
+    now = F.array_except(F.array_union("authorized_parties", F.coalesce("more", none)), F.coalesce("less", none))
+    new = {
+        "authorized_parties": F.array_sort(now),
+        "visibility": F.coalesce("v.x", policies["visibility"]) if "visibility" in policies.columns else None,
+        "valid_from": F.when(F.col("t").isNotNull(), F.col("t.x.valid_from")).otherwise(policies["valid_from"]) if "valid_from" in policies.columns else None,
+        "valid_until": F.when(F.col("t").isNotNull(), F.col("t.x.valid_until")).otherwise(policies["valid_until"]) if "valid_until" in policies.columns else None,
+    }
+    return out.select(*(new[c].alias(c) if new.get(c) is not None else policies[c] for c in policies.columns))
+
+
 def grant(policies: DataFrame, changes: DataFrame) -> DataFrame:
-    """Policies after changes ``resource_id, party, op`` (grant or revoke): parties sorted, without repeats."""
-    add = changes.where("op = 'grant'").groupBy("resource_id").agg(F.collect_set("party").alias("more"))
-    sub = changes.where("op = 'revoke'").groupBy("resource_id").agg(F.collect_set("party").alias("less"))
-    out = policies.join(add, "resource_id", "left").join(sub, "resource_id", "left")
-    parties = F.array_union("authorized_parties", F.coalesce("more", F.expr("slice(authorized_parties, 1, 0)")))
-    parties = F.array_except(parties, F.coalesce("less", F.expr("slice(authorized_parties, 1, 0)")))
-    return out.withColumn("authorized_parties", F.array_sort(parties)).select(policies.columns)
+    """Policies after a batch of grants and revocations ``resource_id, party, op``, in order of ``seq`` if given; else revocations come last."""
+    seq = F.col("seq") if "seq" in changes.columns else F.when(F.col("op") == "revoke", 1).otherwise(0)
+    null = F.lit(None)
+    return change_policies(policies, changes.select("resource_id", "party", "op", seq.alias("seq"), null.cast("string").alias("visibility"), null.cast("timestamp").alias("valid_from"), null.cast("timestamp").alias("valid_until")))
+
+
+def decide_by(strategy, requests: DataFrame, rules: DataFrame, name: str) -> DataFrame:
+    """Decisions of any strategy: a function of requests and rules that adds ``success`` and, if it likes, ``reason``."""
+    made = strategy(requests, rules)
+    reason = F.col("reason") if "reason" in made.columns else F.when(F.col("success"), f"{name}-authorized").otherwise(f"{name}-not-authorized")
+    return made.select(*requests.columns, F.coalesce("success", F.lit(False)).alias("success"), reason.alias("reason"))
+
+
+def owners_only(requests: DataFrame, policies: DataFrame) -> DataFrame:
+    """A strategy: owners may do anything, others nothing."""
+    own = policies.select("resource_id", F.col("owner_id").alias("requestor_id"), F.lit(True).alias("own"))
+    return requests.join(own, ["resource_id", "requestor_id"], "left").select(*requests.columns, F.coalesce("own", F.lit(False)).alias("success"))
+
+
+def policy_digest(policies: DataFrame) -> DataFrame:
+    """``resource_id, policy_hash``: the digest of each policy as sorted-key JSON."""
+    shown = F.struct(F.array_sort("authorized_parties").alias("authorized_parties"), "owner_id", "resource_id", "visibility")
+    return policies.select("resource_id", F.sha2(F.to_json(shown), 256).alias("policy_hash"))
 
 
 def proof(decisions: DataFrame) -> DataFrame:

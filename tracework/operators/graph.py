@@ -20,6 +20,14 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return both.groupBy("node", "rel").agg(F.array_sort(F.collect_set("o")).alias("neighbours"))
 
 
+def neighbour_counts(edges: DataFrame) -> DataFrame:
+    """``node, rel, n, first``: how many different neighbours, and the least, both directions; a hub's list is never held."""
+    both = edges.select(F.col("src").alias("node"), "rel", F.col("dst").alias("o")).unionByName(
+        edges.select(F.col("dst").alias("node"), "rel", F.col("src").alias("o"))
+    )
+    return both.distinct().groupBy("node", "rel").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("first"))
+
+
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, rounds: int = 10_000) -> DataFrame:
     """``start, node, hops``: what each start reaches along ``src -> dst``, by fewest hops.
 
@@ -108,6 +116,74 @@ def simple_paths(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFra
     return (frontier.where("false") if out is None else out).select("start", "path")
 
 
+def paths_between(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``start, end, path``: all simple paths along ``src -> dst`` from start to end (first two columns of ``pairs``).
+
+    A path grows only over nodes from which its end can be reached. A pair of one
+    node is its own path, and only that. Without ``max_depth`` (hops), the rounds
+    go on until no path is open; a graph with many cycles has very many paths.
+    """
+    step = materialize(edges.select(F.col("src").alias("node"), "dst").where("src is not null and dst is not null").distinct())
+    pairs = materialize(pairs.select(F.col(pairs.columns[0]).alias("start"), F.col(pairs.columns[1]).alias("end")).distinct())
+    ends = pairs.select("end").distinct()
+    leads = descendants(edges, ends).select(F.col("start").alias("end"), "node")
+    leads = materialize(leads.unionByName(ends.select("end", F.col("end").alias("node"))).distinct())
+    own = pairs.where("start = end").select("start", "end", F.array("start").alias("path"))
+    frontier = pairs.where("start != end").withColumns({"node": F.col("start"), "path": F.array("start")})
+    out = own
+    for _ in count() if max_depth is None else range(max_depth):
+        new = frontier.join(step, "node").where(~F.array_contains("path", F.col("dst")))
+        new = new.select("start", "end", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        new = materialize(new.join(leads, ["end", "node"], "left_semi").select("start", "end", "node", "path"))
+        if new.isEmpty():
+            break
+        out = out.unionByName(new.where("node = end").select("start", "end", "path"))
+        frontier = new.where("node != end")
+    return out
+
+
+def network(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int, up: bool = True, down: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``root, id, ...`` within ``depth`` derivations of each root, and the edges ``root, src, rel, dst`` that touch them.
+
+    ``up`` alone is the provenance graph of a root, ``down`` alone its subgraph,
+    both its network. Edges are those of any relation with an end in the set.
+    """
+    derived = edges.where("rel = 'wasDerivedFrom'").select("src", "dst")
+    first = roots.select(F.col(roots.columns[0]).alias("root")).distinct()
+    ids = first.select("root", F.col("root").alias("id"))
+    for walk in [w for w, on in ((ancestors, up), (descendants, down)) if on]:
+        ids = ids.unionByName(walk(derived, first, depth).select(F.col("start").alias("root"), F.col("node").alias("id")))
+    ids = materialize(ids.distinct())
+    touch = lambda c: edges.join(ids.withColumnRenamed("id", c), c).select("root", "src", "rel", "dst")
+    return ids.join(nodes, "id").select("root", *nodes.columns), touch("src").unionByName(touch("dst")).distinct()
+
+
+def knowledge_graph(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``id, label, type`` and edges ``from, to, relation`` of the given ids and what touches them; of all without ids.
+
+    Labels fall back on the id. Edges go from source to derived, as the views show them.
+    """
+    if ids is not None:
+        key = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
+        nodes = nodes.join(key, "id", "left_semi")
+        either = edges.join(key.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(edges.join(key.withColumnRenamed("id", "dst"), "dst", "left_semi").select(edges.columns))
+        edges = either.distinct()
+    return nodes.select("id", F.coalesce("label", "id").alias("label"), "type"), edges.select(
+        F.col("dst").alias("from"), F.col("src").alias("to"), F.col("rel").alias("relation")
+    )
+
+
+def one_hop(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``root, id, label, type`` and edges ``root, source, target, label, id`` of each root and its neighbours that exist, each once."""
+    first = roots.select(F.col(roots.columns[0]).alias("root")).distinct().join(nodes.select(F.col("id").alias("root")), "root", "left_semi")
+    both = edges.select(F.col("src").alias("root"), "rel", F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("root"), "rel", F.col("src").alias("other")))
+    near = both.join(first, "root", "left_semi").join(nodes.select(F.col("id").alias("other")), "other", "left_semi").distinct()
+    ids = first.select("root", F.col("root").alias("id")).unionByName(near.select("root", F.col("other").alias("id"))).distinct()
+    return ids.join(nodes, "id").select("root", "id", "label", "type"), near.select(
+        "root", F.col("root").alias("source"), F.col("other").alias("target"), F.col("rel").alias("label"), F.concat_ws("-", "root", "other", "rel").alias("id")
+    )
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, component`` of all nodes (first column of ``nodes``) and ends of edges; lone nodes are components."""
     found = connected_components(edges)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracework.operators.ranges import running
 from tracework.plans.materialize import materialize
 
 
@@ -16,12 +17,8 @@ def merkle_levels(leaves: DataFrame, tree: str, order: str, text: str) -> DataFr
     digests joined; an odd last node goes up as it is. Equal order keys are
     ordered by text. Each level is a group-by over all trees at once.
     """
-    w = W.partitionBy("tree_id").orderBy(order, text)
-    level = materialize(
-        leaves.select(F.col(tree).alias("tree_id"), order, text).select(
-            "tree_id", F.lit(0).alias("level"), (F.row_number().over(w) - 1).cast("long").alias("idx"), F.sha2(text, 256).alias("hash")
-        )
-    )
+    rows = running(leaves.select(F.col(tree).alias("tree_id"), order, text), ["tree_id"], [order, text])
+    level = materialize(rows.select("tree_id", F.lit(0).alias("level"), (F.col("n") - 1).cast("long").alias("idx"), F.sha2(text, 256).alias("hash")))
     out = level
     while (level.agg(F.max("idx")).first()[0] or 0) > 0:
         up = level.join(level.groupBy("tree_id").agg(F.max("idx").alias("top")).where("top > 0"), "tree_id", "left_semi")
@@ -82,3 +79,71 @@ def tally(votes: DataFrame, quorum: int = 2) -> DataFrame:
         F.count_if(F.col("vote") == "APPROVE").alias("approve"), F.count_if(F.col("vote") == "REJECT").alias("reject"), F.count(F.lit(1)).alias("total")
     )
     return n.withColumn("decision", F.when(F.col("reject") >= quorum, "rejected").when(F.col("approve") >= quorum, "approved").otherwise("pending"))
+
+
+#: Fixed value: the factor that spreads heights over stakes.
+_SPREAD = 7919
+
+
+def producers(heights: DataFrame, validators: DataFrame) -> DataFrame:
+    """``height, authority, stake, leader``: who should produce each height under the three protocols.
+
+    ``validators``: idx (from 0), name, stake; a short list. Authority: by height in
+    turn. Stake: the first whose running stake reaches ``height * 7919`` modulo all
+    stakes. Leader: by view, which is the height divided by the number of validators.
+    """
+    total = W.orderBy("idx")
+    v = validators.select("idx", "name", F.sum("stake").over(total).alias("upto"))
+    names = v.agg(F.array_sort(F.collect_list(F.struct("idx", "name", "upto"))).alias("v"))  # one row: the validators
+    h, n = F.col("height"), F.size("v").cast("long")
+    target = (h * _SPREAD) % F.element_at("v", -1)["upto"]
+    name = lambda i: F.col("v")[i.cast("int")]["name"]
+    return heights.select("height").distinct().crossJoin(F.broadcast(names)).select(
+        "height",
+        name(h % n).alias("authority"),
+        F.filter("v", lambda x: x["upto"] >= target)[0]["name"].alias("stake"),
+        name(F.floor(h / n) % n).alias("leader"),
+    )
+
+
+def audit_blocks(blocks: DataFrame, validators: DataFrame, min_stake: float, faults: int) -> DataFrame:
+    """``chain, height, authority_ok, stake_ok, pbft_ok``: whether each block's creator may have made it.
+
+    ``blocks``: chain, height, creator. Stake asks for a member with enough of it;
+    the last asks for a member, heights that go up by one (from any first one),
+    and at least ``3 * faults + 1`` validators.
+    """
+    known = F.broadcast(validators.select(F.col("name").alias("creator"), F.col("stake").alias("held")))  # a short list
+    enough = validators.agg((F.count(F.lit(1)) >= 3 * faults + 1).alias("enough"))
+    before = F.lag("height").over(W.partitionBy("chain").orderBy("height"))
+    rows = blocks.withColumn("next", F.coalesce(F.col("height") == before + 1, F.lit(True))).join(known, "creator", "left")
+    rows = rows.join(producers(blocks, validators), "height").crossJoin(F.broadcast(enough))  # one row
+    return rows.select(
+        "chain", "height", (F.col("creator") == F.col("authority")).alias("authority_ok"),
+        F.coalesce(F.col("held") >= min_stake, F.lit(False)).alias("stake_ok"),
+        (F.col("next") & F.col("held").isNotNull() & F.col("enough")).alias("pbft_ok"),
+    )
+
+
+def check_configs(configs: DataFrame) -> DataFrame:
+    """``node, valid, reason``: whether a node's validators suit its protocol.
+
+    ``configs``: node, type, validators (array), stakes (map), f.
+    """
+    staked = F.forall("validators", lambda v: F.array_contains(F.map_keys("stakes"), v))
+    reason = (
+        F.when(F.col("type").isNull() | ~F.col("type").isin("poa", "pos", "pbft"), "unknown type")
+        .when(F.size("validators") < 1, "no validators")
+        .when((F.col("type") == "pos") & ~F.coalesce(staked, F.lit(False)), "validators without stakes")
+        .when((F.col("type") == "pbft") & ~F.coalesce(F.size("validators") >= 3 * F.col("f") + 1, F.lit(False)), "too few validators")
+    )
+    return configs.select("node", reason.isNull().alias("valid"), reason.alias("reason"))
+
+
+def network_agreement(configs: DataFrame, by: str) -> DataFrame:
+    """Whether all nodes of a network have one protocol and one set of validators; types are looked at first."""
+    n = configs.groupBy(by).agg(
+        F.count(F.lit(1)).alias("nodes"), F.countDistinct("type").alias("types"), F.countDistinct(F.array_sort(F.array_distinct("validators"))).alias("sets")
+    )
+    reason = F.when(F.col("types") > 1, "types differ").when(F.col("sets") > 1, "validators differ")
+    return n.select(by, "nodes", "types", "sets", reason.isNull().alias("valid"), reason.alias("reason"))

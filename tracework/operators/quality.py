@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Required attributes by class.
@@ -142,3 +143,41 @@ def location_fault(location, kind):
         .when((kind == "map") & (F.get_json_object(location, "$.lat").isNull() | F.get_json_object(location, "$.lng").isNull()), "location without lat and lng")
         .when(kind == "other", "location is neither text nor map")
     )
+
+
+def chain_report(entities: DataFrame, activities: DataFrame, edges: DataFrame) -> DataFrame:
+    """``entity_id, line, value``: lines of a report of each product: its head, then its stages by time, or that there are none."""
+    used = edges.where("rel = 'used'").select(F.col("dst").alias("entity_id"), F.col("src").alias("activity_id")).distinct()
+    steps = used.join(activities.select("activity_id", "activity_type", "started_at"), "activity_id")
+    at = F.row_number().over(W.partitionBy("entity_id").orderBy("started_at", "activity_id"))
+    text = F.concat_ws(" | ", F.coalesce("activity_type", F.lit("unknown")), F.date_format("started_at", "yyyy-MM-dd HH:mm:ss"))
+    stages = steps.select("entity_id", (at + 1).alias("line"), text.alias("value"))
+    head = F.concat_ws(" | ", F.coalesce("product_name", F.lit("Unknown")), F.coalesce("batch", F.lit("N/A")))
+    none = entities.join(used, "entity_id", "left_anti").select("entity_id", F.lit(2).alias("line"), F.lit("No activities recorded.").alias("value"))
+    return entities.select("entity_id", F.lit(1).alias("line"), head.alias("value")).unionByName(stages.join(entities.select("entity_id"), "entity_id", "left_semi")).unionByName(none)
+
+
+def payload_complete(payload: Column) -> Column:
+    """Whether a JSON payload names an entity, an activity and an agent, each by its own key or its stand-in; false if it is no JSON object."""
+    has = lambda *keys: F.coalesce(*(F.get_json_object(payload, f"$['{k}']") for k in keys)).isNotNull()
+    return F.coalesce(
+        has("prov/entity", "blockchain/transaction") & has("prov/activity", "prov/activity-type") & has("prov/agent", "prov/agent-type"), F.lit(False)
+    )
+
+
+def run_faults(manifests: DataFrame, summaries: DataFrame, expected: list[str], rules: dict[str, str], reps: int) -> DataFrame:
+    """``run_id, faults``: what keeps a run from counting, sorted; empty if nothing does.
+
+    ``manifests``: run_id, manifest (map of texts); ``rules``: keys of the manifest
+    and the value each must have. Each expected query must be there once, with
+    ``reps`` good runs and no error.
+    """
+    own = F.array_compact(F.array(
+        F.when(~F.coalesce(F.col("manifest")["run_id"] == F.col("run_id"), F.lit(False)), F.lit("run_id")),
+        *(F.when(~F.coalesce(F.col("manifest")[k] == v, F.lit(False)), F.lit(k)) for k, v in rules.items()),
+    ))
+    asked = manifests.select("run_id", F.explode(F.array(*map(F.lit, expected))).alias("query"))
+    got = asked.join(summaries.select("run_id", "query", "ok_count", "error_count"), ["run_id", "query"], "left")
+    bad = F.when(F.col("ok_count").isNull(), F.concat(F.lit("missing "), "query")).when(F.col("ok_count") != reps, F.concat(F.lit("ok "), "query")).when(F.col("error_count") != 0, F.concat(F.lit("errors "), "query"))
+    queries = got.groupBy("run_id").agg(F.collect_list(bad).alias("q"))
+    return manifests.select("run_id", own.alias("own")).join(queries, "run_id").select("run_id", F.array_join(F.array_sort(F.concat("own", "q")), "; ").alias("faults"))

@@ -82,11 +82,26 @@ def elements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(edges.select(F.to_json(F.struct(key, F.col("src").alias("source"), F.col("dst").alias("target"), F.col("rel").alias("label"))).alias("value")))
 
 
-def dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``part, value``: lines of a DOT digraph, in order of ``part``; nodes and edges in any order within it."""
+#: Shape and colour of each type of node in the hierarchical form.
+SHAPES = {"entity": ("ellipse", "#C8E6C9"), "activity": ("box", "#BBDEFB"), "agent": ("diamond", "#FFE0B2")}
+
+
+def dot(nodes: DataFrame, edges: DataFrame, form: str = "plain", centre: str | None = None) -> DataFrame:
+    """``part, value``: lines of a DOT digraph, in order of ``part``; nodes and edges in any order within it.
+
+    ``form``: plain, hierarchical (from top to bottom, shapes by type) or radial
+    (circles, the centre doubled).
+    """
     spark = nodes.sparkSession
     quote = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    ends = spark.range(1).select(F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit("digraph G {").alias("value")), F.struct(F.lit(3).alias("part"), F.lit("}").alias("value")))).alias("x")).select("x.*")
-    n = nodes.select(F.lit(1).alias("part"), F.concat(F.lit("  "), quote(F.col("id")), F.lit(" [label="), quote(F.col("label")), F.lit("];")).alias("value"))
+    head = {"plain": ["digraph G {"], "hierarchical": ["digraph SupplyChain {", "  rankdir=TB;"], "radial": ["digraph RadialGraph {", "  rankdir=LR;"]}[form]
+    ends = spark.createDataFrame([(0, line) for line in head] + [(3, "}")], "part int, value string")
+    more = F.lit("")
+    if form == "hierarchical":
+        pick = lambda i, default: F.coalesce(*(F.when(F.col("type") == t, v[i]) for t, v in SHAPES.items()), F.lit(default))
+        more = F.concat(F.lit(" shape="), pick(0, "box"), F.lit(" fillcolor="), quote(pick(1, "#EEEEEE")), F.lit(" style=filled"))
+    elif form == "radial":
+        more = F.when(F.col("id") == centre, " shape=doublecircle fontsize=14").otherwise(" shape=circle fontsize=10")
+    n = nodes.select(F.lit(1).alias("part"), F.concat(F.lit("  "), quote(F.col("id")), F.lit(" [label="), quote(F.coalesce("label", F.lit(""))), more, F.lit("];")).alias("value"))
     e = edges.select(F.lit(2).alias("part"), F.concat(F.lit("  "), quote(F.col("src")), F.lit(" -> "), quote(F.col("dst")), F.lit(" [label="), quote(F.col("rel")), F.lit("];")).alias("value"))
     return ends.unionByName(n).unionByName(e)

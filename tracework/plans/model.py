@@ -73,14 +73,19 @@ def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made[0].unionByName(made[1])
 
 
-def derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``src, dst``: what a part derives from: its half, and its third where that differs and five divides it."""
+def key_derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``src, dst`` as keys of parts: each derives from its half, and from its third where that differs and five divides it."""
     part = table(spark, sf_dir, "part").select("p_partkey").where("p_partkey > 0")
     half = part.select("p_partkey", F.expr("p_partkey div 2").alias("d"))
     third = part.where("p_partkey % 5 = 0 and p_partkey div 3 != p_partkey div 2").select(
         "p_partkey", F.expr("p_partkey div 3").alias("d")
     )
-    return half.unionByName(third).select(_id("part", "p_partkey").alias("src"), _id("part", "d").alias("dst"))
+    return half.unionByName(third).select(F.col("p_partkey").alias("src"), F.col("d").alias("dst"))
+
+
+def derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``src, dst``: what each part derives from."""
+    return key_derivations(spark, sf_dir).select(_id("part", "src").alias("src"), _id("part", "dst").alias("dst"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +119,45 @@ def datoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def entity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``e, a, v, tx, op``: the entities as facts; every tenth has its name retracted later."""
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.col(a).alias("v")) for a in ("entity_type", "batch", "product_name")))
+    rows = entities(spark, sf_dir).select(F.col("entity_id").alias("e"), F.col("p_partkey").alias("tx"), F.explode(pairs).alias("x"))
+    facts = rows.where("x.v is not null").select("e", "x.a", "x.v", "tx", F.lit("add").alias("op"))
+    gone = facts.where("a = 'product_name' and tx % 10 = 1").select("e", "a", "v", (F.col("tx") + 1_000_000_000).alias("tx"), F.lit("retract").alias("op"))
+    return facts.unionByName(gone)
+
+
+# The model by keys: joins on numbers; ``named`` makes the identifiers at the end
+
+
+def keyed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """``entities, activities, agents, edges`` as above with numbers for identifiers; an agent's is twice its key, one more for customers."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    agent = lambda name, key, more: table(spark, sf_dir, name).select((F.col(key) * 2 + more).alias("agent_id"))
+    used = lines.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    supplied = lines.select(F.col("l_orderkey").alias("src"), (F.col("l_suppkey") * 2).alias("dst")).distinct()
+    bought = orders.select(F.col("o_orderkey").alias("src"), (F.col("o_custkey") * 2 + 1).alias("dst"))
+    made = generation(spark, sf_dir).select(F.col("p_partkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    out = None
+    for rel, df in (("used", used), ("wasAssociatedWith", supplied.unionByName(bought)), ("wasGeneratedBy", made), ("wasDerivedFrom", key_derivations(spark, sf_dir))):
+        df = df.select("src", F.lit(rel).alias("rel"), "dst")
+        out = df if out is None else out.unionByName(df)
+    return {
+        "entities": table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id")),
+        "activities": orders.select(F.col("o_orderkey").alias("activity_id"), F.col("o_orderdate").alias("started_at")),
+        "agents": agent("supplier", "s_suppkey", 0).unionByName(agent("customer", "c_custkey", 1)),
+        "edges": out,
+    }
+
+
+def named(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Keys replaced by identifiers: ``columns`` tells what each is (part, order or agent)."""
+    agent = lambda c: F.when(F.col(c) % 2 == 0, F.concat(F.lit("supplier/"), F.expr(f"{c} div 2"))).otherwise(F.concat(F.lit("customer/"), F.expr(f"{c} div 2")))
+    return rows.withColumns({c: uuid3(agent(c)) if kind == "agent" else _id(kind, c) for c, kind in columns.items()})
+
+
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     owner = F.col("p_partkey") % 150
     return table(spark, sf_dir, "part").select(
