@@ -51,3 +51,21 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, SF).collect()]
     assert sorted(got, key=str) == sorted([(1, one), (2, two), (2, three), (None, four), (5, None)], key=str)
+
+
+def test_stages_on_awkward_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*cp.COLUMNS).limit(120)
+    null = spark.createDataFrame([(None, None, None, None, None)], docs.schema)
+    long = docs.limit(1).selectExpr("9000001L as doc_id", "repeat('a long text of many words ', 9000) as text", "lang", "source", "n_chars")
+    names = ("ids", "tree", "component_id", "spans", "good", "mix_slot", "h", "xa", "place", "rule")
+    odd = docs.unionByName(docs.limit(5)).unionByName(null).unionByName(null).unionByName(long)
+    odd = materialize(odd.selectExpr("*", *(f"{k} as `{n}`" for k, n in enumerate(names))))
+    out = odd
+    counts = [out.count()]
+    for _, stage in cp.STAGES[:-1]:
+        out = materialize(stage(spark, out, SF))
+        assert tuple(out.columns) == cp.COLUMNS
+        counts.append(out.count())
+    assert counts[0] >= counts[1] >= counts[2] == counts[3] == counts[4] > 0
+    last = cp.STAGES[-1][1](spark, out, SF).collect()
+    assert len(last) == counts[4] and len({(r.mix_slot, r.mix_place) for r in last}) == len(last)

@@ -156,7 +156,13 @@ def _up(level: DataFrame) -> DataFrame:
             {"row": [pdf["row"].iloc[0]], "k": [pdf["k"].iloc[0] // FAN], "m": [[{"a": a, "b": b} for a, b in made]]}
         )
 
-    return level.groupBy("row", F.expr(f"k div {FAN}").alias("g")).applyInPandas(product, f"row long, k long, m {_STATE}")
+    return _by_group(level).groupBy("row", "g").applyInPandas(product, f"row long, k long, m {_STATE}")
+
+
+def _by_group(level: DataFrame) -> DataFrame:
+    """Matrices dealt by text and group: small rows that take long, so not fewer tasks for fewer bytes."""
+    tasks = int(level.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return level.withColumn("g", F.expr(f"k div {FAN}")).repartition(tasks, "row", "g")
 
 
 def _down(level: DataFrame, ends: DataFrame) -> DataFrame:
@@ -169,8 +175,7 @@ def _down(level: DataFrame, ends: DataFrame) -> DataFrame:
             {"row": pdf["row"], "k": pdf["k"], "a": [a for a, _ in path], "b": [b for _, b in path]}
         )
 
-    g = F.expr(f"k div {FAN}")
-    joined = level.withColumn("g", g).join(ends.withColumnRenamed("k", "g"), ["row", "g"])
+    joined = _by_group(level).join(ends.withColumnRenamed("k", "g"), ["row", "g"])
     return joined.groupBy("row", "g").applyInPandas(resolve_group, "row long, k long, a int, b int")
 
 
