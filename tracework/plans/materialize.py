@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,20 @@ TASK_ROWS = 100_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_LISTS: list[list[DataFrame]] = []
+
+
+@contextmanager
+def written() -> Iterator[list[DataFrame]]:
+    """The tables that ``materialize`` writes meanwhile, as a list for ``drop``."""
+    tables: list[DataFrame] = []
+    _LISTS.append(tables)
+    try:
+        yield tables
+    finally:
+        _LISTS.remove(tables)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
@@ -55,6 +71,8 @@ def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     _file_system(spark, hadoop_path).deleteOnExit(hadoop_path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracework_path = path
+    for tables in _LISTS:
+        tables.append(out)
     return out
 
 
