@@ -82,14 +82,18 @@ def ngram_jaccard_join(
             found = connected_components(first.unionByName(second), "a", "b")
             named = _label(copies, found)
 
-    last = connected_components(_prefix_links(docs, light, named, width, percent), "a", "b")
+    about = light.select("doc_id", "n", "last", "sig", "prefix")
+    rep = materialize(about.join(named.select(F.col("rep").alias("doc_id"), "component"), "doc_id"))
+    slim = materialize(light.select("doc_id", "n", "h1", "h2"))
+    drop(light)
+    last = connected_components(_prefix_links(docs, rep, named, width, percent), "a", "b")
     last = last.select(F.col("node").alias("component"), F.col("component").alias("wider"))
     named = materialize(
         named.join(last, "component", "left").select(
             "n", "h1", "h2", F.coalesce("wider", "component").alias("component_id")
         )
     )
-    return light.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left").select(
+    return slim.join(named, ["n", "h1", "h2"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
@@ -305,13 +309,8 @@ def _tree_links(docs: DataFrame, copies: DataFrame, named: DataFrame | None, wid
     return materialize(rows.groupBy("bucket").applyInPandas(join, "a long, b long"))
 
 
-def _prefix_links(docs: DataFrame, light: DataFrame, named: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links ``a, b`` between components, complete by prefix filtering."""
-    rep = materialize(
-        light.select("doc_id", "n", "last", "sig", "prefix").join(
-            named.select(F.col("rep").alias("doc_id"), "component"), "doc_id"
-        )
-    )
+def _prefix_links(docs: DataFrame, rep: DataFrame, named: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between components, complete by prefix filtering; ``rep`` goes when it is done with."""
     # One exchange of the tokens serves both their counts and the rows under those that are left.
     entry = rep.select("doc_id", "component", F.explode("prefix").alias("token")).repartition("token")
     meets = (

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tracework.llm.common import bounded_sample, held, map_rows
 from tracework.llm.models import Logistic, logit
-from tracework.plans.materialize import materialize
+from tracework.plans.materialize import drop, materialize
 
 #: Labelled documents that the fit may use.
 LABELLED = 8_000
@@ -200,6 +200,7 @@ def learn(rows: DataFrame, labels: DataFrame) -> CoTraining | None:
         model.fit_views()
         if step < ROUNDS:
             _exchange(model, pool, taken)
+    drop(pool)
     return model.combine()
 
 
@@ -236,6 +237,7 @@ def _exchange(model: CoTraining, pool: DataFrame, taken: list[list[int]]) -> Non
             model.receive(view, _views(_lists(part))[view], part["label"].to_numpy(float))
             taken[view] += part["h"].tolist()
     shared.unpersist()
+    drop(scored)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
