@@ -129,7 +129,7 @@ def test_time_travel(spark):
     log = spark.createDataFrame(
         [("e", "name", "v1", 1, "add"), ("e", "name", "v1", 2, "retract"), ("e", "name", "v2", 2, "add"), ("e", "tag", "x", 1, "add"), ("e", "tag", "y", 1, "add"), ("e", "tag", "x", 3, "retract")],
         "e string, a string, v string, tx long, op string",
-    ).where("not (a = 'name' and op = 'retract')")
+    )
     get = lambda df: {(x.a, x.v) for x in df.collect()}
     assert get(timetravel.as_of(log, 1, ("tag",))) == {("name", "v1"), ("tag", "x"), ("tag", "y")}
     assert get(timetravel.as_of(log, None, ("tag",))) == {("name", "v2"), ("tag", "y")}
@@ -137,6 +137,40 @@ def test_time_travel(spark):
     new = spark.createDataFrame([("e", "name", "v3", "add"), ("f", "name", "z", "add")], "e string, a string, v string, op string")
     got = {(x.e, x.v, x.op) for x in timetravel.apply_changes(log.where("a = 'name'"), new, 9).collect()}
     assert got == {("e", "v2", "retract"), ("e", "v3", "add"), ("f", "z", "add")}
+    assert [(x.tx, x.a, x.op, x.v) for x in timetravel.history(log, "e").orderBy("position").collect()] == [
+        (1, "name", "add", "v1"), (1, "tag", "add", "x"), (1, "tag", "add", "y"), (2, "name", "retract", "v1"), (2, "name", "add", "v2"), (3, "tag", "retract", "x")
+    ]
+
+
+def test_change_batches_chain_with_reads(spark):
+    shape, many = "e string, a string, v string, tx long, op string", ("tag",)
+    log = spark.createDataFrame([], shape)
+
+    def change(log, tx, rows, seq=False, **kw):
+        batch = spark.createDataFrame(rows, "e string, a string, v string, op string" + ", seq int" * seq)
+        new = timetravel.apply_changes(log, batch, tx, many, **kw).collect()
+        return spark.createDataFrame([*log.collect(), *new], shape), {(x.e, x.a, x.v, x.op) for x in new}
+
+    now = lambda log: {(x.e, x.a, x.v) for x in timetravel.as_of(log, None, many).collect()}
+    log, new = change(log, 1, [("x", "name", "v1", "add"), ("x", "tag", "p", "add"), ("x", "tag", "q", "add"), ("x", "id", "7", "add")])
+    assert len(new) == 4
+    log, new = change(log, 2, [("x", "name", "v2", "add"), ("x", "tag", "p", "add"), ("x", "tag", "q", "retract")])
+    assert new == {("x", "name", "v1", "retract"), ("x", "name", "v2", "add"), ("x", "tag", "q", "retract")}
+    assert now(log) == {("x", "name", "v2"), ("x", "tag", "p"), ("x", "id", "7")}
+    assert {x.v for x in timetravel.as_of(log, 1, many).collect()} == {"v1", "p", "q", "7"}
+    # Two values at once: the later of the batch; the same value again, and retracting another than is there: no change.
+    log, new = change(log, 3, [("x", "name", "b", "add", 1), ("x", "name", "a", "add", 2)], True)
+    assert new == {("x", "name", "v2", "retract"), ("x", "name", "a", "add")}
+    log, new = change(log, 4, [("x", "name", "a", "add"), ("x", "name", "a", "retract"), ("x", "id", "8", "retract")])
+    assert new == set()
+    # An entity found again by its identity; an entity taken away whole, but for what is asserted at once.
+    log, new = change(log, 5, [("new", "id", "7", "add"), ("new", "name", "c", "add")], identity=("id",))
+    assert new == {("x", "name", "a", "retract"), ("x", "name", "c", "add")}
+    log, new = change(log, 6, [("x", None, None, "retract-entity"), ("x", "tag", "z", "add")])
+    assert new == {("x", "name", "c", "retract"), ("x", "tag", "p", "retract"), ("x", "id", "7", "retract"), ("x", "tag", "z", "add")}
+    assert now(log) == {("x", "tag", "z")}
+    wide = timetravel.wide(timetravel.as_of(log, 2, many), ["name", "tag", "gone"], many).collect()
+    assert [tuple(r) for r in wide] == [("x", "v2", ["p"], None)]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
@@ -175,9 +209,108 @@ def test_rdf_round_trip_and_blank_nodes(spark):
     assert t.count() == 8
     s = rdf.skolemize(t, "doc").where("o_kind = 'blank'").collect()
     assert len({x.s for x in s}) == 2 and all(x.s != x.o for x in s)
+    odd = ['say "hi"', "back\\slash \\n", "new\nline\ttab\r", "é 漢 😀", "x" * 20_000 + '"', "it's", ""]
+    triples = spark.createDataFrame([("u:s", "u:p", o, "literal", None, None) for o in odd], "s string, p string, o string, o_kind string, datatype string, lang string")
+    out = rdf.to_ntriples(triples)
+    assert all("\n" not in x.value for x in out.collect())
+    assert sorted(x.o for x in rdf.parse_ntriples(out).collect()) == sorted(odd)
+    more = spark.createDataFrame([('<a> <b> "\\u00e9\\U0001F600 \\\\u0041 \\\'q\\\'" .',), ('<a> <b> "x" . # end',)], "value string")
+    assert {x.o for x in rdf.parse_ntriples(more).collect()} == {"é😀 \\u0041 'q'", "x"}
+    assert [x.value for x in rdf.rejected_lines(spark.createDataFrame([(v,) for v in lines], "value string")).collect()] == ["bad"]
+    assert rdf.blank_nodes_left(t).first().left_over == 2 and rdf.blank_nodes_left(rdf.skolemize(t, "doc")).first().valid
     assert {x.n for x in rdf.blank_node_statistics(spark.createDataFrame([(v,) for v in lines], "value string")).collect()} == {1}
 
 
+def test_reading_and_ingesting_ntriples(spark, tmp_path):
+    uuid = "3f2504e0-4f89-31d3-9a0c-0305e82c3301"
+    for name in ("a.nt", "b.nt"):
+        (tmp_path / name).write_text(
+            f'_:b1 <http://p#type> <http://p#Entity> .\n_:b1 <http://p#wasGeneratedBy> <{uuid}> .\n_:b1 <http://p#used> <urn:x> .\n'
+            f'<urn:{name}> <urn:n> "12"^^<x#integer> .\n<urn:{name}> <urn:n> "no"^^<x#integer> .\n<urn:{name}> <urn:t> "true"^^<x#boolean> .\n'
+        )
+    triples = rdf.read_ntriples(spark, str(tmp_path))
+    rows = rdf.ingest(triples, 5).collect()
+    assert len({r.e for r in rows if r.a == "prov/entity-type"}) == 2 and all(r.tx == 5 and r.op == "add" for r in rows)
+    assert {(r.a, r.v, r.type) for r in rows} == {
+        ("prov/entity-type", "http://p#Entity", "string"), ("prov/wasGeneratedBy", uuid, "ref"), ("http___p_used", "urn:x", "string"),
+        ("urn_n", "12", "bigint"), ("urn_t", "true", "boolean"),
+    }
+    kinds = [(r.k, r.f) for r in spark.createDataFrame([(x,) for x in ("a.rdf", "a.ttl", "a.nt", "a.n3", "a.jsonld", "a")], "k string").select("k", rdf.rdf_format(F.col("k")).alias("f")).collect()]
+    assert [f for _, f in kinds] == ["rdf/xml", "turtle", "n-triples", "n3", "jsonld", "turtle"]
+
+
+def test_turtle_in_and_out(spark, tmp_path):
+    (tmp_path / "x.ttl").write_text(
+        '@prefix ex: <http://e.org/> .\n@prefix uht: <http://u.org#> .\n# all of it\n'
+        'ex:milk a prov:Entity ;\n  uht:batch "RAW-1" ; # a # comment\n  uht:litres 12.5 ;\n  uht:n 3 ;\n  uht:ok true ;\n  uht:note "a # \\"b\\""@en ;\n'
+        '  prov:wasGeneratedBy ex:run ;\n  uht:at "2024-01-01T00:00:00"^^xsd:dateTime .\n\nex:run a prov:Activity .\nex:boss prov:knows <http://e.org/you> .\nnonsense here\n'
+    )
+    t = turtle.read_turtle(spark, str(tmp_path))
+    got = {(r.s.split("/")[-1], re.split("[#/]", r.p)[-1], r.o, r.o_kind, r.datatype and r.datatype.split("#")[1], r.lang) for r in t.collect()}
+    assert got == {
+        ("milk", "type", "http://www.w3.org/ns/prov#Entity", "uri", None, None), ("milk", "batch", "RAW-1", "literal", None, None),
+        ("milk", "litres", "12.5", "literal", "decimal", None), ("milk", "n", "3", "literal", "integer", None), ("milk", "ok", "true", "literal", "boolean", None),
+        ("milk", "note", 'a # "b"', "literal", None, "en"), ("milk", "wasGeneratedBy", "http://e.org/run", "uri", None, None),
+        ("milk", "at", "2024-01-01T00:00:00", "literal", "dateTime", None), ("run", "type", "http://www.w3.org/ns/prov#Activity", "uri", None, None),
+        ("boss", "knows", "http://e.org/you", "uri", None, None),
+    }
+    kinds = {r.s.split("/")[-1]: (r.kind, r.attributes) for r in turtle.by_class(t).collect()}
+    assert {k: v for k, (v, _) in kinds.items()} == {"milk": "entity", "run": "activity", "boss": "entity"} and kinds["milk"][1]["http://u.org#n"] == ["3"]
+    out = turtle.to_turtle(t, {"prov": turtle.PREFIXES["prov"], "xsd": turtle.PREFIXES["xsd"], "e": "http://e.org/"})
+    again = turtle.parse_turtle(out.selectExpr("'d' as doc", "part * 100000 + monotonically_increasing_id() as pos", "value"))
+    columns = ["s", "p", "o", "o_kind", "datatype", "lang"]
+    assert sorted(map(tuple, again.select(columns).collect()), key=str) == sorted(map(tuple, t.select(columns).collect()), key=str)
+
+
+def test_files_of_records(spark, tmp_path):
+    record = {"recall_number": "F-1", "event_id": "2", "recalling_firm": "Firm é", "product_description": "p"}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps({"records": [record, {**record, "recall_number": "F-2"}]}, indent=1))
+    (tmp_path / "in" / "b.json").write_text(json.dumps({"results": [{**record, "recall_number": "F-3"}]}))
+    (tmp_path / "in" / "c.json").write_text(json.dumps({**record, "recall_number": "F-4"}) + "\n" + json.dumps({**record, "recall_number": "F-5"}) + "\n")
+    rows = files.read_recalls(spark, str(tmp_path / "in"))
+    assert sorted(r.recall_number for r in rows.collect()) == ["F-1", "F-2", "F-3", "F-4", "F-5"] and files.read_recalls(spark, str(tmp_path / "in"), 2).count() == 2
+    digests = {r.file.split("/")[-1]: r.sha256 for r in files.file_digests(spark, str(tmp_path / "in")).collect()}
+    assert digests["b.json"] == hashlib.sha256((tmp_path / "in" / "b.json").read_bytes()).hexdigest()
+    hexed = files.encode_payloads(rows)
+    odd = spark.createDataFrame([("0x",), ("0xzz",), ("0xff00",), (b"other:{}".hex(),), (None,)], "input string")
+    assert sorted(r.recall_number for r in files.decode_payloads(hexed.unionByName(odd)).collect()) == ["F-1", "F-2", "F-3", "F-4", "F-5"]
+    lines = spark.createDataFrame([("m", "run_id=r=1"), ("m", " k = v "), ("m", "no"), ("n", "k=")], "file string, value string")
+    assert {r.file: r.manifest for r in files.parse_manifests(lines).collect()} == {"m": {"run_id": "r=1", "k": "v"}, "n": {"k": ""}}
+    files.write_csv(spark.createDataFrame([("q", 1.5)], "query string, mean_ms double"), str(tmp_path / "csv"))
+    back = files.read_summaries(spark, str(tmp_path / "csv"), "query string, mean_ms double").first()
+    assert (back.query, back.mean_ms) == ("q", 1.5) and back.file.endswith(".csv")
+    files.write_json(spark.createDataFrame([("q", None)], "a string, b string"), str(tmp_path / "json"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "json")).collect()] == ['{"a":"q"}']
+    (tmp_path / "doc.json").write_text(json.dumps({"agents": {"farmer": {"name": "A"}}, "products": {"milk": {"batch": "RAW-MILK-1"}}, "activities": {}}))
+    docs = files.read_documents(spark, str(tmp_path / "doc.json"))
+    assert [(r.key, r.attributes) for r in docs["products"].collect()] == [("milk", {"batch": "RAW-MILK-1"})] and docs["activities"].count() == 0
+    (tmp_path / "bundles.json").write_text('{"entity":{"entity_id":"e"},"activities":[{"activity_id":"a"},{"activity_id":"b"}],"agents":[]}\n{"entity":{"entity_id":"f"},"activities":[{"activity_id":"a"}]}\n')
+    parts = files.read_bundles(spark, str(tmp_path / "bundles.json"))
+    assert {k: v.count() for k, v in parts.items()} == {"entities": 2, "activities": 2, "agents": 0}
+    shape = "id string, name string, namespace string, format string, version string, loaded_at timestamp"
+    t0 = dt.datetime(2024, 1, 1)
+    old = spark.createDataFrame([("1", "a", "n", "turtle", "1", t0), ("2", "b", "n", "turtle", "1", t0)], shape)
+    new = files.register(old, spark.createDataFrame([("3", "a", "n", "turtle", "2", t0), ("4", "c", "m", "n3", "1", t0)], shape))
+    assert {(r.name, r.version) for r in new.collect()} == {("a", "2"), ("b", "1"), ("c", "1")} and files.by_name(new, "a").first().id == "3"
+    assert {r.name: r.loaded for r in files.is_loaded(new, spark.createDataFrame([("a",), ("z",)], "name string")).collect()} == {"a": True, "z": False}
+
+
+def test_scalar_screens(spark):
+    row = spark.range(1).select(
+        ids.suspicious(F.lit("x" * 9), 8).alias("a"), ids.suspicious(F.lit("JavaScript:1"), 80).alias("b"), ids.suspicious(F.lit("fine"), 80).alias("c"),
+        ids.instant(F.lit("2024-01-02T03:04:05Z")).alias("d"), ids.instant(F.lit("2024-13-02")).alias("e"), ids.instant(F.lit("x")).alias("f"),
+        ids.combined_score([(F.lit(0.5), 0.6), (F.lit(1.0), 0.4)], F.lit(0.1)).alias("g"), ids.combined_score([(F.lit(0.1), 1.0)], F.lit(0.5)).alias("h"),
+        ids.normalise_linear(F.lit(5.0), F.lit(0.0), F.lit(10.0)).alias("i"), ids.normalise_linear(F.lit(5.0), F.lit(5.0), F.lit(5.0)).alias("j"), ids.normalise_linear(F.lit(99.0), F.lit(0.0), F.lit(10.0), True).alias("k"),
+        ids.sigmoid(F.lit(250.0), 0.01, 250.0).alias("l"), ids.is_hex64(F.lit("a" * 64)).alias("m"), ids.is_uuid(F.lit("zz")).alias("n"), ids.xsd_type(F.lit("http://x#dateTime")).alias("o"),
+        files.located(F.create_map(F.lit("district"), F.lit("D"), F.lit("province"), F.lit("P"))).alias("p"), files.located(F.create_map(F.lit("address"), F.lit("A"))).alias("q"), files.located(F.lit(None).cast("map<string,string>")).alias("r"),
+        turtle.strip_quotes(F.lit('"""x"""')).alias("s"), turtle.strip_comment(F.lit('a "#" <u#v> # b')).alias("t"),
+    ).first()
+    assert (row.a, row.b, row.c, row.d, row.e, row.f) == ("too long", "suspicious", None, dt.datetime(2024, 1, 2, 3, 4, 5), None, None)
+    assert (round(row.g, 6), row.h, row.i, row.j, row.k, row.l, row.m, row.n, row.o) == (0.6, 0.0, 0.5, 0.5, 0.0, 0.5, True, False, "timestamp")
+    assert (row.p, row.q, row.r, row.s, row.t.strip()) == ("D, P", "A", "Unknown Location", "x", 'a "#" <u#v>')
+
+
 def test_recalls(spark):
     c = "recall_number string, event_id string, recalling_firm string, product_description string, city string, state string, country string, recall_initiation_date string, report_date string, termination_date string"
     r = spark.createDataFrame([("F-0001-2024", "1", "Firm", "p", "", "TX", "US", "20240230", "20240105", None), ("F-2", "1", " ", "p", "", "", "", "", "", "")], c)
@@ -202,3 +335,60 @@ def test_streaming_counters_match_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.sql("select * from counters").collect()}
     want = {tuple(r) for r in streams.windowed_counters(rows, "ts", "label", "x", "2 minutes").collect()}
     assert got == want and len(got) == 6
+
+
+def _drain(stream, name):
+    q = stream.writeStream.outputMode("append").format("memory").queryName(name).start()
+    q.processAllAvailable()
+    q.stop()
+    return stream.sparkSession.sql(f"select * from {name}").collect()
+
+
+def _stream(spark, folder, batches):
+    for k, rows in enumerate(batches):
+        rows.coalesce(1).write.parquet(str(folder / f"{k}"))
+        for f in (folder / f"{k}").glob("part-*"):
+            f.rename(folder / f"{k}-{f.name}")
+            os.utime(folder / f"{k}-{f.name}", (1_700_000_000 + k, 1_700_000_000 + k))
+    return spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(str(folder) + "/*.parquet")
+
+
+def test_streamed_limiter_is_the_batch_limiter(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    shape = "key string, ts timestamp, id long"
+    all_rows = [("k" if i % 3 else "j", t0 + dt.timedelta(seconds=7 * i), i) for i in range(60)]
+    batches = [spark.createDataFrame(all_rows[k : k + 20], shape) for k in (0, 20, 40)]
+    got = {(r.id, r.allowed, r.remaining) for r in _drain(streams.limit_stream(_stream(spark, tmp_path, batches), 2, 60.0), "limited")}
+    want = {(r.id, r.allowed, r.remaining) for r in streams.limit_requests(spark.createDataFrame(all_rows, shape), 2, 60.0).collect()}
+    assert got == want and len(got) == 60
+    key = spark.createDataFrame([(None, "1.2.3.4, 5.6.7.8", "9.9.9.9", "/a"), ("u", None, None, "/a"), (None, " ", None, "/b")], "u string, x string, a string, p string")
+    assert [r.k for r in key.select(streams.client_key(*map(F.col, "uxap")).alias("k")).collect()] == ["1.2.3.4:/a", "u:/a", "unknown:/b"]
+
+
+def test_streamed_votes(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    shape = "proposal_id long, voter_id long, vote string, ts timestamp"
+    at = lambda p, v, vote, s: (p, v, vote, t0 + dt.timedelta(seconds=s))
+    batches = [
+        [at(1, 1, "APPROVE", 0), at(2, 1, "APPROVE", 0), at(3, 1, "APPROVE", 1)],
+        [at(1, 2, "APPROVE", 2), at(2, 1, "REJECT", 2), at(2, 2, "REJECT", 3), at(1, 3, "REJECT", 4)],
+        [at(9, 1, "ABSTAIN", 500)],
+        [at(9, 2, "ABSTAIN", 501), at(1, 4, "REJECT", 501)],
+    ]
+    stream = _stream(spark, tmp_path, [spark.createDataFrame(b, shape) for b in batches])
+    got = {(r.proposal_id, r.decision, r.approve, r.reject) for r in _drain(streams.tally_stream(stream, 2, 5.0, "1 second"), "tallied")}
+    assert got == {(1, "approved", 2, 1), (2, "rejected", 0, 2), (3, "timeout", 1, 0)}
+
+
+def test_streamed_changes_make_a_log(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    shape = "id long, e string, a string, v string, op string, ts timestamp"
+    rows = [[(1, "x", "name", "v1", "add", t0), (1, "x", "name", "v1", "add", t0)], [(2, "x", "name", "v2", "add", t0), (1, "x", "name", "v1", "add", t0)]]
+    (tmp_path / "in").mkdir()
+    stream = _stream(spark, tmp_path / "in", [spark.createDataFrame(r, shape) for r in rows])
+    q = streams.ingest_stream(stream, str(tmp_path / "log"), str(tmp_path / "check"))
+    q.processAllAvailable()
+    q.stop()
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert {(r.v, r.tx, r.op) for r in log.collect()} == {("v1", 1, "add"), ("v1", 2, "retract"), ("v2", 2, "add")}
+    assert [r.v for r in timetravel.as_of(log).collect()] == ["v2"]

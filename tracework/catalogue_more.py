@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracework.catalogue_views import _TYPED, _WALK, _node, _stamp, _typed
+from tracework.catalogue_views import _DECIDED, _TYPED, _node, _stamp, _transfers, _typed
 from tracework.functions import ids
-from tracework.operators import access, graph, ledger, lineage, lookup, quality, stats, timetravel, views
+from tracework.operators import access, bridge, confidence, graph, ledger, lineage, lookup, quality, stats, timetravel, views
 from tracework.oracles import _id, _uuid3, _with
 from tracework.plans import model
+from tracework.plans.materialize import materialize
 from tracework.sources import files, rdf, turtle
 
 QUERIES: dict = {}
@@ -594,3 +595,98 @@ def fd2_recall_graph(spark, d):
         row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@_query(_with("entity activity", """, s as (select entity_id, entity_type is not null as t, activity_id is not null as a, started_at <= ended_at as o, product_name like 'r%' as p
+    from entity left join activity on activity_id = was_generated_by)
+  select entity_id, round((0.15 + case when t then 0.1 else 0 end + case when a then 0.25 + 0.2 + 0.2 + case when o then 0.1 else 0 end else 0 end + case when t then 0.5 else 0 end)
+      / (0.15 + 0.1 + 0.25 + 0.5 + case when a then 0.4 + case when o is not null then 0.1 else 0 end else 0 end), 6) as confidence from s""").replace(") , s as", "), s as"))
+def cf5_policy_weight(spark, d):
+    """The caller's own policy signal (here: the type is known) and its weight."""
+    signals = confidence.evidence(model.entities(spark, d), model.activities(spark, d), model.edges(spark, d), F.col("entity_type").isNotNull())
+    return confidence.score(signals, {"policy_present": 0.5}).select("entity_id", F.round("confidence", 6).alias("confidence"))
+
+
+@_query(_with("entity", "select entity_id as e, entity_type, batch, case when p_partkey % 3 = 0 then 'renamed' else product_name end as product_name from entity where p_partkey % 4 <> 1"))
+def src13_write_batches(spark, d):
+    """Entities created, a third renamed, a quarter deleted: three batches, read back."""
+    e = model.entities(spark, d)
+    log = spark.createDataFrame([], "e string, a string, v string, tx long, op string")
+    batches = (
+        timetravel.assertions(e, "entity_id", ["entity_type", "batch", "product_name"]),
+        timetravel.assertions(e.where("p_partkey % 3 = 0").select("entity_id", F.lit("renamed").alias("product_name")), "entity_id"),
+        timetravel.removals(e.where("p_partkey % 4 = 1").select("entity_id")),
+    )
+    for tx, batch in enumerate(batches, 1):
+        log = log.unionByName(materialize(timetravel.apply_changes(log, batch, tx)))
+    return timetravel.wide(timetravel.as_of(log), ["entity_type", "batch", "product_name"])
+
+
+@_query(f"""select 'agent' as kind, {_uuid3("'uht-seed/agent/'||n_name")} as id, 'organization/'||n_name as type, case when n_nationkey % 3 = 0 then 'at '||n_name when n_nationkey % 3 = 1 then 'D, P' else 'Unknown Location' end as label from nation
+  union all select 'entity', {_uuid3("'uht-seed/entity/'||p_partkey")}, case when p_partkey % 2 = 0 then 'product/'||p_type else p_partkey::varchar end, p_name from part
+  union all select 'edge', {_uuid3("'uht-seed/activity/'||(p_partkey % 10)")}, 'used', {_uuid3("'uht-seed/entity/'||p_partkey")} from part""")
+def src14_sample(spark, d):
+    n, p = model.table(spark, d, "nation"), model.table(spark, d, "part")
+    text = lambda c: F.col(c).cast("string")
+    attributes = lambda **kw: F.map_from_arrays(F.array(*map(F.lit, kw)), F.array(*kw.values()))
+    k = F.col("n_nationkey") % 3
+    docs = {
+        "agents": n.select(F.col("n_name").alias("key"), attributes(
+            type=F.concat(F.lit("organization/"), "n_name"), address=F.when(k == 0, F.concat(F.lit("at "), "n_name")), district=F.when(k == 1, "D"), province=F.when(k == 1, "P"), name=F.col("n_name")).alias("attributes")),
+        "products": p.select(text("p_partkey").alias("key"), attributes(type=F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("product/"), "p_type")), batch=F.col("p_brand"), product=F.col("p_name")).alias("attributes")),
+        "activities": p.where("p_partkey < 10").select(text("p_partkey").alias("key"), attributes(started_at=F.lit("2024-01-01")).alias("attributes")),
+    }
+    links = p.select((F.col("p_partkey") % 10).cast("string").alias("activity"), F.lit("used").alias("rel"), text("p_partkey").alias("other"))
+    made = files.load_sample(docs, links)
+    row = lambda df, kind, *c: df.select(F.lit(kind).alias("kind"), *(F.col(x).alias(y) for x, y in zip(c, ("id", "type", "label"))))
+    out = row(made["agents"], "agent", "agent_id", "agent_type", "location").unionByName(row(made["entities"], "entity", "entity_id", "entity_type", "product_name"))
+    return out.unionByName(row(made["edges"], "edge", "src", "rel", "dst"))
+
+
+@_query("""with p as (select event_type, row_number() over w - 1 as position, event_id, value > lag(value) over w and value > lead(value) over w as top, value from events window w as (partition by event_type order by event_id))
+  select event_type, position, event_id, value from p where top""")
+def win2_positions(spark, d):
+    return stats.optima(model.table(spark, d, "events"), "event_type", "event_id", "value")
+
+
+@_query(_with("policy", """select resource_id, concat_ws('; ', case when resource_id % 7 = 0 then 'missing owner_id' end, case when resource_id % 5 = 0 then 'unknown visibility' end, case when resource_id % 3 = 0 then 'ends before it starts' end) as faults from policy"""))
+def val25_policy_faults(spark, d):
+    k = F.col("resource_id")
+    p = model.policies(spark, d).withColumns({
+        "owner_id": F.when(k % 7 != 0, F.col("owner_id")), "visibility": F.when(k % 5 == 0, "hidden").otherwise(F.col("visibility")),
+        "valid_from": F.when(k % 3 == 0, F.lit("2025-01-01").cast("timestamp")).otherwise(F.col("valid_from")),
+    })
+    return access.policy_faults(p)
+
+
+@_query("""select c_custkey as id, case when c_custkey % 4 = 0 then 'empty location' when c_custkey % 4 = 1 and c_custkey % 3 <> 0 then 'location without lat and lng' when c_custkey % 4 = 2 then 'location is neither text nor map' end as fault from customer""")
+def val9_locations(spark, d):
+    k = F.col("c_custkey")
+    kind = F.element_at(F.array(*map(F.lit, ("text", "map", "other", "null"))), (k % 4 + 1).cast("int"))
+    place = F.when(k % 4 == 0, "").when(k % 3 == 0, '{"lat":1,"lng":2}').otherwise('{"lat":1}')
+    return model.table(spark, d, "customer").select(k.alias("id"), quality.location_fault(place, kind).alias("fault"))
+
+
+@_query("""select event_id, round(greatest(0.0, least(1.0, value / 50.0)), 6) as linear, round(1 / (1 + exp(-0.1 * (value - 25))), 6) as curve,
+  round(greatest(0.0, (0.6 * greatest(0.0, least(1.0, value / 50.0)) + 0.4 * greatest(0.0, least(1.0, (100 - value) / 100.0))) - 0.2), 6) as combined,
+  case when length(props) > 9 then 'too long' when props like '%7%' then 'suspicious' end as screened, case when event_id % 2 = 0 then strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') end as day,
+  case event_id % 4 when 0 then 'bigint' when 1 then 'timestamp' when 2 then 'boolean' else 'string' end as kind, regexp_matches(md5(props)||md5(event_type), '^[0-9a-f]{64}$') as hex from events""")
+def sc_scalars(spark, d):
+    x, k = F.col("value"), F.col("event_id")
+    linear, inverse = ids.normalise_linear(x, F.lit(0.0), F.lit(50.0)), ids.normalise_linear(x, F.lit(0.0), F.lit(100.0), True)
+    text = F.when(F.col("props").contains("7"), F.concat(F.lit("<script"), F.lpad(F.lit(""), 1, " "))).otherwise(F.lit("ok"))
+    day = F.when(k % 2 == 0, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.lit("no date"))
+    kind = F.element_at(F.array(*map(F.lit, ("x#integer", "x#dateTime", "x#boolean", "x#other"))), (k % 4 + 1).cast("int"))
+    return model.table(spark, d, "events").select(
+        "event_id", F.round(linear, 6).alias("linear"), F.round(ids.sigmoid(x, 0.1, 25.0), 6).alias("curve"),
+        F.round(ids.combined_score([(linear, 0.6), (inverse, 0.4)], F.lit(0.2)), 6).alias("combined"),
+        F.when(F.length("props") > 9, ids.suspicious(F.lit("x" * 10), 9)).otherwise(ids.suspicious(text, 9)).alias("screened"),
+        F.date_format(ids.instant(day), "yyyy-MM-dd HH:mm:ss").alias("day"), ids.xsd_type(kind).alias("kind"),
+        ids.is_hex64(F.concat(F.md5("props"), F.md5("event_type"))).alias("hex"),
+    )
+
+
+@_query(_with("entity edge", """select case when transfer_id % 2 = 0 then 'a' else 'b' end as source, status, count(*) as n, coalesce(sum(case when status = 'pending' then 2 - signed end), 0)::bigint as signatures_needed from w group by 1, 2""", more=_DECIDED))
+def br4_by_source(spark, d):
+    decided = bridge.decide(_transfers(spark, d), 2).withColumn("source", F.when(F.col("transfer_id") % 2 == 0, "a").otherwise("b"))
+    return bridge.summary(decided, "source")

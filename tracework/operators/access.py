@@ -176,3 +176,15 @@ def request_faults(requests: DataFrame) -> DataFrame:
         F.when(~F.col("requested_action").isin(*ACTIONS), "unknown action"),
     ))
     return requests.select("request_id", F.array_join(bad, "; ").alias("faults"))
+
+
+def policy_faults(policies: DataFrame) -> DataFrame:
+    """``resource_id, faults``: what keeps a policy from being well formed, in order."""
+    need = ("owner_id", "visibility")
+    late = F.col("valid_from").isNotNull() & F.col("valid_until").isNotNull() & (F.col("valid_from") > F.col("valid_until"))
+    bad = F.array_compact(F.array(
+        *(F.when(F.col(c).isNull(), f"missing {c}") for c in need),
+        F.when(~F.col("visibility").isin(*VISIBILITIES), "unknown visibility"),
+        F.when(late, "ends before it starts"),
+    ))
+    return policies.select("resource_id", F.array_join(bad, "; ").alias("faults"))

@@ -60,27 +60,21 @@ def derive_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 6, max_pa
     least one finished one that sorts after it and before its later siblings, so
     keeping that many of the smallest in each round loses none of them.
     """
-    step = materialize(edges.select(F.col("src").alias("node"), F.col("dst").alias("parent")).distinct())
+    # Of a node's parents the smallest suffice: as many as are kept, and as many more as a path may hold already.
+    rank = F.row_number().over(W.partitionBy("node").orderBy("parent"))
+    parents = edges.select(F.col("src").alias("node"), F.col("dst").alias("parent")).where("parent is not null").distinct()
+    parents = parents.withColumn("r", rank).where(F.col("r") <= max_paths + max_depth)
+    step = materialize(parents.groupBy("node").agg(F.array_sort(F.collect_list("parent")).alias("parents")))
     rows = starts.select(F.col(starts.columns[0]).alias("start")).distinct().select("start", F.array("start").alias("path"), F.lit(False).alias("done"))
     for _ in range(max_depth - 1):
-        node = F.element_at("path", -1)
-        open_ = rows.where("not done").withColumn("node", node)
-        grown = (
-            open_.join(step, "node", "left")
-            .where(F.col("parent").isNull() | ~F.array_contains("path", F.col("parent")))
-            .select("start", "path", "parent")
-        )
-        moved = grown.select(
-            "start",
-            F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat("path", F.array("parent"))).alias("path"),
-            F.col("parent").isNull().alias("done"),
-        )
-        stuck = open_.join(
-            grown.select("start", "path"), ["start", "path"], "left_anti"
-        ).select("start", "path", F.lit(True).alias("done"))
-        every = rows.where("done").unionByName(moved).unionByName(stuck)
-        rank = F.row_number().over(W.partitionBy("start").orderBy("path"))
-        rows = materialize(every.withColumn("r", rank).where(F.col("r") <= max_paths).drop("r"))
+        open_ = rows.where("not done").withColumn("node", F.element_at("path", -1)).join(step, "node", "left")
+        free = F.coalesce(F.filter("parents", lambda p: ~F.array_contains("path", p)), F.expr("slice(path, 1, 0)"))
+        ended = F.array(F.struct(F.col("path").alias("path"), F.lit(True).alias("done")))
+        on = F.transform("free", lambda p: F.struct(F.concat("path", F.array(p)).alias("path"), F.lit(False).alias("done")))
+        moved = open_.withColumn("free", free).select("start", F.explode(F.when(F.size("free") == 0, ended).otherwise(on)).alias("x")).select("start", "x.*")
+        every = rows.where("done").unionByName(moved)
+        order = F.row_number().over(W.partitionBy("start").orderBy("path"))
+        rows = materialize(every.withColumn("r", order).where(F.col("r") <= max_paths).drop("r"))
     return rows.select("start", "path")
 
 

@@ -51,6 +51,20 @@ def wide(current: DataFrame, attributes: list[str], many: tuple[str, ...] = ())
     )
 
 
+def assertions(rows: DataFrame, key: str, attributes: list[str] | None = None) -> DataFrame:
+    """Changes ``e, a, v, op`` that assert the columns of wide rows (all but the key, unless named); a null asserts nothing."""
+    names = [c for c in rows.columns if c != key] if attributes is None else attributes
+    pairs = F.array(*(F.struct(F.lit(c).alias("a"), F.col(c).cast("string").alias("v")) for c in names))
+    each = rows.select(F.col(key).cast("string").alias("e"), F.explode(pairs).alias("x"))
+    return each.select("e", "x.a", "x.v", F.lit("add").alias("op")).where("e is not null and v is not null")
+
+
+def removals(ids: DataFrame) -> DataFrame:
+    """Changes that take entities (first column) away whole."""
+    null = F.lit(None).cast("string")
+    return ids.select(F.col(ids.columns[0]).cast("string").alias("e"), null.alias("a"), null.alias("v"), F.lit("retract-entity").alias("op"))
+
+
 def resolve(now: DataFrame, changes: DataFrame, identity: tuple[str, ...]) -> DataFrame:
     """Changes whose entity asserts an identity that another one holds already go to that one (upsert)."""
     held = now.where(F.col("a").isin(*identity)).groupBy("a", "v").agg(F.min("e").alias("held"))

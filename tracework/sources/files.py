@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracework.functions.ids import uuid3
+
 #: Fields of a recall record; all are text.
 RECALL = (
     "recall_number string, event_id string, recalling_firm string, product_description string, city string, state string, country string, "
@@ -129,3 +131,32 @@ def located(location: Column, address: str = "address", district: str = "distric
     """A place given as a map of texts: its address, else district and province, else ``Unknown Location``."""
     area = F.concat_ws(", ", location[district], location[province])
     return F.coalesce(location[address], F.when(area != "", area), F.lit("Unknown Location"))
+
+
+#: Classes of the sample's agents and products by key; others keep the key.
+TYPES = {"farmer": "organization/farm", "manufacturer": "organization/manufacturer", "retailer": "organization/retailer", "raw-milk": "product/batch"}
+
+
+def load_sample(documents: dict[str, DataFrame], links: DataFrame, seed: str = "uht-seed") -> dict[str, DataFrame]:
+    """``entities, activities, agents, edges`` of nested documents, with stable ids by key.
+
+    ``documents`` are ``agents, products, activities`` as ``read_documents`` gives
+    them; ``links`` has activity, rel (used, wasGeneratedBy or wasAssociatedWith)
+    and other, the key of the product or agent. Types and places have defaults.
+    """
+    of = lambda kind, key: uuid3(F.concat(F.lit(f"{seed}/{kind}/"), F.col(key)))
+    at = lambda name: F.col("attributes")[name]
+    names = F.create_map(*(F.lit(x) for kv in TYPES.items() for x in kv))
+    kind = F.coalesce(at("type"), names[F.col("key")], F.col("key"))
+    place = located(F.col("attributes"))
+    entities = documents["products"].select(of("entity", "key").alias("entity_id"), kind.alias("entity_type"), at("batch").alias("batch"), F.coalesce(at("product"), F.col("key")).alias("product_name"))
+    activities = documents["activities"].select(
+        of("activity", "key").alias("activity_id"), kind.alias("activity_type"), F.try_to_timestamp(at("started_at")).alias("started_at"),
+        F.try_to_timestamp(at("ended_at")).alias("ended_at"), place.alias("location"),
+    )
+    agents = documents["agents"].select(of("agent", "key").alias("agent_id"), F.coalesce(at("name"), F.col("key")).alias("agent_name"), kind.alias("agent_type"), place.alias("location"))
+    activity, entity, agent = of("activity", "activity"), of("entity", "other"), of("agent", "other")
+    made = F.col("rel") == "wasGeneratedBy"
+    other = F.when(F.col("rel") == "wasAssociatedWith", agent).otherwise(entity)
+    edges = links.select(F.when(made, entity).otherwise(activity).alias("src"), "rel", F.when(made, activity).otherwise(other).alias("dst")).distinct()
+    return {"entities": entities, "activities": activities, "agents": agents, "edges": edges}

@@ -108,6 +108,15 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
     return parse_turtle(text.select("doc", F.posexplode(F.split("value", "\r?\n")).alias("pos", "value")))
 
 
+def read_dataset(spark: SparkSession, *paths: str) -> DataFrame:
+    """``s, kind, attributes`` of all subjects of several files or folders; what they say of one subject is put together."""
+    out = None
+    for path in paths:
+        rows = read_turtle(spark, path)
+        out = rows if out is None else out.unionByName(rows)
+    return by_class(out)
+
+
 def by_class(triples: DataFrame) -> DataFrame:
     """``s, kind, attributes``: each subject with its class (entity if it has none) and a map of its other attributes."""
     kinds = {"Entity": "entity", "Activity": "activity", "Agent": "agent"}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracework.operators.access import audit, decide
+from tracework.operators.timetravel import apply_changes
 
 
 def windowed_counters(events: DataFrame, ts: str, label: str, x: str, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
@@ -50,3 +53,107 @@ def limit_requests(log: DataFrame, limit: int, window_s: float) -> DataFrame:
 
     rows = log.select(F.col("key").cast("string").alias("key"), "ts", F.col("id").cast("long").alias("id"))
     return rows.repartition("key").sortWithinPartitions("key", "ts", "id").mapInPandas(fold, schema)
+
+
+def client_key(user, forwarded, address, path):
+    """Who a limiter counts: the user, else the first forwarded address, else the address, else ``unknown``, with the path."""
+    first = F.trim(F.split(forwarded, ",")[0])
+    blank = lambda c: F.when(F.trim(c) != "", c)
+    return F.concat_ws(":", F.coalesce(blank(user), blank(first), blank(address), F.lit("unknown")), path)
+
+
+def limit_stream(log: DataFrame, limit: int, window_s: float, late: str = "10 minutes") -> DataFrame:
+    """Fixed-window limiter of a stream ``key, ts, id``: as ``limit_requests``, with reset time and seconds to wait.
+
+    One window is held for each key and let go once the watermark passes its end.
+    Rows of a key fold in order of time within a batch; batches in their order.
+    """
+    schema = "key string, ts timestamp, id long, allowed boolean, remaining int, reset timestamp, retry_s double"
+    width = pd.Timedelta(seconds=window_s)
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start, count = state.get if state.exists else (None, 0)
+        start = None if start is None else pd.Timestamp(start)
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        out = []
+        for t, i in zip(rows["ts"], rows["id"]):
+            if start is None or t > start + width:
+                start, count = t, 0
+            ok = count < limit
+            count += ok
+            wait = 0.0 if ok else (start + width - t).total_seconds()
+            out.append((key[0], t, i, ok, limit - count, start + width, wait))
+        state.update((start.to_pydatetime(), count))
+        end = int((start + width).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["key", "ts", "id", "allowed", "remaining", "reset", "retry_s"])
+
+    rows = log.select(F.col("key").cast("string").alias("key"), "ts", F.col("id").cast("long").alias("id"))
+    return rows.withWatermark("ts", late).groupBy("key").applyInPandasWithState(
+        fold, schema, "start timestamp, n int", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def tally_stream(votes: DataFrame, quorum: int = 2, timeout_s: float = 5.0, late: str = "1 minute") -> DataFrame:
+    """Decisions of a stream of votes ``proposal_id, voter_id, vote, ts``: ``proposal_id, decision, approve, reject, total``.
+
+    The last vote of each voter counts. A proposal is approved or rejected once
+    ``quorum`` voters say so (rejection is looked at first) and gives one row
+    then; later votes change nothing. One still open when the watermark passes
+    its first vote by ``timeout_s`` gives ``timeout``.
+    """
+    schema = "proposal_id long, decision string, approve int, reject int, total int"
+
+    def counts(last: dict) -> tuple[int, int, int]:
+        said = [v for _, v in last.values()]
+        return said.count("APPROVE"), said.count("REJECT"), len(said)
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, last, done = (state.get[0], json.loads(state.get[1]), state.get[2]) if state.exists else (None, {}, False)
+        decision = None
+        if state.hasTimedOut:
+            state.remove()
+            decision = None if done else "timeout"
+        else:
+            rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+            for voter, vote, t in zip(rows["voter_id"], rows["vote"], rows["ts"]):
+                at = t.timestamp()
+                first = at if first is None else min(first, at)
+                if str(voter) not in last or last[str(voter)][0] <= at:
+                    last[str(voter)] = (at, vote)
+            approve, reject, _ = counts(last)
+            if not done and max(approve, reject) >= quorum:
+                decision, done = "rejected" if reject >= quorum else "approved", True
+            state.update((first, json.dumps(last), done))
+            state.setTimeoutTimestamp(max(int((first + timeout_s) * 1000), state.getCurrentWatermarkMs() + 1))
+        if decision:
+            yield pd.DataFrame([(key[0], decision, *counts(last))], columns=["proposal_id", "decision", "approve", "reject", "total"])
+
+    return votes.withWatermark("ts", late).groupBy("proposal_id").applyInPandasWithState(
+        fold, schema, "first double, votes string, done boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def ingest_stream(changes: DataFrame, log_path: str, checkpoint: str, ts: str = "ts", key: str = "id", late: str = "10 minutes"):
+    """Start a query that appends a stream of changes ``id, e, a, v, op, ts`` to the log in a folder.
+
+    Repeated ids within the watermark count once. A micro-batch is one
+    transaction, numbered from 1; its facts go to a folder of that number, which a
+    repeated batch writes anew, so a restart leaves no fact twice.
+    """
+    spark = changes.sparkSession
+    shape = "e string, a string, v string, tx long, op string"
+    once = changes.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+
+    def step(batch: DataFrame, number: int) -> None:
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(log_path)
+        there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+        log = spark.read.schema(shape + ", batch long").parquet(log_path) if there else spark.createDataFrame([], shape + ", batch long")
+        facts = apply_changes(log.where(F.col("batch") != number).drop("batch"), batch.select("e", "a", "v", "op"), number + 1)
+        facts.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
+
+    return once.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
