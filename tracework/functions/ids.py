@@ -88,7 +88,7 @@ def label_key(labels: Column) -> Column:
 def normalise_linear(x: Column, low: Column, high: Column, inverse: bool = False) -> Column:
     """Place of x between low and high, held to 0..1; one half where the range is nothing."""
     share = (high - x if inverse else x - low) / F.when(high != low, high - low)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)), F.lit(0.5))
+    return F.when(share.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
 
 
 def sigmoid(x: Column, steepness: float, centre: float) -> Column:
