@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tracework.llm.common import bounded_sample, map_rows
 from tracework.llm.models import BoostedTrees, Logistic
 
-#: Documents to sample, and candidates to learn from, at most.
-SAMPLE_DOCS, SAMPLE_SPANS = 4_000, 20_000
+#: Documents to sample, spans made in each, spans of its own that count as negative, and candidates to learn from, at most.
+SAMPLE_DOCS, MADE, OWN, SAMPLE_SPANS = 4_000, 4, 6, 40_000
 #: Share of right picks asked for among the held-out candidates at the threshold.
 PRECISION = 0.97
 
@@ -247,17 +247,16 @@ def made_span(r: Random) -> tuple[str, str, str, float]:
     return lead, r.choice((mark.join(words), "".join(w.title() for w in words), "".join(words) + _digits(r, "20##"))), kind, 0.0
 
 
-def examples(text: str, made: int = 2) -> list[tuple[list[float], float]]:
+def examples(text: str, made: int = MADE) -> list[tuple[list[float], float]]:
     """Training examples: spans put into the text, and spans of its own that fail their checks."""
     good, bad = base_spans(text)
     loose = proposals(text)
     labels = [_label(text, *x) for x in loose]
     known = Spans([(a, b) for a, _, b in good] + [(a, b) for (a, _, b), y in zip(loose, labels) if y is not False])
-    out = []
-    for a, kind, b in [*(x for x in bad if x[2] - x[0] > 2), *(x for x, y in zip(loose, labels) if y is False)]:
-        if not known.meets(a, b):  # what fails as one kind may be of another
-            out.append((features(text, a, kind, b), 0.0))
+    failed = [*(x for x in bad if x[2] - x[0] > 2), *(x for x, y in zip(loose, labels) if y is False)]
+    failed = [x for x in failed if not known.meets(x[0], x[2])]  # what fails as one kind may be of another
     r = Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    out = [(features(text, *x), 0.0) for x in (failed if len(failed) <= OWN else r.sample(failed, OWN))]
     for _ in range(made):
         lead, span, kind, truth = made_span(r)
         at = r.randint(0, len(text))
@@ -310,7 +309,7 @@ def learn(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tu
     held = np.arange(len(y)) % 4 == 0
     if len(np.unique(y[~held])) < 2 or len(np.unique(y[held])) < 2:
         held = np.zeros(len(y), bool)
-    trees = BoostedTrees().fit(x[~held], y[~held])
+    trees = BoostedTrees(80).fit(x[~held], y[~held])
     test = held if held.any() else ~held
     score = trees.decision(x[test])
     calibration = Logistic().fit(score[:, None], y[test], l2=0.01)
