@@ -31,7 +31,7 @@ from tracework.llm.common import map_rows
 from tracework.plans.materialize import materialize
 
 #: Documents in a block, sources at most, rows of a numbering bucket.
-BLOCK, SOURCES, BUCKET_ROWS = 16, 1_000, 4_000
+BLOCK, SOURCES, BUCKET_ROWS = 16, 1_000, 2_000
 #: Slots that the driver lays out itself, and slots of a stretch where tasks do.
 DRIVER_SLOTS, STRETCH = 100_000, 50_000
 
