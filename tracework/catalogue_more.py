@@ -331,7 +331,7 @@ def tm6_upserts_and_removals(spark, d):
   union all select 'time', (select count(*) from activity) + (select count(ended_at) from activity) union all select 'name', count(*) from agent union all select 'relation', count(*) from edge""", more=_TYPED))
 def snk1_turtle_round_trip(spark, d):
     made = turtle.class_triples(model.entities(spark, d), model.activities(spark, d), model.agents(spark, d), model.edges(spark, d), "http://example.org/prov#")
-    lines = turtle.to_turtle(made, {"prov": turtle.PREFIXES["prov"], "xsd": turtle.PREFIXES["xsd"], "exp": "http://example.org/prov#"})
+    lines = materialize(turtle.to_turtle(made, {"prov": turtle.PREFIXES["prov"], "xsd": turtle.PREFIXES["xsd"], "exp": "http://example.org/prov#"}))
     # Each line of this form stands alone, so any part of them is a document once it has the prefixes.
     head = "@prefix exp: <http://example.org/prov#> ."
     body = lines.where("part = 1").select(F.xxhash64("value").cast("string").alias("doc"), F.posexplode(F.array(F.lit(head), F.col("value"))).alias("pos", "value"))
@@ -348,7 +348,7 @@ def src3_escaped_literals(spark, d):
     null = F.lit(None).cast("string")
     o = F.concat(F.lit('"'), F.col("product_name"), F.lit('" \\'), F.col("entity_id"))
     triples = model.entities(spark, d).select(F.concat(F.lit("urn:"), "entity_id").alias("s"), F.lit("urn:p").alias("p"), o.alias("o"), F.lit("literal").alias("o_kind"), null.alias("datatype"), F.lit("en").alias("lang"))
-    return rdf.parse_ntriples(rdf.to_ntriples(triples)).select("o", "lang")
+    return rdf.parse_ntriples(materialize(rdf.to_ntriples(triples))).select("o", "lang")
 
 
 @_query(_with("entity derived edge", f"""select 'urn:'||entity_id as e, 'prov/entity-type' as a, entity_type as v, 'string' as type from entity where entity_type is not null
@@ -363,7 +363,7 @@ def src11_ingested_facts(spark, d):
         .unionByName(row(e.where("was_generated_by is not null"), turtle.PREFIXES["prov"] + "wasGeneratedBy", F.col("was_generated_by"), "uri"))
         .unionByName(row(e, "urn:key", number, "literal", F.lit(turtle.PREFIXES["xsd"] + "integer")))
     )
-    return rdf.ingest(rdf.parse_ntriples(rdf.to_ntriples(triples)), 1).select("e", "a", "v", "type")
+    return rdf.ingest(rdf.parse_ntriples(materialize(rdf.to_ntriples(triples))), 1).select("e", "a", "v", "type")
 
 
 @_query(_with("entity activity edge", """select entity_id, '{"entity_id":"'||entity_id||'"'||case when entity_type is null then '' else ',"entity_type":"'||entity_type||'"' end||',"batch":"'||batch||'","product_name":"'||product_name||'","provenance":['
