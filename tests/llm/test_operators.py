@@ -111,10 +111,48 @@ def test_quality_on_held_out_labels_and_awkward_rows(spark):
     assert {x.doc_id: x.good for x in got.where("doc_id < 0").collect()}[-1] is False
     r = got.join(l.where("doc_id % 2 = 1"), "doc_id").agg(F.avg((F.col("good").cast("int") == F.col("quality")).cast("int"))).first()[0]
     assert r > 0.97
+    assert quality.score_quality(d.where("false"), known).count() == 0
+    long = docs(spark, [(-4, "a word and one more " * 60_000, "s")] * 2)
+    assert quality.score_quality(d.unionByName(long.select(d.columns)), known).where("doc_id = -4").count() == 2
     none = quality.score_quality(more, known.where("false")).collect()
     assert {x.good for x in none if x.doc_id == -3} == {True} and all(x.p_quality is None for x in none)
 
 
+def test_co_training_equals_rounds_in_memory(spark):
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    known = l.where("doc_id % 2 = 0")
+    rows = quality.describe(d)
+    got = quality.learn(rows, known)
+    pdf = rows.toPandas()
+    best = known.toPandas().groupby("doc_id")["quality"].max()
+    rated = pdf[pdf["doc_id"].isin(best.index)].sort_values("h").drop_duplicates("doc_id").sort_values(["h", "doc_id"])
+    pool = pdf[~pdf["doc_id"].isin(best.index)].drop_duplicates("h")
+    views = lambda p: quality._views(quality._lists(p))
+    model = quality.CoTraining(*views(rated), best.loc[rated["doc_id"]].to_numpy(float))
+    a, b = views(pool)
+    h, taken = pool["h"].to_numpy(), [set(), set()]
+    for step in range(quality.ROUNDS + 1):
+        model.fit_views()
+        if step == quality.ROUNDS:
+            break
+        p, new = model.each(a, b), []
+        for view in (0, 1):
+            q = p[1 - view]
+            free = ~np.isin(h, list(taken[view]))
+            for label, order, sure, share in ((0.0, np.lexsort((h, q)), q <= 1 - quality.SURE, 1 - model.base), (1.0, np.lexsort((h, -q)), q >= quality.SURE, model.base)):
+                pick = [i for i in order if free[i] and sure[i]][: max(1, int(quality.PER_ROUND * share))]
+                new.append((view, label, sorted(pick, key=lambda i: h[i])))
+        for view in (0, 1):
+            mine = [(i, label) for v, label, picks in new if v == view for i in picks]
+            if mine:
+                at = [i for i, _ in mine]
+                model.receive(view, (a, b)[view][at], np.array([label for _, label in mine]))
+                taken[view] |= {h[i] for i in at}
+    model.combine()
+    assert model.exchanged == got.exchanged and sum(got.exchanged) > 0
+    assert all(np.allclose(x, y, atol=1e-6) for x, y in zip(model.predict(a, b), got.predict(a, b)))
+
+
 # language
 
 
