@@ -392,3 +392,13 @@ def test_streamed_changes_make_a_log(spark, tmp_path):
     log = spark.read.parquet(str(tmp_path / "log"))
     assert {(r.v, r.tx, r.op) for r in log.collect()} == {("v1", 1, "add"), ("v1", 2, "retract"), ("v2", 2, "add")}
     assert [r.v for r in timetravel.as_of(log).collect()] == ["v2"]
+
+
+def test_streamed_audit_is_the_batch_audit(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 10)
+    shape = "request_id long, requestor_id long, resource_id long, requested_action string, request_time timestamp"
+    rows = [spark.createDataFrame([(i, i % 5, i % 4, "read", t0) for i in range(k, k + 10)], shape) for k in (0, 10)]
+    pol = spark.createDataFrame([(r, r + 1, v, [2, 3], None, None) for r, v in ((0, "public"), (1, "private"), (2, "restricted"))], "resource_id long, owner_id long, visibility string, authorized_parties array<long>, valid_from timestamp, valid_until timestamp")
+    got = {tuple(r) for r in _drain(streams.access_audit(_stream(spark, tmp_path, rows), pol), "audited")}
+    want = {tuple(r) for r in streams.access_audit(rows[0].unionByName(rows[1]), pol).collect()}
+    assert got == want and len(got) == 20
