@@ -31,39 +31,51 @@ def split_rule(rule: str) -> tuple[str, str]:
     return rule[:at], rule[at:]
 
 
+def rule_finder(rules: list[tuple[str, str]]):
+    """A function from host and path to rule and verdict, or None twice: by the suffixes of the host, the longest rule first."""
+    by_host: dict[str, list[tuple[int, str, str, str]]] = {}
+    for verdict, rule in rules:
+        h, p = split_rule(rule)
+        by_host.setdefault(h, []).append((-len(rule), rule, verdict, p))
+    most = max((h.count(".") + 1 for h in by_host), default=0)
+
+    def find(h: str, p: str) -> tuple[str | None, str | None]:
+        best, at = None, len(h)
+        for _ in range(most):
+            at = h.rfind(".", 0, at)
+            for found in by_host.get(h[at + 1 :], ()):
+                if p.startswith(found[3]) and (best is None or found < best):
+                    best = found
+            if at < 0:
+                break
+        return best[1:3] if best else (None, None)
+
+    return find
+
+
 def with_rules(urls: DataFrame, rules: list[tuple[str, str]], url_col: str = "url") -> DataFrame:
     """Add ``host``, ``path``, ``rule`` and ``rule_verdict`` (null where no rule fits).
 
     A rule ``(verdict, "host/path")`` fits its host and all subdomains if the path
-    starts with the rule's; the longest wins, of equal ones the first by text.
-    Rules meet the distinct hosts by host suffix, so each URL looks only at the
-    rules of its own host. Columns of these names are replaced.
+    starts with the rule's; the longest wins, of equal ones the first by text. The
+    caller's list of rules goes to every task; a URL looks only at those of the
+    suffixes of its host, and none is moved for it. Columns of these names are replaced.
     """
     df = urls.drop("host", "path", "rule", "rule_verdict").withColumns({"host": host(F.col(url_col)), "path": path(F.col(url_col))})
-    none = F.lit(None).cast("string")
-    if not rules:
-        return df.withColumns({"rule": none, "rule_verdict": none})
-    given = urls.sparkSession.createDataFrame(
-        [(*split_rule(r), -len(r), r, v) for v, r in rules], "_host string, path string, size int, rule string, verdict string"
-    )
-    each = given.groupBy("_host").agg(F.collect_set(F.struct("size", "rule", "path", "verdict")).alias("_rules"))
-    labels, most = F.split("host", "[.]"), max(split_rule(r)[0].count(".") + 1 for _, r in rules)
-    first = F.greatest(F.size(labels) - (most - 1), F.lit(1))
-    suffixes = F.transform(F.sequence(first, F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    fits = (
-        df.select("host")
-        .distinct()
-        .select("host", F.explode(suffixes).alias("_host"))
-        .join(each, "_host")
-        .groupBy("host")
-        .agg(F.flatten(F.collect_list("_rules")).alias("_rules"))
-    )
-    best = F.array_min(F.filter("_rules", lambda r: F.startswith(F.col("path"), r["path"])))
-    return (
-        df.join(fits, "host", "left")
-        .withColumn("_best", best)
-        .select(*df.columns, F.col("_best.rule").alias("rule"), F.col("_best.verdict").alias("rule_verdict"))
-    )
+    shared = urls.sparkSession.sparkContext.broadcast(rules)
+    columns = df.columns
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+    def make():
+        find = rule_finder(shared.value)
+
+        def run(r: dict) -> list:
+            found = [find(h, p) for h, p in zip(r["host"], r["path"])]
+            return [*(r[c] for c in columns), [x for x, _ in found], [v for _, v in found]]
+
+        return run
+
+    return map_rows(df, f"{schema}, rule string, rule_verdict string", make)
 
 
 def features(host_text: str, path_text: str) -> np.ndarray:
@@ -107,27 +119,21 @@ def judge(
     path, URLs of any length are read whole, and an empty table gives an empty
     result. Other columns are ignored.
     """
-    shared = urls.sparkSession.sparkContext.broadcast(learn(labelled))
+    shared = urls.sparkSession.sparkContext.broadcast((learn(labelled), rules))
     kind = urls.schema[id_col].dataType.simpleString()
 
     def make():
-        model = shared.value
+        model, find = shared.value[0], rule_finder(shared.value[1])
 
         def run(r: dict) -> list:
-            p = [None] * len(r["host"])
-            at = [k for k in range(len(p)) if model is not None]
-            if at:
-                scored = model.predict(np.stack([features(r["host"][k], r["path"][k]) for k in at]))
-                for k, q in zip(at, scored):
-                    p[k] = float(q)
-            model_verdict = ["block" if q is not None and q >= 0.5 else "allow" for q in p]
-            verdict = [v or m for v, m in zip(r["rule_verdict"], model_verdict)]
-            return [r[id_col], r["host"], r["path"], r["rule"], verdict, p]
+            found = [find(h, p) for h, p in zip(r["host"], r["path"])]
+            p = [None] * len(found)
+            if model is not None and found:
+                p = model.predict(np.stack([features(*x) for x in zip(r["host"], r["path"])])).tolist()
+            verdict = [v or ("block" if q is not None and q >= 0.5 else "allow") for (_, v), q in zip(found, p)]
+            return [r[id_col], r["host"], r["path"], [x for x, _ in found], verdict, p]
 
         return run
 
-    return map_rows(
-        with_rules(urls.select(id_col, url_col), rules, url_col).drop(url_col),
-        f"`{id_col}` {kind}, host string, path string, rule string, verdict string, p_block double",
-        make,
-    )
+    rows = urls.select(F.col(id_col), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
+    return map_rows(rows, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, p_block double", make)
