@@ -31,7 +31,7 @@ from tracework.llm.common import map_rows
 from tracework.plans.materialize import materialize
 
 #: Documents in a block, sources at most, rows of a numbering bucket.
-BLOCK, SOURCES, BUCKET_ROWS = 16, 1_000, 2_000
+BLOCK, SOURCES, BUCKET_ROWS = 16, 1_000, 1_000
 #: Slots that the driver lays out itself, and slots of a stretch where tasks do.
 DRIVER_SLOTS, STRETCH = 100_000, 50_000
 
@@ -205,19 +205,20 @@ def mix(
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"),
         F.col(id_col).alias("_id"),
     )
-    total = rows.count()
-    buckets = max(1, -(-total // BUCKET_ROWS))
-    # Buckets are ranges of the hash, so that their order is the order of the rows.
-    rows = rows.withColumn("_b", F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * buckets).cast("int"))
-    counts = materialize(rows.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("n")))
-    per_source = counts.groupBy("_s").agg(F.sum("n").alias("n")).orderBy("_s").limit(SOURCES + 1).collect()
+    spark = docs.sparkSession
+    per_source = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("n")).orderBy("_s").limit(SOURCES + 1).collect()
     if len(per_source) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
     sizes = {r["_s"]: r["n"] for r in per_source}
+    # A source has as many buckets as it has need of, so they are alike in size. They are ranges of the hash, so
+    # that their order is the order of the rows.
+    buckets = {s: -(-n // BUCKET_ROWS) for s, n in sizes.items()}
+    dealt = spark.createDataFrame(list(buckets.items()), "_s string, _nb int")  # a row for each source
+    rows = rows.join(F.broadcast(dealt), "_s").withColumn("_b", F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * F.col("_nb")).cast("int"))
+    counts = materialize(rows.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("n")))
     parts = whole_parts({s: (weights or {}).get(s, 1) for s in sizes}) if sizes else {}
     blocks = {s: -(-n // BLOCK) for s, n in sizes.items()}
 
-    spark = docs.sparkSession
     found = phases(parts, blocks)
     plan, slots = _layout(spark, found)
     mine: dict[str, list[tuple]] = {s: [] for s in sizes}
@@ -233,7 +234,7 @@ def mix(
     ).select("_s", "_b", F.coalesce("before", F.lit(0)).alias("before"))
     numbered = (
         rows.withColumn("_r", F.row_number().over(W.partitionBy("_s", "_b").orderBy("_h", "_id", F.xxhash64("_row"))))
-        .join(F.broadcast(offset) if buckets * max(1, len(sizes)) < 200_000 else offset, ["_s", "_b"])
+        .join(F.broadcast(offset) if sum(buckets.values()) < 200_000 else offset, ["_s", "_b"])
         .withColumn("_n", F.col("before") + F.col("_r") - 1)
         .withColumns({"mix_block": F.expr(f"_n div {BLOCK}"), "mix_place": F.pmod("_n", F.lit(BLOCK)).cast("int")})
         .join(F.broadcast(starts), "_s")
