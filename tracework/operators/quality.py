@@ -159,6 +159,7 @@ def chain_report(entities: DataFrame, activities: DataFrame, edges: DataFrame) -
 
 def payload_complete(payload: Column) -> Column:
     """Whether a JSON payload names an entity, an activity and an agent, each by its own key or its stand-in; false if it is no JSON object."""
+    # The keys of payloads.
     has = lambda *keys: F.coalesce(*(F.get_json_object(payload, f"$['{k}']") for k in keys)).isNotNull()
     return F.coalesce(
         has("prov/entity", "blockchain/transaction") & has("prov/activity", "prov/activity-type") & has("prov/agent", "prov/agent-type"), F.lit(False)

@@ -13,7 +13,7 @@ RECALL = (
     "distribution_pattern string, recall_initiation_date string, report_date string, termination_date string"
 )
 #: Fixed value: what the hex text of a stored record begins with once decoded.
-PAYLOAD_PREFIX = "openfda:"
+PAYLOAD_PREFIX = "OPENFDA_PRODUCT_EQUIVALENT_V1\n"
 
 
 def read_recalls(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
