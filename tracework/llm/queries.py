@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Public BPE vocabulary; a parameter of the operator.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: Public byte-level BPE vocabulary whose tokens are counted.
+TOKENS = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,6 +133,26 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tracework.llm.token_counts import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENS))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracework.llm.conversation_trie import conversation_trie
+
+    return conversation_trie(_table(spark, sf_dir, "conversations")).drop("node")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracework.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -151,6 +173,9 @@ def queries() -> dict:
             op8_url_filter,
             op9_sentencepiece,
             op10_ngram_jaccard_join,
+            op11_token_counts,
+            op12_conversation_trie,
+            op13_embedding_whitening,
             pipeline,
         )
     }

@@ -78,5 +78,32 @@ with recursive words as (
     + _COMPONENTS
     + """
 select s.doc_id, len(s.s)::bigint as n_shingles, c.component_id from shingled s join components c on c.id = s.doc_id
+""",
+    "op12_conversation_trie": """
+with convs as (select distinct conv_id as c from conversations where conv_id is not null)
+, heads as (
+  select c, c - c % 100 as base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 6 as h
+  from convs)
+, turns as (
+  select conv_id as c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as t
+  from conversations where conv_id is not null group by 1)
+, rebuilt as (
+  select h.c, coalesce(b.t[1:h.h], []) || coalesce(o.t[h.h + 1:], []) as t
+  from heads h join turns o on o.c = h.c left join turns b on b.c = h.base)
+, members as (select c, t, unnest(range(0, len(t) + 1)) as d from rebuilt)
+, prefixes as (select c, d, t[1:d] as p, len(t) = d as ends from members)
+, nodes as (
+  select d, p, min(c) as conv_id, count(*) as n_convs, list(c order by c) as ids,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '')) as ends_sha256 from prefixes group by d, p)
+, linked as (select n.*, u.conv_id as parent_conv_id from nodes n left join nodes u on u.d = n.d - 1 and u.p = n.p[1:n.d - 1])
+, childs as (select d - 1 as d, p[1:d - 1] as p, count(*) as n from nodes where d > 0 group by 1, 2)
+, own as (
+  select l.*, coalesce(k.n, 0) as n_children, case when l.d = 0 then 0 else (l.n_convs - 1) * length(l.p[l.d].text) end as saved
+  from linked l left join childs k on k.d = l.d and k.p = l.p)
+, below as (select unnest(range(0, o.d + 1)) as d, o.p, o.n_children = 0 as leaf, o.saved from own o)
+, subtree as (select d, p[1:d] as p, count(*) filter (leaf) as n_leaves, sum(saved)::bigint as saved_tokens from below group by 1, 2)
+select o.conv_id, o.d as depth, o.parent_conv_id, o.n_convs, o.n_children, s.n_leaves, s.saved_tokens, o.ends_sha256
+from own o join subtree s on s.d = o.d and s.p = o.p
 """,
 }
