@@ -95,7 +95,9 @@ def test_confidence_cases(spark):
         "activity_id string, started_at timestamp, ended_at timestamp",
     )
     e = spark.createDataFrame([(a, "wasAssociatedWith", "g") for a in ("full", "noend", "late", "nostart")], "src string, rel string, dst string")
-    got = {x.entity_id: x for x in confidence.score(confidence.evidence(ent, act, e)).collect()}
+    e = e.unionByName(spark.createDataFrame([("noagent", "wasAssociatedWith", "ghost")], "src string, rel string, dst string"))  # no such agent
+    found = confidence.contexts(ent, act, e, spark.createDataFrame([("g",)], "agent_id string"))
+    got = {x.entity_id: x for x in confidence.score(confidence.signals(found)).collect()}
     want = {"1": 1.0, "2": 0.5, "3": 1.0, "4": 1.0, "5": 0.9, "6": 0.6 / 0.9}
     assert {k: round(v.confidence, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
     assert "agent_present" in got["3"].unknown and "time_order_valid" in got["5"].missing
@@ -109,20 +111,70 @@ def test_paths_end_at_roots_and_cap(spark):
     assert [tuple(x.path) for x in one] == [("e", "m1", "s")]
 
 
-def test_access_reasons(spark):
-    pol = spark.createDataFrame(
-        [(1, 10, "restricted", [20], dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 25)), (2, 10, "private", [20], None, None), (3, 10, "public", [20], None, None)],
-        "resource_id long, owner_id long, visibility string, authorized_parties array<long>, valid_from timestamp, valid_until timestamp",
-    )
-    at = dt.datetime(2024, 1, 10)
-    cases = [(10, 2, at, "owner"), (20, 2, at, "private"), (20, 1, at, "granted"), (20, 1, dt.datetime(2024, 2, 1), "not-yet-valid"),
-             (20, 1, dt.datetime(2024, 1, 5), "not-yet-valid"), (30, 1, at, "not-authorized"), (30, 3, at, "not-authorized"), (20, 3, at, "granted"), (20, 9, at, "no-policy")]
-    req = spark.createDataFrame([(i, a, r, "read", t) for i, (a, r, t, _) in enumerate(cases)], "request_id long, requestor_id long, resource_id long, requested_action string, request_time timestamp")
-    got = {x.request_id: x for x in access.decide(req, pol).collect()}
-    assert [got[i].reason for i in range(len(cases))] == [c[3] for c in cases]
-    assert got[3].reason_strict == "expired" and got[4].reason_strict == "not-yet-valid"
+def expected_access(who, action, visibility, at):
+    """What each requestor (owner, party, stranger) gets, as a table written out by visibility, time and action."""
+    shared = action in ("read", "write", "update")
+    allowed = who == "owner" and (shared or action in ("delete", "admin")) or who == "party" and shared
+    if visibility == "public":
+        return "public" if allowed else "action-not-allowed"
+    if visibility == "private":
+        return "not-authorized" if who != "owner" else "owner" if allowed else "action-not-allowed"
+    if visibility != "restricted":
+        return "invalid-visibility"
+    if at != "inside":
+        return "not-yet-valid"
+    return "not-authorized" if who == "stranger" else "authorized" if allowed else "action-not-allowed"
+
+
+def test_access_by_action_visibility_window_and_requestor(spark):
+    schema = "resource_id long, owner_id long, visibility string, authorized_parties array<long>, valid_from timestamp, valid_until timestamp"
+    start, end = dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 25)
+    kinds = ["public", "private", "restricted", "secret", None]
+    policies = spark.createDataFrame([(i, 10, v, [20], start, end) for i, v in enumerate(kinds)], schema)
+    times = {"before": dt.datetime(2024, 1, 1), "start": start, "inside": dt.datetime(2024, 1, 10), "end": end, "after": dt.datetime(2024, 2, 1)}
+    cases = [
+        (w, a, i, t) for w in ("owner", "party", "stranger") for a in ("read", "write", "update", "delete", "admin", "dance", None) for i in range(len(kinds)) for t in times
+    ]
+    number = {"owner": 10, "party": 20, "stranger": 30}
+    rows = [(n, number[w], i, a, times[t]) for n, (w, a, i, t) in enumerate(cases)]
+    asked = "request_id long, requestor_id long, resource_id long, requested_action string, request_time timestamp"
+    got = {r.request_id: r for r in access.decide(spark.createDataFrame(rows, asked), policies).collect()}
+    assert len(got) == len(cases)
+    for n, (w, a, i, t) in enumerate(cases):
+        want = expected_access(w, a, kinds[i], t)
+        assert (got[n].reason, got[n].success) == (want, want in ("public", "owner", "authorized")), (w, a, kinds[i], t)
+        assert got[n].reason_strict == ("expired" if want == "not-yet-valid" and t in ("end", "after") else want)
+    # Windows with one end or none, a missing policy, null parties and requestors, and a policy of another resource.
+    more = spark.createDataFrame([(1, 10, "restricted", [20], None, end), (2, 10, "restricted", None, start, None), (3, 10, "restricted", [20], None, None), (4, None, "private", None, None, None)], schema)
+    odd = [(0, 20, 1, "read", times["after"]), (1, 20, 1, "read", times["before"]), (2, 10, 2, "admin", times["after"]), (3, 20, 2, "read", times["after"]), (4, 20, 3, "read", None),
+           (5, 20, 9, "read", start), (6, None, 4, "read", start), (7, 10, 1, "read", None)]
+    got = {r.request_id: r.reason for r in access.decide(spark.createDataFrame(odd, asked), more).collect()}
+    assert got == {0: "expired", 1: "authorized", 2: "authorized", 3: "not-authorized", 4: "authorized", 5: "no-policy", 6: "not-authorized", 7: "expired"}
+    pair = spark.createDataFrame([(0, 10, 7, "read", start)], asked).crossJoin(policies.where("resource_id = 0").withColumnRenamed("resource_id", "policy_resource_id"))
+    assert access.decide_pairs(pair).first().reason == "resource-mismatch"
+    mine = access.accessible(policies, {"requestor_id": 20, "requested_action": "read", "request_time": times["inside"]})
+    assert sorted(r.visibility for r in mine.collect()) == ["public", "restricted"] and mine.columns == policies.columns
+
+
+def test_roles_proofs_and_grants(spark):
+    schema = "resource_id long, owner_id long, visibility string, authorized_parties array<long>, valid_from timestamp, valid_until timestamp"
+    policies = spark.createDataFrame([(1, 10, "restricted", [20], None, None), (2, 10, "private", [20], None, None), (3, 10, "public", [20], None, None)], schema)
+    asked = "request_id long, requestor_id long, resource_id long, requested_action string, request_time timestamp"
+    requests = spark.createDataFrame([(0, 10, 1, "delete", None), (1, 20, 1, "read", None), (2, 20, 1, "write", None), (3, 30, 1, "read", None)], asked)
+    roles = spark.createDataFrame([(20, "user"), (20, "guest"), (40, "admin")], "requestor_id long, role string")
+    allowed = spark.createDataFrame([("user", "read"), ("admin", "write")], "role string, requested_action string")
+    got = {r.request_id: (r.success, r.reason) for r in access.by_roles(requests, roles, allowed, policies).collect()}
+    yes, no = (True, "role-authorized"), (False, "role-not-authorized")
+    assert got == {0: yes, 1: yes, 2: no, 3: no}
+    assert [r.requestor_id for r in access.granters_by_roles(roles).collect()] == [40]
+    decisions = access.decide(requests, policies)
+    proofs = access.proof(decisions, policies)
+    assert all(r.valid for r in access.verify_proof(proofs, decisions, policies).collect())
+    later = policies.withColumn("valid_until", F.lit("2030-01-01").cast("timestamp"))  # the window is part of the policy's digest
+    assert not any(r.valid for r in access.verify_proof(proofs, decisions, later).collect())
     changes = spark.createDataFrame([(1, 40, "grant"), (1, 20, "revoke")], "resource_id long, party long, op string")
-    assert {x.resource_id: x.authorized_parties for x in access.grant(pol, changes).collect()} == {1: [40], 2: [20], 3: [20]}
+    assert {x.resource_id: x.authorized_parties for x in access.grant(policies, changes).collect()} == {1: [40], 2: [20], 3: [20]}
+    assert {r.visibility: r.policies for r in access.policy_statistics(policies).collect()} == {"restricted": 1, "private": 1, "public": 1}
 
 
 def test_time_travel(spark):

@@ -34,7 +34,10 @@ def test_places(spark):
 
 
 def test_transfer_tests_come_in_order(spark):
-    p = bridge.payloads(spark.createDataFrame([("e", "b", "g"), ("e", "a", "h")], "entity_id string, activity_id string, agent_id string"))
+    e = spark.createDataFrame([("e", "t", "b1", "name")], "entity_id string, entity_type string, batch string, product_name string")
+    a = spark.createDataFrame([("a", "made", None), ("b", "made", None)], "activity_id string, activity_type string, started_at timestamp")
+    g = spark.createDataFrame([("g", "G", "org"), ("h", "H", "org")], "agent_id string, agent_name string, agent_type string")
+    p = bridge.payloads(spark.createDataFrame([("e", "b", "g"), ("e", "a", "h")], "entity_id string, activity_id string, agent_id string"), e, a, g)
     assert p.first().activity_id == "a"
     two, none = F.array(F.lit("x"), F.lit("y")), F.lit(None).cast("array<string>")
     cases = [
@@ -44,6 +47,7 @@ def test_transfer_tests_come_in_order(spark):
         p.withColumn("transfer_id", F.lit(4)).withColumn("signatures", two).withColumn("used", F.lit("other")),
         p.withColumn("transfer_id", F.lit(5)).withColumn("signatures", two).withColumns({"merkle_root": F.lit(None).cast("string"), "merkle_proof": F.lit(None).cast(bridge.PATH), "tx_hash": F.lit("no")}),
     ]
+    cases.append(p.withColumn("transfer_id", F.lit(6)).withColumn("signatures", two).withColumn("batch", F.lit("another")))  # the proof covers it
     rows = cases[0]
     for c in cases[1:]:
         rows = rows.unionByName(c)
@@ -51,9 +55,10 @@ def test_transfer_tests_come_in_order(spark):
     got = {r.transfer_id: (r.status, r.reason, r.needed) for r in decided.collect()}
     assert got == {
         1: ("executed", None, None), 2: ("pending", None, 2), 3: ("failed", "invalid proof", None),
-        4: ("failed", "invalid payload", None), 5: ("executed", None, None),
+        4: ("failed", "invalid payload", None), 5: ("executed", None, None), 6: ("failed", "invalid proof", None),
     }
-    assert [r.transfer_id for r in bridge.target_rows(decided, decided.where("transfer_id = 5")).collect()] == [1]
+    new = bridge.target_rows(decided, decided.where("transfer_id = 5"), "north").collect()
+    assert [(r.transfer_id, r.source_chain, r.entity_type, r.batch) for r in new] == [(1, "north", "t", "b1")]
 
 
 def test_rules_and_policy_log(spark):

@@ -244,7 +244,7 @@ def gr8_components(spark, d):
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return confidence.score(confidence.evidence(model.entities(spark, d), model.activities(spark, d), model.edges(spark, d)))
+    return confidence.score(confidence.evidence(model.entities(spark, d), model.activities(spark, d), model.edges(spark, d), model.agents(spark, d)))
 
 
 @_query
@@ -267,7 +267,25 @@ _QUERIES["cf4_best_paths"] = flagship
 
 @_query
 def val12_summary(spark, d):
-    return quality.summary(quality.validate_all(model.entities(spark, d), model.activities(spark, d), model.agents(spark, d)))
+    return quality.summary(quality.validate_all(catalogue_views.odd_entities(spark, d), model.activities(spark, d), _odd_agents(spark, d)))
+
+
+def _odd_agents(spark: SparkSession, d: str) -> DataFrame:
+    """The agents, some without a name (which is no fault) or without a type."""
+    head = F.substring("agent_id", 1, 1)
+    return model.agents(spark, d).withColumns({"agent_name": F.when(head != "a", F.col("agent_name")), "agent_type": F.when(head != "b", F.col("agent_type"))})
+
+
+@_query
+def val3_agents(spark, d):
+    return quality.validate(_odd_agents(spark, d), "agent")
+
+
+@_query
+def cf1_signals(spark, d):
+    """Signals where some agents that edges name do not exist."""
+    agents = model.agents(spark, d).where("substring(agent_id, 1, 1) in ('0', '1', '2')")
+    return confidence.evidence(model.entities(spark, d), model.activities(spark, d), model.edges(spark, d), agents).drop("policy_present")
 
 
 @_query
@@ -335,7 +353,19 @@ def acl12_audit(spark, d):
 
 @_query
 def acl13_proofs(spark, d):
-    return access.proof(_decisions(spark, d))
+    return access.proof(_decisions(spark, d), model.policies(spark, d))
+
+
+@_query
+def agg17_policy_statistics(spark, d):
+    return access.policy_statistics(model.policies(spark, d))
+
+
+@_query
+def acl4_accessible(spark, d):
+    """Policies that one requestor may write under at one time."""
+    at = F.lit("2024-01-10").cast("timestamp")
+    return access.accessible(model.policies(spark, d), {"requestor_id": 8, "requested_action": "write", "request_time": at}).select("resource_id", "owner_id", "visibility")
 
 
 @_query

@@ -541,9 +541,11 @@ def _roles(spark, d):
     return roles, spark.createDataFrame([("reader", "read"), ("editor", "write"), ("editor", "update")], "role string, requested_action string")
 
 
-@_query(_with("request", """select request_id, coalesce(requestor_id in (select c_custkey from customer) and (requested_action = 'read' or requestor_id % 3 = 0 and requested_action in ('write', 'update')), false) as success from request"""))
+@_query(_with("request policy", """select request_id, ok as success, case when ok then 'role-authorized' else 'role-not-authorized' end as reason from (select request_id,
+    coalesce(requestor_id = owner_id, false) or requestor_id in (select c_custkey from customer) and (requested_action = 'read' or requestor_id % 3 = 0 and requested_action in ('write', 'update')) as ok
+  from request r left join policy p on p.resource_id = r.resource_id)"""))
 def acl7_roles(spark, d):
-    return access.by_roles(model.requests(spark, d), *_roles(spark, d)).select("request_id", "success")
+    return access.by_roles(model.requests(spark, d), *_roles(spark, d), model.policies(spark, d)).select("request_id", "success", "reason")
 
 
 @_query(_with("request policy", """select request_id, ok as success, case when ok then 'owner-authorized' else 'owner-not-authorized' end as reason from
@@ -574,9 +576,11 @@ def acl10_policy_changes(spark, d):
     return out.select("resource_id", "visibility", _stamp("valid_from"), _stamp("valid_until"), F.array_join("authorized_parties", ",").alias("parties"))
 
 
-@_query(_with("policy", """select resource_id, sha256('{"authorized_parties":['||array_to_string(list_sort(parties), ',')||'],"owner_id":'||owner_id||',"resource_id":'||resource_id||',"visibility":"'||visibility||'"}') as policy_hash from policy"""))
+@_query(_with("proof", "select resource_id, any_value(policy_hash) as policy_hash from proof where policy_hash is not null group by 1"))
 def acl13_policy_digests(spark, d):
-    return access.policy_digest(model.policies(spark, d))
+    """Digests of the policies that some request is about."""
+    asked = model.requests(spark, d).select("resource_id")
+    return access.policy_digest(model.policies(spark, d).join(asked, "resource_id", "left_semi"))
 
 
 # Recalls
@@ -603,7 +607,7 @@ def fd2_recall_graph(spark, d):
       / (0.15 + 0.1 + 0.25 + 0.5 + case when a then 0.4 + case when o is not null then 0.1 else 0 end else 0 end), 6) as confidence from s""").replace(") , s as", "), s as"))
 def cf5_policy_weight(spark, d):
     """The caller's own policy signal (here: the type is known) and its weight."""
-    signals = confidence.evidence(model.entities(spark, d), model.activities(spark, d), model.edges(spark, d), F.col("entity_type").isNotNull())
+    signals = confidence.evidence(model.entities(spark, d), model.activities(spark, d), model.edges(spark, d), model.agents(spark, d), F.col("entity_type").isNotNull())
     return confidence.score(signals, {"policy_present": 0.5}).select("entity_id", F.round("confidence", 6).alias("confidence"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracework.functions.ids import uuid3
 from tracework.operators import access, bridge, graph, ledger, lineage, quality, stats, views
-from tracework.oracles import _id, _with
+from tracework.oracles import _id, _uuid3, _with
 from tracework.plans import model
 from tracework.plans.materialize import materialize
 
@@ -156,14 +156,18 @@ def val5_activity_agent_links(spark, d):
     (select string_agg('unknown source entity', '; ') from derived where src = entity_id and dst not in (select entity_id from entity))) as errors
   from (select *, case when p_partkey % 3 = 0 then 'product/item' else entity_type end as t, was_generated_by as g from entity))"""))
 def val11_entity_results(spark, d):
+    return quality.entity_results(odd_entities(spark, d), model.activities(spark, d), model.edges(spark, d))
+
+
+def odd_entities(spark, d):
+    """The entities, some without a name, a batch or an activity that exists."""
     key = F.col("p_partkey")
-    e = model.entities(spark, d).withColumns({
+    return model.entities(spark, d).withColumns({
         "entity_type": F.when(key % 3 == 0, "product/item").otherwise(F.col("entity_type")),
         "product_name": F.when(key % 4 != 0, F.col("product_name")),
         "batch": F.when(key % 11 == 0, "").otherwise(F.col("batch")),
         "was_generated_by": F.when(key % 13 == 0, F.concat(F.lit("x"), "was_generated_by")).otherwise(F.col("was_generated_by")),
     })
-    return quality.entity_results(e, model.activities(spark, d), model.edges(spark, d))
 
 
 #: Simple cycles of a table ``d`` (src, dst), each from its smallest node on.
@@ -223,25 +227,41 @@ def acl11_current_policies(spark, d):
     return access.current_policies(log, "event_id").select("resource_id", "owner_id", "visibility")
 
 
-@_query(_with("decision", """select request_id, case when request_id % 17 = 0 then repeat('0', 64) else p end = p as valid from (select request_id, sha256(h||'|'||case when success then 'allow' else 'deny' end||'|'||reason) as p from
-  (select *, sha256('{"requested_action":"'||requested_action||'","requestor_id":'||requestor_id||',"resource_id":'||resource_id||'}') as h from decision))"""))
+@_query(_with("proof", "select request_id, request_id % 17 <> 0 as valid from proof"))
 def acl14_verified_proofs(spark, d):
-    decisions = materialize(access.decide(model.requests(spark, d), model.policies(spark, d)))
+    policies = model.policies(spark, d)
+    decisions = materialize(access.decide(model.requests(spark, d), policies))
     changed = F.when(F.col("request_id") % 17 == 0, F.lit("0" * 64)).otherwise(F.col("proof_hash"))
-    return access.verify_proof(access.proof(decisions).withColumn("proof_hash", changed), decisions)
+    return access.verify_proof(access.proof(decisions, policies).withColumn("proof_hash", changed), decisions, policies)
 
 
 # Transfers
 
 
+def _payloads(spark, d):
+    e, a, g = model.entities(spark, d), model.activities(spark, d), model.agents(spark, d)
+    return bridge.payloads(lineage.provenance(e, a, g, model.edges(spark, d)), e, a, g)
+
+
+@_query(_with("entity activity agent edge", """, f as (select entity_id, min((activity_id, agent_id)) as r from entity join activity on activity_id = was_generated_by
+    join edge w on w.src = activity_id and w.rel = 'wasAssociatedWith' join agent on agent_id = w.dst group by 1)
+  select entity_id, activity_id, agent_id, sha256('{"activity":{"activity_id":"'||activity_id||'","activity_type":"'||activity_type||'","started_at":"'||strftime(started_at, '%Y-%m-%d %H:%M:%S')||
+    '"},"agent":{"agent_id":"'||agent_id||'","agent_name":"'||agent_name||'","agent_type":"'||agent_type||'"},"entity":{"batch":"'||batch||'","entity_id":"'||entity_id||'"'||
+    coalesce(',"entity_type":"'||entity_type||'"', '')||',"product_name":"'||product_name||'"},"relationships":{"used":"'||entity_id||'","was_associated_with":"'||agent_id||'","was_generated_by":"'||activity_id||'"}}') as tx_hash
+  from f join entity using (entity_id) join activity on activity_id = r[1] join agent on agent_id = r[2]""").replace(") , f as", "), f as"))
+def br1_payloads(spark, d):
+    return _payloads(spark, d).select("entity_id", "activity_id", "agent_id", "tx_hash")
+
+
 def _transfers(spark, d):
     e = model.entities(spark, d)
-    p = bridge.payloads(lineage.provenance(e, model.activities(spark, d), model.agents(spark, d), model.edges(spark, d))).join(e.select("entity_id", "p_partkey"), "entity_id")
+    p = _payloads(spark, d).join(e.select("entity_id", "p_partkey"), "entity_id")
     k = F.col("p_partkey")
     return p.withColumns({
         "transfer_id": k,
         "used": F.when(k % 11 != 0, F.col("used")),
         "tx_hash": F.when(k % 13 == 0, "bad").otherwise(F.col("tx_hash")),
+        "batch": F.when(k % 17 == 0, "changed").otherwise(F.col("batch")),
         "merkle_root": F.when(k % 5 != 0, F.col("merkle_root")),
         "merkle_proof": F.when(k % 5 != 0, F.col("merkle_proof")),
         "signatures": F.slice(F.array(*map(F.lit, "abc")), 1, (k % 4).cast("int")),
@@ -249,7 +269,7 @@ def _transfers(spark, d):
 
 
 _DECIDED = """t as (select distinct p_partkey as k from entity join edge on rel = 'wasAssociatedWith' and src = was_generated_by),
-  c as (select k as transfer_id, case when k % 11 = 0 then 'invalid payload' when k % 13 = 0 and k % 5 <> 0 then 'invalid proof' end as reason, k % 4 as signed from t),
+  c as (select k as transfer_id, case when k % 11 = 0 then 'invalid payload' when (k % 13 = 0 or k % 17 = 0) and k % 5 <> 0 then 'invalid proof' end as reason, k % 4 as signed from t),
   w as (select transfer_id, reason, case when reason is not null then 'failed' when signed < 2 then 'pending' else 'executed' end as status, signed from c)"""
 
 
@@ -258,10 +278,11 @@ def br2_decisions(spark, d):
     return bridge.decide(_transfers(spark, d), 2).select("transfer_id", "status", "reason", "needed")
 
 
-@_query(_with("entity edge", "select transfer_id from w where status = 'executed' and transfer_id % 6 <> 0", more=_DECIDED))
+@_query(_with("entity edge", f"""select transfer_id, 'orders' as source_chain, {_uuid3("'bridge/orders/'||transfer_id")} as entity_id, entity_type, case when transfer_id % 17 = 0 then 'changed' else batch end as batch
+  from w join entity on p_partkey = transfer_id where status = 'executed' and transfer_id % 6 <> 0""", more=_DECIDED))
 def br3_target_rows(spark, d):
     decided = materialize(bridge.decide(_transfers(spark, d), 2))
-    return bridge.target_rows(decided, decided.where("transfer_id % 6 = 0")).select("transfer_id")
+    return bridge.target_rows(decided, decided.where("transfer_id % 6 = 0"), "orders")
 
 
 @_query(_with("entity edge", "select status, count(*) as n, coalesce(sum(case when status = 'pending' then 2 - signed end), 0)::bigint as signatures_needed from w group by 1", more=_DECIDED))

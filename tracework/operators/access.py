@@ -8,39 +8,61 @@ from pyspark.sql import functions as F
 from tracework.functions.ids import uuid3
 
 
+#: What owners and listed parties may ask for, and what only owners may.
+SHARED, OWNERS = ("read", "write", "update"), ("delete", "admin")
+#: Reasons that grant.
+GRANTED = ("public", "owner", "authorized")
+
+
 def decide(requests: DataFrame, policies: DataFrame) -> DataFrame:
-    """A decision with its reason for every request.
+    """A decision with its reason for every request, by the policy of its resource (none: ``no-policy``)."""
+    p = policies.withColumn("policy_resource_id", F.col("resource_id"))
+    return decide_pairs(requests.join(p, "resource_id", "left").withColumn("_asked", F.struct(*requests.columns))).select("_asked.*", "success", "reason", "reason_strict")
+
 
-    Owners may do anything. Listed parties may act on restricted resources within
-    the window, open at both ends. A public policy lets read only its owner and
-    listed parties, as others are denied before visibility is looked at.
-    ``reason`` keeps that order of tests; ``reason_strict`` tells expired apart
-    from not yet valid.
+def decide_pairs(pairs: DataFrame) -> DataFrame:
+    """``pairs`` of a request and a policy (its resource as ``policy_resource_id``) with ``success``, ``reason`` and ``reason_strict``.
+
+    Owners may do anything, listed parties read, write and update; other actions
+    are nobody's. Visibility is looked at first: a public policy asks for an allowed
+    action only, a private one for its owner, a restricted one for a time within the
+    window (open at both ends, owners too), then for an owner or a listed party,
+    then for an allowed action. ``reason`` of a time outside the window is
+    ``not-yet-valid`` where the policy has a start, else ``expired``;
+    ``reason_strict`` tells the two apart by the time.
     """
-    p = policies.withColumn("has_policy", F.lit(True))
-    r = requests.join(p, "resource_id", "left")
-    owner = F.col("requestor_id") == F.col("owner_id")
-    party = F.coalesce(F.array_contains("authorized_parties", F.col("requestor_id")), F.lit(False))
-    restricted = F.col("visibility") == "restricted"
-    early = F.col("valid_from").isNotNull() & ~(F.col("request_time") > F.col("valid_from"))
-    late = F.col("valid_until").isNotNull() & ~(F.col("request_time") < F.col("valid_until"))
-    outside = restricted & (early | late)
+    known = lambda c: F.coalesce(c, F.lit(False))
+    owner = known(F.col("requestor_id") == F.col("owner_id"))
+    listed = owner | known(F.array_contains("authorized_parties", F.col("requestor_id")))
+    action = F.col("requested_action")
+    allowed = known((action.isin(*OWNERS) & owner) | (action.isin(*SHARED) & listed))
+    early = F.col("valid_from").isNotNull() & ~known(F.col("request_time") > F.col("valid_from"))
+    late = F.col("valid_until").isNotNull() & ~known(F.col("request_time") < F.col("valid_until"))
+    refused = F.lit("action-not-allowed")
+    restricted = (
+        F.when((early | late) & F.col("valid_from").isNotNull(), "not-yet-valid")
+        .when(early | late, "expired")
+        .when(~listed, "not-authorized")
+        .otherwise(F.when(allowed, "authorized").otherwise(refused))
+    )
     reason = (
-        F.when(F.col("has_policy").isNull(), "no-policy")
-        .when(owner, "owner")
-        .when(F.col("visibility") == "private", "private")
-        .when(~party, "not-authorized")
-        .when(outside & F.col("valid_from").isNotNull(), "not-yet-valid")
-        .when(outside, "expired")
-        .otherwise("granted")
+        F.when(F.col("policy_resource_id").isNull(), "no-policy")
+        .when(~known(F.col("policy_resource_id") == F.col("resource_id")), "resource-mismatch")
+        .when(F.col("visibility") == "public", F.when(allowed, "public").otherwise(refused))
+        .when(F.col("visibility") == "private", F.when(~owner, "not-authorized").otherwise(F.when(allowed, "owner").otherwise(refused)))
+        .when(F.col("visibility") == "restricted", restricted)
+        .otherwise("invalid-visibility")
     )
     strict = F.when((reason == "not-yet-valid") & ~early, "expired").otherwise(reason)
-    return r.select(
-        *requests.columns,
-        reason.isin("owner", "granted").alias("success"),
-        reason.alias("reason"),
-        strict.alias("reason_strict"),
-    )
+    return pairs.withColumns({"success": reason.isin(*GRANTED), "reason": reason, "reason_strict": strict})
+
+
+def accessible(policies: DataFrame, request: dict) -> DataFrame:
+    """Policies whose resource one request (requestor, action, time; a resource if it names one) may use."""
+    asked = {"requestor_id": request["requestor_id"], "requested_action": request["requested_action"], "request_time": request["request_time"]}
+    resource = F.lit(request["resource_id"]) if "resource_id" in request else F.col("resource_id")
+    pairs = policies.withColumns({"_policy": F.struct(*policies.columns), "policy_resource_id": F.col("resource_id"), "resource_id": resource})
+    return decide_pairs(pairs.withColumns({k: F.lit(v) for k, v in asked.items()})).where("success").select("_policy.*")
 
 
 def with_permissions(rows: DataFrame, key: str, decisions: DataFrame, requestor) -> DataFrame:
@@ -69,14 +91,29 @@ def access_statistics(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("requested_action").agg(F.count_if("success").alias("granted"), F.count_if(~F.col("success")).alias("denied"))
 
 
-def by_roles(requests: DataFrame, roles: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Role decisions: ``roles`` (requestor_id, role), ``allowed`` (role, requested_action); the union of a requestor's roles counts."""
+def policy_statistics(policies: DataFrame) -> DataFrame:
+    """``visibility, policies``: how many policies there are of each visibility."""
+    return policies.groupBy("visibility").agg(F.count(F.lit(1)).alias("policies"))
+
+
+def by_roles(requests: DataFrame, roles: DataFrame, allowed: DataFrame, policies: DataFrame) -> DataFrame:
+    """Role decisions: ``roles`` (requestor_id, role), ``allowed`` (role, requested_action).
+
+    The union of a requestor's roles counts; owners of a resource need no role.
+    """
     ok = roles.join(allowed, "role").select("requestor_id", "requested_action").distinct().withColumn("ok", F.lit(True))
-    return requests.join(ok, ["requestor_id", "requested_action"], "left").select(
-        *requests.columns, F.coalesce("ok", F.lit(False)).alias("success")
+    own = policies.select("resource_id", F.col("owner_id").alias("requestor_id")).distinct().withColumn("own", F.lit(True))
+    success = F.coalesce("own", "ok", F.lit(False))
+    return requests.join(ok, ["requestor_id", "requested_action"], "left").join(own, ["resource_id", "requestor_id"], "left").select(
+        *(requests[c] for c in requests.columns), success.alias("success"), F.when(success, "role-authorized").otherwise("role-not-authorized").alias("reason")
     )
 
 
+def granters_by_roles(roles: DataFrame) -> DataFrame:
+    """Requestors whose roles let them grant and revoke."""
+    return roles.where(F.col("role").isin("admin", "owner")).select("requestor_id").distinct()
+
+
 def change_policies(policies: DataFrame, changes: DataFrame) -> DataFrame:
     """Policies after changes ``resource_id, seq, op`` with ``party``, ``visibility``, ``valid_from`` and ``valid_until``.
 
@@ -124,20 +161,35 @@ def owners_only(requests: DataFrame, policies: DataFrame) -> DataFrame:
     return requests.join(own, ["resource_id", "requestor_id"], "left").select(*requests.columns, F.coalesce("own", F.lit(False)).alias("success"))
 
 
+#: The fields that digests of policies and requests cover, and the version of proofs.
+POLICY_FIELDS = ("authorized_parties", "owner_id", "permission_id", "resource_id", "resource_type", "valid_from", "valid_until", "visibility")
+REQUEST_FIELDS = ("request_context", "request_time", "requested_action", "requestor_id", "resource_id")
+PROOF_VERSION = 1
+
+
+def _json(rows: DataFrame, names: tuple[str, ...]):
+    """Sorted-key JSON of the given fields that ``rows`` has; times as UTC text, parties sorted, nulls left out."""
+    def shown(c: str):
+        if rows.schema[c].dataType.typeName().startswith("timestamp"):
+            return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c)
+        return F.array_sort(c).alias(c) if c == "authorized_parties" else F.col(c)
+
+    return F.to_json(F.struct(*(shown(c) for c in names if c in rows.columns)))
+
+
 def policy_digest(policies: DataFrame) -> DataFrame:
-    """``resource_id, policy_hash``: the digest of each policy as sorted-key JSON."""
-    shown = F.struct(F.array_sort("authorized_parties").alias("authorized_parties"), "owner_id", "resource_id", "visibility")
-    return policies.select("resource_id", F.sha2(F.to_json(shown), 256).alias("policy_hash"))
+    """``resource_id, policy_hash``: the digest of each policy as sorted-key JSON of ``POLICY_FIELDS``."""
+    return policies.select("resource_id", F.sha2(_json(policies, POLICY_FIELDS), 256).alias("policy_hash"))
 
 
-def proof(decisions: DataFrame) -> DataFrame:
-    """Decision proofs: digests of request and decision as sorted-key JSON."""
-    request = F.to_json(F.struct("requested_action", "requestor_id", "resource_id"))
-    digest = F.sha2(request, 256)
-    return decisions.select(
-        "request_id", digest.alias("request_hash"),
-        F.sha2(F.concat_ws("|", digest, F.when(F.col("success"), "allow").otherwise("deny"), "reason"), 256).alias("proof_hash"),
+def proof(decisions: DataFrame, policies: DataFrame) -> DataFrame:
+    """Decision proofs: digests of policy (null without one) and request, and of the payload that holds both with decision and reason."""
+    rows = decisions.withColumn("request_hash", F.sha2(_json(decisions, REQUEST_FIELDS), 256)).join(policy_digest(policies), "resource_id", "left")
+    payload = F.struct(
+        F.col("requested_action").alias("action"), F.when(F.col("success"), "allow").otherwise("deny").alias("decision"), "policy_hash", "reason", "request_hash",
+        "requestor_id", "resource_id", F.date_format("request_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), F.lit(PROOF_VERSION).alias("version"),
     )
+    return rows.select("request_id", "policy_hash", "request_hash", F.sha2(F.to_json(payload), 256).alias("proof_hash"))
 
 
 #: The domains of policies and requests.
@@ -161,10 +213,10 @@ def current_policies(log: DataFrame, order: str) -> DataFrame:
     return last.select("resource_id", "p.*").where("op != 'remove'").drop("op")
 
 
-def verify_proof(proofs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``request_id, valid``: whether both digests are those of the decision."""
-    again = proof(decisions).toDF("request_id", "r", "p")
-    same = (F.col("r") == F.col("request_hash")) & (F.col("p") == F.col("proof_hash"))
+def verify_proof(proofs: DataFrame, decisions: DataFrame, policies: DataFrame) -> DataFrame:
+    """``request_id, valid``: whether all digests are those of the decision, its request and its policy."""
+    again = proof(decisions, policies).toDF("request_id", "o", "r", "p")
+    same = F.col("o").eqNullSafe(F.col("policy_hash")) & (F.col("r") == F.col("request_hash")) & (F.col("p") == F.col("proof_hash"))
     return proofs.join(again, "request_id", "left").select("request_id", F.coalesce(same, F.lit(False)).alias("valid"))
 
 

@@ -16,28 +16,40 @@ WEIGHTS = {
 }
 
 
-def evidence(entities: DataFrame, activities: DataFrame, edges: DataFrame, policy: Column | None = None) -> DataFrame:
+def contexts(entities: DataFrame, activities: DataFrame, edges: DataFrame, agents: DataFrame) -> DataFrame:
+    """Each entity with what is found of its provenance: activity, times, and whether one of its agents exists."""
+    named = relation(edges, "wasAssociatedWith", "activity_id", "agent_id").join(agents.select("agent_id"), "agent_id", "left_semi")
+    has_agent = named.select("activity_id").distinct().withColumn("agent", F.lit(True))
+    acts = activities.select("activity_id", "started_at", "ended_at").join(has_agent, "activity_id", "left").withColumn("there", F.lit(True))
+    return entities.withColumn("activity_id", F.col("was_generated_by")).join(acts, "activity_id", "left")
+
+
+def signals(found: DataFrame, policy: Column | None = None) -> DataFrame:
     """Signals of each entity: true, false for missing, null for unknown.
 
-    The agent signal is null, not false, where the activity has no agents; the
-    order of times is null where one of them is missing.
+    ``found`` is what ``contexts`` gives, or the caller's own rows with
+    ``entity_id, entity_type, there, agent, started_at, ended_at``. The agent signal
+    is null, not false, where the activity has no agents that exist; the order of
+    times is null where one of them is missing. ``policy`` may use any column of ``found``.
     """
-    has_agent = relation(edges, "wasAssociatedWith", "activity_id", "a").select("activity_id").distinct().withColumn("agent", F.lit(True))
-    acts = activities.select("activity_id", "started_at", "ended_at").join(has_agent, "activity_id", "left").withColumn("there", F.lit(True))
-    joined = entities.select("entity_id", "entity_type", F.col("was_generated_by").alias("activity_id")).join(acts, "activity_id", "left")
     there = F.coalesce("there", F.lit(False))
-    return joined.select(
+    return found.select(
         "entity_id",
         F.lit(True).alias("entity_present"),
         F.col("entity_type").isNotNull().alias("entity_type"),
         there.alias("activity_present"),
-        F.col("agent").alias("agent_present"),
+        F.when(there, F.col("agent")).alias("agent_present"),
         F.when(there, F.col("started_at").isNotNull()).alias("time_start_present"),
-        (F.col("started_at") <= F.col("ended_at")).alias("time_order_valid"),
+        F.when(there, F.col("started_at") <= F.col("ended_at")).alias("time_order_valid"),
         (F.lit(None).cast("boolean") if policy is None else policy).alias("policy_present"),
     )
 
 
+def evidence(entities: DataFrame, activities: DataFrame, edges: DataFrame, agents: DataFrame, policy: Column | None = None) -> DataFrame:
+    """``signals`` of the ``contexts`` of all entities."""
+    return signals(contexts(entities, activities, edges, agents), policy)
+
+
 def score(signals: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Add ``confidence`` (weight of true among known signals, 0 if none), ``missing`` and ``unknown``."""
     w = {**WEIGHTS, **(weights or {})}

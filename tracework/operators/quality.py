@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 REQUIRED = {
     "entity": ("entity_id", "entity_type"),
     "activity": ("activity_id", "activity_type", "started_at"),
-    "agent": ("agent_id", "agent_name", "agent_type"),
+    "agent": ("agent_id", "agent_type"),
 }
+#: Types of entities that must name their product.
+PRODUCT_TYPES = ("product/batch", "product/item")
 
 
 def validate(rows: DataFrame, kind: str) -> DataFrame:
@@ -26,8 +28,26 @@ def validate(rows: DataFrame, kind: str) -> DataFrame:
     )
 
 
+def entity_errors():
+    """Faults of an entity by itself: required attributes, product and batch, as an array."""
+    return F.array_compact(F.array(
+        *(F.when(F.col(c).isNull(), f"missing {c}") for c in REQUIRED["entity"]),
+        F.when(F.col("entity_type").isin(*PRODUCT_TYPES) & F.col("product_name").isNull(), "missing product_name"),
+        F.when(F.col("batch") == "", "empty batch"),
+    ))
+
+
+def validate_entities(entities: DataFrame) -> DataFrame:
+    """``id, kind, valid, errors, warnings`` of entities by all rules but those of links."""
+    errors = entity_errors()
+    return entities.select(
+        F.col("entity_id").alias("id"), F.lit("entity").alias("kind"), (F.size(errors) == 0).alias("valid"), F.array_join(errors, "; ").alias("errors"), F.lit("").alias("warnings")
+    )
+
+
 def validate_all(entities: DataFrame, activities: DataFrame, agents: DataFrame) -> DataFrame:
-    return validate(entities, "entity").unionByName(validate(activities, "activity")).unionByName(validate(agents, "agent"))
+    """Results of everything: entities by attributes, product and batch, activities and agents by attributes."""
+    return validate_entities(entities).unionByName(validate(activities, "activity")).unionByName(validate(agents, "agent"))
 
 
 def summary(results: DataFrame) -> DataFrame:
@@ -96,10 +116,6 @@ def duplicates(rows: DataFrame, key: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-#: Types of entities that must name their product.
-PRODUCT_TYPES = ("product/batch", "product/item")
-
-
 def check_links(links: DataFrame, sources: DataFrame, targets: DataFrame, source: str = "entity", target: str = "activity") -> DataFrame:
     """``src, dst, fault``: the first fault of each link; null if none.
 
@@ -119,13 +135,8 @@ def entity_results(entities: DataFrame, activities: DataFrame, edges: DataFrame)
     acts = activities.select(F.col("activity_id").alias("was_generated_by"), F.lit(True).alias("made")).distinct()
     faults = check_derivations(edges, entities).where("fault is not null").groupBy(F.col("src").alias("entity_id"))
     rows = entities.join(acts, "was_generated_by", "left").join(faults.agg(F.array_sort(F.collect_list("fault")).alias("faults")), "entity_id", "left")
-    own = F.array_compact(F.array(
-        *(F.when(F.col(c).isNull(), f"missing {c}") for c in REQUIRED["entity"]),
-        F.when(F.col("entity_type").isin(*PRODUCT_TYPES) & F.col("product_name").isNull(), "missing product_name"),
-        F.when(F.col("batch") == "", "empty batch"),
-        F.when(F.col("was_generated_by").isNotNull() & F.col("made").isNull(), "activity not found"),
-    ))
-    errors = F.concat(own, F.coalesce("faults", F.array().cast("array<string>")))
+    unmade = F.array_compact(F.array(F.when(F.col("was_generated_by").isNotNull() & F.col("made").isNull(), "activity not found")))
+    errors = F.concat(entity_errors(), unmade, F.coalesce("faults", F.array().cast("array<string>")))
     return rows.select(F.col("entity_id").alias("id"), (F.size(errors) == 0).alias("valid"), F.array_join(errors, "; ").alias("errors"))
 
 

@@ -35,20 +35,35 @@ _CTE = {
     "policy": """select p_partkey as resource_id, p_partkey % 150 as owner_id, ['public', 'restricted', 'private'][p_size % 3 + 1] as visibility,
       [(p_partkey % 150 + 1) % 150, (p_partkey % 150 + 2) % 150] as parties from part""",
     "request": """select event_id as request_id, user_id as requestor_id, event_id % (select count(*) + 50 from part) as resource_id,
-      case event_type when 'view' then 'read' when 'click' then 'write' when 'purchase' then 'update' when 'error' then 'delete' when 'signup' then 'admin' end as requested_action, ts from events""",
-    "decided": """select r.*, case when p.resource_id is null then 'no-policy' when requestor_id = owner_id then 'owner' when visibility = 'private' then 'private'
-      when not list_contains(parties, requestor_id) then 'not-authorized'
-      when visibility = 'restricted' and not (ts > timestamp '2024-01-05' and ts < timestamp '2024-01-25') then 'not-yet-valid' else 'granted' end as reason
+      case event_type when 'view' then 'read' when 'click' then 'write' when 'purchase' then 'update' when 'error' then 'delete' when 'signup' then 'admin' end as requested_action, ts, props from events""",
+    "decided": """select r.*, p.visibility, p.resource_id is not null as known, p.owner_id is not distinct from requestor_id as own,
+      coalesce(list_contains(p.parties, requestor_id), false) as listed, ts > timestamp '2024-01-05' and ts < timestamp '2024-01-25' as inside
       from request r left join policy p on p.resource_id = r.resource_id""",
-    "decision": """select request_id, requestor_id, resource_id, requested_action, reason in ('owner', 'granted') as success, reason,
-      case when reason = 'not-yet-valid' and ts > timestamp '2024-01-05' then 'expired' else reason end as reason_strict, ts from decided""",
+    "ruled": """select *, case when not known then 'no-policy'
+      when visibility = 'public' and requested_action in ('admin', 'delete') then case when own then 'public' else 'action-not-allowed' end
+      when visibility = 'public' then case when own or listed then 'public' else 'action-not-allowed' end
+      when visibility = 'private' then case when own then 'owner' else 'not-authorized' end
+      when not inside then 'not-yet-valid' when not (own or listed) then 'not-authorized'
+      when requested_action in ('admin', 'delete') and not own then 'action-not-allowed' else 'authorized' end as reason from decided""",
+    "decision": """select request_id, requestor_id, resource_id, requested_action, reason in ('public', 'owner', 'authorized') as success, reason,
+      case when reason = 'not-yet-valid' and ts > timestamp '2024-01-05' then 'expired' else reason end as reason_strict, ts, props from ruled""",
+    "proof": f"""select d.*, o.h as policy_hash, r.h as request_hash, sha256('{{"action":"'||requested_action||'","decision":"'||case when success then 'allow' else 'deny' end||
+      coalesce('","policy_hash":"'||o.h, '')||'","reason":"'||reason||'","request_hash":"'||r.h||'","requestor_id":'||requestor_id||',"resource_id":'||d.resource_id||
+      ',"timestamp":"'||strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')||'","version":1}}') as proof_hash
+      from decision d join (select request_id, sha256('{{"request_context":'||to_json(props)||',"request_time":"'||strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')||'","requested_action":"'||
+        requested_action||'","requestor_id":'||requestor_id||',"resource_id":'||resource_id||'}}') as h from request) r on r.request_id = d.request_id
+      left join (select p_partkey as resource_id, sha256('{{"authorized_parties":['||list_sort([(p_partkey % 150 + 1) % 150, (p_partkey % 150 + 2) % 150])[1]||','||
+        list_sort([(p_partkey % 150 + 1) % 150, (p_partkey % 150 + 2) % 150])[2]||'],"owner_id":'||p_partkey % 150||',"permission_id":"'||{_id('policy', 'p_partkey')}||'","resource_id":'||p_partkey||
+        case when p_size % 10 <> 0 then ',"resource_type":"entity"' else '' end||',"valid_from":"2024-01-05T00:00:00.000000","valid_until":"2024-01-25T00:00:00.000000","visibility":"'||
+        ['public', 'restricted', 'private'][p_size % 3 + 1]||'"}}') as h from part) o on o.resource_id = d.resource_id""",
     "block": """select o_custkey as chain, row_number() over w - 1 as height, o_orderkey, sha256(o_orderkey||'|'||coalesce((lag(o_orderkey) over w)::varchar, '')) as hash
       from orders window w as (partition by o_custkey order by o_orderkey)""",
     "recall": f"""select 'F-'||p_partkey as recall_number, min((s_name, p_name, n_name, strftime(o_orderdate, '%Y%m%d'))) as r from lineitem join orders on l_orderkey = o_orderkey
       join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join part on p_partkey = l_partkey group by p_partkey""",
 }
 _NEEDS = {
-    "entity": ("gen",), "edge": ("gen", "derived"), "decided": ("policy", "request"), "decision": ("policy", "request", "decided"),
+    "entity": ("gen",), "edge": ("gen", "derived"), "decided": ("policy", "request"), "decision": ("policy", "request", "decided", "ruled"),
+    "proof": ("policy", "request", "decided", "ruled", "decision"),
 }
 
 
@@ -140,8 +155,11 @@ SQL = {
       kept as (select start, path from ends where r <= 20),
       conf as (select entity_id as id, (0.15 + case when entity_type is not null then 0.1 else 0 end + case when activity_id is not null then 0.65 + case when started_at <= ended_at then 0.1 else 0 end else 0 end)
           / (0.5 + case when activity_id is not null then 0.4 + case when ended_at is not null then 0.1 else 0 end else 0 end) as conf from entity left join activity on activity_id = was_generated_by)"""),
-    "val12_summary": _with("entity activity agent", """select 'entity' as kind, count(*) filter (entity_type is not null) as valid, count(*) filter (entity_type is null) as invalid, 0::bigint as warned from entity
-      union all select 'activity', count(*), 0, count(*) filter (started_at > ended_at) from activity union all select 'agent', count(*), 0, 0 from agent"""),
+    "val12_summary": _with("entity activity agent", """, e as (select case when p_partkey % 3 = 0 then 'product/item' else entity_type end as t, p_partkey as k from entity)
+      select 'entity' as kind, count(*) filter (t is not null and not (t = 'product/item' and k % 4 = 0) and k % 11 <> 0) as valid,
+        count(*) filter (t is null or t = 'product/item' and k % 4 = 0 or k % 11 = 0) as invalid, 0::bigint as warned from e
+      union all select 'activity', count(*), 0, count(*) filter (started_at > ended_at) from activity
+      union all select 'agent', count(*) filter (agent_id not like 'b%'), count(*) filter (agent_id like 'b%'), 0 from agent""").replace(") , e as", "), e as"),
     "val1_entities": _with("entity", "select entity_id as id, 'entity' as kind, entity_type is not null as valid, case when entity_type is null then 'missing entity_type' else '' end as errors, '' as warnings from entity"),
     "val2_activities": _with("activity", "select activity_id as id, 'activity' as kind, true as valid, '' as errors, case when started_at > ended_at then 'starts after its end' else '' end as warnings from activity"),
     "val6_derivations": _with("entity", f"""select src, dst, case when src = dst then 'self-derivation' when src not in (select entity_id from entity) then 'unknown derived entity' when dst not in (select entity_id from entity) then 'unknown source entity' end as fault
@@ -156,8 +174,13 @@ SQL = {
     "acl5_row_filter": _with("decision", "select p_partkey, p_name from part where p_partkey in (select resource_id from decision where success and requestor_id = 8)"),
     "acl6_batches": _with("decision", "select request_id // 10 as batch, bool_and(success) as authorized, count(*) filter (not success) as denied, count(*) as resources from decision group by 1"),
     "acl12_audit": _with("decision", "select " + _uuid3("'audit/'||requestor_id||'/'||resource_id||'/'||requested_action||'/'||strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')") + " as audit_id, requestor_id as actor, resource_id, requested_action, case when success then 'granted' else 'denied' end as outcome, reason from decision"),
-    "acl13_proofs": _with("decision", """select request_id, h as request_hash, sha256(h||'|'||case when success then 'allow' else 'deny' end||'|'||reason) as proof_hash from
-      (select *, sha256('{"requested_action":"'||requested_action||'","requestor_id":'||requestor_id||',"resource_id":'||resource_id||'}') as h from decision)"""),
+    "acl13_proofs": _with("proof", "select request_id, policy_hash, request_hash, proof_hash from proof"),
+    "agg17_policy_statistics": _with("policy", "select visibility, count(*) as policies from policy group by 1"),
+    "acl4_accessible": _with("policy", "select resource_id, owner_id, visibility from policy where owner_id = 8 or list_contains(parties, 8) and visibility in ('public', 'restricted')"),
+    "val3_agents": _with("agent", "select agent_id as id, 'agent' as kind, agent_id not like 'b%' as valid, case when agent_id like 'b%' then 'missing agent_type' else '' end as errors, '' as warnings from agent"),
+    "cf1_signals": _with("entity activity edge agent", """select entity_id, true as entity_present, entity_type is not null as entity_type, activity_id is not null as activity_present,
+      case when activity_id in (select src from edge join agent on agent_id = dst where rel = 'wasAssociatedWith' and substr(agent_id, 1, 1) < '3') then true end as agent_present,
+      case when activity_id is not null then started_at is not null end as time_start_present, started_at <= ended_at as time_order_valid from entity left join activity on activity_id = was_generated_by"""),
     "agg17_access_statistics": _with("decision", "select requested_action, count(*) filter (success) as granted, count(*) filter (not success) as denied from decision group by 1"),
     "tm1_as_of": _with("datom", "select e, a, v, tx from now", more="f as (select e, a, v, max(tx) filter (op = 'add') as added, max(tx) filter (op = 'retract') as gone from datom where tx <= 5000 group by 1, 2, 3), now as (select e, a, v, added as tx from (select *, row_number() over (partition by e, a order by added desc, v desc) as r from f where added is not null) where r = 1 and (gone is null or gone <= added))"),
     "tm2_since": _with("datom", "select e, a, v, tx from now", more="f as (select e, a, v, max(tx) filter (op = 'add') as added, max(tx) filter (op = 'retract') as gone from datom where tx > 5000 group by 1, 2, 3), now as (select e, a, v, added as tx from (select *, row_number() over (partition by e, a order by added desc, v desc) as r from f where added is not null) where r = 1 and (gone is null or gone <= added))"),

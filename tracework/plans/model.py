@@ -162,6 +162,8 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     owner = F.col("p_partkey") % 150
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("resource_id"),
+        _id("policy", "p_partkey").alias("permission_id"),
+        F.when(F.col("p_size") % 10 != 0, "entity").alias("resource_type"),
         owner.alias("owner_id"),
         F.element_at(F.array(F.lit("public"), F.lit("restricted"), F.lit("private")), F.col("p_size") % 3 + 1).alias("visibility"),
         F.array((owner + 1) % 150, (owner + 2) % 150).alias("authorized_parties"),
@@ -179,6 +181,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % F.col("n")).alias("resource_id"),
         action[F.col("event_type")].alias("requested_action"),
         F.col("ts").alias("request_time"),
+        F.col("props").alias("request_context"),
     )
 
 
