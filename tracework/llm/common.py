@@ -90,12 +90,15 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], lis
     return df.mapInArrow(run, struct)
 
 
-def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
-    """A deterministic sample by the hash of ``key``: about ``most`` rows, or all if there are fewer."""
+def bounded_sample(df: DataFrame, key: str | tuple[str, ...], most: int, seed: int = 0) -> DataFrame:
+    """A deterministic sample by the hash of ``key`` (one column or several): about ``most`` rows, or all if there are fewer.
+
+    Rows that are equal in all of ``key`` are in or out together, so it should tell different rows apart.
+    """
     rows = df.count()
     if rows <= most:
         return df
-    share = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11) / F.lit(float(1 << 53))
+    share = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *([key] if isinstance(key, str) else key)), 11) / F.lit(float(1 << 53))
     return df.where(share < 0.95 * most / rows)
 
 

@@ -71,7 +71,7 @@ def luhn(digits: str) -> bool:
 
 def _passes(kind: str, span: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in span.split("."))
+        return all(len(p) < 4 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in span.split(".")))
     if kind == "card":
         digits = re.sub("[^0-9]", "", span)
         return 12 <= len(digits) <= 19 and luhn(digits)
@@ -293,7 +293,7 @@ def learn(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tu
     The examples of ``SAMPLE_DOCS`` documents, picked by the hash of the id, are labelled
     as ``examples`` says. All else, the search and the threshold's use, covers all documents.
     """
-    rows = bounded_sample(docs.select(id_col, text_col).where(F.col(text_col).isNotNull()), id_col, SAMPLE_DOCS, seed=7)
+    rows = bounded_sample(docs.select(id_col, text_col).where(F.col(text_col).isNotNull()), (id_col, text_col), SAMPLE_DOCS, seed=7)
 
     def make():
         def run(r: dict) -> list:
