@@ -257,3 +257,35 @@ def test_spectrum_with_clusters():
         assert abs(vectors.T @ vectors - np.eye(8)).max() < 1e-13
         for shift in (-1.0, 0.7, 2.1, 4.1, 1e8):
             assert spectrum.above(a, shift) == (values > shift).sum()
+
+
+def test_groups_of_hot_cells_and_tokens_stay_small(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tracework.llm import embedding_dedup as dedup
+    from tracework.llm import jaccard_join as join
+
+    for module in (dedup, join):
+        monkeypatch.setattr(module, "BLOCK_ROWS", 16)
+        monkeypatch.setattr(module, "GROUP_BYTES", 8 << 10)
+    reps = spark.range(600).select(F.col("id").alias("rep"), F.lit(1).cast("long").alias("copies"), F.array(F.lit(1.0)).alias("v"))
+    cells = F.array(F.struct(F.lit(7).cast("long").alias("cell"), F.lit(True).alias("home"), F.lit(600).cast("long").alias("c")))
+    full = spark.createDataFrame([(7, 600)], "cell long, c long")
+    rows = dedup._dealt(reps, reps.select("rep", cells.alias("cells")), full).cache()
+    assert rows.count() == 600 * 38  # each vector meets all sides
+    assert rows.groupBy("bucket").count().agg(F.max("count")).first()[0] < 600
+    met = spark.range(600).select(F.lit(5).cast("long").alias("token"), F.col("id").alias("doc_id"), F.lit(600).cast("long").alias("c"), F.lit(9).cast("long").alias("place"))
+    rows = join._meetings(met).cache()
+    assert rows.count() == 600 * 38
+    assert rows.groupBy("bucket").count().agg(F.max("count")).first()[0] < 900
+
+
+def test_long_zeros_and_ids_that_tell_nothing(spark):
+    from tracework.llm import common, pii
+
+    zeros = "0" * 5000
+    rows = [(1, f"{zeros}.1.1.1 and {zeros}192.{zeros}168.0.{zeros} or {zeros}256.1.1.1"), (None, "mail a@b.cc"), (None, "ip 10.0.0.1"), (None, None)]
+    got = {r.text: [s.kind for s in r.spans] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[rows[0][1]] == ["ip", "ip"] and got["mail a@b.cc"] == ["email"]
+    same = spark.range(4000).selectExpr("cast(null as bigint) as doc_id", "cast(id as string) as text")
+    assert 700 < common.bounded_sample(same, ("doc_id", "text"), 1000).count() < 1200

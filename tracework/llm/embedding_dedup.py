@@ -30,6 +30,8 @@ from tracework.operators.components import connected_components
 from tracework.plans.materialize import materialize
 
 BLOCK_ROWS, GROUP_BYTES = 1024, 12 << 20
+#: Bytes of such a row besides its vector.
+ROW_BYTES = 190
 _DENSE = 32
 
 
@@ -124,12 +126,34 @@ def _meetings(reps: DataFrame, threshold: float, tables: int, probes: int, scale
         .groupBy("rep")
         .agg(F.collect_list(F.struct("cell", "home", "c")).alias("cells"))  # at most tables * (1 + probes)
     )
-    buckets = max(1, int((full.agg(F.sum("c")).first()[0] or 0) * 700 // GROUP_BYTES + 1))
-    of = F.when(F.col("e.c") > 2 * BLOCK_ROWS, F.ceil(F.col("e.c") / F.lit(BLOCK_ROWS))).otherwise(1)
-    rows = (
+    rows = _dealt(reps, where, full)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        dims = pdf["v"].map(len).to_numpy()
+        for d in np.unique(dims):
+            part = pdf[dims == d].sort_values("block", kind="stable")
+            out.append(_compare(part, threshold, tables, probes, scale, seed))
+        return pd.concat(out, ignore_index=True)
+
+    return rows.groupBy("bucket").applyInPandas(compare, "a long, b long, w long")
+
+
+def _dealt(reps: DataFrame, where: DataFrame, full: DataFrame) -> DataFrame:
+    """Rows ``rep, copies, v, cell, home, side, cross, block, bucket``: vectors under the blocks they are compared in.
+
+    A cell of many vectors is cut into sides, and each pair of sides makes a block;
+    its rows are dealt to as many blocks as there are sides, and the buckets are
+    counted by those rows, so that none holds much more than ``GROUP_BYTES``.
+    """
+    sides = lambda c: F.when(c > 2 * BLOCK_ROWS, F.ceil(c / F.lit(BLOCK_ROWS))).otherwise(1)
+    dealt = full.agg(F.sum(F.col("c") * sides(F.col("c")))).first()[0] or 0
+    width = reps.agg(F.avg(F.size("v"))).first()[0] or 0
+    buckets = max(1, int(dealt * (ROW_BYTES + 8 * width) // GROUP_BYTES + 1))
+    return (
         reps.join(where, "rep")
         .select("rep", "copies", "v", F.explode("cells").alias("e"))
-        .withColumn("of", of)
+        .withColumn("of", sides(F.col("e.c")))
         .withColumn("side", F.pmod(F.xxhash64("rep"), "of"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
         .select(
@@ -145,16 +169,6 @@ def _meetings(reps: DataFrame, threshold: float, tables: int, probes: int, scale
         .withColumn("bucket", F.pmod("block", F.lit(buckets)))
     )
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        dims = pdf["v"].map(len).to_numpy()
-        for d in np.unique(dims):
-            part = pdf[dims == d].sort_values("block", kind="stable")
-            out.append(_compare(part, threshold, tables, probes, scale, seed))
-        return pd.concat(out, ignore_index=True)
-
-    return rows.groupBy("bucket").applyInPandas(compare, "a long, b long, w long")
-
 
 def _compare(pdf: pd.DataFrame, threshold: float, tables: int, probes: int, scale: float, seed: int) -> pd.DataFrame:
     rep, index = np.unique(pdf["rep"].to_numpy(), return_inverse=True)

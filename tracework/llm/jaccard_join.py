@@ -48,6 +48,8 @@ _TALLY = 1 << 21
 _TALLY_PAIRS, PLACE_ROWS = 200_000, 50_000
 #: Bytes of a row under a token, with its share of the documents' own rows.
 _MEET_BYTES = 100
+#: Bytes of a pair of documents that is to be verified, in a task.
+_PAIR_BYTES = 120
 _PAIR = ["x", "y", "a", "b", "sizes", "rest", "common"]
 
 
@@ -309,22 +311,18 @@ def _tree_links(docs: DataFrame, copies: DataFrame, named: DataFrame | None, wid
     return materialize(rows.groupBy("bucket").applyInPandas(join, "a long, b long"))
 
 
-def _prefix_links(docs: DataFrame, rep: DataFrame, named: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links ``a, b`` between components, complete by prefix filtering; ``rep`` goes when it is done with."""
-    # One exchange of the tokens serves both their counts and the rows under those that are left.
-    entry = rep.select("doc_id", "component", F.explode("prefix").alias("token")).repartition("token")
-    meets = (
-        entry.groupBy("token")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"))
-        .where("lo != hi")
-        .select("token", "c", F.xxhash64("lo", "hi").alias("place"))
-    )
-    met = materialize(entry.join(meets, "token").select("token", "doc_id", "c", "place"))
+def _meetings(met: DataFrame) -> DataFrame:
+    """Rows ``bucket, doc_id, tree, side, cross`` of ``token, doc_id, c, place``: documents under the trees they meet in.
+
+    A token of many documents is cut into sides, and each pair of sides makes a
+    tree; its rows are dealt to as many trees as there are sides, and the buckets
+    are counted by those rows.
+    """
     long = met.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / F.lit(PLACE_ROWS)).alias("parts")).where("parts > 1")
     split = F.when(F.col("c") > 2 * BLOCK_ROWS, F.ceil(F.col("c") / F.lit(BLOCK_ROWS))).otherwise(1)
-    total = met.agg(F.count(F.lit(1))).first()[0]
+    total = met.agg(F.sum(split)).first()[0] or 0  # rows after they are dealt to the sides of hot tokens
     buckets = max(1, int(total * _MEET_BYTES // GROUP_BYTES + 1))
-    rows = (
+    return (
         met.join(_small(materialize(long), 24), "place", "left")
         .withColumns(
             {
@@ -339,6 +337,20 @@ def _prefix_links(docs: DataFrame, rep: DataFrame, named: DataFrame, width: int,
         .withColumn("bucket", F.pmod(F.when(F.col("of") > 1, F.col("tree")).otherwise(F.col("place")), F.lit(buckets)))
         .select("bucket", "doc_id", "tree", "side", (F.col("side") != F.col("other")).alias("cross"))
     )
+
+
+def _prefix_links(docs: DataFrame, rep: DataFrame, named: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between components, complete by prefix filtering; ``rep`` goes when it is done with."""
+    # One exchange of the tokens serves both their counts and the rows under those that are left.
+    entry = rep.select("doc_id", "component", F.explode("prefix").alias("token")).repartition("token")
+    meets = (
+        entry.groupBy("token")
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"))
+        .where("lo != hi")
+        .select("token", "c", F.xxhash64("lo", "hi").alias("place"))
+    )
+    met = materialize(entry.join(meets, "token").select("token", "doc_id", "c", "place"))
+    rows = _meetings(met)
     # A document goes to a bucket once, however many of its tokens meet there.
     null = F.lit(None)
     about = rows.select("bucket", "doc_id").distinct().join(rep.select("doc_id", "component", "n", "last", "sig"), "doc_id")
@@ -408,7 +420,8 @@ def _prefix_links(docs: DataFrame, rep: DataFrame, named: DataFrame, width: int,
     used = (
         keyed.select("key", F.col("x").alias("doc_id")).unionByName(keyed.select("key", F.col("y").alias("doc_id"))).distinct()
     )
-    buckets = _buckets(used.join(wanted.select("doc_id", "n"), "doc_id"), "8 * n + 64")
+    pair_bytes = keyed.count() * _PAIR_BYTES  # short documents make more bytes of pairs than of sets
+    buckets = max(_buckets(used.join(wanted.select("doc_id", "n"), "doc_id"), "8 * n + 64"), int(pair_bytes // GROUP_BYTES + 1))
     bucket = F.pmod("key", F.lit(buckets)).alias("bucket")
     left = keyed.select("x", "y", "a", "b", bucket)
     right = used.select("doc_id", bucket).distinct().join(sets.select("doc_id", "tokens"), "doc_id")
