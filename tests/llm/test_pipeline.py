@@ -69,3 +69,23 @@ def test_stages_on_awkward_rows(spark):
     assert counts[0] >= counts[1] >= counts[2] == counts[3] == counts[4] > 0
     last = cp.STAGES[-1][1](spark, out, SF).collect()
     assert len(last) == counts[4] and len({(r.mix_slot, r.mix_place) for r in last}) == len(last)
+
+
+def test_stages_composed_without_writes_and_interleaved_runs(spark):
+    """Lazy results of one stage go into the next, and two runs take turns, without losing each other's tables."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*cp.COLUMNS)
+    want = sorted((r.doc_id, r.n_tokens) for r in cp.run(spark, SF).select("doc_id", "n_tokens").collect())
+    one, two = docs, docs
+    for (_, a), (_, b) in zip(cp.Run().stages, cp.Run().stages):
+        one, two = a(spark, one, SF), materialize(b(spark, two, SF))
+    assert sorted((r.doc_id, r.n_tokens) for r in one.collect()) == want
+    assert sorted((r.doc_id, r.n_tokens) for r in two.collect()) == want
+
+
+def test_what_stages_wrote_goes_with_the_next_one(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*cp.COLUMNS)
+    run = cp.Run()
+    out = materialize(run.stages[0][1](spark, docs, SF))
+    before = [t._tracework_path for t in run.left]
+    run.stages[2][1](spark, out, SF)
+    assert before and not set(before) & {t._tracework_path for t in run.left}
