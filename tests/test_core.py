@@ -13,7 +13,7 @@ from tracework.functions import ids
 from tracework.operators import access, confidence, graph, ledger, quality, timetravel
 from tracework.operators.match import Query
 from tracework.sources import files, rdf, recalls, turtle
-from tracework.streaming import streams
+from tracework.streaming import ingest, streams
 
 
 def edges(spark, *pairs):
@@ -405,40 +405,13 @@ def _stream(spark, folder, batches):
     return spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(str(folder) + "/*.parquet")
 
 
-def test_streamed_limiter_is_the_batch_limiter(spark, tmp_path):
-    t0 = dt.datetime(2024, 1, 1)
-    shape = "key string, ts timestamp, id long"
-    all_rows = [("k" if i % 3 else "j", t0 + dt.timedelta(seconds=7 * i), i) for i in range(60)]
-    batches = [spark.createDataFrame(all_rows[k : k + 20], shape) for k in (0, 20, 40)]
-    got = {(r.id, r.allowed, r.remaining) for r in _drain(streams.limit_stream(_stream(spark, tmp_path, batches), 2, 60.0), "limited")}
-    want = {(r.id, r.allowed, r.remaining) for r in streams.limit_requests(spark.createDataFrame(all_rows, shape), 2, 60.0).collect()}
-    assert got == want and len(got) == 60
-    key = spark.createDataFrame([(None, "1.2.3.4, 5.6.7.8", "9.9.9.9", "/a"), ("u", None, None, "/a"), (None, " ", None, "/b")], "u string, x string, a string, p string")
-    assert [r.k for r in key.select(streams.client_key(*map(F.col, "uxap")).alias("k")).collect()] == ["1.2.3.4:/a", "u:/a", "unknown:/b"]
-
-
-def test_streamed_votes(spark, tmp_path):
-    t0 = dt.datetime(2024, 1, 1)
-    shape = "proposal_id long, voter_id long, vote string, ts timestamp"
-    at = lambda p, v, vote, s: (p, v, vote, t0 + dt.timedelta(seconds=s))
-    batches = [
-        [at(1, 1, "APPROVE", 0), at(2, 1, "APPROVE", 0), at(3, 1, "APPROVE", 1)],
-        [at(1, 2, "APPROVE", 2), at(2, 1, "REJECT", 2), at(2, 2, "REJECT", 3), at(1, 3, "REJECT", 4)],
-        [at(9, 1, "ABSTAIN", 500)],
-        [at(9, 2, "ABSTAIN", 501), at(1, 4, "REJECT", 501)],
-    ]
-    stream = _stream(spark, tmp_path, [spark.createDataFrame(b, shape) for b in batches])
-    got = {(r.proposal_id, r.decision, r.approve, r.reject) for r in _drain(streams.tally_stream(stream, 2, 5.0, "1 second"), "tallied")}
-    assert got == {(1, "approved", 2, 1), (2, "rejected", 0, 2), (3, "timeout", 1, 0)}
-
-
 def test_streamed_changes_make_a_log(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     shape = "id long, e string, a string, v string, op string, ts timestamp"
     rows = [[(1, "x", "name", "v1", "add", t0), (1, "x", "name", "v1", "add", t0)], [(2, "x", "name", "v2", "add", t0), (1, "x", "name", "v1", "add", t0)]]
     (tmp_path / "in").mkdir()
     stream = _stream(spark, tmp_path / "in", [spark.createDataFrame(r, shape) for r in rows])
-    q = streams.ingest_stream(stream, str(tmp_path / "log"), str(tmp_path / "check"))
+    q = ingest.ingest_stream(stream, str(tmp_path / "log"), str(tmp_path / "check"))
     q.processAllAvailable()
     q.stop()
     log = spark.read.parquet(str(tmp_path / "log"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracework import catalogue_more, catalogue_views
+from tracework import catalogue_more, catalogue_stored, catalogue_views
 from tracework.functions import ids
 from tracework.operators import access, confidence, graph, ledger, lineage, quality, stats, timetravel
 from tracework.operators.match import Query
@@ -465,8 +465,8 @@ def str2_limiter(spark, d):
 
 
 def queries() -> dict:
-    return {**_QUERIES, **catalogue_views.QUERIES, **catalogue_more.QUERIES}
+    return {**_QUERIES, **catalogue_views.QUERIES, **catalogue_more.QUERIES, **catalogue_stored.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {k: v for k, v in {**SQL, **catalogue_views.SQL, **catalogue_more.SQL}.items() if k in queries()}
+    return {k: v for k, v in {**SQL, **catalogue_views.SQL, **catalogue_more.SQL, **catalogue_stored.SQL}.items() if k in queries()}

@@ -46,6 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one for tables with a layout of their own; it goes when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/tracework/{uuid.uuid4().hex}"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _file_system(spark, hadoop_path).deleteOnExit(hadoop_path)
+    return path
+
+
 def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
