@@ -96,7 +96,7 @@ def str5_ingested_state(spark, d):
     return into.state()
 
 
-@_query(_with("measurement", """select 'query="'||query||'",system="'||system||'"' as labels, round(coalesce(sum(latency_ms), 0), 6) as sum, count(latency_ms) as count, count(*) filter (latency_ms <= 1) as le_1_0,
+@_query(_with("measurement", """select 'query="'||query||'",system="'||system||'"' as labels, count(*) as n, round(coalesce(sum(latency_ms), 0), 6) as sum, count(latency_ms) as count, count(*) filter (latency_ms <= 1) as le_1_0,
   count(*) filter (latency_ms <= 5) as le_5_0, count(*) filter (latency_ms <= 10) as le_10_0, count(*) filter (latency_ms <= 50) as le_50_0 from measurement group by 1"""))
 def str3_histograms(spark, d):
     """Histograms by window, merged by label map: the batch form of the stream."""

@@ -219,24 +219,33 @@ def label_key(labels: list[str]):
 
 
 def windowed_histogram(events: DataFrame, ts: str, labels: list[str], x: str, bounds: list[float], width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Cumulative buckets by window and labels: ``window_start, labels, sum, count, le_...``; for update mode.
+    """Cumulative buckets by window and labels: ``window_start, labels, n, sum, count, le_...``; for update mode.
 
-    Rows whose window the watermark has passed are dropped; ``late_rows`` counts
-    them. A null value counts in no bucket. The same over a table gives all windows.
+    ``n`` counts rows, ``count`` those with a value; a null is in no bucket. Rows
+    whose window the watermark has passed are dropped; ``late_rows`` counts them.
+    The same over a table gives all windows.
     """
     rows = events.withColumn("labels", label_key(labels)).withWatermark(ts, late)
-    return rows.groupBy(F.window(ts, width).alias("w"), "labels").agg(
-        F.coalesce(F.sum(x), F.lit(0.0)).alias("sum"), F.count(x).alias("count"), *(F.count_if(F.col(x) <= b).alias(f"le_{str(b).replace('.', '_')}") for b in bounds)
-    ).select(F.col("w.start").alias("window_start"), "labels", "sum", "count", *(f"le_{str(b).replace('.', '_')}" for b in bounds))
+    below = [F.count_if(F.col(x) <= b).alias(f"le_{str(b).replace('.', '_')}") for b in bounds]
+    made = rows.groupBy(F.window(ts, width).alias("w"), "labels").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(x), F.lit(0.0)).alias("sum"), F.count(x).alias("count"), *below
+    )
+    return made.select(F.col("w.start").alias("window_start"), *(c for c in made.columns if c != "w"))
 
 
-def merged_histograms(updates: DataFrame) -> DataFrame:
-    """One histogram for each label map from the rows that update mode gave: the last row of each window (counts only grow), added up."""
+def _last_updates(updates: DataFrame) -> DataFrame:
+    """The last row that update mode gave of each window and label map: ``n`` only grows."""
     names = [c for c in updates.columns if c not in ("window_start", "labels")]
-    last = updates.groupBy("window_start", "labels").agg(F.max_by(F.struct(*names), "count").alias("m")).select("labels", "m.*")
-    return last.groupBy("labels").agg(F.round(F.sum("sum"), 6).alias("sum"), *(F.sum(c).alias(c) for c in names if c != "sum"))
+    return updates.groupBy("window_start", "labels").agg(F.max_by(F.struct(*names), "n").alias("m")).select("labels", "m.*")
+
+
+def merged_histograms(updates: DataFrame) -> DataFrame:
+    """One histogram for each label map from the rows that update mode gave, windows added up."""
+    last = _last_updates(updates)
+    return last.groupBy("labels").agg(F.round(F.sum("sum"), 6).alias("sum"), *(F.sum(c).alias(c) for c in last.columns if c not in ("labels", "sum")))
 
 
-def late_rows(query) -> int:
-    """Rows that a running or ended query dropped as too late, over the progress it still knows."""
-    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+def late_rows(query, updates: DataFrame) -> int:
+    """Rows of a drained query that came too late: those it read, over the progress it still knows, less those in its windows."""
+    counted = _last_updates(updates).agg(F.sum("n")).first()[0] or 0
+    return sum(int(p["numInputRows"]) for p in query.recentProgress) - counted
