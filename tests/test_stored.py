@@ -163,7 +163,7 @@ def test_streamed_histograms(spark, tmp_path):
     frames = [spark.createDataFrame(b, shape) for b in batches]
     bounds = [1.0, 5.0, 10.0]
     out, query = _drained(streams.windowed_histogram(_stream(spark, tmp_path, frames), "ts", ["path", "code"], "x", bounds), "histograms", "update")
-    assert streams.late_rows(query, out) == 4
+    assert streams.late_rows(query, out) == 3
     got = {r.labels: tuple(r) for r in streams.merged_histograms(out).drop("n").collect()}
     table = spark.createDataFrame(rows + batches[3], shape)
     want = stats.histogram(table.withColumn("labels", streams.label_key(["path", "code"])), "labels", "x", bounds).collect()
