@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracework.operators.components import connected_components
-from tracework.plans.materialize import materialize
+from tracework.operators.components import forest_components
+from tracework.plans.materialize import drop, materialize
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
@@ -28,15 +28,43 @@ def neighbour_counts(edges: DataFrame) -> DataFrame:
     return both.distinct().groupBy("node", "rel").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("first"))
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, rounds: int = 10_000) -> DataFrame:
+def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``start, node, hops``: what each node reaches along ``src -> dst``, by fewest hops (``max_depth`` at most, if given).
+
+    Rounds double the length: whatever is farther than ``2 ** k`` hops is reached
+    over a node at exactly that distance, so pairs of exactly ``2 ** k`` hops meet
+    all pairs known, and every pair is made by few meetings. A round is written
+    once and stays part of the result; there are as many as the greatest distance
+    has bits. A node is its own relative only if a cycle leads back to it.
+    """
+    known = materialize(edges.select(F.col("src").alias("start"), F.col("dst").alias("node")).where("start is not null and node is not null").distinct().withColumn("hops", F.lit(1)))
+    length = 1
+    while max_depth is None or length < max_depth:
+        far = known.where(F.col("hops") == length).select("start", F.col("node").alias("over"))
+        on = known.select(F.col("start").alias("over"), "node", (F.col("hops") + length).alias("hops"))
+        if max_depth is not None:
+            on = on.where(F.col("hops") <= max_depth)
+        new = far.join(on, "over").groupBy("start", "node").agg(F.min("hops").alias("hops")).join(known, ["start", "node"], "left_anti")
+        new = materialize(new)
+        if new.isEmpty():
+            drop(new)
+            break
+        known, length = known.unionByName(new), 2 * length
+    return known
+
+
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, few: bool = False, rounds: int = 10_000) -> DataFrame:
     """``start, node, hops``: what each start reaches along ``src -> dst``, by fewest hops.
 
-    A start is among its own nodes only if a cycle leads back to it. Each round
-    joins the frontier with the edges and keeps pairs not reached before, so
-    cycles end; every round is written, so plans stay short.
+    By ``closure``, of which the starts keep their part. With ``few`` starts in a
+    large graph a frontier goes on from them instead, hop by hop: each round joins
+    it with the edges and keeps pairs not reached before, so cycles end.
     """
+    first = starts.select(F.col(starts.columns[0]).alias("start")).distinct()
+    if not few:
+        return closure(edges, max_depth).join(first, "start", "left_semi")
     step = materialize(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    frontier = starts.select(F.col(starts.columns[0]).alias("start"), F.col(starts.columns[0]).alias("node")).distinct()
+    frontier = first.withColumn("node", F.col("start"))
     done = None
     for hops in range(1, (max_depth if max_depth is not None else rounds) + 1):
         new = frontier.join(step, frontier["node"] == step["src"]).select("start", F.col("dst").alias("node")).distinct()
@@ -50,17 +78,54 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, rou
     else:
         if max_depth is None:
             raise RuntimeError(f"no end after {rounds} rounds")
+    drop(step)
     if done is None:
-        return frontier.select("start", "node", F.lit(0).alias("hops")).where("false")
+        return first.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).where("false")
     return done
 
 
-def ancestors(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
-    return reach(edges, starts, max_depth)
+def hops_between(edges: DataFrame, some: DataFrame) -> DataFrame:
+    """``start, end, hops`` for all pairs of a sample of nodes (``node``, ``i`` from 0, at most a few hundred): the fewest hops along ``src -> dst``.
+
+    Each node carries one bitmap of the sources that have reached it, as words of
+    60 bits; a round is one ``bit_or`` over the frontier's edges, whatever the
+    number of sources.
+    """
+    size = int(some.agg(F.max("i")).first()[0] or 0) + 1
+    words = [f"w{k}" for k in range(-(-size // 60))]
+    step = materialize(edges.select(F.col("src").alias("node"), "dst").where("node is not null and dst is not null").distinct())
+    bit = lambda k: F.when(F.expr(f"i div 60 = {k}"), F.expr("shiftleft(1L, cast(i % 60 as int))")).otherwise(0)
+    frontier = materialize(some.select("node", *(bit(k).cast("long").alias(w) for k, w in enumerate(words))))
+    seen, last, out = frontier, frontier, None
+    for hops in count(1):
+        met = frontier.join(step, "node").groupBy(F.col("dst").alias("node")).agg(*(F.bit_or(w).alias(w) for w in words))
+        old = seen.select("node", *(F.col(w).alias(f"old_{w}") for w in words))
+        both = met.join(old, "node", "full").select("node", *(F.coalesce(w, F.lit(0)).alias(w) for w in words), *(F.coalesce(f"old_{w}", F.lit(0)).alias(f"old_{w}") for w in words))
+        new = [F.col(w).bitwiseAND(F.bitwise_not(F.col(f"old_{w}"))).alias(w) for w in words]
+        both = materialize(both.select("node", *new, *(F.col(w).bitwiseOR(F.col(f"old_{w}")).alias(f"all_{w}") for w in words)))
+        some_new = " or ".join(f"{w} != 0" for w in words)
+        fresh = both.where(some_new).select("node", *words)
+        if fresh.isEmpty():
+            break
+        hit = materialize(fresh.join(some.select("node", F.col("i").alias("end")), "node").withColumn("hops", F.lit(hops)), 0)  # the sample's own rows at most
+        out = hit if out is None else out.unionByName(hit)
+        drop(last)
+        frontier, last = fresh, both
+        seen = both.select("node", *(F.col(f"all_{w}").alias(w) for w in words))
+    if out is None:
+        return some.select(F.col("node").alias("start"), F.col("node").alias("end"), F.lit(0).alias("hops")).where("false")
+    starts = some.select(F.col("node").alias("start"), "i")
+    at = F.expr("case " + " ".join(f"when i div 60 = {k} then {w}" for k, w in enumerate(words)) + " end")
+    pairs = out.select(F.col("node").alias("end"), "hops", *words).crossJoin(F.broadcast(starts))  # sources, a few hundred, beside the sample's rows
+    return pairs.where(at.bitwiseAND(F.expr("shiftleft(1L, cast(i % 60 as int))")) != 0).select("start", "end", "hops")
 
 
-def descendants(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
-    return reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts, max_depth)
+def ancestors(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, few: bool = False) -> DataFrame:
+    return reach(edges, starts, max_depth, few)
+
+
+def descendants(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, few: bool = False) -> DataFrame:
+    return reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts, max_depth, few)
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:
@@ -126,7 +191,7 @@ def paths_between(edges: DataFrame, pairs: DataFrame, max_depth: int | None = No
     step = materialize(edges.select(F.col("src").alias("node"), "dst").where("src is not null and dst is not null").distinct())
     pairs = materialize(pairs.select(F.col(pairs.columns[0]).alias("start"), F.col(pairs.columns[1]).alias("end")).distinct())
     ends = pairs.select("end").distinct()
-    leads = descendants(edges, ends).select(F.col("start").alias("end"), "node")
+    leads = descendants(edges, ends, few=True).select(F.col("start").alias("end"), "node")
     leads = materialize(leads.unionByName(ends.select("end", F.col("end").alias("node"))).distinct())
     own = pairs.where("start = end").select("start", "end", F.array("start").alias("path"))
     frontier = pairs.where("start != end").withColumns({"node": F.col("start"), "path": F.array("start")})
@@ -186,7 +251,7 @@ def one_hop(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> tuple[DataF
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, component`` of all nodes (first column of ``nodes``) and ends of edges; lone nodes are components."""
-    found = connected_components(edges)
+    found = forest_components(edges)
     every = (
         nodes.select(F.col(nodes.columns[0]).alias("node"))
         .unionByName(edges.select(F.col("src").alias("node")))
@@ -243,9 +308,54 @@ def cyclic_core(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
     raise RuntimeError(f"no end after {rounds} rounds")
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``node, component`` of the nodes that lie on cycles: the greatest node of each strongly connected component.
+
+    Forward and backward colouring: in the edges left by ``cyclic_core`` each node
+    takes the greatest node that leads to it; of the nodes of one colour, those that
+    lead back to the node the colour is named after are its component. They go, and
+    the rest is coloured anew. Every step is linear in the edges left.
+    """
+    left, out = cyclic_core(edges), None
+    while not left.isEmpty():
+        ends = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
+        colour = materialize(ends.withColumn("colour", F.col("node")))
+        while True:
+            into = left.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("more"))
+            new = materialize(colour.join(into, "node", "left").select("node", F.greatest("colour", "more").alias("colour"), (F.col("more") > F.col("colour")).alias("moved")))
+            moved = not new.where("moved").isEmpty()
+            drop(colour)
+            colour = new.select("node", "colour")
+            if not moved:
+                break
+        one = left.join(colour.toDF("src", "c"), "src").join(colour.toDF("dst", "d"), "dst").where("c = d").select("src", "dst", "c")
+        one = materialize(one)
+        found = frontier = materialize(colour.where("node = colour"))
+        while not frontier.isEmpty():
+            back = one.join(frontier.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), F.col("c").alias("colour")).distinct()
+            frontier = materialize(back.join(found, "node", "left_anti"))
+            found = found.unionByName(frontier)
+        found = materialize(found)
+        out = found if out is None else out.unionByName(found)
+        rest = left.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti")
+        left = cyclic_core(rest)
+    alone = edges.where("src = dst").select(F.col("src").alias("node"))
+    if out is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).where("false")
+    # A component of one node lies on a cycle only if that node is its own neighbour.
+    many = out.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("colour")
+    kept = out.join(many, "colour", "left_semi").select("node", "colour").unionByName(out.join(alone, "node", "left_semi").select("node", "colour"))
+    return kept.distinct().withColumnRenamed("colour", "component")
+
+
 def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
-    """``cycle``: simple cycles (of ``max_length`` nodes at most, if given), from the smallest id on, each once."""
-    core = materialize(cyclic_core(edges))
+    """``cycle``: simple cycles (of ``max_length`` nodes at most, if given), from the smallest id on, each once.
+
+    Paths are followed inside strongly connected components only: what lies between two cycles costs nothing.
+    """
+    own = materialize(strong_components(edges))
+    inside = edges.select("src", "dst").distinct().join(own.toDF("src", "a"), "src").join(own.toDF("dst", "b"), "dst").where("a = b")
+    core = materialize(inside.select("src", "dst"))
     step = core.select(F.col("src").alias("node"), "dst")
     loops = core.where("src = dst").select(F.array("src").alias("cycle"))
     frontier = core.select("src").distinct().select(F.col("src").alias("start"), F.col("src").alias("node"), F.array("src").alias("path"))

@@ -40,13 +40,16 @@ def timelines(edges: DataFrame, entities: DataFrame, activities: DataFrame) -> D
 
 
 def path_lengths(edges: DataFrame, nodes: DataFrame, sample: int = 100, targets: int = 50) -> DataFrame:
-    """One row: mean and greatest shortest path in nodes among the first ``sample`` ids, each with its first ``targets`` others."""
+    """One row: mean and greatest shortest path in nodes among the first ``sample`` ids of any class, each with its first ``targets`` others.
+
+    Paths lead from sources to what derives from them, over all edges given.
+    """
     some = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct().orderBy("node").limit(sample)
-    some = materialize(some.withColumn("i", F.row_number().over(W.orderBy("node"))))  # at most ``sample`` rows
+    some = materialize(some.withColumn("i", F.row_number().over(W.orderBy("node"))), 0)  # at most ``sample`` rows
     end = some.select(F.col("node").alias("end"), F.col("i").alias("j"))
     pairs = some.join(F.broadcast(end), F.col("i") != F.col("j")).where(F.col("j") <= F.when(F.col("i") <= targets, targets + 1).otherwise(targets))
-    hops = graph.descendants(edges, some.select("node")).select(F.col("start").alias("node"), F.col("node").alias("end"), "hops")
-    found = pairs.join(hops, ["node", "end"]).agg(
+    hops = graph.hops_between(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), some.select("node", (F.col("i") - 1).alias("i")))
+    found = pairs.join(hops.withColumnRenamed("start", "node"), ["node", "end"]).agg(
         F.count(F.lit(1)).alias("reachable_pairs"), F.round(F.coalesce(F.avg(F.col("hops") + 1), F.lit(0.0)), 6).alias("average_path_length"),
         F.coalesce(F.max(F.col("hops") + 1), F.lit(0)).alias("diameter"),
     )
