@@ -240,7 +240,7 @@ def gr6_simple_paths(spark, d):
 
 @_query
 def gr8_components(spark, d):
-    return graph.components(catalogue_views._typed(spark, d).select("id"), model.edges(spark, d))
+    return catalogue_views.named_components(*model.tagged(spark, d))
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:

@@ -104,12 +104,41 @@ _COMPONENTS = """both_ways as (select src as a, dst as b from edge union select
 
 @_query(_with("entity activity agent edge", """select (select count(*) from node) as nodes, (select count(distinct label) from cc) as components, (select count(*) from edge) as edges, (select count(distinct label) from cc) <= 1 as connected""", True, _TYPED + ", " + _COMPONENTS))
 def agg8_analysis(spark, d):
-    return views.analysis(_typed(spark, d).select("id"), model.edges(spark, d))
+    return views.analysis(*model.tagged(spark, d))
+
+
+def named_components(nodes, edges):
+    """``node, component`` by identifiers: components are found by numbers, and named after the least identifier in each."""
+    found = materialize(graph.components(nodes, edges).withColumn("name", model.tag_name("node")))
+    least = found.groupBy("component").agg(F.min("name").alias("least"))
+    return found.join(least, "component").select(F.col("name").alias("node"), F.col("least").alias("component"))
+
+
+_MANY = _COMPONENTS.replace("from edge union", "from part_of union").replace("from edge)", "from part_of)")
+
+
+@_query(_with("entity activity agent edge derived", "select node, label as component from cc", True,
+  _TYPED + ", part_of as (select distinct d.src, d.dst from derived d where substr(d.src, 1, 1) not in ('0', '1', '2')), " + _MANY))
+def gr8_many_components(spark, d):
+    """Components of all nodes where some derivations are the only edges: most nodes are alone, and there are many small trees."""
+    nodes, edges = model.tagged(spark, d)
+    kept = F.substring(model.tag_name("src"), 1, 1).isin("0", "1", "2")
+    return named_components(nodes, edges.where((F.col("rel") == "wasDerivedFrom") & ~kept))
+
+
+@_query(_with("entity activity agent edge", """select count(hops) as reachable_pairs, round(coalesce(avg(hops + 1), 0), 6) as average_path_length, coalesce(max(hops + 1), 0)::integer as diameter, (select count(*) from few) as sample_size
+  from few a join few b on a.i <> b.i and b.i <= case when a.i <= 50 then 51 else 50 end join w on w.start = a.node and w.node = b.node and hops > 0""", True,
+  _TYPED + """, few as (select id as node, row_number() over (order by id) as i from node order by 1 limit 100),
+  w(start, node, hops) using key (start, node) as (select node, node, 0 from few union select w.start, e.src, min(w.hops + 1) from w join edge e on e.dst = w.node
+    left join recurring.w old on old.start = w.start and old.node = e.src where old.node is null group by 1, 2)"""))
+def gr9_path_lengths_all(spark, d):
+    """Distances among the first hundred nodes of all classes, over all relations."""
+    return views.path_lengths(model.edges(spark, d), _typed(spark, d).select("id"))
 
 
 @_query(_with("entity activity agent edge", """select label as component, count(*) as size from cc group by 1""", True, _TYPED + ", " + _COMPONENTS))
 def gr8_component_sizes(spark, d):
-    return graph.components(_typed(spark, d).select("id"), model.edges(spark, d)).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return named_components(*model.tagged(spark, d)).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
 @_query(_with("entity activity agent edge", """select '{"id":"'||id||'","label":"'||label||'","type":"'||type||'"}' as value from node

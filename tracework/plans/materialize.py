@@ -87,10 +87,21 @@ def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote and nothing reads any more; others stay."""
     for df in tables:
-        path = getattr(df, "_tracework_path", None)
+        path = written_path(df)
         if path is not None:
-            hadoop_path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            _file_system(df.sparkSession, hadoop_path).delete(hadoop_path, True)
+            drop_paths(df.sparkSession, [path])
+
+
+def written_path(df: DataFrame) -> str | None:
+    """Where ``materialize`` wrote a table; None for others."""
+    return getattr(df, "_tracework_path", None)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables by their paths, which hold on to no plan as a table does."""
+    for path in paths:
+        hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        _file_system(spark, hadoop_path).delete(hadoop_path, True)
 
 
 def _file_system(spark: SparkSession, hadoop_path):

@@ -158,6 +158,32 @@ def named(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows.withColumns({c: uuid3(agent(c)) if kind == "agent" else _id(kind, c) for c, kind in columns.items()})
 
 
+#: Classes of nodes in ``tagged``, by remainder.
+_TAGS = ("part", "order", "supplier", "customer")
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``id`` of all nodes and ``src, rel, dst`` of all edges as numbers: four times the key, and the class as remainder."""
+    tag = lambda c, kind: (F.col(c).cast("long") * 4 + _TAGS.index(kind))
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    nodes = None
+    for name, key in (("part", "p_partkey"), ("orders", "o_orderkey"), ("supplier", "s_suppkey"), ("customer", "c_custkey")):
+        ids = table(spark, sf_dir, name).select(tag(key, name.rstrip("s")).alias("id"))
+        nodes = ids if nodes is None else nodes.unionByName(ids)
+    pair = lambda df, a, one, b, other, rel: df.select(tag(a, one).alias("src"), F.lit(rel).alias("rel"), tag(b, other).alias("dst"))
+    edges = pair(lines, "l_orderkey", "order", "l_partkey", "part", "used").distinct()
+    edges = edges.unionByName(pair(lines, "l_orderkey", "order", "l_suppkey", "supplier", "wasAssociatedWith").distinct())
+    edges = edges.unionByName(pair(orders, "o_orderkey", "order", "o_custkey", "customer", "wasAssociatedWith"))
+    edges = edges.unionByName(pair(generation(spark, sf_dir), "p_partkey", "part", "o_orderkey", "order", "wasGeneratedBy"))
+    return nodes, edges.unionByName(pair(key_derivations(spark, sf_dir), "src", "part", "dst", "part", "wasDerivedFrom"))
+
+
+def tag_name(column: str):
+    """The identifier of a node in ``tagged``."""
+    kind = F.element_at(F.array(*map(F.lit, _TAGS)), F.expr(f"cast(pmod({column}, 4) as int) + 1"))
+    return uuid3(F.concat(kind, F.lit("/"), F.expr(f"cast({column} div 4 as string)")))
+
+
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     owner = F.col("p_partkey") % 150
     return table(spark, sf_dir, "part").select(
