@@ -86,6 +86,6 @@ def test_what_stages_wrote_goes_with_the_next_one(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(*cp.COLUMNS)
     run = cp.Run()
     out = materialize(run.stages[0][1](spark, docs, SF))
-    before = [t._tracework_path for t in run.left]
+    before = list(run.left)
     run.stages[2][1](spark, out, SF)
-    assert before and not set(before) & {t._tracework_path for t in run.left}
+    assert before and not set(before) & set(run.left)
