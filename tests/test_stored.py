@@ -168,3 +168,43 @@ def test_streamed_histograms(spark, tmp_path):
     table = spark.createDataFrame(rows + batches[3], shape)
     want = stats.histogram(table.withColumn("labels", streams.label_key(["path", "code"])), "labels", "x", bounds).collect()
     assert got == {r.labels: tuple(0.0 if v is None else v for v in r) for r in want} and 'code="200",path="a"' in got and 'path="b"' in got
+
+
+def test_id_index_is_pruned(spark, tmp_path):
+    from tracework.functions.ids import uuid3
+    from tracework.sources import idindex
+
+    rows = spark.range(3000).select(uuid3(F.concat(F.lit("part/"), F.col("id").cast("string"))).alias("id"), F.lit("part").alias("kind"), F.col("id").alias("key"))
+    idindex.write_id_index(rows, str(tmp_path / "index"))
+    some = [r.id for r in rows.where("key in (5, 77, 2999)").collect()]
+    found = idindex.find_ids(spark, str(tmp_path / "index"), [*some, "no such id"])
+    assert sorted(r.key for r in found.collect()) == [5, 77, 2999]
+    plan = plan_of(found)
+    assert "PartitionFilters: [head#" in plan.replace("isnotnull(", "") or "head#" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert "In(id" in plan.split("PushedFilters")[1].split("\n")[0]
+    assert len(_read_files(found)) <= 3
+    asked = spark.createDataFrame([(i,) for i in some * 2], "x string")
+    assert sorted(r.key for r in idindex.find_many(spark, str(tmp_path / "index"), asked).collect()) == [5, 77, 2999]
+
+
+def test_patterns_in_groups_stars_and_parts(spark):
+    from tracework.operators.match import Query
+
+    rows = [("a", "name", "A"), ("a", "type", "t"), ("a", "made", "m"), ("m", "by", "x"), ("m", "by", "y"), ("b", "name", "B"), ("b", "type", "t"), ("b", "made", "n"), ("c", "name", "C"), ("q", "knows", "q")]
+    t = spark.createDataFrame(rows, "s string, p string, o string")
+    run = lambda q: sorted((tuple(r) for r in q.execute(t).collect()), key=str)
+    group = Query().find("?e", "?m", "?x").where(("?e", "name", "?n")).optional(("?e", "made", "?m"), ("?m", "by", "?x"))
+    assert run(group) == [("a", "m", "x"), ("a", "m", "y"), ("b", None, None), ("c", None, None)]
+    apart = Query().find("?e", "?m", "?x").where(("?e", "name", "?n")).optional(("?e", "made", "?m")).optional(("?m", "by", "?x"))
+    assert run(apart) == [("a", "m", "x"), ("a", "m", "y"), ("b", "n", None), ("c", None, None)]
+    star = Query().single("name", "type", "made").find("?e", "?n", "?m").where(("?e", "name", "?n"), ("?e", "type", "t"), ("?e", "made", "?m"))
+    assert run(star) == [("a", "A", "m"), ("b", "B", "n")]
+    assert plan_of(star.execute(t, counted=False)).count("Exchange hashpartitioning") == 1  # three patterns, one exchange
+    assert run(Query().find("?e", "?n").where(("?e", "name", "?n"), ("?e", "type", "?t"))) == [("a", "A"), ("b", "B")]
+    there = Query().find("?n").where(("?e", "name", "?n"), ("?z", "knows", "?z"))
+    assert run(there.distinct()) == [("A",), ("B",), ("C",)]
+    assert run(Query().find("?n").where(("?e", "name", "?n"), ("?z", "hates", "?z")).distinct()) == []
+    both = Query().find("?n", "?x").where(("?e", "name", "?n"), ("?m", "by", "?x"))
+    assert len(run(both)) == 6  # all combinations are what is asked for
+    with pytest.raises(ValueError):
+        Query().where(("?e", "name", "?n")).optional(("?z", "by", "?x")).execute(t)

@@ -38,9 +38,10 @@ def _const(kind: str, key) -> str:
   union all select 'activity', activity_id, activity_type from activity where activity_id = {_const('order', 1)}
   union all select 'agent', agent_id, agent_name from agent where agent_id = {_const('supplier', 3)}"""))
 def flt1_by_id(spark, d):
+    """The keys behind the identifiers are found first, in a pass over the key column; scans then ask for those keys."""
     one = lambda kind, key: [spark.range(1).select(_node(kind, F.lit(key))).first()[0]]
-    e = lookup.by_id(model.entities(spark, d), "entity_id", one("part", 17))
-    a = lookup.by_id(model.activities(spark, d), "activity_id", one("order", 1))
+    e = model.entities(spark, d, model.keys_of(spark, d, "part", one("part", 17)))
+    a = model.activities(spark, d, model.keys_of(spark, d, "order", one("order", 1)))
     g = lookup.by_id(model.agents(spark, d), "agent_id", one("supplier", 3))
     row = lambda df, kind, key, label: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(label).alias("label"))
     out = row(e, "entity", "entity_id", "product_name").unionByName(row(a, "activity", "activity_id", "activity_type"))
@@ -63,19 +64,27 @@ def flt7_transactions(spark, d):
     return lookup.transactions(blocks, creator=7).select("chain", "height", "hash")
 
 
-@_query(_with("entity activity", f"""select 'get-prov-entities' as name, entity_id as value from entity where entity_id = {_const('part', 5)}
+@_query(_with("entity activity agent", f"""select 'get-entity-by-id' as name, entity_id as value from entity where entity_id = {_const('part', 5)}
+  union all select 'get-entity-by-uuid', entity_id from entity where entity_id = {_const('part', 5)}
+  union all select 'get-prov-entities', entity_id from entity where entity_id = {_const('part', 5)}
   union all select 'get-prov-activities', activity_id from activity where activity_id = {_const('order', 5)}
+  union all select 'get-prov-agents', agent_id from agent where agent_id = {_const('supplier', 5)}
   union all select 'get-traceability-products', entity_id from entity where batch = 'Brand#4'
+  union all select 'pull-entity-by-id', entity_id from entity where entity_id = {_const('part', 5)}
   union all select 'count-entities', count(*)::varchar from entity union all select 'count-activities', count(*)::varchar from activity"""))
 def flt8_named_queries(spark, d):
-    tables = {"entities": model.entities(spark, d), "activities": model.activities(spark, d), "agents": model.agents(spark, d)}
+    """All nine queries by name; those by identifier look at the rows of its key only."""
     key = lambda kind: spark.range(1).select(_node(kind, F.lit(5))).first()[0]
+    part, order = key("part"), key("order")
+    every = {"entities": model.entities(spark, d), "activities": model.activities(spark, d), "agents": model.agents(spark, d)}
+    some = {**every, "entities": model.entities(spark, d, model.keys_of(spark, d, "part", [part])), "activities": model.activities(spark, d, model.keys_of(spark, d, "order", [order]))}
     out = None
     for name, params in (
-        ("get-prov-entities", {"entity_id": key("part")}), ("get-prov-activities", {"activity_id": key("order")}),
-        ("get-traceability-products", {"batch": "Brand#4"}), ("count-entities", {}), ("count-activities", {}),
+        ("get-entity-by-id", {"id": part}), ("get-entity-by-uuid", {"entity_id": part}), ("get-prov-entities", {"entity_id": part}),
+        ("get-prov-activities", {"activity_id": order}), ("get-prov-agents", {"agent_id": key("supplier")}),
+        ("get-traceability-products", {"batch": "Brand#4"}), ("pull-entity-by-id", {"id": part}), ("count-entities", {}), ("count-activities", {}),
     ):
-        found = lookup.named_query(spark, name, tables, **params)
+        found = lookup.named_query(spark, name, some if any(k.endswith("id") for k in params) else every, **params)
         row = found.select(F.lit(name).alias("name"), F.col(found.columns[0]).cast("string").alias("value"))
         out = row if out is None else out.unionByName(row)
     return out

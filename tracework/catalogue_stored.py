@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracework.oracles import _with
+from tracework.functions.ids import uuid3
+from tracework.operators.match import Query
+from tracework.oracles import _id, _with
 from tracework.plans import model
 from tracework.plans.materialize import scratch
-from tracework.sources import factlog
+from tracework.sources import factlog, idindex
 from tracework.streaming import streams
 from tracework.streaming.ingest import Ingest
 
@@ -131,3 +133,64 @@ def str2_limiter_with_skips(spark, d):
     events = model.table(spark, d, "events")
     log = events.select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_id").alias("id"), "event_type")
     return streams.limit_requests(log, 3, 6 * 3600.0, F.col("event_type") == "signup").select("key", "id", "allowed", "remaining")
+
+
+# Lookups by a stored index
+
+
+def _id_index(spark, d):
+    path, rows = scratch(spark), None
+    for kind in model.KINDS:
+        one = model.ids_of(spark, d, kind)
+        rows = one if rows is None else rows.unionByName(one)
+    idindex.write_id_index(rows, path)
+    return path
+
+
+@_query(f"""select {_id('part', 'p_partkey')} as id, 'part' as kind, p_partkey::bigint as key from part where p_partkey in (17, 18)
+  union all select {_id('order', 'o_orderkey')}, 'order', o_orderkey from orders where o_orderkey = 1 union all select {_id('customer', 'c_custkey')}, 'customer', c_custkey from customer where c_custkey = 7""")
+def flt1_by_index(spark, d):
+    names = ("part/17", "part/18", "order/1", "customer/7", "customer/none")
+    ids = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(uuid3(F.col("n"))).collect()]
+    return idindex.find_ids(spark, _id_index(spark, d), ids)
+
+
+@_query(f"""select {_id('order', 'o_orderkey')} as id, 'order' as kind, o_orderkey::bigint as key from orders where o_orderkey in (select l_orderkey from lineitem where l_quantity > 45)""")
+def flt13_by_index(spark, d):
+    """The orders of large lines, by a table of identifiers."""
+    asked = model.table(spark, d, "lineitem").where("l_quantity > 45").select(uuid3(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string"))).alias("x"))
+    return idindex.find_many(spark, _id_index(spark, d), asked)
+
+
+# Triple patterns
+
+
+def _triples(spark, d):
+    e = model.entities(spark, d)
+    pairs = F.array(*(F.struct(F.lit(p).alias("p"), F.col(c).alias("o")) for p, c in (("type", "entity_type"), ("batch", "batch"), ("name", "product_name"))))
+    facts = e.select(F.col("entity_id").alias("s"), F.explode(pairs).alias("x")).select("s", "x.p", "x.o").where("o is not null")
+    return facts.unionByName(model.edges(spark, d).select(F.col("src").alias("s"), F.col("rel").alias("p"), F.col("dst").alias("o")))
+
+
+@_query(_with("entity", "select entity_id as e, entity_type as type, product_name as name, was_generated_by as \"order\" from entity where batch = 'Brand#17' and entity_type is not null"))
+def jn1_star(spark, d):
+    """Four patterns of one subject, three of them needed, by one aggregation and one join."""
+    q = Query().single("type", "batch", "name", "wasGeneratedBy").find("?e", "?type", "?name", "?order")
+    q = q.where(("?e", "batch", "Brand#17"), ("?e", "type", "?type"), ("?e", "name", "?name")).optional(("?e", "wasGeneratedBy", "?order"))
+    return q.execute(_triples(spark, d))
+
+
+@_query(_with("entity edge", """select distinct e.entity_id as e, x.o as "order", x.c as agent from entity e left join (select g.src as e, g.dst as o, w.dst as c from edge g join edge w on w.src = g.dst and w.rel = 'wasAssociatedWith'
+    where g.rel = 'wasGeneratedBy' and substr(w.dst, 1, 1) = 'a') x on x.e = e.entity_id"""))
+def jn1_optional_group(spark, d):
+    """Entities with their order and its agent where both are there: the group comes whole or not at all."""
+    triples = _triples(spark, d).where("p != 'wasAssociatedWith' or substring(o, 1, 1) = 'a'")
+    q = Query().find("?e", "?order", "?agent").where(("?e", "name", "?name")).optional(("?e", "wasGeneratedBy", "?order"), ("?order", "wasAssociatedWith", "?agent"))
+    return q.distinct().execute(triples)
+
+
+@_query(_with("entity edge", """select distinct n.product_name as name, g.dst as "order" from (select entity_id as e, product_name from entity where batch = 'Brand#17') n join edge g on g.src = n.e and g.rel = 'wasGeneratedBy'"""))
+def jn1_parts(spark, d):
+    """A part that shares no variable with the rest only has to be there."""
+    q = Query().single("batch", "name", "wasGeneratedBy").find("?name", "?order").where(("?x", "used", "?y"), ("?e", "batch", "Brand#17"), ("?e", "name", "?name"), ("?e", "wasGeneratedBy", "?order"))
+    return q.distinct().execute(_triples(spark, d))

@@ -21,9 +21,9 @@ def _id(kind: str, key: str):
     return uuid3(F.concat(F.lit(f"{kind}/"), F.col(key).cast("string")))
 
 
-def generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``p_partkey, o_orderkey``: the first order that ships a part; none for every seventh part."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").where("l_partkey % 7 != 0").distinct()
+def generation(spark: SparkSession, sf_dir: str, keys: list[int] | None = None) -> DataFrame:
+    """``p_partkey, o_orderkey``: the first order that ships a part; none for every seventh part. Of all parts, or of some keys."""
+    lines = _some(table(spark, sf_dir, "lineitem"), "l_partkey", keys).select("l_orderkey", "l_partkey").where("l_partkey % 7 != 0").distinct()
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -33,9 +33,29 @@ def generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gen = generation(spark, sf_dir)
-    return table(spark, sf_dir, "part").join(gen, "p_partkey", "left").select(
+def _some(rows: DataFrame, key: str, keys: list[int] | None) -> DataFrame:
+    """Rows of some keys, a filter that reaches the scan."""
+    return rows if keys is None else rows.where(F.col(key).isin(keys))
+
+
+#: The table and key of each kind of node.
+KINDS = {"part": ("part", "p_partkey"), "order": ("orders", "o_orderkey"), "supplier": ("supplier", "s_suppkey"), "customer": ("customer", "c_custkey")}
+
+
+def ids_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """``id, kind, key`` of all nodes of a kind, from its key column alone."""
+    name, key = KINDS[kind]
+    return table(spark, sf_dir, name).select(_id(kind, key).alias("id"), F.lit(kind).alias("kind"), F.col(key).cast("long").alias("key"))
+
+
+def keys_of(spark: SparkSession, sf_dir: str, kind: str, ids: list[str]) -> list[int]:
+    """Keys of the nodes with these identifiers: one pass over the key column, at most as many keys as identifiers."""
+    return [r.key for r in ids_of(spark, sf_dir, kind).where(F.col("id").isin(ids)).select("key").collect()]
+
+
+def entities(spark: SparkSession, sf_dir: str, keys: list[int] | None = None) -> DataFrame:
+    gen = generation(spark, sf_dir, keys)
+    return _some(table(spark, sf_dir, "part"), "p_partkey", keys).join(gen, "p_partkey", "left").select(
         _id("part", "p_partkey").alias("entity_id"),
         F.when(F.col("p_size") % 10 != 0, F.concat(F.lit("product/"), F.lower("p_type"))).alias("entity_type"),
         F.col("p_brand").alias("batch"),
@@ -45,9 +65,9 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ended = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("ended_at"))
-    orders = table(spark, sf_dir, "orders")
+def activities(spark: SparkSession, sf_dir: str, keys: list[int] | None = None) -> DataFrame:
+    ended = _some(table(spark, sf_dir, "lineitem"), "l_orderkey", keys).groupBy("l_orderkey").agg(F.max("l_shipdate").alias("ended_at"))
+    orders = _some(table(spark, sf_dir, "orders"), "o_orderkey", keys)
     return orders.join(ended, orders["o_orderkey"] == ended["l_orderkey"], "left").select(
         _id("order", "o_orderkey").alias("activity_id"),
         F.concat(F.lit("order/"), F.lower("o_orderstatus")).alias("activity_type"),
