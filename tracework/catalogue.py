@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracework import catalogue_more, catalogue_stored, catalogue_views
+from tracework import catalogue_files, catalogue_more, catalogue_stored, catalogue_views
 from tracework.functions import ids
 from tracework.operators import access, confidence, graph, ledger, lineage, quality, stats, timetravel
 from tracework.operators.match import Query
@@ -440,7 +440,7 @@ def fd2_recalls(spark, d):
 
 @_query
 def fd3_lookups(spark, d):
-    parts = recalls.tables(recalls.normalise(_recall_rows(spark, d)))
+    parts = recalls.tables(materialize(recalls.normalise(_recall_rows(spark, d))))  # four lookups start from it
     batches = model.table(spark, d, "part").select(F.concat(F.lit("F-"), (F.col("p_partkey") * 2).cast("string")).alias("b"))
     return recalls.lookups(parts, batches, model.table(spark, d, "supplier").select("s_name"))
 
@@ -465,8 +465,8 @@ def str2_limiter(spark, d):
 
 
 def queries() -> dict:
-    return {**_QUERIES, **catalogue_views.QUERIES, **catalogue_more.QUERIES, **catalogue_stored.QUERIES}
+    return {**_QUERIES, **catalogue_views.QUERIES, **catalogue_more.QUERIES, **catalogue_stored.QUERIES, **catalogue_files.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {k: v for k, v in {**SQL, **catalogue_views.SQL, **catalogue_more.SQL, **catalogue_stored.SQL}.items() if k in queries()}
+    return {k: v for k, v in {**SQL, **catalogue_views.SQL, **catalogue_more.SQL, **catalogue_stored.SQL, **catalogue_files.SQL}.items() if k in queries()}

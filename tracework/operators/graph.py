@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracework.operators.components import forest_components
+from tracework.operators.ranges import running
 from tracework.plans.materialize import drop, materialize
 
 
@@ -28,6 +29,16 @@ def neighbour_counts(edges: DataFrame) -> DataFrame:
     return both.distinct().groupBy("node", "rel").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("first"))
 
 
+def neighbour_parts(edges: DataFrame, size: int = 1000) -> DataFrame:
+    """``node, rel, part, neighbours``: sorted distinct neighbours in both directions, ``size`` to a part; a hub's list is never in one row."""
+    both = edges.select(F.col("src").alias("node"), "rel", F.col("dst").alias("o")).unionByName(
+        edges.select(F.col("dst").alias("node"), "rel", F.col("src").alias("o"))
+    )
+    numbered = running(both.distinct(), ["node", "rel"], ["o"])
+    part = F.expr(f"(n - 1) div {size}").alias("part")
+    return numbered.groupBy("node", "rel", part).agg(F.array_sort(F.collect_list("o")).alias("neighbours"))
+
+
 def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``start, node, hops``: what each node reaches along ``src -> dst``, by fewest hops (``max_depth`` at most, if given).
 

@@ -17,13 +17,18 @@ PAYLOAD_PREFIX = "OPENFDA_PRODUCT_EQUIVALENT_V1\n"
 
 
 def read_recalls(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Recall records of JSON files that hold a ``records`` or ``results`` array (the first where both are there), or one record a line."""
+    """Recall records of JSON files that hold a ``records`` or ``results`` array (the first where both are there), or one record a line.
+
+    Files of one record a line are read in splits, however large; a file that is
+    one JSON document is one row, and so has to fit in a task.
+    """
     one = f"struct<{', '.join(f.replace(' ', ':', 1) for f in RECALL.split(', '))}>"
-    text = spark.read.text(path, wholetext=True)
-    parsed = text.select(F.from_json("value", f"records array<{one}>, results array<{one}>").alias("j"), "value")
-    whole = F.coalesce("j.records", "j.results")
-    lines = F.filter(F.transform(F.split("value", "\n"), lambda v: F.from_json(v, RECALL)), lambda r: r["recall_number"].isNotNull())
-    rows = parsed.select(F.explode(F.coalesce(whole, lines)).alias("r")).select("r.*")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", RECALL).alias("r"))
+    lines = lines.where("r.recall_number is not null")
+    whole = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r'^\s*(\{\s*("[^"]*"\s*:\s*(\{[^{}]*\}|"[^"]*"|[^"\[\]{}]*),\s*)*"(records|results)"\s*:|\[)'))
+    parsed = whole.select(F.from_json("value", f"records array<{one}>, results array<{one}>").alias("j"), F.from_json("value", f"array<{one}>").alias("a"), F.col("_metadata.file_path").alias("file"))
+    documents = parsed.select(F.explode(F.coalesce("j.records", "j.results", "a")).alias("r"))
+    rows = lines.select("r.*").unionByName(documents.select("r.*"))
     return rows if limit is None else rows.limit(limit)
 
 
@@ -100,6 +105,29 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+# Imports that are kept: a folder for each table, in it one for each import
+
+
+def import_bundles(rows: DataFrame, path: str, import_id: str) -> None:
+    """Store the tables of bundles (``entity, activities, agents``) under an import's id.
+
+    An import done again replaces what it stored before, so doing it twice leaves
+    the same rows; other imports stay.
+    """
+    for name, table in split_bundles(rows).items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}/import_id={import_id}")
+
+
+def imported(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """``entities, activities, agents`` over all imports; of one id the row of the greatest import counts."""
+    out = {}
+    for name, key in (("entities", "entity_id"), ("activities", "activity_id"), ("agents", "agent_id")):
+        rows = spark.read.parquet(f"{path}/{name}").withColumn("import_id", F.col("import_id").cast("string"))
+        rest = [c for c in rows.columns if c not in (key, "import_id")]
+        out[name] = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("import_id", *rest)).alias("r")).select(key, "r.*")
+    return out
+
+
 # Registry of loaded ontologies: id, name, namespace, format, version, loaded_at
 
 
@@ -110,6 +138,25 @@ def register(registry: DataFrame, loaded: DataFrame) -> DataFrame:
     return registry.join(new.select("name"), "name", "left_anti").select(loaded.columns).unionByName(new.select(loaded.columns))
 
 
+def store_registry(loaded: DataFrame, path: str) -> None:
+    """Add entries to a stored registry. Its versions lie in folders by number, the last one counts, the one before stays until the next."""
+    spark = loaded.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    known = sorted(int(f.getPath().getName().split("=")[1]) for f in files.listStatus(at)) if files.exists(at) else []
+    before = spark.read.parquet(f"{path}/registry_version={known[-1]}") if known else loaded.where("false")
+    register(before, loaded).write.mode("error").parquet(f"{path}/registry_version={known[-1] + 1 if known else 1}")
+    for old in known[:-1]:
+        files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/registry_version={old}"), True)
+
+
+def stored_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The registry as last stored."""
+    rows = spark.read.parquet(path)
+    last = rows.agg(F.max("registry_version")).first()[0]
+    return rows.where(F.col("registry_version") == last).drop("registry_version")
+
+
 def by_name(registry: DataFrame, name: str) -> DataFrame:
     return registry.where(F.col("name") == name)
 
@@ -160,3 +207,31 @@ def load_sample(documents: dict[str, DataFrame], links: DataFrame, seed: str = "
     other = F.when(F.col("rel") == "wasAssociatedWith", agent).otherwise(entity)
     edges = links.select(F.when(made, entity).otherwise(activity).alias("src"), "rel", F.when(made, activity).otherwise(other).alias("dst")).distinct()
     return {"entities": entities, "activities": activities, "agents": agents, "edges": edges}
+
+
+#: Classes of the whole dataset by key.
+AGENT_TYPES = {k: f"organization/{k}" for k in ("farmer", "manufacturer", "logistics", "retailer", "consumer")}
+PRODUCT_TYPES = {"raw-milk": "product/raw-milk", "chocolate": "product/chocolate-uht", "plain": "product/plain-uht", "strawberry": "product/strawberry-uht"}
+ACTIVITY_TYPES = {k: f"activity/{k}" for k in ("milking", "uht-processing", "chocolate-processing", "plain-processing", "strawberry-processing", "transport", "retail-sale")}
+
+
+def load_dataset(documents: dict[str, DataFrame], loaded_at: Column, seed: str = "uht-full") -> dict[str, DataFrame]:
+    """``agents, products, activities`` of the whole dataset, with classes by key and defaults for what is missing.
+
+    Agents of other keys are ``organization/other``; products and activities of
+    keys that have no class are left out. Certifications are a list in one text,
+    split at commas. Activities start when they are loaded.
+    """
+    at = lambda name: F.col("attributes")[name]
+    of = lambda names: F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.col("key")]
+    own = lambda kind: uuid3(F.concat(F.lit(f"{seed}/{kind}/"), F.col("key")))
+    agents = documents["agents"].select(
+        own("agent").alias("agent_id"), F.coalesce(at("agent-name"), F.lit("Unknown Agent")).alias("agent_name"), F.coalesce(of(AGENT_TYPES), F.lit("organization/other")).alias("agent_type"),
+        F.coalesce(at("location"), F.lit("Unknown Location")).alias("location"), F.coalesce(F.split(at("certifications"), ", *"), F.array().cast("array<string>")).alias("certifications"),
+    )
+    products = documents["products"].select(
+        own("entity").alias("entity_id"), of(PRODUCT_TYPES).alias("entity_type"), F.coalesce(at("batch"), F.lit("UNKNOWN")).alias("batch"),
+        F.coalesce(at("product"), at("variant-name"), F.lit("Unknown Product")).alias("product_name"),
+    ).where("entity_type is not null")
+    activities = documents["activities"].select(own("activity").alias("activity_id"), of(ACTIVITY_TYPES).alias("activity_type"), loaded_at.alias("started_at")).where("activity_type is not null")
+    return {"agents": agents, "products": products, "activities": activities}
