@@ -208,3 +208,42 @@ def test_patterns_in_groups_stars_and_parts(spark):
     assert len(run(both)) == 6  # all combinations are what is asked for
     with pytest.raises(ValueError):
         Query().where(("?e", "name", "?n")).optional(("?z", "by", "?x")).execute(t)
+
+
+def test_imports_and_registry_are_kept(spark, tmp_path):
+    from tracework.sources import files
+
+    shape = ("entity struct<entity_id:string,entity_type:string,batch:string,product_name:string,was_generated_by:string>, "
+             "activities array<struct<activity_id:string,activity_type:string,started_at:timestamp,ended_at:timestamp>>, agents array<struct<agent_id:string,agent_name:string,agent_type:string>>")
+    bundle = lambda k, batch: ((k, "t", batch, "n", None), [("a" + k, "made", None, None)], [("g", "G", "org")])
+    one, two = spark.createDataFrame([bundle("x", "b1"), bundle("y", "b1")], shape), spark.createDataFrame([bundle("y", "b2")], shape)
+    path = str(tmp_path / "kept")
+    for rows, name in ((one, "1"), (one, "1"), (two, "2"), (one, "1")):
+        files.import_bundles(rows, path, name)
+    got = files.imported(spark, path)
+    assert {(r.entity_id, r.batch) for r in got["entities"].collect()} == {("x", "b1"), ("y", "b2")}
+    assert got["activities"].count() == 2 and got["agents"].count() == 1
+    assert spark.read.parquet(f"{path}/entities").count() == 3
+    columns = "name string, namespace string, format string, version string, loaded_at timestamp"
+    entry = lambda n, v, day: (n, "urn:" + n, "ttl", v, dt.datetime(2024, 1, day))
+    at = str(tmp_path / "registry")
+    for rows in ([entry("p", "1", 1), entry("q", "1", 1)], [entry("p", "2", 2)], [entry("r", "1", 3)]):
+        files.store_registry(spark.createDataFrame(rows, columns), at)
+    assert {(r.name, r.version) for r in files.stored_registry(spark, at).collect()} == {("p", "2"), ("q", "1"), ("r", "1")}
+    assert len(list((tmp_path / "registry").glob("registry_version=*"))) == 2
+
+
+def test_recall_files_of_all_forms(spark, tmp_path):
+    import json
+
+    from tracework.sources import files
+
+    rec = lambda k: {"recall_number": f"F-{k}", "event_id": "1", "recalling_firm": 'a "firm" {x}', "openfda": {}}
+    (tmp_path / "lines.json").write_text("".join(json.dumps(rec(k)) + "\n" for k in range(20)))
+    (tmp_path / "pretty.json").write_text(json.dumps({"meta": {"results": {"total": 2}, "note": "x"}, "results": [rec(20), rec(21)]}, indent=2))
+    (tmp_path / "records.json").write_text(json.dumps({"records": [rec(22)], "results": [rec(99)]}))
+    (tmp_path / "array.json").write_text(json.dumps([rec(23), rec(24)]))
+    (tmp_path / "other.json").write_text("not json\n")
+    got = sorted(int(r.recall_number[2:]) for r in files.read_recalls(spark, str(tmp_path)).collect())
+    assert got == list(range(25))
+    assert files.read_recalls(spark, str(tmp_path), 3).count() == 3

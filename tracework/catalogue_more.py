@@ -198,9 +198,9 @@ _PREFIXES = (("Brand#1", "chocolate"), ("Brand#2", "plain"), ("Brand#3", "strawb
 
 
 def _journeys(spark, d):
-    acts = model.table(spark, d, "orders").where("o_orderkey < 4").groupBy().agg(F.min("o_orderdate").alias("t"))
+    acts = model.table(spark, d, "orders").groupBy().agg(F.min("o_orderdate").alias("t"))
     names = spark.createDataFrame([(s[1], f"at {s[0]}") for s in lineage.STAGES], "activity string, location string")
-    acts = names.crossJoin(acts).select("activity", "location", F.col("t").alias("started_at"))  # one row of orders
+    acts = names.crossJoin(acts).select("activity", "location", F.col("t").alias("started_at"))  # one row: the first date of all orders
     return lineage.journeys(model.table(spark, d, "part").select(F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("batch")), acts, _PREFIXES)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +25,16 @@ def read_recalls(spark: SparkSession, path: str, limit: int | None = None) -> Da
     one JSON document is one row, and so has to fit in a task.
     """
     one = f"struct<{', '.join(f.replace(' ', ':', 1) for f in RECALL.split(', '))}>"
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", RECALL).alias("r"))
-    lines = lines.where("r.recall_number is not null")
-    whole = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r'^\s*(\{\s*("[^"]*"\s*:\s*(\{[^{}]*\}|"[^"]*"|[^"\[\]{}]*),\s*)*"(records|results)"\s*:|\[)'))
-    parsed = whole.select(F.from_json("value", f"records array<{one}>, results array<{one}>").alias("j"), F.from_json("value", f"array<{one}>").alias("a"), F.col("_metadata.file_path").alias("file"))
-    documents = parsed.select(F.explode(F.coalesce("j.records", "j.results", "a")).alias("r"))
-    rows = lines.select("r.*").unionByName(documents.select("r.*"))
+    text = spark.read.text(path)
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", RECALL).alias("r")).where("r.recall_number is not null")
+    by_line = {unquote(r.file).split(":", 1)[-1].lstrip("/") for r in lines.select("file").distinct().collect()}  # names of files
+    rest = [f for f in text.inputFiles() if unquote(f).split(":", 1)[-1].lstrip("/") not in by_line]
+    rows = lines.select("r.*")
+    if rest:
+        whole = spark.read.text(rest, wholetext=True)
+        parsed = whole.select(F.from_json("value", f"records array<{one}>, results array<{one}>").alias("j"), F.from_json("value", f"array<{one}>").alias("a"))
+        documents = parsed.select(F.explode(F.coalesce("j.records", "j.results", "a")).alias("r")).select("r.*")
+        rows = rows.unionByName(documents.where("recall_number is not null"))
     return rows if limit is None else rows.limit(limit)
 
 
