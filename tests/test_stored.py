@@ -247,3 +247,24 @@ def test_recall_files_of_all_forms(spark, tmp_path):
     got = sorted(int(r.recall_number[2:]) for r in files.read_recalls(spark, str(tmp_path)).collect())
     assert got == list(range(25))
     assert files.read_recalls(spark, str(tmp_path), 3).count() == 3
+
+
+def test_one_large_turtle_file_is_read_in_splits(spark, tmp_path):
+    from tracework.sources import turtle
+
+    lines = ["@prefix ex: <http://x/> ."]
+    for k in range(400):
+        lines += [f"ex:n{k} a prov:Entity ;", *(f'  ex:p{i} "v{k}-{i}" ;' for i in range(k % 7)), "  ex:last 1 . # end", ""]
+    (tmp_path / "big.ttl").write_text("\r\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 3
+        got = sorted((r.s, r.p, r.o) for r in turtle.read_turtle(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [(f"http://x/n{k}", turtle.TYPE, turtle.PREFIXES["prov"] + "Entity") for k in range(400)] + [(f"http://x/n{k}", "http://x/last", "1") for k in range(400)]
+    want += [(f"http://x/n{k}", f"http://x/p{i}", f"v{k}-{i}") for k in range(400) for i in range(k % 7)]
+    assert got == sorted(want)

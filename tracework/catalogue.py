@@ -9,6 +9,7 @@ from tracework import catalogue_files, catalogue_more, catalogue_stored, catalog
 from tracework.functions import ids
 from tracework.operators import access, confidence, graph, ledger, lineage, quality, stats, timetravel
 from tracework.operators.match import Query
+from tracework.operators.ranges import running
 from tracework.oracles import SQL
 from tracework.plans import model
 from tracework.plans.materialize import materialize
@@ -255,11 +256,26 @@ def cf2_entity_confidence(spark, d):
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Best provenance path of every part, its confidence, and how many paths there are."""
-    paths = confidence.derive_paths(model.derivations(spark, d), _graph(spark, d)[0])
-    ranked = confidence.best_paths(paths, materialize(_scores(spark, d)))
-    count = ranked.groupBy("start").agg(F.count(F.lit(1)).alias("paths"))
-    return ranked.where("rank = 1").join(count, "start").select("start", F.array_join("path", ">").alias("path"), F.round("confidence", 6).alias("confidence"), "paths")
+    """Best provenance path of every part, its confidence, and how many paths there are.
+
+    Paths are sorted and kept as ranks of identifiers, which are ordered as these
+    are; identifiers come back for the one path of each start that is left.
+    """
+    derived, parts = model.key_derivations(spark, d), model.table(spark, d, "part").select(F.col("p_partkey").alias("key"))
+    keys = parts.unionByName(derived.select(F.col("src").alias("key"))).unionByName(derived.select(F.col("dst").alias("key"))).distinct()
+    names = model.named(keys.withColumn("name", F.col("key")), {"name": "part"})
+    ranks = materialize(running(names, [], ["name"]).select("key", "name", F.col("n").cast("int").alias("rank")))
+    as_rank = lambda rows, c: rows.join(ranks.select(F.col("key").alias(c), F.col("rank").alias(f"{c}_rank")), c)
+    edges = as_rank(as_rank(derived, "src"), "dst").select(F.col("src_rank").alias("src"), F.col("dst_rank").alias("dst"))
+    starts = parts.join(ranks, "key").select(F.col("rank").alias("start"))
+    scores = _scores(spark, d).select(F.col("entity_id").alias("name"), "confidence").join(ranks, "name").select(F.col("rank").alias("entity_id"), "confidence")
+    best = confidence.best_paths(confidence.derive_paths(edges, starts), materialize(scores)).withColumnRenamed("rank", "place")
+    best = best.groupBy("start").agg(F.count(F.lit(1)).alias("paths"), F.min_by(F.struct("path", "confidence"), "place").alias("b"))
+    best = materialize(best.select("start", "paths", "b.path", F.round("b.confidence", 6).alias("confidence")))
+    hops = best.select("start", F.posexplode("path").alias("at", "rank")).join(ranks.select("rank", "name"), "rank")
+    text = hops.groupBy("start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]), ">").alias("path"))
+    out = best.drop("path").join(text, "start").join(ranks.select(F.col("rank").alias("start"), "name"), "start")
+    return out.select(F.col("name").alias("start"), "path", "confidence", "paths")
 
 
 _QUERIES["cf4_best_paths"] = flagship

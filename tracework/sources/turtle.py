@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracework.operators.ranges import running
 from tracework.sources.rdf import literal_text, node_text, unescape
 
 _PREFIX = r"^\s*@prefix\s+([A-Za-z0-9_-]*):\s*<([^>]*)>\s*\.?\s*$"
@@ -46,15 +47,18 @@ def parse_turtle(lines: DataFrame) -> DataFrame:
     A head names the subject of the lines after it, up to the next head in its
     document; prefixes hold for the whole document. ``a`` is the type predicate.
     Numbers, true and false become typed literals. What does not parse gives no row.
+    Lines may bring their ``head`` along; else a window over each document finds it.
     """
-    rows = lines.select("doc", "pos", F.trim(strip_comment(F.col("value"))).alias("v"))
+    brought = [F.col("head")] if "head" in lines.columns else []
+    rows = lines.select("doc", "pos", F.trim(strip_comment(F.col("value"))).alias("v"), *brought)
     given = rows.where(F.col("v").rlike(_PREFIX)).groupBy("doc").agg(
         F.map_from_entries(F.collect_set(F.struct(F.regexp_extract("v", _PREFIX, 1), F.regexp_extract("v", _PREFIX, 2)))).alias("given")
     )
     known = F.create_map(*(F.lit(x) for kv in PREFIXES.items() for x in kv))
     head = F.when(F.col("v").rlike(_HEAD), F.regexp_extract("v", _HEAD, 1))
     rows = rows.where(~F.col("v").startswith("@") & (F.col("v") != ""))
-    rows = rows.withColumn("head", F.last(head, ignorenulls=True).over(W.partitionBy("doc").orderBy("pos")))
+    if not brought:
+        rows = rows.withColumn("head", F.last(head, ignorenulls=True).over(W.partitionBy("doc").orderBy("pos")))
     is_head, is_whole = F.col("v").rlike(_HEAD), F.col("v").rlike(_WHOLE)
     line = lambda i: F.regexp_extract("v", _LINE, i)
     full = lambda i: F.regexp_extract("v", _WHOLE, i)
@@ -100,12 +104,20 @@ def parse_turtle(lines: DataFrame) -> DataFrame:
 
 
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of all Turtle files of a path.
+    """Triples of all Turtle files of a path, read in splits, so one file may be larger than a task.
 
-    The order of lines matters, so each file is one row first; a file should fit in a task.
+    Lines are numbered by running counts over ranges of (file, place), which count
+    the heads along: each line finds its subject by the number of the head before it.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), "value")
-    return parse_turtle(text.select("doc", F.posexplode(F.split("value", "\r?\n")).alias("pos", "value")))
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("doc"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("value"))
+    rows = rows.withColumn("seq", F.monotonically_increasing_id())  # grows with the place within a split
+    subject = F.regexp_extract(F.trim(strip_comment(F.col("value"))), _HEAD, 1)
+    rows = rows.withColumn("subject", F.when(subject != "", subject))
+    step = 1 << 40  # lines count in the lower bits, heads above them
+    counted = running(rows, ["doc"], ["block", "seq"], F.when(F.col("subject").isNotNull(), F.lit(step + 1)).otherwise(F.lit(1)))
+    counted = counted.select("doc", (F.col("n") % step - 1).alias("pos"), "value", F.expr(f"n div {step}").alias("nth"), "subject")
+    heads = counted.where("subject is not null").select("doc", "nth", F.col("subject").alias("head"))
+    return parse_turtle(counted.join(heads, ["doc", "nth"], "left"))
 
 
 def read_dataset(spark: SparkSession, *paths: str) -> DataFrame:
