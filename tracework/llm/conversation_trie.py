@@ -37,8 +37,9 @@ def rebuilt(conversations: DataFrame) -> DataFrame:
 
     Conversation c takes the first h turns of ``c - c % 100`` (remainders have the
     sign of c), then its own after its first h, h being ``crc32(c as text) % 6``.
-    Turns are ordered by turn, nulls first, then by role and text. Rows with a null
-    conv_id belong to no conversation.
+    Turns are ordered by turn, nulls first, then by role and text; repeated rows are
+    turns of their own. Rows with a null conv_id belong to no conversation. Of a
+    very long text only its length and digest go on; null role and text are empty.
     """
     turns = conversations.where("conv_id is not null").select(
         F.col("conv_id").cast("long").alias("conv_id"),

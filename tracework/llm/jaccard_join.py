@@ -62,8 +62,8 @@ def ngram_jaccard_join(
     Null and blank texts have no shingles and are components of their own, as
     is the null id. Rows that repeat an id count once, by the row with the
     smallest set (size, then hash). Other columns are ignored, whatever their
-    names. An empty table gives an empty result. Sets are compared by 64-bit
-    hashes of shingles.
+    names. An empty table gives an empty result. Very long texts are taken whole.
+    Sets are compared by 64-bit hashes of shingles.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession

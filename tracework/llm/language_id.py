@@ -79,6 +79,8 @@ def identify(
     A null text, one without letters, or no dictionary at all gives ``und`` with
     score 0, rejected. Ties go to the language whose code comes first. The score
     rises from 0 to 1 with the relative margin of sizes. Only the text is used.
+    Very long texts are compressed whole. Repeated rows and ids give a row each,
+    an empty table none; other columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
     kind = docs.schema[id_col].dataType.simpleString()

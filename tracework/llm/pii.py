@@ -335,7 +335,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     (``text``), and ``spans``: structs of kind, start, end (code points, end
     exclusive), score and base, sorted by start and kind. A null text counts as
     empty and has none. Rows are independent. An added span that lies within a
-    base span is left out; others may overlap.
+    base span is left out; others may overlap. Very long texts are searched whole,
+    in linear time. Repeated and null ids give a row each; an empty table gives
+    none. Other columns are ignored; ``keep`` must not name ``spans``.
     """
     keep = tuple(c for c in keep if c not in (id_col, text_col))
     model = learn(docs, text_col, id_col)

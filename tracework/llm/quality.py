@@ -249,8 +249,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, ke
     row for every row: ``doc_id``, the columns in ``keep``, ``p_text``,
     ``p_meta``, ``p_quality`` and ``good``. Null texts count as empty and are
     never good. Without labels of both classes, probabilities are null and all
-    but null and blank texts are good. Lengths come from n_chars. Other columns
-    of ``docs`` and ``labels`` are ignored.
+    but null and blank texts are good. Lengths come from n_chars. Very long texts are read whole;
+    an empty table gives no rows. Other columns of ``docs`` and ``labels`` are
+    ignored; ``keep`` must not name ``h``, ``xa``, ``full`` or a result column.
     """
     rows = describe(docs, keep)
     shared = docs.sparkSession.sparkContext.broadcast(learn(rows, labels))

@@ -43,7 +43,8 @@ def encode(
 
     A null text counts as empty and has no ids. Rows are independent: repeated
     rows and ids, also null ids, give a row each. Other columns are ignored.
-    ``text_sha256`` is of the text given, to check a decoding.
+    ``text_sha256`` is of the text given, to check a decoding. An empty table gives
+    no rows; texts beyond ``chunk`` characters go through the scan in chunks.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(read_model(spark, model_path))

@@ -46,7 +46,8 @@ def exact_top_k(
     with its own id. Ties go to the smaller id. Vectors that are null or hold null
     or non-finite components take no part; rows that repeat an id count once,
     with the smallest vector. Returns ``query_id, rank, vec_id, score``; with no
-    other candidate a query has no rows. Scores must fit a long.
+    other candidate a query has no rows, and an empty table gives none. Scores must
+    fit a long. Other columns are ignored, whatever their names.
     """
     docs = _terms(vectors, id_col, vector_col)
     asked = _terms(queries, id_col, vector_col)
