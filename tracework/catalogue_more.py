@@ -39,10 +39,9 @@ def _const(kind: str, key) -> str:
   union all select 'agent', agent_id, agent_name from agent where agent_id = {_const('supplier', 3)}"""))
 def flt1_by_id(spark, d):
     """The keys behind the identifiers are found first, in a pass over the key column; scans then ask for those keys."""
-    one = lambda kind, key: [spark.range(1).select(_node(kind, F.lit(key))).first()[0]]
-    e = model.entities(spark, d, model.keys_of(spark, d, "part", one("part", 17)))
-    a = model.activities(spark, d, model.keys_of(spark, d, "order", one("order", 1)))
-    g = lookup.by_id(model.agents(spark, d), "agent_id", one("supplier", 3))
+    keys = model.keys_of(spark, d, {"part": [ids.uuid3_of("part/17")], "order": [ids.uuid3_of("order/1")]})
+    e, a = model.entities(spark, d, keys["part"]), model.activities(spark, d, keys["order"])
+    g = lookup.by_id(model.agents(spark, d), "agent_id", [ids.uuid3_of("supplier/3")])
     row = lambda df, kind, key, label: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(label).alias("label"))
     out = row(e, "entity", "entity_id", "product_name").unionByName(row(a, "activity", "activity_id", "activity_type"))
     return out.unionByName(row(g, "agent", "agent_id", "agent_name"))
@@ -74,14 +73,14 @@ def flt7_transactions(spark, d):
   union all select 'count-entities', count(*)::varchar from entity union all select 'count-activities', count(*)::varchar from activity"""))
 def flt8_named_queries(spark, d):
     """All nine queries by name; those by identifier look at the rows of its key only."""
-    key = lambda kind: spark.range(1).select(_node(kind, F.lit(5))).first()[0]
-    part, order = key("part"), key("order")
+    part, order = ids.uuid3_of("part/5"), ids.uuid3_of("order/5")
+    keys = model.keys_of(spark, d, {"part": [part], "order": [order]})
     every = {"entities": model.entities(spark, d), "activities": model.activities(spark, d), "agents": model.agents(spark, d)}
-    some = {**every, "entities": model.entities(spark, d, model.keys_of(spark, d, "part", [part])), "activities": model.activities(spark, d, model.keys_of(spark, d, "order", [order]))}
+    some = {**every, "entities": model.entities(spark, d, keys["part"]), "activities": model.activities(spark, d, keys["order"])}
     out = None
     for name, params in (
         ("get-entity-by-id", {"id": part}), ("get-entity-by-uuid", {"entity_id": part}), ("get-prov-entities", {"entity_id": part}),
-        ("get-prov-activities", {"activity_id": order}), ("get-prov-agents", {"agent_id": key("supplier")}),
+        ("get-prov-activities", {"activity_id": order}), ("get-prov-agents", {"agent_id": ids.uuid3_of("supplier/5")}),
         ("get-traceability-products", {"batch": "Brand#4"}), ("pull-entity-by-id", {"id": part}), ("count-entities", {}), ("count-activities", {}),
     ):
         found = lookup.named_query(spark, name, some if any(k.endswith("id") for k in params) else every, **params)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from uuid import UUID
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +22,11 @@ def uuid3(text: Column) -> Column:
     return _v3(F.md5(text.cast("binary")))
 
 
+def uuid3_of(text: str) -> str:
+    """``uuid3`` of one text, for constants."""
+    return str(UUID(bytes=hashlib.md5(text.encode()).digest(), version=3))
+
+
 def blank_node_uuid(label: Column, seed: Column) -> Column:
     """Stable UUID of a blank node in a document: version 3 of the MD5 bytes of ``blank-node:<id>:<seed>``."""
     return _v3(F.md5(F.unhex(F.md5(F.concat(F.lit("blank-node:"), label, F.lit(":"), seed).cast("binary")))))

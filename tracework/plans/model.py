@@ -48,9 +48,14 @@ def ids_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return table(spark, sf_dir, name).select(_id(kind, key).alias("id"), F.lit(kind).alias("kind"), F.col(key).cast("long").alias("key"))
 
 
-def keys_of(spark: SparkSession, sf_dir: str, kind: str, ids: list[str]) -> list[int]:
-    """Keys of the nodes with these identifiers: one pass over the key column, at most as many keys as identifiers."""
-    return [r.key for r in ids_of(spark, sf_dir, kind).where(F.col("id").isin(ids)).select("key").collect()]
+def keys_of(spark: SparkSession, sf_dir: str, ids: dict[str, list[str]]) -> dict[str, list[int]]:
+    """Keys of the nodes with these identifiers by kind: one pass over the key columns, at most as many keys as identifiers."""
+    rows = None
+    for kind, some in ids.items():
+        one = ids_of(spark, sf_dir, kind).where(F.col("id").isin(some)).select("kind", "key")
+        rows = one if rows is None else rows.unionByName(one)
+    found = rows.collect()
+    return {kind: [r.key for r in found if r.kind == kind] for kind in ids}
 
 
 def entities(spark: SparkSession, sf_dir: str, keys: list[int] | None = None) -> DataFrame:
