@@ -293,6 +293,8 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "BLOCK", 16)
     monkeypatch.setattr(topk_search, "SHARD", 4)
     monkeypatch.setattr(topk_search, "QUERIES", 8)
+    monkeypatch.setattr(topk_search, "PART", 2)
+    monkeypatch.setattr(topk_search, "CHUNK", 3)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 12)) / 3
     x[50:80] = x[50]  # ties
@@ -311,6 +313,59 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert topk_search.exact_top_k(df.where("vec_id = 20"), df.where("vec_id = 20")).count() == 0
 
 
+def _sent(monkeypatch) -> list:
+    """Queries that each round of a search sends to shards, and the most rows a shard and a visit hold."""
+    sent, answers = [], topk_search._answers
+
+    def counted(visits, shards, dims, k):
+        row = visits.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        sent.append((*row, shards.agg(F.max(F.length("ids") / 8)).first()[0]))
+        return answers(visits, shards, dims, k)
+
+    monkeypatch.setattr(topk_search, "_answers", counted)
+    return sent
+
+
+def test_top_k_prunes_before_rows_move(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK", 8)
+    monkeypatch.setattr(topk_search, "SHARD", 4)
+    monkeypatch.setattr(topk_search, "QUERIES", 8)
+    sent = _sent(monkeypatch)
+    rng = np.random.default_rng(7)
+
+    def moved(clusters: int) -> tuple[int, int]:
+        centres = rng.normal(size=(clusters, 16))
+        x = np.repeat(centres / np.linalg.norm(centres, axis=1)[:, None], 40, axis=0) + rng.normal(size=(40 * clusters, 16)) / 100
+        df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        sent.clear()
+        got = {(r.query_id, r.rank): r for r in topk_search.exact_top_k(df, df.where("vec_id % 20 = 0")).collect()}
+        whole = np.floor(x * 256).astype(int)
+        for q in range(0, len(x), 20):
+            best = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:5]
+            assert [(-got[q, r].score, got[q, r].vec_id) for r in range(1, 6)] == best
+        return sum(s[0] for s in sent), 2 * clusters * -(-40 * clusters // 32)  # sent, and all queries to all shards
+
+    few, _ = moved(8)
+    many, all_pairs = moved(40)  # five times the rows and the queries
+    assert many < 10 * few and many < all_pairs / 2
+
+
+def test_top_k_of_one_hot_cell(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK", 8)
+    monkeypatch.setattr(topk_search, "SHARD", 4)
+    monkeypatch.setattr(topk_search, "QUERIES", 8)
+    sent = _sent(monkeypatch)
+    rows = [(i, [0.5, 0.5, 0.25]) for i in range(700)] + [(700 + i, [0.5, 0.5, (i + 1) / 2048]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df = df.withColumns({n: F.lit("x") for n in ("v", "code", "shard", "grp", "floor", "score", "query_id", "n", "before")})
+    got = {(r.query_id, r.rank): r for r in topk_search.exact_top_k(df.unionByName(df), df.where("vec_id % 20 = 0")).collect()}
+    assert [(got[40, r].vec_id, got[40, r].score) for r in range(1, 6)] == [(i, 2 * 128**2 + 64**2) for i in range(5)]
+    assert len(got) == 5 * len([i for i, _ in rows if i % 20 == 0])
+    assert [(got[980, r].vec_id, got[980, r].score) for r in range(1, 6)] == [(i, 2 * 128**2 + 64 * 35) for i in range(5)]
+    # One code holds all rows: they fill many shards and groups, none of them much beyond its size.
+    assert len(sent) > 1 and all(most <= 32 and held <= 80 for _, most, held in sent)
+
+
 def test_top_k_of_scores_near_the_end_of_longs(spark):
     rng = np.random.default_rng(12)
     rows = [(i, [float(c) for c in (1 << 20) + rng.integers(0, 3, 4) / 256]) for i in range(60)]  # scores near 2**58
