@@ -4,6 +4,7 @@ import itertools
 import json
 import re
 import time
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
@@ -76,16 +77,39 @@ def test_mix_keeps_columns_of_any_name(spark):
 
 
 @pytest.mark.parametrize("weights", [queries.WEIGHTS, {"src0": 9.5, "src1": 0.0001}, {"src0": Fraction(1, 3), "src1": 0.3141592653589793}])
-def test_schedule_keeps_to_the_given_weights(weights):
+def test_schedule_keeps_to_the_given_weights(weights, monkeypatch):
     given = {f"src{k}": Fraction(str(weights.get(f"src{k}", 1))) for k in range(20)}
     parts = mixing.whole_parts(given)
     order = list(itertools.islice(mixing.replay(parts, dict.fromkeys(parts, 0)), 8000))
     assert mixing.lag(given, order) < 1
     for slot in [*range(0, 60), 1999, 5001, 7999]:
         assert mixing.state(parts, slot) == {s: order[:slot].count(s) for s in parts}
+    monkeypatch.setattr(mixing, "STRETCH", 7)
+    for slot in [1, 6, 7, 8, 500, *range(2000, 8000, 613)]:
+        assert mixing.state(parts, slot) == {s: order[:slot].count(s) for s in parts}
     assert sum(mixing.whole_parts({f"src{k}": queries.WEIGHTS.get(f"src{k}", 1) for k in range(20)}).values()) == 57
 
 
+def test_state_of_a_very_light_source_takes_little_memory():
+    parts = mixing.whole_parts({"heavy": 1, "light": "0.0000001"})
+    tracemalloc.start()
+    got = mixing.state(parts, 1_500_000)
+    assert got["heavy"] + got["light"] == 1_500_000 and got["light"] in (0, 1)
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
+
+
+def test_mix_deals_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    d = spark.range(1000).selectExpr("cast(null as bigint) as doc_id", "'s' as source", "cast(id as string) as text")
+    placed = mixing.mix(d)
+    assert sorted((r.mix_block, r.mix_place) for r in placed.collect()) == [divmod(i, 16) for i in range(1000)]
+    # A bucket is a run of places, so rows of one bucket stay few though all ids are equal.
+    hashed = d.select(F.struct(*(F.col(c) for c in placed.columns[:3])).alias("r")).select(F.xxhash64(F.lit(1), "r").alias("h"))
+    most = hashed.groupBy(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * 20)).count().agg(F.max("count")).first()[0]
+    assert most < 100
+
+
 def test_mix_of_a_long_period_in_tasks(spark, monkeypatch):
     rows = [(i, "t", f"s{i % 5 if i % 2 else 0}") for i in range(6000)]
     weights = {"s0": 5.123456789, "s1": 0.01, "s2": 1.7}

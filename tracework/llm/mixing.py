@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import islice
@@ -32,7 +33,7 @@ from tracework.plans.materialize import materialize
 
 #: Documents in a block, sources at most, rows of a numbering bucket.
 BLOCK, SOURCES, BUCKET_ROWS = 16, 1_000, 1_000
-#: Slots that the driver lays out itself, and slots of a stretch where tasks do.
+#: Slots that the driver lays out itself, and slots of a stretch: where tasks lay out, and in memory when a state is found.
 DRIVER_SLOTS, STRETCH = 100_000, 50_000
 
 
@@ -72,23 +73,28 @@ def state(parts: dict[str, int], slot: int) -> dict[str, int]:
     are those whose pending block is done. Blocks up to a deadline are served as
     if there were no later ones, so in the first t slots they get t less the
     greatest excess of slots over their releases at any time up to t: the slots
-    left to later blocks. Only the time since the oldest pending release counts.
+    left to later blocks. Only the time since the oldest pending release counts,
+    and it is gone through a stretch at a time, so memory does not grow with it.
     """
     total = sum(parts.values())
     whole, slot = divmod(slot, total)
     down = {s: p * slot // total for s, p in parts.items()}
     pending = sorted((-(-(k + 1) * total // parts[s]), s, k * total // parts[s]) for s, k in down.items() if parts[s] * slot % total)
     if pending:
-        since = min(r for _, _, r in pending)
-        released = np.zeros(slot - since, np.int64)
-        ahead = -since
-        for p in parts.values():
-            first = -(-p * since // total)
-            ahead += first
-            np.add.at(released, [k * total // p - since for k in range(first, -(-p * slot // total))], 1)
-        surplus = ahead + np.cumsum(released - 1)  # releases less slots, after each slot
         times = sorted({r for _, _, r in pending})
-        least = np.minimum.reduceat(surplus, [r - since for r in times])
+        ends = [*times[1:], slot]
+        least = np.full(len(times), np.iinfo(np.int64).max)
+        surplus = sum(-(-p * times[0] // total) for p in parts.values()) - times[0]  # releases less slots
+        for start in range(times[0], slot, STRETCH):
+            end = min(start + STRETCH, slot)
+            released = np.zeros(end - start, np.int64)
+            for p in parts.values():
+                first, last = -(-p * start // total), -(-p * end // total)
+                np.add.at(released, [k * total // p - start for k in range(first, last)], 1)
+            after = surplus + np.cumsum(released - 1)
+            surplus = int(after[-1])
+            for i in range(bisect_right(times, start) - 1, bisect_left(times, end)):
+                least[i] = min(least[i], after[max(times[i] - start, 0) : ends[i] - start].min())
         at = [times.index(r) for _, _, r in pending]
         later = np.cumsum(np.bincount(at, minlength=len(times)))
         base, before = sum(down.values()), 0
@@ -179,7 +185,6 @@ def mix(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
     source_col: str = "source",
-    id_col: str = "doc_id",
     seed: int = 1,
 ) -> DataFrame:
     """Place every row of ``docs`` in the mixed order.
@@ -189,9 +194,8 @@ def mix(
     (place of the row in its block). ``weights`` gives relative weights;
     sources without one, or with none at all, weigh 1; zero and below is an
     error. A null source is a source of its own, named as the empty text.
-    Within a source, rows go by a hash of the id, then by id and the hash of the
-    whole row, so repeated rows and null ids have places too. An empty table
-    gives an empty result; columns of the added names are replaced, others keep
+    Within a source, rows go by a hash of the whole row, so repeated rows and null
+    ids have places too. An empty table gives an empty result; columns of the added names are replaced, others keep
     their values, whatever their names.
     """
     added = ("mix_block", "mix_slot", "mix_place")
@@ -202,9 +206,9 @@ def mix(
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_s"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"),
-        F.col(id_col).alias("_id"),
     )
+    # Of the whole row: rows that share an id, or have none, are dealt over the buckets like others.
+    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "_row"))
     spark = docs.sparkSession
     per_source = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("n")).orderBy("_s").limit(SOURCES + 1).collect()
     if len(per_source) > SOURCES:
@@ -233,7 +237,7 @@ def mix(
         "before", F.sum("n").over(W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
     ).select("_s", "_b", F.coalesce("before", F.lit(0)).alias("before"))
     numbered = (
-        rows.withColumn("_r", F.row_number().over(W.partitionBy("_s", "_b").orderBy("_h", "_id", F.xxhash64("_row"))))
+        rows.withColumn("_r", F.row_number().over(W.partitionBy("_s", "_b").orderBy("_h", F.xxhash64(F.lit(~seed), "_row"))))
         .join(F.broadcast(offset) if sum(buckets.values()) < 200_000 else offset, ["_s", "_b"])
         .withColumn("_n", F.col("before") + F.col("_r") - 1)
         .withColumns({"mix_block": F.expr(f"_n div {BLOCK}"), "mix_place": F.pmod("_n", F.lit(BLOCK)).cast("int")})
