@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracework.functions import ids
 from tracework.operators import stats, timetravel
 from tracework.sources import factlog
 from tracework.streaming import streams
@@ -268,3 +269,13 @@ def test_one_large_turtle_file_is_read_in_splits(spark, tmp_path):
     want = [(f"http://x/n{k}", turtle.TYPE, turtle.PREFIXES["prov"] + "Entity") for k in range(400)] + [(f"http://x/n{k}", "http://x/last", "1") for k in range(400)]
     want += [(f"http://x/n{k}", f"http://x/p{i}", f"v{k}-{i}") for k in range(400) for i in range(k % 7)]
     assert got == sorted(want)
+
+
+def test_keys_are_found_by_whole_identifiers(spark):
+    names = [f"part/{k}" for k in range(300)] + [None, ""]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    wanted = [ids.uuid3_of(n) for n in ("part/7", "part/250", "")]
+    alike = wanted[0][:-1] + ("0" if wanted[0][-1] != "0" else "1")  # the same first digits, another identifier
+    found = lambda some: {r.name for r in df.where(ids.uuid3_among(F.col("name"), some)).collect()}
+    assert found([*wanted, "no identifier", alike]) == {"part/7", "part/250", ""}
+    assert found([alike]) == set() and found([]) == set()

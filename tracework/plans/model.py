@@ -10,15 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracework.functions.ids import uuid3
+from tracework.functions.ids import uuid3, uuid3_among
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _name(kind: str, key: str):
+    return F.concat(F.lit(f"{kind}/"), F.col(key).cast("string"))
+
+
 def _id(kind: str, key: str):
-    return uuid3(F.concat(F.lit(f"{kind}/"), F.col(key).cast("string")))
+    return uuid3(_name(kind, key))
 
 
 def generation(spark: SparkSession, sf_dir: str, keys: list[int] | None = None) -> DataFrame:
@@ -52,7 +56,9 @@ def keys_of(spark: SparkSession, sf_dir: str, ids: dict[str, list[str]]) -> dict
     """Keys of the nodes with these identifiers by kind: one pass over the key columns, at most as many keys as identifiers."""
     rows = None
     for kind, some in ids.items():
-        one = ids_of(spark, sf_dir, kind).where(F.col("id").isin(some)).select("kind", "key")
+        name, key = KINDS[kind]
+        one = table(spark, sf_dir, name).where(uuid3_among(_name(kind, key), some))
+        one = one.select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("key"))
         rows = one if rows is None else rows.unionByName(one)
     found = rows.collect()
     return {kind: [r.key for r in found if r.kind == kind] for kind in ids}
