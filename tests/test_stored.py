@@ -279,3 +279,15 @@ def test_keys_are_found_by_whole_identifiers(spark):
     found = lambda some: {r.name for r in df.where(ids.uuid3_among(F.col("name"), some)).collect()}
     assert found([*wanted, "no identifier", alike]) == {"part/7", "part/250", ""}
     assert found([alike]) == set() and found([]) == set()
+
+
+def test_a_longer_log_has_wider_ranges_not_more_of_them(spark, tmp_path):
+    counts = []
+    for n in (4_000, 400_000):
+        log = spark.range(n).selectExpr("cast(id % 50 as string) as e", "'x' as a", "cast(id as string) as v", "id as tx", "'add' as op")
+        width, path = factlog.fit_width(log, 1000), str(tmp_path / str(n))
+        factlog.write_log(log, path, width)
+        counts.append(spark.read.parquet(path).selectExpr("input_file_name() as f").distinct().count())
+        assert factlog.read_log(spark, path, 3_500, after=1_500, width=width).count() == 2_000
+    assert factlog.fit_width(log.where("false"), 1000) == 1000
+    assert counts[1] <= factlog.RANGES * factlog.PARTS and counts[0] <= 4 * factlog.PARTS

@@ -27,20 +27,22 @@ def _query(sql: str | None):
     return register
 
 
-#: Transactions in a range of the stored tables here.
+#: Transactions in a range of the stored tables here, at least: longer logs have wider ranges, not more of them.
 _WIDTH = 1000
 
 
 def _log(spark, d):
-    """The fact log, written to folders by attribute and range of transactions."""
-    path = scratch(spark)
-    factlog.write_log(model.datoms(spark, d), path, _WIDTH)
-    return path
+    """The fact log, written to folders by attribute and range of transactions: where, and the width of a range."""
+    path, log = scratch(spark), model.datoms(spark, d)
+    width = factlog.fit_width(log, _WIDTH)
+    factlog.write_log(log, path, width)
+    return path, width
 
 
 @_query(_with("datom", "select e, a, v, tx, op from datom where a in ('click', 'purchase') and tx > 2000 and tx <= 5000"))
 def src1_stored_log(spark, d):
-    return factlog.read_log(spark, _log(spark, d), 5000, ("click", "purchase"), after=2000, width=_WIDTH)
+    path, width = _log(spark, d)
+    return factlog.read_log(spark, path, 5000, ("click", "purchase"), after=2000, width=width)
 
 
 _HELD = """f as (select * from datom where v is not null and e is not null),
@@ -57,14 +59,16 @@ def tm4_validity(spark, d):
 
 
 def _stored_validity(spark, d):
-    path = scratch(spark)
-    factlog.write_validity(factlog.validity(model.datoms(spark, d)), path, _WIDTH)
-    return path
+    path, log = scratch(spark), model.datoms(spark, d)
+    width = factlog.fit_width(log, _WIDTH)
+    factlog.write_validity(factlog.validity(log), path, width)
+    return path, width
 
 
 @_query(_with("datom", "select e, a, v, valid_from as tx from held where a in ('click', 'view') and valid_from <= 5000 and (valid_to is null or valid_to > 5000)", more=_HELD))
 def tm1_stored_as_of(spark, d):
-    valid = factlog.read_validity(spark, _stored_validity(spark, d), 5000, ("click", "view"), _WIDTH)
+    path, width = _stored_validity(spark, d)
+    valid = factlog.read_validity(spark, path, 5000, ("click", "view"), width)
     return factlog.at(valid, 5000)
 
 
@@ -73,7 +77,8 @@ def tm1_stored_as_of(spark, d):
   where not exists (select 1 from datom r where r.op = 'retract' and r.e = p.e and r.a = p.a and r.v = p.m[2] and r.tx > p.m[1] and r.tx <= p.tx)"""))
 def tm1_at_pairs(spark, d):
     """What each user's entity held at every one of its events."""
-    valid = factlog.read_validity(spark, _stored_validity(spark, d), width=_WIDTH)
+    path, width = _stored_validity(spark, d)
+    valid = factlog.read_validity(spark, path, width=width)
     pairs = model.table(spark, d, "events").select(F.col("user_id").cast("string").alias("e"), F.col("event_id").alias("tx"))
     return factlog.at_pairs(valid, pairs, _WIDTH)
 

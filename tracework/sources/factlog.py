@@ -18,6 +18,21 @@ LOG = "e string, a string, v string, tx long, op string"
 VALID = "e string, a string, v string, valid_from long, valid_to long"
 #: Transactions in a range, and levels of blocks of ranges in the join by intervals: blocks of up to 2 ** 20 ranges.
 WIDTH, LEVELS = 100_000, 20
+#: Ranges in a stored table where its width is fitted, and parts that each folder of an attribute and a range is written in.
+RANGES, PARTS = 32, 4
+
+
+def fit_width(log: DataFrame, least: int = WIDTH, ranges: int = RANGES) -> int:
+    """The width, ``least`` doubled as often as needed, at which a log has ``ranges`` ranges at most.
+
+    A stored table then has a bounded number of folders and files however long
+    the log is; with a fixed width they grow with it, and so does what the driver lists.
+    """
+    last = log.agg(F.max("tx")).first()[0]
+    width = least
+    while last is not None and int(last) // width >= ranges:
+        width *= 2
+    return width
 
 
 def validity(log: DataFrame, many: tuple[str, ...] = ()) -> DataFrame:
@@ -47,7 +62,7 @@ def validity(log: DataFrame, many: tuple[str, ...] = ()) -> DataFrame:
 def write_log(log: DataFrame, path: str, width: int = WIDTH, mode: str = "append") -> None:
     """Add facts to a stored log: folders by attribute and range of ``width`` transactions, rows sorted by entity."""
     rows = log.select("e", "a", "v", F.col("tx").cast("long").alias("tx"), "op").withColumn("tx_range", F.expr(f"tx div {width}"))
-    rows.repartition("a", "tx_range", F.pmod(F.hash("e"), F.lit(16))).sortWithinPartitions("a", "tx_range", "e", "tx").write.mode(mode).partitionBy("a", "tx_range").parquet(path)
+    rows.repartition("a", "tx_range", F.pmod(F.hash("e"), F.lit(PARTS))).sortWithinPartitions("a", "tx_range", "e", "tx").write.mode(mode).partitionBy("a", "tx_range").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str, tx: int | None = None, attributes: tuple[str, ...] = (), after: int | None = None, width: int = WIDTH) -> DataFrame:
@@ -65,7 +80,7 @@ def read_log(spark: SparkSession, path: str, tx: int | None = None, attributes:
 def write_validity(rows: DataFrame, path: str, width: int = WIDTH, mode: str = "overwrite") -> None:
     """Store ``validity`` rows in folders by attribute and by the range that they hold from."""
     ranged = rows.withColumn("from_range", F.expr(f"valid_from div {width}"))
-    ranged.repartition("a", "from_range", F.pmod(F.hash("e"), F.lit(16))).sortWithinPartitions("a", "from_range", "e").write.mode(mode).partitionBy("a", "from_range").parquet(path)
+    ranged.repartition("a", "from_range", F.pmod(F.hash("e"), F.lit(PARTS))).sortWithinPartitions("a", "from_range", "e").write.mode(mode).partitionBy("a", "from_range").parquet(path)
 
 
 def read_validity(spark: SparkSession, path: str, tx: int | None = None, attributes: tuple[str, ...] = (), width: int = WIDTH) -> DataFrame:
