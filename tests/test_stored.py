@@ -291,3 +291,11 @@ def test_a_longer_log_has_wider_ranges_not_more_of_them(spark, tmp_path):
         assert factlog.read_log(spark, path, 3_500, after=1_500, width=width).count() == 2_000
     assert factlog.fit_width(log.where("false"), 1000) == 1000
     assert counts[1] <= factlog.RANGES * factlog.PARTS and counts[0] <= 4 * factlog.PARTS
+
+
+def test_pairs_and_pieces_are_not_sent_to_the_driver(spark):
+    """Both sides of the join are made many times larger than their files let expect."""
+    valid = spark.createDataFrame([("e", "a", "v", 5, None)], factlog.VALID)
+    got = factlog.at_pairs(valid, spark.createDataFrame([("e", 7, "x"), ("e", 3, "y")], "e string, tx long, k string"), 1)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [("e", 7, "x", "a", "v", 5)]
