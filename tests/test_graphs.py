@@ -4,7 +4,10 @@ import random
 
 import pytest
 
-from tracework.operators import graph, views
+from pyspark.sql import functions as F
+
+from tracework import catalogue
+from tracework.operators import graph, lineage, views
 from tracework.operators.components import forest_components
 from tracework.plans.materialize import written
 
@@ -98,3 +101,20 @@ def test_cycles_stay_inside_strong_components(spark):
     both = edges_of(spark, [(1, 2), (2, 1), (2, 3), (3, 1), (3, 3)])
     assert sorted(r.cycle for r in graph.cycles(both).collect()) == [[1, 2], [1, 2, 3], [3]]
     assert sorted(r.cycle for r in graph.cycles(both, 2).collect()) == [[1, 2], [3]]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_go_through_one_shuffle(spark):
+    pairs = [(1, 2), (2, 1), (1, 2), (3, 3), (1, 4)] + [(9, 100 + i) for i in range(25)]
+    edges = edges_of(spark, pairs)
+    counts = graph.neighbour_counts(edges)
+    assert plan_of(counts).count("Exchange") == 1
+    assert {(r.node, r.n, r.first) for r in counts.where("node < 10").collect()} == {(1, 2, 2), (2, 1, 1), (3, 1, 3), (4, 1, 1), (9, 25, 100)}
+    turned = lambda c: F.concat(F.lit("k"), (1000 - F.col(c)).cast("string"))
+    assert {(r.node, r.first) for r in graph.neighbour_counts(edges, turned).where("node in (1, 9)").collect()} == {(1, "k996"), (9, "k876")}
+    lists = {(r.node, r.part): r.neighbours for r in graph.neighbour_parts(edges, 10, turned).where("node < 10").collect()}
+    assert lists[(1, 0)] == ["k996", "k998"] and [len(lists[(9, p)]) for p in (0, 1, 2)] == [10, 10, 5] and (9, 3) not in lists
+    assert lists[(9, 0)] + lists[(9, 1)] + lists[(9, 2)] == sorted(f"k{1000 - 100 - i}" for i in range(25))
