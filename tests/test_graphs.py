@@ -138,3 +138,10 @@ def test_networks_and_their_counts(spark, seed):
     assert sorted((r.root, r.src, r.rel, r.dst) for r in e.collect()) == sorted((k, *t) for k, (_, ts) in want.items() for t in ts)
     got = {r.root: (r.nodes, r.edges) for r in graph.network_counts(nodes, edges, roots, 2, up=False).collect()}
     assert got == {k: (len(ids), len(ts)) for k, (ids, ts) in want.items()}
+
+
+def test_traceability_rows_are_not_shuffled_once_made(spark):
+    rows = [("a1", "used", "e1"), ("a1", "used", "e1"), ("a1", "wasAssociatedWith", "g1"), ("a1", "wasAssociatedWith", "g1"), ("a1", "used", "e2")]
+    out = lineage.traceability_edges(spark.createDataFrame(rows, "src string, rel string, dst string"))
+    assert out._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+    assert sorted(map(tuple, out.collect())) == sorted((e, s, d, n) for e in ("e1", "e2") for s, d, n in ((e, "a1", "used"), ("a1", "g1", "wasAssociatedWith")))
