@@ -167,3 +167,10 @@ def test_orphans_where_the_table_has_parts_of_the_lost_keys(spark, tmp_path):
         con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
     want = con.execute(catalogue.oracle_sql()["val13_orphans"]).fetchall()
     assert want and sorted(map(tuple, catalogue.queries()["val13_orphans"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_first_nodes_by_their_names(spark):
+    ring = edges_of(spark, [(i, (i + 1) % 5) for i in range(5)])
+    nodes = spark.createDataFrame([(i,) for i in range(5)], "x long")
+    row = views.path_lengths(ring, nodes, 2, 1, name=lambda c: (9 - F.col(c)).cast("string")).first()  # the nodes 4 and 3
+    assert (row.reachable_pairs, row.diameter, row.sample_size, row.average_path_length) == (2, 5, 2, 3.5)
