@@ -174,3 +174,23 @@ def test_first_nodes_by_their_names(spark):
     nodes = spark.createDataFrame([(i,) for i in range(5)], "x long")
     row = views.path_lengths(ring, nodes, 2, 1, name=lambda c: (9 - F.col(c)).cast("string")).first()  # the nodes 4 and 3
     assert (row.reachable_pairs, row.diameter, row.sample_size, row.average_path_length) == (2, 5, 2, 3.5)
+
+
+@pytest.mark.parametrize("depth", [None, 2])
+def test_paths_between_grow_from_the_fewer_side(spark, depth):
+    rng = random.Random(6)
+    pairs = sorted({(rng.randrange(9), rng.randrange(9)) for _ in range(20)})
+    edges = edges_of(spark, pairs)
+
+    def plain(path, end):
+        if path[-1] == end:
+            return [path]
+        return [p for a, b in pairs if a == path[-1] and b not in path and (depth is None or len(path) <= depth) for p in plain([*path, b], end)]
+
+    for asked in ([(i, 0) for i in range(9)], [(i, e) for i in range(8) for e in (0, 3)], [(1, i) for i in range(9)]):
+        with written() as tables:
+            got = graph.paths_between(edges, spark.createDataFrame(asked, "s long, e long"), depth)
+            rows = sorted((r.start, r.end, tuple(r.path)) for r in got.collect())
+        assert rows == sorted((s, e, tuple(p)) for s, e in asked for p in plain([s], e))
+        fewer_ends = len({e for _, e in asked}) < len({s for s, _ in asked})
+        assert any("before" in t.columns for t in tables) == fewer_ends
