@@ -194,3 +194,15 @@ def test_paths_between_grow_from_the_fewer_side(spark, depth):
         assert rows == sorted((s, e, tuple(p)) for s, e in asked for p in plain([s], e))
         fewer_ends = len({e for _, e in asked}) < len({s for s, _ in asked})
         assert any("before" in t.columns for t in tables) == fewer_ends
+
+
+def test_timelines_take_one_closure(spark):
+    edges = edges_of(spark, [(2, 1), (3, 2)])
+    ents = spark.createDataFrame([(1, 10), (2, 20), (3, None)], "entity_id long, was_generated_by long")
+    acts = spark.createDataFrame([(10, 5), (20, 5)], "activity_id long, started_at long")
+    with written() as tables:
+        r = views.timelines(edges, ents, acts, lambda c: (-F.col(c)).cast("long"))
+        assert sorted((x.start, x.position, x.node) for x in r.collect()) == [(1, 1, 2), (2, 1, 1), (3, 1, 2), (3, 2, 1)]
+    assert len(tables) == 3  # the edges, one round, and one that found nothing
+    chain = views.supply_chains(edges, ents.select("entity_id"), lambda c: (-F.col(c)).cast("long"))
+    assert [(x.step, x.node) for x in chain.where("start = 3").orderBy("step").collect()] == [(1, 1), (2, 2), (3, 3)]
