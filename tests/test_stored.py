@@ -271,6 +271,19 @@ def test_one_large_turtle_file_is_read_in_splits(spark, tmp_path):
     assert got == sorted(want)
 
 
+def test_turtle_lines_that_stand_alone_are_not_shuffled(spark, tmp_path):
+    from tracework.sources import turtle
+
+    null = "cast(null as string)"
+    made = spark.range(0, 300, 1, 7).selectExpr("concat('http://x/n', id) as s", "'http://x/p' as p", "concat('v \"', id) as o", "'literal' as o_kind", f"{null} as datatype", f"{null} as lang")
+    turtle.write_turtle(made, str(tmp_path / "t"), {"ex": "http://x/"})
+    files = [r.value for r in spark.read.text(str(tmp_path / "t"), wholetext=True).collect()]
+    assert len(files) == 7 and all(f.startswith("@prefix ex: <http://x/> .\nex:n") and f.count("@prefix") == 1 for f in files)
+    back = turtle.read_turtle(spark, str(tmp_path / "t"))
+    assert sorted((r.s, r.p, r.o) for r in back.collect()) == sorted((f"http://x/n{k}", "http://x/p", f'v "{k}') for k in range(300))
+    assert "rangepartitioning" not in back._jdf.queryExecution().toString().lower()
+
+
 def test_keys_are_found_by_whole_identifiers(spark):
     names = [f"part/{k}" for k in range(300)] + [None, ""]
     df = spark.createDataFrame([(n,) for n in names], "name string")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracework.operators.ranges import running
 from tracework.sources.rdf import literal_text, node_text, unescape
 
 _PREFIX = r"^\s*@prefix\s+([A-Za-z0-9_-]*):\s*<([^>]*)>\s*\.?\s*$"
@@ -41,19 +40,26 @@ def strip_quotes(text: Column) -> Column:
     return out
 
 
-def parse_turtle(lines: DataFrame) -> DataFrame:
+def _prefixes(rows: DataFrame, line: str = "value") -> DataFrame:
+    """``doc, given``: the prefixes that each document declares."""
+    v = F.trim(strip_comment(F.col(line)))
+    pairs = F.collect_set(F.struct(F.regexp_extract(v, _PREFIX, 1), F.regexp_extract(v, _PREFIX, 2)))
+    return rows.where(F.ltrim(line).startswith("@") & v.rlike(_PREFIX)).groupBy("doc").agg(F.map_from_entries(pairs).alias("given"))
+
+
+def parse_turtle(lines: DataFrame, of_files: DataFrame | None = None) -> DataFrame:
     """``doc, pos, s, p, o, o_kind, datatype, lang`` of lines ``doc, pos, value``.
 
     A head names the subject of the lines after it, up to the next head in its
     document; prefixes hold for the whole document. ``a`` is the type predicate.
     Numbers, true and false become typed literals. What does not parse gives no row.
     Lines may bring their ``head`` along; else a window over each document finds it.
+    Where documents are files, whose list the driver holds anyway, ``of_files`` has
+    the prefixes of those that declare some, and goes to the lines instead of lines to it.
     """
     brought = [F.col("head")] if "head" in lines.columns else []
     rows = lines.select("doc", "pos", F.trim(strip_comment(F.col("value"))).alias("v"), *brought)
-    given = rows.where(F.col("v").rlike(_PREFIX)).groupBy("doc").agg(
-        F.map_from_entries(F.collect_set(F.struct(F.regexp_extract("v", _PREFIX, 1), F.regexp_extract("v", _PREFIX, 2)))).alias("given")
-    )
+    given = _prefixes(rows, "v") if of_files is None else F.broadcast(of_files)
     known = F.create_map(*(F.lit(x) for kv in PREFIXES.items() for x in kv))
     head = F.when(F.col("v").rlike(_HEAD), F.regexp_extract("v", _HEAD, 1))
     rows = rows.where(~F.col("v").startswith("@") & (F.col("v") != ""))
@@ -104,20 +110,25 @@ def parse_turtle(lines: DataFrame) -> DataFrame:
 
 
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of all Turtle files of a path, read in splits, so one file may be larger than a task.
+    """Triples of all Turtle files of a path, read in splits, so one file may be larger than a task; ``pos`` grows with the place in a file.
 
-    Lines are numbered by running counts over ranges of (file, place), which count
-    the heads along: each line finds its subject by the number of the head before it.
+    Lines that stand alone are parsed where they are read. Only heads and the lines
+    that go on after them are shuffled, by split: a line finds the head before it in
+    its split, or else the last one of the splits before, of which one row each is looked at.
     """
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("doc"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("value"))
     rows = rows.withColumn("seq", F.monotonically_increasing_id())  # grows with the place within a split
-    subject = F.regexp_extract(F.trim(strip_comment(F.col("value"))), _HEAD, 1)
-    rows = rows.withColumn("subject", F.when(subject != "", subject))
-    step = 1 << 40  # lines count in the lower bits, heads above them
-    counted = running(rows, ["doc"], ["block", "seq"], F.when(F.col("subject").isNotNull(), F.lit(step + 1)).otherwise(F.lit(1)))
-    counted = counted.select("doc", (F.col("n") % step - 1).alias("pos"), "value", F.expr(f"n div {step}").alias("nth"), "subject")
-    heads = counted.where("subject is not null").select("doc", "nth", F.col("subject").alias("head"))
-    return parse_turtle(counted.join(heads, ["doc", "nth"], "left"))
+    v = F.trim(strip_comment(F.col("value")))
+    subject = F.regexp_extract(v, _HEAD, 1)
+    rows = rows.withColumns({"subject": F.when(subject != "", subject), "alone": (subject != "") | (v == "") | v.startswith("@") | v.rlike(_WHOLE)})
+    some = rows.where(F.col("subject").isNotNull() | ~F.col("alone"))
+    splits = some.groupBy("doc", "block").agg(F.max_by("subject", F.when(F.col("subject").isNotNull(), F.col("seq"))).alias("last"))
+    before = F.last("last", ignorenulls=True).over(W.partitionBy("doc").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    splits = splits.select("doc", "block", before.alias("before"))
+    inside = F.last("subject", ignorenulls=True).over(W.partitionBy("doc", "block").orderBy("seq"))
+    on = some.withColumn("inside", inside).where("not alone").join(splits, ["doc", "block"]).withColumn("head", F.coalesce("inside", "before"))
+    line = lambda df, head: df.select("doc", F.struct("block", "seq").alias("pos"), "value", F.col(head).alias("head"))
+    return parse_turtle(line(rows.where("alone"), "subject").unionByName(line(on, "head")), _prefixes(rows))
 
 
 def read_dataset(spark: SparkSession, *paths: str) -> DataFrame:
@@ -143,7 +154,12 @@ def by_class(triples: DataFrame) -> DataFrame:
 def to_turtle(triples: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
     """``part, value``: prefix lines (part 0), then one line a triple (part 1) with names shortened by the prefixes."""
     prefixes = {"prov": PREFIXES["prov"], "xsd": PREFIXES["xsd"]} if prefixes is None else prefixes
-    spark = triples.sparkSession
+    head = triples.sparkSession.createDataFrame([(0, f"@prefix {n}: <{b}> .") for n, b in prefixes.items()], "part int, value string")
+    return head.unionByName(triples.select(F.lit(1).alias("part"), _triple_line(prefixes).alias("value")))
+
+
+def _triple_line(prefixes: dict[str, str]) -> Column:
+    """A triple (s, p, o, o_kind, datatype, lang) as a line of its own."""
 
     def short(c: str) -> Column:
         out = node_text(c)
@@ -152,9 +168,18 @@ def to_turtle(triples: DataFrame, prefixes: dict[str, str] | None = None) -> Dat
             out = F.when(F.col(c).startswith(base) & local.rlike("^[A-Za-z0-9_-]+$"), F.concat(F.lit(name + ":"), local)).otherwise(out)
         return out
 
-    head = spark.createDataFrame([(0, f"@prefix {n}: <{b}> .") for n, b in prefixes.items()], "part int, value string")
     o = F.when(F.col("o_kind") == "literal", literal_text()).otherwise(short("o"))
-    return head.unionByName(triples.select(F.lit(1).alias("part"), F.concat(short("s"), F.lit(" "), short("p"), F.lit(" "), o, F.lit(" .")).alias("value")))
+    return F.concat(short("s"), F.lit(" "), short("p"), F.lit(" "), o, F.lit(" ."))
+
+
+def write_turtle(triples: DataFrame, path: str, prefixes: dict[str, str] | None = None) -> None:
+    """``to_turtle`` as gzip files, one for each task: each begins with the prefixes, so no row is moved for them."""
+    prefixes = {"prov": PREFIXES["prov"], "xsd": PREFIXES["xsd"]} if prefixes is None else prefixes
+    head = "".join(f"@prefix {n}: <{b}> .\n" for n, b in prefixes.items())
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # the number of a row within its task
+    lines = triples.select(F.concat(F.when(first, F.lit(head)).otherwise(F.lit("")), _triple_line(prefixes)).alias("value"))
+    # One row after another into one file: a task's file has no limit of rows here.
+    lines.write.option("maxRecordsPerFile", 0).option("compression", "gzip").text(path)
 
 
 def class_triples(entities: DataFrame, activities: DataFrame, agents: DataFrame, edges: DataFrame, base: str) -> DataFrame:
@@ -163,16 +188,23 @@ def class_triples(entities: DataFrame, activities: DataFrame, agents: DataFrame,
     node = lambda c: F.concat(F.lit(base), c)
     prov = PREFIXES["prov"]
 
-    def row(df: DataFrame, s: str, p: str, o: Column, kind: str = "literal", datatype: Column = null) -> DataFrame:
-        return df.select(node(s).alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), datatype.alias("datatype"), null.alias("lang")).where("o is not null")
+    def rows_of(df: DataFrame, key: str, *of: Column) -> DataFrame:
+        # One pass over a class, as its rows are joined and aggregated before.
+        at = df.select(node(key).alias("s"), F.explode(F.array(*of)).alias("x")).where("x.o is not null")
+        return at.select("s", "x.p", "x.o", "x.o_kind", "x.datatype", null.alias("lang"))
+
+    def about(p: str, o: Column, kind: str = "literal", datatype: Column = null) -> Column:
+        return F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), datatype.alias("datatype"))
 
+    kinds = lambda name, kind: (about(TYPE, F.lit(prov + name), "uri"), about(TYPE, F.col(kind)))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     when = F.lit(PREFIXES["xsd"] + "dateTime")
-    rows = []
-    for df, key, name, kind in ((entities, "entity_id", "Entity", "entity_type"), (activities, "activity_id", "Activity", "activity_type"), (agents, "agent_id", "Agent", "agent_type")):
-        rows += [row(df, key, TYPE, F.lit(prov + name), "uri"), row(df, key, TYPE, F.col(kind))]
-    rows += [row(activities, "activity_id", prov + p, stamp(c), "literal", when) for p, c in (("startedAtTime", "started_at"), ("endedAtTime", "ended_at"))]
-    rows.append(row(agents, "agent_id", prov + "agentName", F.col("agent_name")))
+    times = [about(prov + p, stamp(c), "literal", when) for p, c in (("startedAtTime", "started_at"), ("endedAtTime", "ended_at"))]
+    rows = [
+        rows_of(entities, "entity_id", *kinds("Entity", "entity_type")),
+        rows_of(activities, "activity_id", *kinds("Activity", "activity_type"), *times),
+        rows_of(agents, "agent_id", *kinds("Agent", "agent_type"), about(prov + "agentName", F.col("agent_name"))),
+    ]
     rows.append(edges.select(node("src").alias("s"), F.concat(F.lit(prov), "rel").alias("p"), node("dst").alias("o"), F.lit("uri").alias("o_kind"), null.alias("datatype"), null.alias("lang")))
     out = rows[0]
     for r in rows[1:]:
