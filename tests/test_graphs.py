@@ -206,3 +206,10 @@ def test_timelines_take_one_closure(spark):
     assert len(tables) == 3  # the edges, one round, and one that found nothing
     chain = views.supply_chains(edges, ents.select("entity_id"), lambda c: (-F.col(c)).cast("long"))
     assert [(x.step, x.node) for x in chain.where("start = 3").orderBy("step").collect()] == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_paths_are_not_joined_through_the_driver(spark):
+    e = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "c"), ("d", "b")], "src string, dst string")
+    found = graph.shortest_paths(e, spark.createDataFrame([("a", x) for x in "abcdx"], "start string, end string"))
+    assert {(r.end, "".join(r.path), r.hops) for r in found.collect()} == {("a", "a", 0), ("b", "ab", 1), ("c", "ac", 1), ("d", "abd", 2)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
