@@ -312,3 +312,16 @@ def test_pairs_and_pieces_are_not_sent_to_the_driver(spark):
     got = factlog.at_pairs(valid, spark.createDataFrame([("e", 7, "x"), ("e", 3, "y")], "e string, tx long, k string"), 1)
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in got.collect()] == [("e", 7, "x", "a", "v", 5)]
+
+
+def test_recalls_get_identifiers_after_the_least_record_is_found(spark):
+    from tracework.sources import recalls
+
+    fields = ("recall_number", "event_id", "recalling_firm", "product_description", "city", "state", "country", "recall_initiation_date", "report_date", "termination_date")
+    rows = [("F-1", "1", "b", "p", "c", None, "x", "20240102", None, None), ("F-1", "2", "a", "q", " ", "", None, "2024", "20240103", "20240230"), ("F-2", "3", " ", "p", None, None, None, None, None, None)]
+    found = recalls.normalise(spark.createDataFrame(rows, ", ".join(f"{f} string" for f in fields)))
+    (r,) = found.collect()
+    assert (r.recalling_firm, r.product_description, r.location, r.started_at.day, r.ended_at) == ("a", "q", "Unknown", 3, None)
+    assert [r.entity_id, r.activity_id, r.agent_id] == [ids.uuid3_of(f"openfda-food/{k}") for k in ("entity/F-1", "activity/F-1", "agent/a")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" in plan and "md5" not in plan[plan.index("Aggregate") :]

@@ -23,16 +23,20 @@ def normalise(records: DataFrame) -> DataFrame:
 
     One row a recall number: the least by firm, then product, place, start and end.
     """
-    name = lambda kind, c: uuid3(F.concat(F.lit(f"openfda-food/{kind}/"), F.col(c)))
+    name = lambda kind, c: uuid3(F.concat(F.lit(f"openfda-food/{kind}/"), F.col(c))).alias(f"{kind}_id")
     start = F.coalesce(strict_date(F.col("recall_initiation_date")), strict_date(F.col("report_date")), F.to_timestamp(F.lit("1970-01-01")))
-    rows = usable(records).select(
-        "recall_number", "recalling_firm", "product_description",
-        name("entity", "recall_number").alias("entity_id"), name("activity", "recall_number").alias("activity_id"),
-        name("agent", "recalling_firm").alias("agent_id"), place(F.col("city"), F.col("state"), F.col("country")).alias("location"),
-        start.alias("started_at"), strict_date(F.col("termination_date")).alias("ended_at"),
+    least = F.min(
+        F.struct(
+            "recalling_firm", "product_description", place(F.col("city"), F.col("state"), F.col("country")).alias("location"),
+            start.alias("started_at"), strict_date(F.col("termination_date")).alias("ended_at"),
+        )
+    )
+    rows = usable(records).groupBy("recall_number").agg(least.alias("r")).select("recall_number", "r.*")
+    # Identifiers follow from the number and the firm, so they are made for the rows that stay.
+    return rows.select(
+        "recall_number", "recalling_firm", "product_description", name("entity", "recall_number"), name("activity", "recall_number"),
+        name("agent", "recalling_firm"), "location", "started_at", "ended_at",
     )
-    rest = [c for c in rows.columns if c != "recall_number"]
-    return rows.groupBy("recall_number").agg(F.min(F.struct(*rest)).alias("r")).select("recall_number", "r.*")
 
 
 def tables(normal: DataFrame) -> dict[str, DataFrame]:
