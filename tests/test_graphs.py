@@ -213,3 +213,10 @@ def test_paths_are_not_joined_through_the_driver(spark):
     found = graph.shortest_paths(e, spark.createDataFrame([("a", x) for x in "abcdx"], "start string, end string"))
     assert {(r.end, "".join(r.path), r.hops) for r in found.collect()} == {("a", "a", 0), ("b", "ab", 1), ("c", "ac", 1), ("d", "abd", 2)}
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_are_not_joined_through_the_driver(spark):
+    e = spark.createDataFrame([(2, 1), (3, 2), (5, 4)], "src long, dst long")
+    found = graph.components(spark.range(1, 7), e)
+    assert {(r.node, r.component) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -19,7 +19,8 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_r
     node of an edge that joins two different ids (others are alone, and absent).
     Null ends are ignored. Each round is two group-by minima and two joins; the
     minima are written first, so the joins are plain and a hub key can be split
-    by adaptive execution. Rounds end once only stars are left. Raises if ``max_rounds`` do not suffice.
+    by adaptive execution; they are shuffled, as files of numbers are so small that
+    tables of all nodes would be broadcast through the driver else. Rounds end once only stars are left. Raises if ``max_rounds`` do not suffice.
     """
     e = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -33,10 +34,10 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_r
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), n)
         large = materialize(
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n
+            both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n
         )
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), n)
-        joined = large.join(least, "u")
+        joined = large.join(least.hint("merge"), "u")
         new = materialize(
             joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v")))
