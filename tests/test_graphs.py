@@ -6,8 +6,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tracework import catalogue
-from tracework.operators import graph, lineage, views
+from tracework import catalogue, catalogue_views
+from tracework.operators import components, graph, lineage, views
 from tracework.operators.components import forest_components
 from tracework.plans.materialize import written
 
@@ -220,3 +220,33 @@ def test_components_are_not_joined_through_the_driver(spark):
     found = graph.components(spark.range(1, 7), e)
     assert {(r.node, r.component) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)}
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_component_of_all_nodes_is_not_one_tasks(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_ROWS", 50, raising=False)
+    # Too many edges for one task: forests twice, then star steps.
+    monkeypatch.setattr(graph, "forest_components", lambda e: forest_components(e.repartition(8), at_once=20))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        nodes = spark.range(0, 3200, 4)
+        edges = edges_of(spark, [(4 * i, 0 if i % 3 else 4 * i - 4) for i in range(1, 790)])
+        got = catalogue_views.named_components(nodes, edges)
+        most = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert got.count() == 800 and got.select("component").distinct().count() == 11 and most < 400
+        assert got.where("node = component").count() == 11
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_hub_join_leaves_the_rows_of_hubs_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_ROWS", 3)
+    rows = spark.createDataFrame([(k, v) for k in (1, 2, None) for v in range(5 - (k or 0) * 2 + 2)], "k long, v long")
+    keys = rows.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.max("v").alias("m"))
+    got = components.hub_join(rows, keys, "k")
+    assert sorted((r.k, r.v, r.m) for r in got.collect()) == sorted([(1, v, 4) for v in range(5)] + [(2, v, 2) for v in range(3)])
+    assert got.columns == ["k", "v", "m"]
+
+
+def test_components_of_loops_and_half_edges(spark):
+    found = graph.components(spark.range(1, 2), edges_of(spark, [(1, 2), (5, 5), (2, 2), (None, 3), (7, None)]))
+    assert {(r.node, r.component) for r in found.collect()} == {(1, 1), (2, 1), (5, 5), (3, 3), (7, 7), (None, None)}

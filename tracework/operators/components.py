@@ -17,10 +17,8 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_r
 
     Returns ``node, component`` with the smallest id of the component, for every
     node of an edge that joins two different ids (others are alone, and absent).
-    Null ends are ignored. Each round is two group-by minima and two joins; the
-    minima are written first, so the joins are plain and a hub key can be split
-    by adaptive execution; they are shuffled, as files of numbers are so small that
-    tables of all nodes would be broadcast through the driver else. Rounds end once only stars are left. Raises if ``max_rounds`` do not suffice.
+    Null ends are ignored. Each round is two group-by minima and two ``hub_join``.
+    Rounds end once only stars are left. Raises if ``max_rounds`` do not suffice.
     """
     e = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -32,12 +30,13 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_r
         if settled:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), n)
+        count = F.count(F.lit(1)).alias("rows")
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), count), n)
         large = materialize(
-            both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n
+            hub_join(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n
         )
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), n)
-        joined = large.join(least.hint("merge"), "u")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), count), n)
+        joined = hub_join(large, least, "u")
         new = materialize(
             joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v")))
@@ -54,6 +53,24 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_r
     )
 
 
+#: Rows that one key of a join may bring into a task; keys with more are broadcast.
+HUB_ROWS = 100_000
+
+
+def hub_join(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """``rows`` joined with ``keys``, one row a key, where few keys may have most of the rows.
+
+    ``keys`` is a written table whose column ``rows``, not part of the result, is at
+    least how many rows a key has. Those of more than ``HUB_ROWS`` are few, as many as
+    the sum of ``rows`` has room for: they are broadcast, so their rows stay where they
+    are, and no task gets all rows of a great component. The others are shuffled, as files of numbers
+    are so small that tables of all nodes would be broadcast through the driver else.
+    """
+    hubs, others = keys.where(F.col("rows") > HUB_ROWS).drop("rows"), keys.where(F.col("rows") <= HUB_ROWS).drop("rows")
+    rest = rows.join(F.broadcast(hubs.select(on)), on, "left_anti")
+    return rows.join(F.broadcast(hubs), on).unionByName(rest.join(others.hint("merge"), on))
+
+
 #: Edges that a task joins to a forest at a time, and as many forest edges as one task may end with.
 FOREST_EDGES = 1 << 20
 
@@ -62,9 +79,9 @@ def forest_components(edges: DataFrame, a: str = "src", b: str = "dst", at_once:
     """``node, component`` as ``connected_components``, with fewer edges in the shuffles.
 
     Each partition's edges become a forest of stars, ``at_once`` edges at a time, so
-    only one edge a node and partition is shuffled. Those are dealt by their root
-    and joined again; once they are ``at_once`` at most, one task ends the work, and
-    where a second round has not got that far, star steps do.
+    only one edge a node and partition is shuffled. Those are dealt by their node, as a
+    root may be that of all, and joined again; once they are ``at_once`` at most, one
+    task ends the work, and where a second round has not got that far, star steps do.
     """
     both = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).alias("u"), F.col(b).alias("v"))
     schema = f"u {both.schema['u'].dataType.simpleString()}, v {both.schema['v'].dataType.simpleString()}"
@@ -93,7 +110,7 @@ def forest_components(edges: DataFrame, a: str = "src", b: str = "dst", at_once:
             drop(e)
             return new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         if not last:
-            new = materialize(e.repartition("v").mapInPandas(forests, schema))
+            new = materialize(e.repartition("u").mapInPandas(forests, schema))
             drop(e)
             e = new
     return connected_components(e, "u", "v")
