@@ -17,11 +17,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracework.llm.jaccard_join import ngram_jaccard_join
-from tracework.llm.mixing import mix
+from tracework.llm.mixing import BLOCK, mix
 from tracework.llm.pii import find_pii, redact
 from tracework.llm.quality import score_quality
 from tracework.llm.queries import PIECES, WEIGHTS
@@ -109,16 +111,56 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rows that are numbered together where the order of a table is read.
+RUN_ROWS = 4_096
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, mix_slot, mix_place, position`` by the order in which ``docs`` lie.
+
+    That is the order of the files by their names and of the rows in them, or of the
+    partitions where the rows are not read from files. ``position`` is the row's place
+    in it, from 0. Each ``BLOCK`` rows of a source are a block, begun by the first;
+    ``mix_place`` is the place in it, and ``mix_slot`` how many blocks have begun
+    up to the row, less one: in the order of ``mixture`` those of its schedule.
+    """
+    at = {"_s": F.coalesce(F.col("source").cast("string"), F.lit("")), "_id": F.monotonically_increasing_id()}
+    docs = docs.select("doc_id", "text", "source")
+    try:
+        rows = docs.withColumns({**at, "_file": F.input_file_name(), "_start": F.input_file_block_start()})
+    except AnalysisException:  # a plan with several sources, whose rows have the order of its partitions
+        rows = docs.withColumns({**at, "_file": F.lit(""), "_start": F.lit(-1)})
+    rows = materialize(rows.drop("source"))  # the numbers are fixed from here on
+    run = ["_file", "_start", "_run"]
+    slim = rows.select("_id", "_s", "_file", "_start", F.expr(f"_id div {RUN_ROWS}").alias("_run"))
+    # What is before each run: one row for each run and source is looked at together, not the rows.
+    before = lambda c, over: F.coalesce(F.sum(c).over(over.orderBy(*run).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    begun = F.ceil((F.col("had") + F.col("n")) / BLOCK) - F.ceil(F.col("had") / BLOCK)
+    counts = materialize(slim.groupBy(*run, "_s").agg(F.count(F.lit(1)).alias("n")).withColumn("had", before("n", W.partitionBy("_s"))))
+    runs = counts.groupBy(*run).agg(F.sum("n").alias("n"), F.sum(begun).alias("begun"))
+    starts = runs.select(*run, before("n", W.partitionBy()).alias("rows_before"), before("begun", W.partitionBy()).alias("begun_before"))
+    inside = W.partitionBy(*run).orderBy("_id")
+    placed = (
+        slim.join(starts, run)
+        .withColumn("position", F.col("rows_before") + F.row_number().over(inside) - 1)
+        .join(counts.select(*run, "_s", "had"), [*run, "_s"])
+        .withColumn("_n", F.col("had") + F.row_number().over(W.partitionBy(*run, "_s").orderBy("_id")) - 1)
+        .withColumn("mix_place", (F.col("_n") % BLOCK).cast("int"))
+        .withColumn("_begun", F.sum((F.col("mix_place") == 0).cast("long")).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+        .select("_id", (F.col("begun_before") + F.col("_begun") - 1).alias("mix_slot"), "mix_place", "position")
+    )
+    return rows.join(placed, "_id").select("doc_id", "text", "mix_slot", "mix_place", "position")
+
+
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with its slot and place in the mixed order.
+    """Token ids of every document, with its slot and place in the mixed order and its ``position`` in all of it.
 
-    The order of rows does not outlast a read or an exchange, so the places are
-    taken again: they follow from the rows alone, and are those of ``mixture``.
+    They are those of the order in which ``mixture`` wrote the rows; of rows in another order they would be others.
     """
-    at = F.struct("doc_id", "mix_slot", "mix_place")
-    placed = materialize(mix(docs.select(*COLUMNS), WEIGHTS).select(at.alias("doc_id"), "text"))
+    at = F.struct("doc_id", "mix_slot", "mix_place", "position")
+    placed = materialize(in_order(docs).select(at.alias("doc_id"), "text"))
     return encode(placed, PIECES).select(
-        "doc_id.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "doc_id.mix_slot", "doc_id.mix_place"
+        "doc_id.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "doc_id.mix_slot", "doc_id.mix_place", "doc_id.position"
     )
 
 

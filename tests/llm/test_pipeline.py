@@ -89,3 +89,22 @@ def test_what_stages_wrote_goes_with_the_next_one(spark):
     before = list(run.left)
     run.stages[2][1](spark, out, SF)
     assert before and not set(before) & set(run.left)
+
+
+def test_pieces_follow_the_order_that_mixture_wrote(spark, monkeypatch):
+    monkeypatch.setattr(cp, "RUN_ROWS", 7, raising=False)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*cp.COLUMNS).limit(150)
+    giant = docs.where("doc_id % 50 = 7").selectExpr("doc_id + 9000000 as doc_id", "repeat(text, 300) as text", "lang", "source", "n_chars")
+    docs = materialize(docs.unionByName(giant))  # files of other sizes, which are not read in the order of their names
+    placed = mix(docs, WEIGHTS).orderBy("mix_slot", "mix_place").collect()
+    ids = lambda t: [(r.doc_id, r.mix_slot, r.mix_place) for r in sorted(t.collect(), key=lambda r: r.position)]
+    mixed = materialize(cp.mixture(spark, docs, SF))
+    for rows in (mixed, cp.mixture(spark, docs, SF)):  # written, and not yet
+        out = cp.pieces(spark, rows, SF)
+        assert ids(out) == [(r.doc_id, r.mix_slot, r.mix_place) for r in placed]
+        assert sorted(r.position for r in out.collect()) == list(range(len(placed)))
+    other = ids(cp.pieces(spark, materialize(docs.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")), SF))
+    assert [d for d, _, _ in other] == sorted(r.doc_id for r in placed)
+    assert {d: (s, p) for d, s, p in other} != {r.doc_id: (r.mix_slot, r.mix_place) for r in placed}
+    several = docs.unionByName(spark.read.parquet(f"{SF}/documents.parquet").select(*cp.COLUMNS).limit(3))
+    assert sorted(r.position for r in cp.pieces(spark, several, SF).collect()) == list(range(len(placed) + 3))
