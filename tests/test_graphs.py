@@ -250,3 +250,12 @@ def test_hub_join_leaves_the_rows_of_hubs_where_they_are(spark, monkeypatch):
 def test_components_of_loops_and_half_edges(spark):
     found = graph.components(spark.range(1, 2), edges_of(spark, [(1, 2), (5, 5), (2, 2), (None, 3), (7, None)]))
     assert {(r.node, r.component) for r in found.collect()} == {(1, 1), (2, 1), (5, 5), (3, 3), (7, 7), (None, None)}
+
+
+def test_best_paths_are_written_as_numbers(spark):
+    d = "/root/testdata/sf0.001"
+    with written() as tables:
+        rows = catalogue.flagship(spark, d).collect()
+    assert len(rows) == spark.read.parquet(f"{d}/part.parquet").count() and all(r.path.startswith(r.start) for r in rows)
+    kinds = [dict(t.dtypes) for t in tables]
+    assert {k["path"] for k in kinds if "path" in k} == {"array<bigint>"} and not any("entity_id" in k and k["entity_id"] == "string" for k in kinds)
