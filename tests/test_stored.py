@@ -284,6 +284,24 @@ def test_turtle_lines_that_stand_alone_are_not_shuffled(spark, tmp_path):
     assert "rangepartitioning" not in back._jdf.queryExecution().toString().lower()
 
 
+def test_turtle_that_stands_alone_is_parsed_without_a_shuffle(spark, tmp_path):
+    """A quote that is escaped ends no literal, and what follows it names no type."""
+    from tracework.sources import turtle
+
+    null = "cast(null as string)"
+    values = "array('q\"^^xsd:int', 'a # b', '', 'c\\\\', concat('m', char(1), 'n'))"
+    made = spark.range(0, 5, 1, 2).selectExpr("concat('http://x/n', id) as s", "'http://x/p' as p", f"{values}[cast(id as int)] as o", "'literal' as o_kind", f"{null} as datatype", "if(id = 0, null, 'en') as lang")
+    turtle.write_turtle(made, str(tmp_path / "t"), {"ex": "http://x/"})
+    back = turtle.read_turtle(spark, str(tmp_path / "t"))
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan and plan.count("FileScan text") == 1
+    columns = ["s", "p", "o", "o_kind", "datatype", "lang"]
+    assert sorted(map(str, back.select(columns).collect())) == sorted(map(str, made.collect()))
+    (tmp_path / "t" / "more.ttl").write_text("@prefix e: <http://e/> .\ne:a a e:b ;\n e:c 1 ;\n <d> e:f .\n")
+    more = {tuple(r) for r in turtle.read_turtle(spark, str(tmp_path / "t")).select("s", "p", "o").collect()}
+    assert {r for r in more if r[0] == "http://e/a"} == {("http://e/a", turtle.TYPE, "http://e/b"), ("http://e/a", "http://e/c", "1"), ("http://e/a", "d", "http://e/f")} and len(more) == 8
+
+
 def test_keys_are_found_by_whole_identifiers(spark):
     names = [f"part/{k}" for k in range(300)] + [None, ""]
     df = spark.createDataFrame([(n,) for n in names], "name string")

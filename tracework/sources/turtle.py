@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracework.plans.materialize import materialize
 from tracework.sources.rdf import literal_text, node_text, unescape
 
 _PREFIX = r"^\s*@prefix\s+([A-Za-z0-9_-]*):\s*<([^>]*)>\s*\.?\s*$"
-_NAME = r"<[^>]*+>|[A-Za-z0-9_-]*+:[A-Za-z0-9_.-]*[A-Za-z0-9_-]|_:[A-Za-z0-9_-]++"
+_NAME = r"<[^>]*+>|[\w-]*+:[\w.-]*[\w-]|_:[\w-]++"
 _VALUE = r'"(?:[^"\\]++|\\.)*+"(?:@[A-Za-z0-9-]++|\^\^(?:' + _NAME + r"))?|'[^']*+'|" + _NAME + r"|[^\s;.]++(?:\.[0-9]++)?"
 _HEAD = rf"^\s*({_NAME})\s+a\s+({_NAME})\s*[;.]?\s*$"
 _LINE = rf"^\s*(a|{_NAME})\s+({_VALUE})\s*[;.]?\s*$"
@@ -26,9 +27,27 @@ PREFIXES = {
 TYPE = PREFIXES["rdf"] + "type"
 
 
+#: What stands between the groups of a match that are put into one text.
+_SEP = "\x01"
+
+
 def strip_comment(text: Column) -> Column:
     """A line without the comment at its end; a ``#`` within quotes or an address stays."""
-    return F.regexp_extract(text, r"""^((?:[^"'<#]++|"(?:[^"\\]++|\\.)*+"|'[^']*+'|<[^>]*+>|["'<])*+)""", 1)
+    kept = F.regexp_extract(text, r"""^((?:[^"'<#]++|"(?:[^"\\]++|\\.)*+"|'[^']*+'|<[^>]*+>|["'<])*+)""", 1)
+    return F.when(text.contains("#"), kept).otherwise(text)
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``withColumns`` whose expressions are computed once a row, however often later steps and filters name them."""
+    made = F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    return df.select(*(c for c in df.columns if c not in columns), made)
+
+
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """The ``n`` groups of a pattern from ``^`` to ``$``, by one match; an array of another size if a text does not match."""
+    marked = F.split(F.regexp_replace(text, pattern + "(?s:.*)", _SEP.join(f"${i}" for i in range(1, n + 1))), _SEP)
+    each = F.when(text.rlike(pattern), F.array(*(F.regexp_extract(text, pattern, i) for i in range(1, n + 1)))).otherwise(F.array())
+    return F.when(text.contains(_SEP), each).otherwise(marked)
 
 
 def strip_quotes(text: Column) -> Column:
@@ -47,88 +66,104 @@ def _prefixes(rows: DataFrame, line: str = "value") -> DataFrame:
     return rows.where(F.ltrim(line).startswith("@") & v.rlike(_PREFIX)).groupBy("doc").agg(F.map_from_entries(pairs).alias("given"))
 
 
-def parse_turtle(lines: DataFrame, of_files: DataFrame | None = None) -> DataFrame:
+def parse_turtle(lines: DataFrame) -> DataFrame:
     """``doc, pos, s, p, o, o_kind, datatype, lang`` of lines ``doc, pos, value``.
 
     A head names the subject of the lines after it, up to the next head in its
     document; prefixes hold for the whole document. ``a`` is the type predicate.
     Numbers, true and false become typed literals. What does not parse gives no row.
     Lines may bring their ``head`` along; else a window over each document finds it.
-    Where documents are files, whose list the driver holds anyway, ``of_files`` has
-    the prefixes of those that declare some, and goes to the lines instead of lines to it.
+    They may bring ``given`` along too, the prefixes that their document declares.
+    Each line is matched once where it stands alone.
     """
-    brought = [F.col("head")] if "head" in lines.columns else []
-    rows = lines.select("doc", "pos", F.trim(strip_comment(F.col("value"))).alias("v"), *brought)
-    given = _prefixes(rows, "v") if of_files is None else F.broadcast(of_files)
+    brought = [c for c in ("head", "given") if c in lines.columns]
+    rows = _once(lines.select("doc", "pos", "value", *brought), value=F.trim(strip_comment(F.col("value")))).withColumnRenamed("value", "v")
     known = F.create_map(*(F.lit(x) for kv in PREFIXES.items() for x in kv))
-    head = F.when(F.col("v").rlike(_HEAD), F.regexp_extract("v", _HEAD, 1))
+    if "given" not in brought:
+        rows = rows.join(_prefixes(rows, "v"), "doc", "left")
     rows = rows.where(~F.col("v").startswith("@") & (F.col("v") != ""))
-    if not brought:
+    if "head" not in brought:
+        head = F.when(F.col("v").rlike(_HEAD), F.regexp_extract("v", _HEAD, 1))
         rows = rows.withColumn("head", F.last(head, ignorenulls=True).over(W.partitionBy("doc").orderBy("pos")))
-    is_head, is_whole = F.col("v").rlike(_HEAD), F.col("v").rlike(_WHOLE)
-    line = lambda i: F.regexp_extract("v", _LINE, i)
-    full = lambda i: F.regexp_extract("v", _WHOLE, i)
-    rows = rows.select(
-        "doc",
-        "pos",
-        F.when(is_head | ~is_whole, F.col("head")).otherwise(full(1)).alias("rs"),
-        F.when(is_head, "a").when(is_whole, full(2)).otherwise(line(1)).alias("rp"),
-        F.when(is_head, F.regexp_extract("v", _HEAD, 2)).when(is_whole, full(3)).otherwise(line(2)).alias("ro"),
+    rows = _once(rows, whole=_groups(F.col("v"), _WHOLE, 3))
+    # Heads are whole lines too, whose predicate is ``a``.
+    is_whole, line = F.size("whole") == 3, lambda i: F.regexp_extract("v", _LINE, i)
+    part = lambda i: F.get("whole", F.lit(i))
+    rows = _once(
+        rows.select("doc", "pos", "given", "head", "v", "whole"),
+        rs=F.when(is_whole, part(0)).otherwise(F.col("head")),
+        rp=F.when(is_whole, part(1)).otherwise(line(1)),
+        ro=F.when(is_whole, part(2)).otherwise(line(2)),
     ).where("rs is not null and rp != '' and ro != ''")
-    rows = rows.join(given, "doc", "left").withColumn("all", F.when(F.col("given").isNull(), known).otherwise(
-        F.map_concat(F.map_filter(known, lambda k, _: ~F.array_contains(F.map_keys("given"), k)), "given")))
+    o = F.col("ro")
+    quoted = o.startswith('"')
+    rest = F.substr(o, F.lit(2))
+    plain = rest.contains('"') & ~o.contains("\\")
+    text = F.when(plain, F.substring_index(rest, '"', 1)).otherwise(F.regexp_extract("ro", r'^"((?:[^"\\]++|\\.)*+)"', 1))
+    name = ~quoted & o.rlike(rf"^(?:{_NAME})$")
+    rows = _once(rows.select("doc", "pos", "given", "rs", "rp", "ro"), name=name, text=F.when(quoted, text))
+    tail = F.when(F.substr(o, F.length("text") + 2, F.lit(1)) == '"', F.substr(o, F.length("text") + 3))  # what follows the quotes
+    given_type = F.when(tail.startswith("^^"), F.regexp_extract(tail, r"^\^\^(.++)$", 1))
 
     def full_name(c: Column) -> Column:
-        base = F.element_at("all", F.regexp_extract(c, "^([^:]*):", 1))
-        local = F.regexp_replace(c, "^[^:]*:", "")
-        return F.when(c.startswith("<"), F.regexp_replace(c, "^<|>$", "")).when(c.startswith("_:"), c).otherwise(
-            F.concat(F.coalesce(base, F.regexp_extract(c, "^([^:]*):", 1)), local)
-        )
+        colon = F.instr(c, ":")
+        prefix, local = F.substr(c, F.lit(1), colon - 1), F.substr(c, colon + 1)
+        base = F.coalesce(F.element_at("given", prefix), F.element_at(known, prefix), prefix)
+        return F.when(c.startswith("<"), F.substr(c, F.lit(2), F.length(c) - 1 - c.endswith(">").cast("int"))).when(c.startswith("_:"), c).otherwise(F.concat(base, local))
 
-    o = F.col("ro")
-    text, quoted = F.regexp_extract("ro", r'^"((?:[^"\\]++|\\.)*+)"', 1), o.startswith('"')
-    given_type, lang = F.regexp_extract("ro", r'"\^\^(.++)$', 1), F.regexp_extract("ro", r'"@([A-Za-z0-9-]++)$', 1)
     xsd = lambda name: F.lit(PREFIXES["xsd"] + name)
-    number = o.rlike(r"^[+-]?[0-9]+$")
     datatype = (
-        F.when(quoted & (given_type != ""), full_name(given_type))
-        .when(number, xsd("integer"))
+        F.when(quoted, F.when(given_type != "", full_name(given_type)))
+        .when(F.col("name") | o.startswith("'"), None)
+        .when(o.rlike(r"^[+-]?[0-9]+$"), xsd("integer"))
         .when(o.rlike(r"^[+-]?[0-9]*\.[0-9]+$"), xsd("decimal"))
         .when(o.isin("true", "false"), xsd("boolean"))
     )
-    name = o.rlike(rf"^(?:{_NAME})$")
     return rows.select(
         "doc",
         "pos",
         full_name(F.col("rs")).alias("s"),
         F.when(F.col("rp") == "a", TYPE).otherwise(full_name(F.col("rp"))).alias("p"),
-        F.when(quoted, unescape(text)).when(o.startswith("'"), strip_quotes(o)).when(name, full_name(o)).otherwise(o).alias("o"),
-        F.when(name & o.startswith("_:"), "blank").when(name, "uri").otherwise("literal").alias("o_kind"),
+        F.when(quoted, unescape(F.col("text"))).when(o.startswith("'"), strip_quotes(o)).when(F.col("name"), full_name(o)).otherwise(o).alias("o"),
+        F.when(F.col("name") & o.startswith("_:"), "blank").when(F.col("name"), "uri").otherwise("literal").alias("o_kind"),
         datatype.alias("datatype"),
-        F.when(quoted & (lang != ""), lang).alias("lang"),
+        F.when(tail.rlike("^@[A-Za-z0-9-]++$"), F.substr(tail, F.lit(2))).alias("lang"),
     )
 
 
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
     """Triples of all Turtle files of a path, read in splits, so one file may be larger than a task; ``pos`` grows with the place in a file.
 
-    Lines that stand alone are parsed where they are read. Only heads and the lines
-    that go on after them are shuffled, by split: a line finds the head before it in
+    A first pass tells prefixes and which splits have lines that do not stand alone.
+    Lines that do are parsed where they are read. Only of files with others, the heads and those
+    lines are shuffled, by split: a line finds the head before it in
     its split, or else the last one of the splits before, of which one row each is looked at.
     """
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("doc"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("value"))
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("doc"), F.col("_metadata.file_block_start").alias("block"), "value")
     rows = rows.withColumn("seq", F.monotonically_increasing_id())  # grows with the place within a split
-    v = F.trim(strip_comment(F.col("value")))
+    rows = _once(rows, value=F.when(F.col("value").contains("\r"), F.regexp_replace("value", "\r$", "")).otherwise(F.col("value")))
+    rows = _once(rows, v=F.trim(strip_comment(F.col("value"))))
+    v = F.col("v")
+    on = ~((v == "") | v.startswith("@") | v.rlike(_WHOLE))  # heads are whole lines
+    splits = materialize(rows.groupBy("doc", "block").agg(
+        F.max(on).alias("goes_on"), F.collect_set(F.when(v.startswith("@") & v.rlike(_PREFIX), F.struct(F.regexp_extract(v, _PREFIX, 1), F.regexp_extract(v, _PREFIX, 2)))).alias("pairs")
+    ), 0)
+    # A row for each file, whose list the driver holds anyway; it goes to the lines instead of lines to it.
+    files = splits.groupBy("doc").agg(F.max("goes_on").alias("goes_on"), F.map_from_entries(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("given"))
+    files = F.broadcast(materialize(files, 0))
+    line = lambda df, head: df.select("doc", F.struct("block", "seq").alias("pos"), "value", head.alias("head"), "given")
+    none = F.lit(None).cast("string")
+    if files.where("goes_on").isEmpty():
+        return parse_turtle(line(rows.join(files, "doc"), none))
+    alone = line(rows.join(files, "doc").where(~F.col("goes_on") | ~on), none)
     subject = F.regexp_extract(v, _HEAD, 1)
-    rows = rows.withColumns({"subject": F.when(subject != "", subject), "alone": (subject != "") | (v == "") | v.startswith("@") | v.rlike(_WHOLE)})
-    some = rows.where(F.col("subject").isNotNull() | ~F.col("alone"))
-    splits = some.groupBy("doc", "block").agg(F.max_by("subject", F.when(F.col("subject").isNotNull(), F.col("seq"))).alias("last"))
+    some = _once(rows.join(files.where("goes_on"), "doc"), subject=F.when(subject != "", subject), on=on).where("subject is not null or on")
+    heads = some.groupBy("doc", "block").agg(F.max_by("subject", F.when(F.col("subject").isNotNull(), F.col("seq"))).alias("last"))
     before = F.last("last", ignorenulls=True).over(W.partitionBy("doc").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
-    splits = splits.select("doc", "block", before.alias("before"))
+    heads = heads.select("doc", "block", before.alias("before"))
     inside = F.last("subject", ignorenulls=True).over(W.partitionBy("doc", "block").orderBy("seq"))
-    on = some.withColumn("inside", inside).where("not alone").join(splits, ["doc", "block"]).withColumn("head", F.coalesce("inside", "before"))
-    line = lambda df, head: df.select("doc", F.struct("block", "seq").alias("pos"), "value", F.col(head).alias("head"))
-    return parse_turtle(line(rows.where("alone"), "subject").unionByName(line(on, "head")), _prefixes(rows))
+    some = some.withColumn("inside", inside).where("on").join(heads, ["doc", "block"])
+    return parse_turtle(alone.unionByName(line(some, F.coalesce("inside", "before"))))
 
 
 def read_dataset(spark: SparkSession, *paths: str) -> DataFrame:
@@ -165,7 +200,7 @@ def _triple_line(prefixes: dict[str, str]) -> Column:
         out = node_text(c)
         for name, base in prefixes.items():
             local = F.substring(c, len(base) + 1, 1 << 20)
-            out = F.when(F.col(c).startswith(base) & local.rlike("^[A-Za-z0-9_-]+$"), F.concat(F.lit(name + ":"), local)).otherwise(out)
+            out = F.when(F.col(c).startswith(base) & local.rlike(r"^[\w-]++$"), F.concat(F.lit(name + ":"), local)).otherwise(out)
         return out
 
     o = F.when(F.col("o_kind") == "literal", literal_text()).otherwise(short("o"))
@@ -179,7 +214,7 @@ def write_turtle(triples: DataFrame, path: str, prefixes: dict[str, str] | None
     first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # the number of a row within its task
     lines = triples.select(F.concat(F.when(first, F.lit(head)).otherwise(F.lit("")), _triple_line(prefixes)).alias("value"))
     # One row after another into one file: a task's file has no limit of rows here.
-    lines.write.option("maxRecordsPerFile", 0).option("compression", "gzip").text(path)
+    lines.write.option("maxRecordsPerFile", 0).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def class_triples(entities: DataFrame, activities: DataFrame, agents: DataFrame, edges: DataFrame, base: str) -> DataFrame:
