@@ -259,3 +259,15 @@ def test_best_paths_are_written_as_numbers(spark):
     assert len(rows) == spark.read.parquet(f"{d}/part.parquet").count() and all(r.path.startswith(r.start) for r in rows)
     kinds = [dict(t.dtypes) for t in tables]
     assert {k["path"] for k in kinds if "path" in k} == {"array<bigint>"} and not any("entity_id" in k and k["entity_id"] == "string" for k in kinds)
+
+
+def test_edges_that_no_path_between_the_nodes_asked_for_can_take_are_left_out(spark):
+    """A path of four hops over nodes not asked for, with ends that lead nowhere, starts that nothing leads to, a cycle and copies of edges."""
+    way = [(0, 1), (1, 2), (2, 3), (3, 4), (3, 1)]
+    dead = [(k, 100 + i) for k in range(5) for i in range(20)] + [(200 + i, k) for k in range(5) for i in range(20)]
+    some = spark.createDataFrame([(0, 0), (4, 1), (102, 2), (200, 3), (999, 4)], "node long, i long")
+    step = spark.createDataFrame(way * 2 + dead, "node long, dst long")
+    left = sorted(tuple(r) for r in graph._between(step, some.select("node")).collect())
+    assert left == sorted([*way, *((k, 102) for k in range(5)), *((200, k) for k in range(5))])
+    got = {tuple(r) for r in graph.hops_between(step.withColumnRenamed("node", "src"), some).collect()}
+    assert got == {(0, 4, 4), (0, 102, 1), (200, 4, 1), (200, 0, 1), (200, 102, 2), (4, 102, 1)}
