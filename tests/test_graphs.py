@@ -295,3 +295,17 @@ def test_kinds_of_edges_are_counted_before_they_meet_their_other_end(spark):
 
     plan = catalogue_more.gr12_full_graph(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "md5" not in plan
+
+
+def test_lists_of_neighbours_are_named_after_they_are_made(spark):
+    """Copies of edges make no part longer, nor a node a hub whose different neighbours fit one part; hubs and others get the same names."""
+    pairs = [(1, 2), (1, 4), (3, 1)] + [(9, 100 + i) for i in range(25)] + [(7, 50), (7, 51)] * 9
+    edges = spark.createDataFrame([(s, "r", d) for s, d in pairs], "src long, rel string, dst long")
+    turned, text = lambda c: F.concat(F.lit("k"), (1000 - F.col(c)).cast("string")), lambda k: f"k{1000 - k}"
+    both = [{(r.node, r.rel, r.part): r.neighbours for r in graph.neighbour_parts(edges, 10, turned, *t).collect()} for t in ((), (text,))]
+    assert both[0] == both[1] and both[1][(1, "r", 0)] == ["k996", "k997", "k998"] and both[1][(7, "r", 0)] == ["k949", "k950"]
+    assert [len(both[1][(9, "r", p)]) for p in (0, 1, 2)] == [10, 10, 5]
+    plan = graph.neighbour_parts(edges.where("src < 9"), 100, turned, text)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "concat(k" not in plan
+    cut = graph._named_lists(spark.range(0, 300, 1, 2).selectExpr("id as node", "'r' as rel", "sequence(id, id + id % 7) as o"), text, nodes=20)
+    assert {r.node: r.neighbours for r in cut.collect()} == {k: sorted(text(i) for i in range(k, k + k % 7 + 1)) for k in range(300)}
