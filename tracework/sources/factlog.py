@@ -121,10 +121,10 @@ def at_pairs(valid: DataFrame, pairs: DataFrame, width: int = WIDTH) -> DataFram
     right = F.when((F.col("rk") % 2 == 1) & (F.col("lk") + F.col("lk") % 2 < F.col("rk")), F.col("rk") - 1)
     blocks = F.when(F.col("k") == levels, top).otherwise(F.array_compact(F.array(left, right)))
     pieces = cut.select("e", "a", "v", "valid_from", "valid_to", "k", F.explode(blocks).alias("block"))
-    asked = pairs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-    asked = asked.select(*pairs.columns, "k", F.expr(f"(tx div {width}) div shiftleft(1L, k)").alias("block"))
+    asked = pairs.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels))))  # pairs may have a column k of their own
+    asked = asked.select(*pairs.columns, "_level", F.expr(f"(tx div {width}) div shiftleft(1L, _level)").alias("_slot"))
     # Both sides are many times what their files let expect, so neither may be sent to the driver and broadcast.
     one, other = asked.alias("asked").hint("merge"), pieces.select(F.col("e").alias("_e"), F.col("k").alias("_k"), F.col("block").alias("_block"), F.struct("a", "v", "valid_from", "valid_to").alias("_held"))
-    met = one.join(other, (F.col("asked.e") == F.col("_e")) & (F.col("asked.k") == F.col("_k")) & (F.col("asked.block") == F.col("_block")))
+    met = one.join(other, (F.col("asked.e") == F.col("_e")) & (F.col("asked._level") == F.col("_k")) & (F.col("asked._slot") == F.col("_block")))
     met = met.where("_held.valid_from <= asked.tx and (_held.valid_to is null or _held.valid_to > asked.tx)")
     return met.select(*(f"asked.{c}" for c in pairs.columns), "_held.a", "_held.v", F.col("_held.valid_from").alias("since"))
